@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from quillbom.llm import packing, piece_codec
+from quillbom.llm import html_text, packing, piece_codec
 from quillbom.session import table
 
 QUERIES: dict = {}
@@ -26,3 +26,9 @@ def op1_piece_round_trip(spark, sf_dir):
 def op5_best_fit_packing(spark, sf_dir):
     """Every document packed into sequences of 1024 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op4_html_main_text(spark, sf_dir):
+    """Main text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
