@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from quillbom.llm import html_text, packing, piece_codec
+from quillbom.llm import html_text, packing, piece_codec, quality
 from quillbom.session import table
 
 QUERIES: dict = {}
@@ -32,3 +32,11 @@ def op5_best_fit_packing(spark, sf_dir):
 def op4_html_main_text(spark, sf_dir):
     """Main text of every page."""
     return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op9_quality_rules(spark, sf_dir):
+    """Base features and the verdict of the likelihood ratio for every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = quality.judge(docs, table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
