@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from quillbom.llm import html_text, packing, piece_codec, quality
+from quillbom.llm import html_text, packing, piece_codec, quality, simhash
 from quillbom.session import table
 
 QUERIES: dict = {}
@@ -40,3 +40,9 @@ def op9_quality_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     judged = quality.judge(docs, table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
+@query
+def op3_simhash_groups(spark, sf_dir):
+    """Near-duplicate groups of all documents."""
+    return simhash.near_duplicate_groups(table(spark, sf_dir, "documents"))
