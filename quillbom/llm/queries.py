@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from quillbom.llm import html_text, packing, piece_codec, quality, simhash
+from quillbom.llm import html_text, packing, piece_codec, quality, simhash, substring_dedup, suffix_dedup
 from quillbom.session import table
 
 QUERIES: dict = {}
@@ -46,3 +46,15 @@ def op9_quality_rules(spark, sf_dir):
 def op3_simhash_groups(spark, sf_dir):
     """Near-duplicate groups of all documents."""
     return simhash.near_duplicate_groups(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_substring_dedup(spark, sf_dir):
+    """Words of all documents outside windows of 35 words that occur twice."""
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), digests=True)
+
+
+@query
+def op8_suffix_dedup(spark, sf_dir):
+    """Bytes of all documents outside strings of 50 bytes that an earlier document has."""
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), digests=True)
