@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from quillbom.llm import html_text, packing, piece_codec, quality, simhash, substring_dedup, suffix_dedup
+from quillbom.llm import html_text, packing, piece_codec, quality, simhash, substring_dedup, suffix_dedup, topk
 from quillbom.session import table
 
 QUERIES: dict = {}
@@ -58,3 +58,23 @@ def op6_substring_dedup(spark, sf_dir):
 def op8_suffix_dedup(spark, sf_dir):
     """Bytes of all documents outside strings of 50 bytes that an earlier document has."""
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), digests=True)
+
+
+@query
+def op7_exact_top_k(spark, sf_dir):
+    """The ten best candidates of each query vector."""
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op7_exact_top_k"] = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+           CAST(list_sum(list_transform(list_zip(q.x, c.x), lambda z: z[1] * z[2])) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10
+"""
