@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from quillbom.llm import html_text, packing, piece_codec, quality, simhash, substring_dedup, suffix_dedup, topk
+from quillbom.llm import html_text, maxent_lm, packing, piece_codec, quality, simhash, substring_dedup, suffix_dedup, topk
 from quillbom.session import table
 
 QUERIES: dict = {}
@@ -78,3 +78,9 @@ WITH v AS (
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10
 """
+
+
+@query
+def op2_maxent_scores(spark, sf_dir):
+    """Language-model scores of all documents, learnt from four fifths of them."""
+    return maxent_lm.score(table(spark, sf_dir, "documents"))
