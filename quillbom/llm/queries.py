@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from quillbom.llm import html_text, maxent_lm, packing, piece_codec, quality, simhash, substring_dedup, suffix_dedup, topk
+from quillbom.llm import html_text, licenses, maxent_lm, packing, piece_codec, quality, simhash, substring_dedup, suffix_dedup, topk
 from quillbom.session import table
 
 QUERIES: dict = {}
@@ -84,3 +84,9 @@ FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec
 def op2_maxent_scores(spark, sf_dir):
     """Language-model scores of all documents, learnt from four fifths of them."""
     return maxent_lm.score(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_license_scan(spark, sf_dir):
+    """Licences of all documents."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
