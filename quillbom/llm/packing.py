@@ -9,6 +9,7 @@ would be open, the fullest closes first.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
@@ -21,13 +22,18 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 #: Pre-tokens whose ids a worker keeps.
-CACHE_WORDS = 1 << 20
+CACHE_WORDS = 3 << 19
 #: Pieces in a bucket, on average.
 BUCKET_PIECES = 1 << 14
 #: Bins open at a time in a bucket.
 OPEN_BINS = 4096
 
 
+#: Characters for which the standard library's classes part letters, numbers and spaces as the tokenizer's pattern does.
+_latin = re.compile("[\x00-\x1b\x20-\x84\x86-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f\u2010-\u2027]*").fullmatch
+_latin_split = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
+
+
 class WordTokenizer:
     """Byte-level BPE by pre-token: each distinct one is encoded by the library and kept as bytes.
 
@@ -40,13 +46,17 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.split = regex.compile(public_tokenizers.PATTERN).findall
+        self.split_any = regex.compile(public_tokenizers.PATTERN).findall
         self.plain = regex.compile(r" \p{L}+").fullmatch
         vocabulary = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # ids whose text begins with a space
         self.opens[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
         self.cache: dict[str, bytes] = {}
 
+    def split(self, text: str) -> list[str]:
+        """Pre-tokens; texts of Latin letters alone take the faster of two equal patterns."""
+        return _latin_split(text) if _latin(text) else self.split_any(text)
+
     def encode_words(self, words: list[str]) -> dict[str, bytes]:
         """Ids of distinct pre-tokens. Those of a space and letters are encoded as one text, as they part again at the spaces."""
         plain = [w for w in words if self.plain(w)]
@@ -61,18 +71,17 @@ class WordTokenizer:
             known[w] = np.array(e.ids, "<u4").tobytes()
         return known
 
-    def ids(self, text: str) -> bytes:
-        """The ids of a text as little-endian unsigned 32-bit numbers."""
-        words = self.split(text)
+    def ids(self, text: str | None) -> bytes:
+        """The ids of a text as little-endian unsigned 32-bit numbers; null texts have none."""
+        words = self.split(text) if text else []
         try:
             return b"".join(map(self.cache.__getitem__, words))
         except KeyError:
-            new = list({w for w in words if w not in self.cache})
-        known = self.encode_words(new)
-        if len(self.cache) + len(known) <= CACHE_WORDS:
-            self.cache |= known
-            return b"".join(map(self.cache.__getitem__, words))
-        return b"".join(known[w] if w in known else self.cache[w] for w in words)
+            known = self.encode_words(list({w for w in words if w not in self.cache}))
+        if len(self.cache) + len(known) > CACHE_WORDS:
+            return b"".join(known[w] if w in known else self.cache[w] for w in words)
+        self.cache |= known
+        return b"".join(map(self.cache.__getitem__, words))
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -100,7 +109,7 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, key: str,
         for rows in batches:
             out = []
             for k, h, t in zip(rows["k"], rows["doc_hash"], rows["t"], strict=True):
-                data = (words.ids(t) if t else b"") + end
+                data = words.ids(t) + end
                 for piece, (start, length) in enumerate(piece_bounds(len(data) // 4, capacity)):
                     out.append((k, h, piece, start, length, zlib.crc32(data[4 * start:4 * (start + length)])))
             yield pd.DataFrame(out, columns=["k", "doc_hash", "piece", "start", "length", "ids_crc32"]).astype({"k": rows["k"].dtype})
