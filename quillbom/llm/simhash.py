@@ -9,6 +9,7 @@ other, hence a star of links carries the same components as all pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -22,6 +23,10 @@ from quillbom.llm.shared import checkpoint_dir, connected_components
 
 #: Shingle hashes that are counted at a time.
 BLOCK = 1 << 17
+#: Share of pairs of just the least similarity that near_copies() is to find; of more similar ones it finds more.
+RECALL = 0.92
+#: Bits of a short fingerprint over those that tell all documents apart.
+SPARE_BITS = 8
 
 
 def _majority(hashes: list[np.ndarray]) -> np.ndarray:
@@ -90,3 +95,95 @@ def near_duplicate_groups(docs: DataFrame, width: int = 3, radius: int = 2, key:
     of_print = grouped.select("fp", "root").join(smallest, "root").select("fp", "component")
     named = prints.join(of_print, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
     return marked.join(named, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# Near copies by similarity. At a Jaccard similarity of 0.8 one bit in seven differs, too many for
+# one ball of 64 bits. So there are many short fingerprints, each searched by ball hashing with
+# radius 2; pairs that meet in any are held against all bits, then against the shingles themselves.
+
+
+def short_fingerprints(rows: float, similarity: float) -> tuple[int, int, float]:
+    """(bits, tables, differing share) so that pairs of that similarity meet with chance RECALL.
+
+    Bits grow with the number of rows, to keep chance meetings few, and tables to keep the recall.
+    """
+    bits = min(48, max(16, math.ceil(math.log2(max(2.0, rows))) + SPARE_BITS))
+    differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    meet = sum(math.comb(bits, n) * differ**n * (1 - differ) ** (bits - n) for n in range(3))
+    return bits, math.ceil(math.log(1 - RECALL) / math.log(1 - meet)), differ
+
+
+def _long_fingerprints(hashes: list[np.ndarray], words: int) -> np.ndarray:
+    """words independent 64-bit fingerprints of each text."""
+    out = []
+    for n in range(words):
+        seed = np.uint64((0x9E3779B97F4A7C15 * (2 * n + 1)) % (1 << 64))
+        mixed = [(x := h * seed) ^ (x >> np.uint64(32)) for h in hashes]
+        mixed = [(x := h * np.uint64(0xD6E8FEB86659FD93)) ^ (x >> np.uint64(29)) for h in mixed]
+        out.append(_majority(mixed))
+    return np.stack(out, axis=1)
+
+
+def _cut(prints: np.ndarray, bits: int, tables: int) -> np.ndarray:
+    """The short fingerprints that the bits of long ones hold, as non-negative numbers."""
+    flat = np.unpackbits(np.ascontiguousarray(prints.astype("<u8")).view(np.uint8).reshape(len(prints), -1), axis=1, bitorder="little")
+    flat = flat[:, : bits * tables].reshape(len(prints), tables, bits).astype(np.int64)
+    return flat @ (np.int64(1) << np.arange(bits, dtype=np.int64))
+
+
+def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, digest, root) of each distinct text: its smallest key, its MD5, and the smallest key of its group.
+
+    Groups are the connected components of pairs whose shingle sets have at least that Jaccard
+    similarity. Every pair that is linked has been verified; pairs of just the least similarity are
+    found with chance RECALL. Null keys count as the largest number, null texts as empty.
+    """
+    checkpoint_dir(docs.sparkSession)
+    ready = docs.select(F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    bits, tables, differ = short_fingerprints(docs.count(), similarity)
+    words = -(-bits * tables // 64)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            long = _long_fingerprints([shingle_hashes(t, width) for t in rows["t"]], words)
+            yield pd.DataFrame({"key": rows["key"], "digest": rows["digest"], "long": list(long.view(np.int64)), "short": list(_cut(long, bits, tables))})
+
+    marked = ready.withColumn("digest", F.md5("t")).mapInPandas(run, "key long, digest string, long array<long>, short array<long>")
+    texts = marked.groupBy("digest").agg(F.min("key").alias("key"), F.first("long").alias("long"), F.first("short").alias("short")).checkpoint()
+    values = texts.select("key", F.posexplode("short").alias("number", "value")).select("key", (F.col("number") * F.lit(1 << bits) + F.col("value")).alias("value"))
+    hubs = values.groupBy("value").agg(F.min("key").alias("hub"))
+    same = values.join(hubs, "value").where("key <> hub").select(F.col("hub").alias("a"), F.col("key").alias("b"))
+    masks = [0] + [1 << n for n in range(bits)]
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    variants = hubs.repartition(n, "value").select("hub", F.col("value"), F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("flip"))
+    met = variants.groupBy(F.col("value").bitwiseXOR(F.col("flip")).alias("variant")).agg(F.collect_list("hub").alias("met"))
+    met = met.where(F.size("met") > 1).select(F.array_sort("met").alias("met"))
+    # neighbours in key order, and all with the first: at most bits + 1 hubs share a variant
+    chain = met.select(F.explode(F.arrays_zip(F.slice("met", 1, F.size("met") - 1).alias("a"), F.slice("met", 2, F.size("met")).alias("b"))).alias("p")).select("p.a", "p.b")
+    star = met.select(F.col("met")[0].alias("a"), F.explode("met").alias("b"))
+    pairs = same.unionByName(chain).unionByName(star).where("a < b").distinct()
+    far = math.ceil(64 * words * min(0.5, differ + 4 * math.sqrt(differ * (1 - differ) / (64 * words))))
+    of = lambda side: texts.select(F.col("key").alias(side), F.col("long").alias(f"long_{side}"))
+    apart = F.aggregate(F.zip_with("long_a", "long_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+    close = pairs.join(of("a"), "a").join(of("b"), "b").where(apart <= far).select("a", "b").checkpoint()
+    wanted = close.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+
+    def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            yield pd.DataFrame({"key": rows["key"], "digest": rows["digest"], "set": [np.unique(shingle_hashes(t, width)).view(np.int64) for t in rows["t"]]})
+
+    chosen = ready.join(wanted, "key", "left_semi").withColumn("digest", F.md5("t"))
+    sets = chosen.mapInPandas(shingles, "key long, digest string, set array<long>").join(texts.select("key", "digest"), ["key", "digest"], "left_semi").dropDuplicates(["key"]).select("key", "set")
+    both = close.join(sets.select(F.col("key").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("key").alias("b"), F.col("set").alias("set_b")), "b")
+    shared = F.size(F.array_intersect("set_a", "set_b"))
+    linked = both.where(shared >= F.lit(similarity) * (F.size("set_a") + F.size("set_b") - shared)).select("a", "b")
+    roots = connected_components(linked)
+    return texts.select("key", "digest").join(roots, F.col("key") == F.col("node"), "left").select("key", "digest", F.coalesce("root", "key").alias("root"))
+
+
+def keep_one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents without near copies: of each group the row of the smallest key stays, once."""
+    groups = near_copies(docs, width, similarity, key, text)
+    stay = groups.where(F.col("key") == F.col("root")).select(F.col("key").alias("_key"), F.col("digest").alias("_digest"))
+    marked = docs.withColumns({"_key": F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)), "_digest": F.md5(F.coalesce(F.col(text), F.lit("")))})
+    return marked.join(stay, ["_key", "_digest"], "left_semi").dropDuplicates(["_key", "_digest"]).select(*docs.columns)

@@ -14,6 +14,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quillbom.llm import windows
 
@@ -87,16 +88,22 @@ def _digests(rows: pd.DataFrame, texts: list[bytes], masks: list[np.ndarray]) ->
 def _texts(rows: pd.DataFrame, texts: list[bytes], masks: list[np.ndarray]) -> pd.DataFrame:
     """Kept texts; a character that loses a byte goes as a whole."""
     kept = [np.frombuffer(t, np.uint8)[~m].tobytes().decode(errors="ignore") for t, m in zip(texts, masks, strict=True)]
-    return pd.DataFrame({"k": rows["k"], "kept_text": kept, "n_removed": [int(m.sum()) for m in masks], "n_bytes": [len(t) for t in texts]})
+    found = pd.DataFrame({"k": rows["k"], "kept_text": kept, "n_removed": [int(m.sum()) for m in masks], "n_bytes": [len(t) for t in texts]})
+    return pd.concat([found, rows[[c for c in rows.columns if c[0] == "c" and c[1:].isdigit()]]], axis=1)
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text: str = "text", digests: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text: str = "text", digests: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """Removes each byte covered by a string of length bytes that starts in a row of smaller key.
 
-    Per row: the key, n_bytes, n_removed, and either kept_text or n_spans and kept_sha256. Null texts
+    Per row: the key, n_bytes, n_removed, and either kept_text and the columns named in carry, or
+    n_spans and kept_sha256. Null texts
     count as empty; rows of one key never take from each other; null keys come after all others.
     """
     spec = windows.Spec(length, min(ANCHOR, length), words=False, earlier=True)
     kind = docs.schema[key].dataType.simpleString()
     schema = f"k {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" if digests else f"k {kind}, kept_text string, n_removed long, n_bytes long"
-    return windows.cover(docs, spec, settle, _digests if digests else _texts, schema, key, text).withColumnRenamed("k", key)
+    if digests:
+        return windows.cover(docs, spec, settle, _digests, schema, key, text).withColumnRenamed("k", key)
+    schema += "".join(f", c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
+    found = windows.cover(docs, spec, settle, _texts, schema, key, text, carry)
+    return found.select(F.col("k").alias(key), "kept_text", "n_removed", "n_bytes", *[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)])

@@ -193,6 +193,7 @@ class _Chunk:
         else:
             self.e_value = np.diff(np.append(starts, len(h)))
         self.second = _split((self.e_hash % np.uint64(self.parts)).astype(np.int64), self.parts)
+        self.open, self.third = np.zeros(0, np.int64), []
         if any(stage == 2 for stage, _ in self.answers):
             self.value = np.zeros(len(starts), np.int64)
             self.flags = np.zeros(len(starts), np.uint8)
@@ -207,18 +208,20 @@ class _Chunk:
         return _rows(_ASK, [(p, self.number, self.e_hash[at].tobytes() + self.e_context[at].tobytes() + self.e_value[at].astype(np.int64).tobytes()) for p, at in self.second])
 
     def third_asks(self) -> pd.DataFrame:
+        a = {n: self.found[n][self.e_first[self.open]] for n in self.found}
+        bodies = (_word_windows if self.spec.words else _snippets)(self.spec, self.texts, a)
+        left, right = a["left"].astype(np.uint8), a["right"].astype(np.uint8)
         out = []
-        for part, at in self.third:
-            a = {n: self.found[n][self.e_first[at]] for n in self.found}
-            body = _word_windows(self.spec, self.texts, a) if self.spec.words else _snippets(self.spec, self.texts, a)
-            out.append((part, self.number, self.value[at].tobytes() + a["left"].astype(np.uint8).tobytes() + a["right"].astype(np.uint8).tobytes() + body))
+        for part, entries in self.third:
+            at = np.searchsorted(self.open, entries)
+            out.append((part, self.number, self.value[entries].tobytes() + left[at].tobytes() + right[at].tobytes() + bodies[at].tobytes()))
         return _rows(_ASK, out)
 
     def covered(self) -> list[np.ndarray]:
         """Per row of the chunk, which of its units stand in a window that is to go."""
         spec, f = self.spec, self.found
         masks = np.zeros(len(self.e_hash), np.uint64)
-        for part, at in self.third if hasattr(self, "third") else []:
+        for part, at in self.third:
             masks[at] = np.frombuffer(self.answers[3, part], np.uint64)
         row, pos, left, right = (f[n][self.use] for n in ("row", "pos", "left", "right"))
         if not hasattr(self, "value"):
@@ -244,26 +247,33 @@ class _Chunk:
         return [inside[b:b + s] for b, s in zip(base[:-1].tolist(), sizes.tolist(), strict=True)]
 
 
-def _snippets(spec: Spec, texts: list[bytes], a: dict) -> bytes:
+def _by_row(rows: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    order = np.argsort(rows, kind="stable")
+    cuts = np.flatnonzero(np.diff(rows[order])) + 1
+    return [(int(rows[at[0]]), at) for at in np.split(order, cuts) if len(at)]
+
+
+def _snippets(spec: Spec, texts: list[bytes], a: dict) -> np.ndarray:
     """The bytes around each anchor, in fields of fixed width."""
-    reach, width = spec.reach, spec.reach + spec.window
-    out = np.zeros((len(a["row"]), width), np.uint8)
-    for i, (row, pos, left, right) in enumerate(zip(a["row"].tolist(), a["pos"].tolist(), a["left"].tolist(), a["right"].tolist(), strict=True)):
-        out[i, reach - left: reach + right] = np.frombuffer(texts[row], np.uint8, left + right, pos - left)
-    return out.tobytes()
+    span = np.arange(-spec.reach, spec.window)
+    out = np.zeros((len(a["row"]), len(span)), np.uint8)
+    for row, at in _by_row(a["row"]):
+        buffer = np.frombuffer(texts[row], np.uint8)
+        inside = (span >= -a["left"][at, None]) & (span < a["right"][at, None])
+        out[at] = np.where(inside, buffer[np.clip(a["pos"][at, None] + span, 0, len(buffer) - 1)], 0)
+    return out
 
 
-def _word_windows(spec: Spec, texts: list[bytes], a: dict) -> bytes:
+def _word_windows(spec: Spec, texts: list[bytes], a: dict) -> np.ndarray:
     """The hash of each window around each anchor, from the one that starts at it to the one that ends with it."""
     out = np.zeros((len(a["row"]), spec.reach + 1), np.uint64)
-    for row in np.unique(a["row"]):
-        at = np.flatnonzero(a["row"] == row)
+    for row, at in _by_row(a["row"]):
         units, _ = spec.units([texts[row]])
         hashed = RangeHash(units)
         for j in range(spec.reach + 1):
             ok = at[(a["left"][at] >= j) & (a["right"][at] >= spec.window - j)]
             out[ok, j] = _mix(hashed(a["pos"][ok] - j, a["pos"][ok] - j + spec.window))
-    return out.tobytes()
+    return out
 
 
 def _answer_first(wide: bool) -> Callable:
@@ -327,18 +337,18 @@ def _answer_third(spec: Spec, settle: Callable) -> Callable:
     return run
 
 
-def cover(docs: DataFrame, spec: Spec, settle: Callable, finish: Callable, schema: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def cover(docs: DataFrame, spec: Spec, settle: Callable, finish: Callable, schema: str, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """finish(rows, texts, masks) for each chunk: the rows, their bytes, and per row which units go.
 
     settle(spec, value, left, right, body) compares contexts window by window: per context a bit
     mask, bit j for the window that starts j units before the anchor. rows has order (the key; null
-    keys come last) and text. The sizes are read first, to fix the numbers of chunks and parts.
+    keys come last) and text, and the carried columns as c0, c1 and so on. The sizes are read first, to fix the numbers of chunks and parts.
     """
     size = docs.select(F.sum(F.coalesce(F.octet_length(text), F.lit(0)).cast("long")).alias("n")).first()["n"] or 0
     chunks, parts = max(1, -(-size // CHUNK_BYTES)), max(1, -(-size // PART_BYTES))
     wide = size > 1 << 33
     digest = F.xxhash64(key, text)
-    dealt = docs.select(F.pmod(digest, F.lit(chunks)).cast("int").alias("chunk"), F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)).alias("order"), F.col(key).alias("k"), digest.alias("digest"), F.col(text).alias("text"))
+    dealt = docs.select(F.pmod(digest, F.lit(chunks)).cast("int").alias("chunk"), F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)).alias("order"), F.col(key).alias("k"), digest.alias("digest"), F.col(text).alias("text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)])
 
     def asking(ask: str) -> Callable:
         return lambda rows, answers: getattr(_Chunk(spec, parts, wide, rows, answers), ask)() if len(rows) else _rows(_ASK, [])
