@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-FLAGSHIP = ""
+from quillbom.plans import packages
+from quillbom.plans.registered import ORACLES, QUERIES
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "packages"]
+FLAGSHIP = "risk_bucket_summary"
