@@ -21,6 +21,11 @@ def any_of(text: Column, parts: list[str]) -> Column:
     return out
 
 
+def as_text(content: Column) -> Column:
+    """Bytes as UTF-8 text; bytes that are none become replacement characters."""
+    return F.make_valid_utf8(content.cast("string"))
+
+
 # Paths and packages
 
 

@@ -42,7 +42,7 @@ def text_lines(files: DataFrame, text: Column, path: str = "path") -> DataFrame:
 
 def pem_blocks(files: DataFrame) -> DataFrame:
     """Key and certificate blocks, every header of every file; the fingerprint is that of the block's text."""
-    text = F.decode("content", "utf-8")
+    text = C.as_text(F.col("content"))
     everything = "|".join(rules.PEM_HEADERS.values())
     starts = files.where(F.contains(text, F.lit("-----BEGIN "))).select("path", text.alias("text")).select("path", "text", F.split("text", f"(?={everything})").alias("parts"))
     parts = starts.select("path", "text", F.posexplode("parts").alias("k", "part"), F.col("parts"))
@@ -76,7 +76,7 @@ def byte_constants(files: DataFrame) -> DataFrame:
 
 def comment_free(files: DataFrame) -> DataFrame:
     """(path, line, content, code): code is the line outside block comments; the state is folded over each file's lines."""
-    lines = F.split(F.decode("content", "utf-8"), "\n")
+    lines = F.split(C.as_text(F.col("content")), "\n")
     step = lambda acc, line: F.struct(
         F.when(acc["inside"], ~F.contains(line, F.lit("*/"))).otherwise(F.contains(line, F.lit("/*")) & ~F.contains(F.substring_index(line, "/*", -1), F.lit("*/"))).alias("inside"),
         F.array_append(acc["code"], F.when(acc["inside"], F.when(F.contains(line, F.lit("*/")), F.substring_index(line, "*/", -1)).otherwise("")).otherwise(F.regexp_replace(line, r"/\*.*?(\*/|\z)", " "))).alias("code"),
@@ -130,7 +130,7 @@ def line_matches(lines: DataFrame, content: str = "content") -> DataFrame:
 
 
 def fallback(files: DataFrame) -> DataFrame:
-    hits = line_matches(text_lines(files, F.decode("content", "utf-8"))).withColumn("filePath", F.col("path"))
+    hits = line_matches(text_lines(files, C.as_text(F.col("content")))).withColumn("filePath", F.col("path"))
     cose = cose_column(F.try_cast(F.col("hit.parameter"), "int") if hasattr(F, "try_cast") else F.col("hit.parameter").try_cast("int"))
     known = C.algorithm_identifier(F.col("hit.parameter"))
     is_cose = F.col("hit.family") == "COSE"

@@ -50,7 +50,7 @@ def constant_files(tree: DataFrame) -> DataFrame:
 
 def lockfile(tree: DataFrame) -> DataFrame:
     """The root lockfile's text; its absence is an error when the result is read."""
-    return tree.where(F.col("path") == "package-lock.json").agg(F.first(F.decode("content", "utf-8")).alias("text")).select(
+    return tree.where(F.col("path") == "package-lock.json").agg(F.first(C.as_text(F.col("content"))).alias("text")).select(
         F.when(F.col("text").isNull(), F.raise_error(F.lit("No package-lock.json found"))).otherwise(F.col("text")).alias("text")
     )
 
