@@ -208,3 +208,29 @@ def test_bom_packages(spark):
     rows = {r["name"]: r for r in repository.bom_packages(frame, spark.createDataFrame([("b",)], "name string")).collect()}
     assert rows["a"]["osvCves"] == ["CVE-1"] and rows["a"]["isDirect"] and rows["a"]["ecosystem"] == "npm"
     assert rows["b"]["osvCves"] == [] and rows["b"]["isDirect"] and rows["b"]["ecosystem"] == "unknown"
+
+
+def test_calls(spark, tmp_path):
+    from quillbom.operators import calls
+
+    code = """import bcrypt from 'bcryptjs';
+const { createHash: mk, randomBytes } = require('crypto');
+const c = require('crypto'), CryptoJS = require('crypto-js'), jwt = require('jsonwebtoken');
+bcrypt.genSalt(10); bcrypt.hash(p, s); bcrypt.compare(a, b);
+c.createCipheriv('aes-256-gcm', k, iv);
+crypto.pbkdf2Sync(p, s, 1000, 32, 'sha512');
+jwt.sign(x, 'short', { algorithm: 'RS256' }); jwt.verify(x, key);
+CryptoJS.TripleDES.encrypt(m, k); CryptoJS.HmacSHA256(m, k); CryptoJS.MD5(m);
+window.crypto.subtle.digest({ name: 'SHA-256' }, d);
+const alg = -7; // crypto.createHash('md5')
+x.verify('RSA-SHA256'); "crypto.createHash('md5')";
+"""
+    files = tree(tmp_path, spark, {"src/a.js": code})
+    got = {(r["line"], r["algorithmFamily"], r["primitive"], r["mode"], r["parameterSet"], r["materialType"]) for r in calls.findings(files).collect()}
+    assert got == {
+        (4, "bcrypt", None, None, "10 rounds", "salt"), (4, "bcrypt", "kdf", None, None, None), (4, "bcrypt", None, None, None, None),
+        (5, "AES", "block-cipher", "GCM", "256", None), (6, "PBKDF2", "kdf", None, "1000 iters, 32 bytes, sha512", None),
+        (7, "RSA", "signature", "SHA-256", "weak-secret", None), (7, "HMAC", "signature", "SHA-256", "HS256", None),
+        (8, "3DES", "block-cipher", None, None, None), (8, "HMAC", "mac", "SHA256", None, None), (8, "MD5", "hash", None, None, None),
+        (9, "SHA-256", "hash", None, None, None), (10, "ECDSA", "signature", None, "P-256 / ES256", None),
+    }
