@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillbom.llm.shared import checkpoint_dir, connected_components
+from quillbom.llm.shared import checkpoint_dir, connected_components, slices
 
 #: Shingle hashes that are counted at a time.
 BLOCK = 1 << 17
@@ -55,7 +55,7 @@ def fingerprints(docs: DataFrame, width: int = 3, key: str = "doc_id", text: str
     """(key, fp): the 64-bit fingerprint of each row as a signed long; texts without words have 0."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
+        for rows in slices(batches):
             prints = _majority([shingle_hashes(t, width) for t in rows["t"]]) if len(rows) else np.zeros(0, np.uint64)
             yield rows[["k"]].assign(fp=prints.astype(np.uint64).view(np.int64))
 
@@ -74,7 +74,9 @@ def links(prints: DataFrame, radius: int = 2) -> DataFrame:
     """Star links (a, b) between distinct fingerprints fp, with the components of all pairs within an even radius."""
     if radius % 2:
         raise ValueError("the radius must be even")
-    variants = prints.select("fp", F.explode(F.array(*[F.lit(m) for m in ball(radius // 2)])).alias("flip"))
+    n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # an explicit number, as rows this small would be coalesced to few tasks before they multiply
+    variants = prints.repartition(n, "fp").select("fp", F.explode(F.array(*[F.lit(m) for m in ball(radius // 2)])).alias("flip"))
     met = variants.groupBy(F.col("fp").bitwiseXOR(F.col("flip")).alias("variant")).agg(F.collect_list("fp").alias("met"))
     met = met.where(F.size("met") > 1).select(F.array_min("met").alias("a"), F.explode("met").alias("b"))
     return met.where("a <> b").distinct()
@@ -144,7 +146,7 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, key: s
     words = -(-bits * tables // 64)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
+        for rows in slices(batches):
             long = _long_fingerprints([shingle_hashes(t, width) for t in rows["t"]], words)
             yield pd.DataFrame({"key": rows["key"], "digest": rows["digest"], "long": list(long.view(np.int64)), "short": list(_cut(long, bits, tables))})
 
@@ -169,7 +171,7 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, key: s
     wanted = close.select(F.explode(F.array("a", "b")).alias("key")).distinct()
 
     def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
+        for rows in slices(batches):
             yield pd.DataFrame({"key": rows["key"], "digest": rows["digest"], "set": [np.unique(shingle_hashes(t, width)).view(np.int64) for t in rows["t"]]})
 
     chosen = ready.join(wanted, "key", "left_semi").withColumn("digest", F.md5("t"))
