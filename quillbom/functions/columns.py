@@ -304,3 +304,8 @@ def normalised_severity(text: Column) -> Column:
     """Severity before the dash of an anomaly property; unknown ones are low."""
     head = F.trim(F.substring_index(text, "—", 1))
     return F.when(head.isin(rules.SEVERITIES), head).otherwise("low")
+
+
+def is_repository(url: Column) -> Column:
+    """Addresses of repositories on the hosting site that scans accept."""
+    return url.rlike(r"^https?://(www\.)?github\.com/[\w.-]+/[\w.-]+?(\.git)?/?\z")

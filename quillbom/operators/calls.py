@@ -89,9 +89,15 @@ def code_facts(files: DataFrame) -> DataFrame:
     """The rows of facts() for each file (path, content)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns, found = ["path", "kind", "pos", "line", "a", "b", "args"], []
         for rows in batches:
             for path, text in zip(rows["path"], rows["text"], strict=True):
-                yield pd.DataFrame([(path, *f) for f in facts(text or "")], columns=["path", "kind", "pos", "line", "a", "b", "args"])
+                found += [(path, *f) for f in facts(text or "")]
+                if len(found) > 10_000:
+                    yield pd.DataFrame(found, columns=columns)
+                    found = []
+        if found:
+            yield pd.DataFrame(found, columns=columns)
 
     return files.select("path", C.as_text(F.col("content")).alias("text")).mapInPandas(run, "path string, kind string, pos long, line long, a string, b string, args array<string>")
 
@@ -188,3 +194,37 @@ def call_findings(calls: DataFrame) -> DataFrame:
         hits, "ast", "direct", assetType=F.when(stored, "related-crypto-material").otherwise("algorithm"), name=name, algorithmFamily=F.col("hit.family"), primitive=F.col("hit.primitive"),
         parameterSet=F.nullif(F.col("hit.parameter"), F.lit("")), mode=F.col("hit.mode"), materialType=F.col("hit.material"), rawConfidence=F.col("hit.confidence"), detail=F.concat_ws(".", F.nullif("receiver", F.lit("")), "method"),
     )
+
+
+# What commented-out code is taken for: pattern, family, primitive, parameter, material; of the
+# patterns of one topic the first that fits decides.
+COMMENT_RULES = [
+    ("bcrypt", r"bcrypt\w*\.genSalt(?:Sync)?\(", "bcrypt", None, None, "salt"),
+    ("bcrypt", r"bcrypt\w*\.compare(?:Sync)?\(", "bcrypt", None, None, None),
+    ("bcrypt", r"bcrypt\w*\.hash(?:Sync)?\(", "bcrypt", "kdf", None, None),
+    ("pbkdf2", r"pbkdf2(?:Sync)?\(", "PBKDF2", "kdf", "sha512", None),
+    ("cipher", r"createCipher(?:iv)?\(", "AES", "block-cipher", None, None),
+    ("decipher", r"createDecipher(?:iv)?\(", "AES", "block-cipher", None, None),
+    ("random", r"randomBytes(?:Sync)?\(", "CSPRNG", "drbg", "128 bits", None),
+    ("jwt", r"(?:jwt|jsonwebtoken)\.(?:sign|verify)\(", "HMAC", "signature", "HS256", None),
+]
+
+
+def comment_hits(rows: DataFrame, text: str) -> DataFrame:
+    """rows with the comment rules that fire on a text, one for each topic at most."""
+    topics: dict[str, Column] = {}
+    for i, (topic, pattern, family, primitive, parameter, material) in reversed(list(enumerate(COMMENT_RULES))):
+        s = lambda v: F.lit(v).cast("string")
+        hit = F.struct(F.lit(i).alias("rule"), s(family).alias("family"), s(primitive).alias("primitive"), s(parameter).alias("parameter"), s(material).alias("material"))
+        topics[topic] = F.when(F.col(text).rlike(pattern), hit).otherwise(topics[topic]) if topic in topics else F.when(F.col(text).rlike(pattern), hit)
+    return rows.withColumn("hit", F.explode(F.array_compact(F.array(*topics.values()))))
+
+
+def comment_findings(rows: DataFrame) -> DataFrame:
+    """Findings in comments, less sure than live code and marked as such."""
+    hits = comment_hits(rows.where("kind = 'comment'"), "a").withColumn("filePath", F.col("path"))
+    stored = F.col("hit.material").isNotNull()
+    return scan.finding(
+        hits, "ast", "direct", assetType=F.when(stored, "related-crypto-material").otherwise("algorithm"), name=F.col("hit.family"), algorithmFamily=F.col("hit.family"), primitive=F.col("hit.primitive"),
+        parameterSet=F.col("hit.parameter"), materialType=F.col("hit.material"), rawConfidence=0.65, sourceContext="comment", detail=F.substring(F.trim("a"), 1, 60),
+    )

@@ -427,3 +427,64 @@ def fixed_span(spark, sf_dir):
     lines = scan.text_lines(table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "path"), F.col("text"))
     at = lines.where(F.contains("content", F.lit("icense"))).groupBy("path").agg(F.min("line").alias("line"))
     return relate.fixed_span(lines, at, back=2, ahead=2).select(F.col("path").alias("doc_id"), F.col("line").cast("long").alias("line"), "text")
+
+
+@query(r"""WITH s AS (SELECT page_id, regexp_extract(html, '<script>(.*?)</script>', 1) AS code FROM pages)
+SELECT 'track' AS method, count(*) AS n, count(DISTINCT page_id) AS pages FROM (SELECT page_id, unnest(regexp_extract_all(code, 'track\(')) FROM s)""")
+def code_calls(spark, sf_dir):
+    """Calls in the scripts of pages, by the lexer."""
+    from quillbom.operators import calls
+
+    files = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), F.regexp_extract("html", "<script>(.*?)</script>", 1).cast("binary").alias("content"))
+    rows = calls.code_facts(files).where("kind = 'call'")
+    return rows.groupBy(F.col("b").alias("method")).agg(F.count("*").alias("n"), F.count_distinct("path").alias("pages"))
+
+
+_CODE_CALLS = ["crypto.createHash('sha256')", "bcrypt.hash(p, 10)", "c.createCipheriv('aes-128-gcm', k)", "jwt.sign(a, b)", "total(x)", "CryptoJS.MD5(m)", "crypto.subtle.digest('SHA-512', d)", "crypto.randomBytes(16)"]
+_CALL_FAMILY = ["SHA-256", "bcrypt", "AES", "HMAC", None, "MD5", "SHA", "CSPRNG"]
+_CALL_PARAMETER = [None, None, "128", "HS256", None, None, None, "128 bits"]
+
+
+@query(f"SELECT p_partkey, {_list(_CALL_FAMILY)}[p_partkey % 8 + 1] AS family, {_list(_CALL_PARAMETER)}[p_partkey % 8 + 1] AS parameter FROM part WHERE p_partkey % 8 <> 4")
+def call_rules(spark, sf_dir):
+    """Calls resolved to modules and turned into findings."""
+    from quillbom.operators import calls
+
+    code = F.concat(F.lit("const c = require('crypto');\n"), _nth(_CODE_CALLS, F.col("p_partkey")))
+    files = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("path"), code.cast("binary").alias("content"))
+    return calls.findings(files).select(F.col("filePath").cast("long").alias("p_partkey"), F.col("algorithmFamily").alias("family"), F.col("parameterSet").alias("parameter"))
+
+
+_COMMENTS = ["old: bcrypt.genSalt(10) then bcrypt.hash(p)", "bcrypt.compare(a, b)", "x = pbkdf2Sync(p)", "nothing", "jwt.verify(t); randomBytes(16)"]
+
+
+@query(f"SELECT p_partkey, unnest(string_split({_list(['0', '1', '3', None, '7,6'])}[p_partkey % 5 + 1], ','))::INTEGER AS rule FROM part")
+def comment_rules(spark, sf_dir):
+    """Commented-out calls."""
+    from quillbom.operators import calls
+
+    rows = table(spark, sf_dir, "part").select("p_partkey", _nth(_COMMENTS, F.col("p_partkey")).alias("text"))
+    return calls.comment_hits(rows, "text").select("p_partkey", F.col("hit.rule").alias("rule"))
+
+
+@query("SELECT n_nationkey, n_nationkey % 3 = 0 AS is_repository FROM nation")
+def repository_urls(spark, sf_dir):
+    """Which addresses are repositories."""
+    url = _nth(["https://github.com/a/b", "https://example.com/a", "github.com"], F.col("n_nationkey"))
+    return table(spark, sf_dir, "nation").select("n_nationkey", C.is_repository(url).alias("is_repository"))
+
+
+@query("""SELECT k, count(*) AS n, min(v) AS first FROM (SELECT 'dep' || (s_suppkey % 40) AS k, s_suppkey AS v FROM supplier UNION SELECT 'dep' || (p_partkey % 60), p_partkey FROM part) GROUP BY k""")
+def name_union(spark, sf_dir):
+    """Names of two declarations together, each once."""
+    named = lambda t, c, n: table(spark, sf_dir, t).select(F.concat(F.lit("dep"), (F.col(c) % n).cast("string")).alias("k"), F.col(c).alias("v"))
+    both = named("supplier", "s_suppkey", 40).union(named("part", "p_partkey", 60)).distinct()
+    return both.groupBy("k").agg(F.count("*").alias("n"), F.min("v").alias("first"))
+
+
+@query(_ASSETS_SQL + "SELECT count(*) AS documents, (SELECT count(*) FROM a)::BIGINT AS components FROM (VALUES (1))")
+def export_document(spark, sf_dir):
+    """The exported document, read back."""
+    parts = _assets(spark, sf_dir).select(F.lit("cryptographic-asset").alias("type"), "name").unionByName(table(spark, sf_dir, "supplier").select(F.lit("library").alias("type"), F.col("s_name").alias("name")))
+    one = views.export_document(parts, drop_crypto=False).select(F.size(F.from_json("document", "components array<struct<name string>>")["components"]).alias("n"))
+    return one.agg(F.count("*").alias("documents"), F.sum("n").alias("components"))
