@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,10 +92,31 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm == 0, 0.0).otherwise(dot(a, b) / norm)
 
 
-def nearest(queries: DataFrame, corpus: DataFrame, k: int = 3, least: float = 0.75) -> DataFrame:
-    """queries (id, v) with their k most similar corpus entries (entry, w) of at least that cosine; ties to the smaller entry."""
-    scored = queries.crossJoin(corpus).withColumn("score", cosine(F.col("v"), F.col("w"))).where(F.col("score") >= least)
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "entry")))
+def nearest(queries: DataFrame, corpus: DataFrame, k: int = 3, least: float = 0.75, block_rows: int = 2048) -> DataFrame:
+    """queries (id, v) with their k most similar corpus entries (entry, w) of at least that cosine; ties to the smaller entry.
+
+    Both sides are dealt to blocks of bounded size, and each pair of blocks is one task's matrix product.
+    """
+    blocks = [max(1, -(-df.count() // block_rows)) for df in (queries, corpus)]
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select("id", "v", deal("id", blocks[0]).alias("i"), every(blocks[1]).alias("j"))
+    right = corpus.select("entry", "w", deal("entry", blocks[1]).alias("j"), every(blocks[0]).alias("i"))
+
+    def run(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple] = []
+        if len(asked) and len(held):
+            q, c = np.array(asked["v"].tolist(), np.float64), np.array(held["w"].tolist(), np.float64)
+            size = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(c, axis=1)
+            scores = np.divide(q @ c.T, size, out=np.zeros_like(size), where=size > 0)
+            entries = held["entry"].to_numpy()
+            for n, row in zip(asked["id"], scores, strict=True):
+                near = np.flatnonzero(row >= least)
+                out += [(n, entries[x], row[x]) for x in near[np.lexsort((entries[near], -row[near]))][:k]]
+        return pd.DataFrame(out, columns=["id", "entry", "score"]).astype({"id": "int64", "entry": "int64", "score": "float64"})
+
+    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(run, "id long, entry long, score double")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "entry")))
     return ranked.where(F.col("rank") <= k).select("id", "rank", "entry", "score")
 
 

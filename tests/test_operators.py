@@ -234,3 +234,10 @@ x.verify('RSA-SHA256'); "crypto.createHash('md5')";
         (8, "3DES", "block-cipher", None, None, None), (8, "HMAC", "mac", "SHA256", None, None), (8, "MD5", "hash", None, None, None),
         (9, "SHA-256", "hash", None, None, None), (10, "ECDSA", "signature", None, "P-256 / ES256", None),
     }
+
+
+def test_nearest_with_zero_vectors(spark):
+    queries = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0])], "id long, v array<float>")
+    corpus = spark.createDataFrame([(n, [1.0, n / 10]) for n in range(5)], "entry long, w array<float>")
+    rows = relate.nearest(queries, corpus, k=2, least=0.9, block_rows=2).collect()
+    assert sorted((r["id"], r["rank"], r["entry"]) for r in rows) == [(1, 1, 0), (1, 2, 1)]
