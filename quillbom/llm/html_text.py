@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillbom.llm.shared import small_batches
+
 # Elements by how they take part.
 RAW = "script style noscript template textarea iframe object svg math title select".split()
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -185,5 +187,5 @@ def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page
 
     kept = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
     fields = ", ".join(f"k{i} {pages.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
-    out = pages.select(*kept, F.col(html).alias("raw_page")).mapInPandas(run, f"{fields}, text string, n_chars long")
+    out = small_batches(pages).select(*kept, F.col(html).alias("raw_page")).mapInPandas(run, f"{fields}, text string, n_chars long")
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "text", "n_chars")

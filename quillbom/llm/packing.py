@@ -16,13 +16,18 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from quillbom.llm.shared import small_batches
+
 #: Pre-tokens whose ids a worker keeps.
 CACHE_WORDS = 3 << 19
+#: Rows whose texts a task holds at a time, beside the batch they came in.
+SLICE_ROWS = 256
 #: Pieces in a bucket, on average.
 BUCKET_PIECES = 1 << 14
 #: Bins open at a time in a bucket.
@@ -41,9 +46,11 @@ class WordTokenizer:
     Strings of special tokens in a text are ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         import public_tokenizers
 
+        self.cache_words = cache_words
+
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.split_any = regex.compile(public_tokenizers.PATTERN).findall
@@ -74,22 +81,23 @@ class WordTokenizer:
     def ids(self, text: str | None) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit numbers; null texts have none."""
         words = self.split(text) if text else []
-        try:
-            return b"".join(map(self.cache.__getitem__, words))
-        except KeyError:
-            known = self.encode_words(list({w for w in words if w not in self.cache}))
-        if len(self.cache) + len(known) > CACHE_WORDS:
-            return b"".join(known[w] if w in known else self.cache[w] for w in words)
-        self.cache |= known
-        return b"".join(map(self.cache.__getitem__, words))
+        parts = list(map(self.cache.get, words))
+        if None in parts:
+            holes = [i for i, p in enumerate(parts) if p is None]
+            known = self.encode_words(list({words[i] for i in holes}))
+            for i in holes:
+                parts[i] = known[words[i]]
+            if len(self.cache) + len(known) <= self.cache_words:
+                self.cache |= known
+        return b"".join(parts)
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
 
 
-def tokenizer(path: str) -> WordTokenizer:
+def tokenizer(path: str, cache_words: int = CACHE_WORDS) -> WordTokenizer:
     if path not in _tokenizers:
-        _tokenizers[path] = WordTokenizer(path)
+        _tokenizers[path] = WordTokenizer(path, cache_words)
     return _tokenizers[path]
 
 
@@ -101,21 +109,27 @@ def piece_bounds(length: int, capacity: int) -> Iterator[tuple[int, int]]:
         yield start, capacity
 
 
-def cut_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, key: str, text: str) -> DataFrame:
+def cut_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, key: str, text: str, cache_words: int = CACHE_WORDS) -> DataFrame:
     """One row per piece: key, doc_hash, piece, start, length and the CRC-32 of its ids."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, end = tokenizer(path), np.array([end_id], "<u4").tobytes()
-        for rows in batches:
-            out = []
-            for k, h, t in zip(rows["k"], rows["doc_hash"], rows["t"], strict=True):
-                data = words.ids(t) + end
-                for piece, (start, length) in enumerate(piece_bounds(len(data) // 4, capacity)):
-                    out.append((k, h, piece, start, length, zlib.crc32(data[4 * start:4 * (start + length)])))
-            yield pd.DataFrame(out, columns=["k", "doc_hash", "piece", "start", "length", "ids_crc32"]).astype({"k": rows["k"].dtype})
-
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("k"), F.xxhash64(F.col(key), F.col(text)).alias("doc_hash"), F.col(text).alias("t")).mapInPandas(
+    names = ["k", "doc_hash", "piece", "start", "length", "ids_crc32"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, end = tokenizer(path, cache_words), np.array([end_id], "<u4").tobytes()
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):  # texts become Python objects a slice at a time
+                part = batch.slice(at, SLICE_ROWS)
+                out: list[list] = [[] for _ in names]
+                for k, h, t in zip(*(part.column(c).to_pylist() for c in ("k", "doc_hash", "t")), strict=True):
+                    data = words.ids(t) + end
+                    for piece, (start, length) in enumerate(piece_bounds(len(data) // 4, capacity)):
+                        for column, value in zip(out, (k, h, piece, start, length, zlib.crc32(data[4 * start:4 * (start + length)])), strict=True):
+                            column.append(value)
+                types = [part.schema.field("k").type, pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types, strict=True)], names=names)
+
+    return small_batches(docs).select(F.col(key).alias("k"), F.xxhash64(F.col(key), F.col(text)).alias("doc_hash"), F.col(text).alias("t")).mapInArrow(
         run, f"k {kind}, doc_hash long, piece int, start long, length long, ids_crc32 long"
     )
 
@@ -170,13 +184,14 @@ def pack(pieces: DataFrame, total: int, capacity: int, bucket_pieces: int = BUCK
     return dealt.groupBy("bucket").applyInPandas(run, f"{fields}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, key: str = "doc_id", text: str = "text", cache_words: int = CACHE_WORDS) -> DataFrame:
     """Packs all documents; null texts count as empty, so each row has at least its end token.
 
     Per piece: key, piece, start, length, ids_crc32, sequence_id, offset. Repeated rows are packed
     each time they occur. The number of buckets comes from an estimate of the pieces, a token for
-    each three bytes; results do not depend on how good it is.
+    each three bytes; results do not depend on how good it is. cache_words trades memory of the
+    workers for time.
     """
     estimate = docs.select(F.sum(F.ceil((F.coalesce(F.octet_length(text), F.lit(0)) / 3 + 1) / capacity)).alias("n")).first()["n"] or 0
-    pieces = cut_pieces(docs, path, capacity, end_id, key, text)
+    pieces = cut_pieces(docs, path, capacity, end_id, key, text, cache_words)
     return pack(pieces, int(estimate), capacity).drop("doc_hash").withColumnRenamed("k", key)

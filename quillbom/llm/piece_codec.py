@@ -28,6 +28,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillbom.llm.shared import small_batches
+
 MARK = "▁"
 #: Units whose encodings a worker keeps; further units are encoded each time they occur.
 CACHE_UNITS = 1 << 20
@@ -270,7 +272,7 @@ def round_trip_digests(docs: DataFrame, model_file: str, key: str = "doc_id", te
 
     kind = docs.schema[key].dataType.simpleString()
     return (
-        docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
+        small_batches(docs).select(F.col(key).alias("k"), F.col(text).alias("t"))
         .mapInPandas(run, f"k {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
         .withColumnRenamed("k", key)
     )

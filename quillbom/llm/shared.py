@@ -21,6 +21,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Rows that go to Python at a time, at most. Texts are long: Spark's usual 10,000 of them make batches
+#: of many megabytes, which the executor and the worker hold more than once.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, in a session that sends at most BATCH_ROWS rows to Python at a time; a smaller setting stays."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def slices(batches: Iterator[pd.DataFrame], rows: int = 256) -> Iterator[pd.DataFrame]:
     """The batches in slices of so many rows, for work whose memory grows with the rows at hand."""
     for batch in batches:

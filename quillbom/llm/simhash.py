@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillbom.llm.shared import checkpoint_dir, connected_components, slices
+from quillbom.llm.shared import checkpoint_dir, connected_components, slices, small_batches
 
 #: Shingle hashes that are counted at a time.
 BLOCK = 1 << 17
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, width: int = 3, key: str = "doc_id", text: str
             yield rows[["k"]].assign(fp=prints.astype(np.uint64).view(np.int64))
 
     kind = docs.schema[key].dataType.simpleString()
-    found = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"k {kind}, fp long")
+    found = small_batches(docs).select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"k {kind}, fp long")
     return found.withColumnRenamed("k", key)
 
 
@@ -141,7 +141,7 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, key: s
     found with chance RECALL. Null keys count as the largest number, null texts as empty.
     """
     checkpoint_dir(docs.sparkSession)
-    ready = docs.select(F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    ready = small_batches(docs).select(F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     bits, tables, differ = short_fingerprints(docs.count(), similarity)
     words = -(-bits * tables // 64)
 
