@@ -147,7 +147,7 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, key: s
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in slices(batches):
-            long = _long_fingerprints([shingle_hashes(t, width) for t in rows["t"]], words)
+            long = _long_fingerprints([np.unique(shingle_hashes(t, width)) for t in rows["t"]], words)  # sets, as the similarity is one of sets
             yield pd.DataFrame({"key": rows["key"], "digest": rows["digest"], "long": list(long.view(np.int64)), "short": list(_cut(long, bits, tables))})
 
     marked = ready.withColumn("digest", F.md5("t")).mapInPandas(run, "key long, digest string, long array<long>, short array<long>")

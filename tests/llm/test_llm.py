@@ -156,6 +156,17 @@ def test_near_copies(spark):
     assert sorted(i for i in ids if i is not None) == list(range(0, 400, 10)) and ids.count(None) == 1
 
 
+def test_near_copies_with_a_repeated_line(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    rows = []
+    for n in range(0, 40, 2):
+        text, line = " ".join(word() for _ in range(300)), " ".join(word() for _ in range(10))
+        rows += [(n, text), (n + 1, text + f"\n{line}" * 20)]
+    kept = simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(0, 40, 2))
+
+
 # 4
 
 
