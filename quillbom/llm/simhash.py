@@ -134,11 +134,12 @@ def _cut(prints: np.ndarray, bits: int, tables: int) -> np.ndarray:
 
 
 def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, digest, root) of each distinct text: its smallest key, its MD5, and the smallest key of its group.
+    """(key, digest, root, root_digest) of each distinct text: its smallest key, its MD5, and both of the first of its group.
 
     Groups are the connected components of pairs whose shingle sets have at least that Jaccard
     similarity. Every pair that is linked has been verified; pairs of just the least similarity are
-    found with chance RECALL. Null keys count as the largest number, null texts as empty.
+    found with chance RECALL. Null keys count as the largest number, null texts as empty; texts that
+    share a key are as different as others.
     """
     checkpoint_dir(docs.sparkSession)
     ready = small_batches(docs).select(F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("t"))
@@ -151,41 +152,47 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, key: s
             yield pd.DataFrame({"key": rows["key"], "digest": rows["digest"], "long": list(long.view(np.int64)), "short": list(_cut(long, bits, tables))})
 
     marked = ready.withColumn("digest", F.md5("t")).mapInPandas(run, "key long, digest string, long array<long>, short array<long>")
-    texts = marked.groupBy("digest").agg(F.min("key").alias("key"), F.first("long").alias("long"), F.first("short").alias("short")).checkpoint()
-    values = texts.select("key", F.posexplode("short").alias("number", "value")).select("key", (F.col("number") * F.lit(1 << bits) + F.col("value")).alias("value"))
-    hubs = values.groupBy("value").agg(F.min("key").alias("hub"))
-    same = values.join(hubs, "value").where("key <> hub").select(F.col("hub").alias("a"), F.col("key").alias("b"))
+    texts = marked.groupBy("digest").agg(F.min("key").alias("key"), F.first("long").alias("long"), F.first("short").alias("short"))
+    texts = texts.withColumn("node", F.monotonically_increasing_id()).checkpoint()  # fixed by the checkpoint
+    values = texts.select("node", F.posexplode("short").alias("number", "value")).select("node", (F.col("number") * F.lit(1 << bits) + F.col("value")).alias("value"))
+    hubs = values.groupBy("value").agg(F.min("node").alias("hub"))
+    same = values.join(hubs, "value").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
     masks = [0] + [1 << n for n in range(bits)]
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     variants = hubs.repartition(n, "value").select("hub", F.col("value"), F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("flip"))
     met = variants.groupBy(F.col("value").bitwiseXOR(F.col("flip")).alias("variant")).agg(F.collect_list("hub").alias("met"))
     met = met.where(F.size("met") > 1).select(F.array_sort("met").alias("met"))
-    # neighbours in key order, and all with the first: at most bits + 1 hubs share a variant
+    # neighbours in node order, and all with the first: at most bits + 1 hubs share a variant
     chain = met.select(F.explode(F.arrays_zip(F.slice("met", 1, F.size("met") - 1).alias("a"), F.slice("met", 2, F.size("met")).alias("b"))).alias("p")).select("p.a", "p.b")
     star = met.select(F.col("met")[0].alias("a"), F.explode("met").alias("b"))
     pairs = same.unionByName(chain).unionByName(star).where("a < b").distinct()
     far = math.ceil(64 * words * min(0.5, differ + 4 * math.sqrt(differ * (1 - differ) / (64 * words))))
-    of = lambda side: texts.select(F.col("key").alias(side), F.col("long").alias(f"long_{side}"))
+    of = lambda side: texts.select(F.col("node").alias(side), F.col("long").alias(f"long_{side}"))
     apart = F.aggregate(F.zip_with("long_a", "long_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
     close = pairs.join(of("a"), "a").join(of("b"), "b").where(apart <= far).select("a", "b").checkpoint()
-    wanted = close.select(F.explode(F.array("a", "b")).alias("key")).distinct()
 
     def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in slices(batches):
-            yield pd.DataFrame({"key": rows["key"], "digest": rows["digest"], "set": [np.unique(shingle_hashes(t, width)).view(np.int64) for t in rows["t"]]})
+            yield pd.DataFrame({"node": rows["node"], "set": [np.unique(shingle_hashes(t, width)).view(np.int64) for t in rows["t"]]})
 
-    chosen = ready.join(wanted, "key", "left_semi").withColumn("digest", F.md5("t"))
-    sets = chosen.mapInPandas(shingles, "key long, digest string, set array<long>").join(texts.select("key", "digest"), ["key", "digest"], "left_semi").dropDuplicates(["key"]).select("key", "set")
-    both = close.join(sets.select(F.col("key").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("key").alias("b"), F.col("set").alias("set_b")), "b")
-    shared = F.size(F.array_intersect("set_a", "set_b"))
-    linked = both.where(shared >= F.lit(similarity) * (F.size("set_a") + F.size("set_b") - shared)).select("a", "b")
-    roots = connected_components(linked)
-    return texts.select("key", "digest").join(roots, F.col("key") == F.col("node"), "left").select("key", "digest", F.coalesce("root", "key").alias("root"))
+    def verified(close: DataFrame) -> DataFrame:
+        """The pairs whose shingle sets are as similar as asked."""
+        wanted = close.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(texts, "node").select("node", "key", "digest")
+        chosen = ready.withColumn("digest", F.md5("t")).join(wanted, ["key", "digest"]).dropDuplicates(["node"]).select("node", "t")
+        sets = chosen.mapInPandas(shingles, "node long, set array<long>")
+        both = close.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
+        shared = F.size(F.array_intersect("set_a", "set_b"))
+        return both.where(shared >= F.lit(similarity) * (F.size("set_a") + F.size("set_b") - shared)).select("a", "b")
+
+    roots = connected_components(verified(close))
+    grouped = texts.select("key", "digest", "node").join(roots, "node", "left").select("key", "digest", F.coalesce("root", "node").alias("group"))
+    first = grouped.groupBy("group").agg(F.min(F.struct("key", "digest")).alias("first"))
+    return grouped.join(first, "group").select("key", "digest", F.col("first.key").alias("root"), F.col("first.digest").alias("root_digest"))
 
 
 def keep_one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without near copies: of each group the row of the smallest key stays, once."""
     groups = near_copies(docs, width, similarity, key, text)
-    stay = groups.where(F.col("key") == F.col("root")).select(F.col("key").alias("_key"), F.col("digest").alias("_digest"))
+    stay = groups.where((F.col("key") == F.col("root")) & (F.col("digest") == F.col("root_digest"))).select(F.col("key").alias("_key"), F.col("digest").alias("_digest"))
     marked = docs.withColumns({"_key": F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)), "_digest": F.md5(F.coalesce(F.col(text), F.lit("")))})
     return marked.join(stay, ["_key", "_digest"], "left_semi").dropDuplicates(["_key", "_digest"]).select(*docs.columns)

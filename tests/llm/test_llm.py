@@ -167,6 +167,16 @@ def test_near_copies_with_a_repeated_line(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == list(range(0, 40, 2))
 
 
+def test_near_copies_without_ids(spark):
+    rng = random.Random(7)
+    texts = [" ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(300)) for _ in range(12)]
+    near = lambda t: t + " tail"
+    # a null id linked to a document, two linked null ids, unrelated null ids, and unrelated texts of one id
+    rows = [(0, texts[0]), (None, near(texts[0])), (None, texts[1]), (None, near(texts[1]))] + [(None, t) for t in texts[2:7]] + [(5, t) for t in texts[7:]]
+    kept = [(r["doc_id"], r["text"].removesuffix(" tail")) for r in simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert Counter(kept) == Counter([(0, texts[0])] + [(None, t) for t in texts[1:7]] + [(5, t) for t in texts[7:]])
+
+
 # 4
 
 
