@@ -10,7 +10,7 @@ other, hence a star of links carries the same components as all pairs.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -25,6 +25,8 @@ from quillbom.llm.shared import checkpoint_dir, connected_components, slices, sm
 BLOCK = 1 << 17
 #: Share of pairs of just the least similarity that near_copies() is to find; of more similar ones it finds more.
 RECALL = 0.92
+#: Texts of a value that are compared with others in one step, on average.
+PAIR_BLOCK = 64
 #: Bits of a short fingerprint over those that tell all documents apart.
 SPARE_BITS = 8
 
@@ -102,6 +104,9 @@ def near_duplicate_groups(docs: DataFrame, width: int = 3, radius: int = 2, key:
 # Near copies by similarity. At a Jaccard similarity of 0.8 one bit in seven differs, too many for
 # one ball of 64 bits. So there are many short fingerprints, each searched by ball hashing with
 # radius 2; pairs that meet in any are held against all bits, then against the shingles themselves.
+# All texts of a value are first held against its smallest, the hub, which joins groups of copies at
+# once. A hub may be a chance meeting, so then all pairs that meet and are not yet in one group are
+# compared, in blocks: their number grows with the square only of texts that are alike but not linked.
 
 
 def short_fingerprints(rows: float, similarity: float) -> tuple[int, int, float]:
@@ -155,17 +160,21 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, key: s
     texts = marked.groupBy("digest").agg(F.min("key").alias("key"), F.first("long").alias("long"), F.first("short").alias("short"))
     texts = texts.withColumn("node", F.monotonically_increasing_id()).checkpoint()  # fixed by the checkpoint
     values = texts.select("node", F.posexplode("short").alias("number", "value")).select("node", (F.col("number") * F.lit(1 << bits) + F.col("value")).alias("value"))
-    hubs = values.groupBy("value").agg(F.min("node").alias("hub"))
-    same = values.join(hubs, "value").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    hubs = values.groupBy("value").agg(F.min("node").alias("hub"), F.count("*").alias("texts"))
+    homes = values.join(hubs, "value").select(F.shiftright("value", bits).alias("number"), "hub", "node", "texts")
+    same = homes.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
     masks = [0] + [1 << n for n in range(bits)]
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    variants = hubs.repartition(n, "value").select("hub", F.col("value"), F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("flip"))
-    met = variants.groupBy(F.col("value").bitwiseXOR(F.col("flip")).alias("variant")).agg(F.collect_list("hub").alias("met"))
-    met = met.where(F.size("met") > 1).select(F.array_sort("met").alias("met"))
-    # neighbours in node order, and all with the first: at most bits + 1 hubs share a variant
-    chain = met.select(F.explode(F.arrays_zip(F.slice("met", 1, F.size("met") - 1).alias("a"), F.slice("met", 2, F.size("met")).alias("b"))).alias("p")).select("p.a", "p.b")
-    star = met.select(F.col("met")[0].alias("a"), F.explode("met").alias("b"))
-    pairs = same.unionByName(chain).unionByName(star).where("a < b").distinct()
+    # the last bit of a tag says whether the hub's value has more texts
+    variants = hubs.repartition(n, "value").select((F.col("hub") * 2 + (F.col("texts") > 1).cast("long")).alias("tag"), F.col("value"), F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("flip"))
+    met = variants.groupBy(F.col("value").bitwiseXOR(F.col("flip")).alias("variant")).agg(F.collect_list("tag").alias("met"))
+    met = met.where(F.size("met") > 1).select(F.shiftright("variant", bits).alias("number"), F.array_sort("met").alias("met"))
+    # all pairs of hubs: at most bits + 1 of them share a variant
+    met = met.select("number", "met", F.posexplode("met").alias("at", "tag_a")).select("number", "tag_a", F.explode(F.slice("met", F.col("at") + 2, F.size("met"))).alias("tag_b"))
+    met = met.select("number", F.shiftright("tag_a", 1).alias("a"), F.shiftright("tag_b", 1).alias("b"), (F.col("tag_a").bitwiseOR(F.col("tag_b")) % 2 == 1).alias("more"))
+    # a text may be the hub of several values, but of one in each table
+    met = met.select(F.when(F.col("more"), F.col("number")).alias("number"), "a", "b").where("a <> b").distinct().checkpoint()
+    pairs = same.unionByName(met.select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     far = math.ceil(64 * words * min(0.5, differ + 4 * math.sqrt(differ * (1 - differ) / (64 * words))))
     of = lambda side: texts.select(F.col("node").alias(side), F.col("long").alias(f"long_{side}"))
     apart = F.aggregate(F.zip_with("long_a", "long_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
@@ -184,7 +193,56 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, key: s
         shared = F.size(F.array_intersect("set_a", "set_b"))
         return both.where(shared >= F.lit(similarity) * (F.size("set_a") + F.size("set_b") - shared)).select("a", "b")
 
-    roots = connected_components(verified(close))
+    def unlinked(whole: bool) -> Callable:
+        """The close pairs of two blocks that are in different groups: all, or the closest of each two groups."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                found = [np.zeros((0, 2), np.int64)]
+                for row in batch.itertuples(index=False):
+                    long_a, long_b = (np.asarray(x, np.int64).view(np.uint64).reshape(-1, words) for x in (row.longs_a, row.longs_b))
+                    apart = sum(np.bitwise_count(long_a[:, None, w] ^ long_b[None, :, w]).astype(np.int64) for w in range(words))
+                    i, j = np.nonzero((apart <= far) & (row.roots_a[:, None] != row.roots_b[None, :]))
+                    if not whole and len(i):
+                        order = np.argsort(apart[i, j], kind="stable")
+                        i, j = i[order], j[order]
+                        ends = np.stack([np.minimum(row.roots_a[i], row.roots_b[j]), np.maximum(row.roots_a[i], row.roots_b[j])], axis=1)
+                        at = np.unique(ends, axis=0, return_index=True)[1]
+                        i, j = i[at], j[at]
+                    a, b = row.nodes_a[i], row.nodes_b[j]
+                    found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
+                yield pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["a", "b"])
+
+        return run
+
+    def behind_hubs(roots: DataFrame, whole: bool) -> DataFrame:
+        """Close pairs that meet in any table and are not in one group yet."""
+        placed = homes.join(roots, "node", "left").select("number", "hub", "node", "texts", F.coalesce("root", "node").alias("root"))
+        sizes = placed.groupBy("number", "hub").agg(F.first("texts").alias("texts"), F.min("root").alias("low"), F.max("root").alias("high"))
+        meet = met.where("number is not null").select("number", "a", "b").unionByName(sizes.where("texts > 2 and low <> high").select("number", F.col("hub").alias("a"), F.col("hub").alias("b")))
+        for side in "ab":
+            meet = meet.join(sizes.select("number", F.col("hub").alias(side), F.ceil(F.col("texts") / PAIR_BLOCK).cast("int").alias(f"parts_{side}"), F.col("low").alias(f"low_{side}"), F.col("high").alias(f"high_{side}")), ["number", side])
+        meet = meet.where("least(low_a, low_b) <> greatest(high_a, high_b)").select("number", "a", "b", "parts_a", "parts_b").checkpoint()
+        if meet.isEmpty():
+            return meet.select("a", "b")
+        used = meet.select("number", F.explode(F.array("a", "b")).alias("hub")).distinct()
+        dealt = placed.join(used, ["number", "hub"], "left_semi").withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("texts") / PAIR_BLOCK)).cast("int"))
+        dealt = dealt.join(texts.select("node", "long"), "node").groupBy("number", "hub", "part").agg(F.collect_list(F.struct("node", "root", "long")).alias("m"))
+        blocks = dealt.select("number", "hub", "part", F.col("m.node").alias("nodes"), F.col("m.root").alias("roots"), F.flatten("m.long").alias("longs"))
+        both = meet.select("number", "a", "b", F.explode(F.sequence(F.lit(0), F.col("parts_a") - 1)).alias("part_a"), "parts_b").select("number", "a", "b", "part_a", F.explode(F.sequence(F.lit(0), F.col("parts_b") - 1)).alias("part_b")).where("a <> b or part_a <= part_b")
+        for side in "ab":
+            both = both.join(blocks.select("number", F.col("hub").alias(side), F.col("part").alias(f"part_{side}"), *[F.col(c).alias(f"{c}_{side}") for c in ("nodes", "roots", "longs")]), ["number", side, f"part_{side}"])
+        mixed = F.least(F.array_min("roots_a"), F.array_min("roots_b")) != F.greatest(F.array_max("roots_a"), F.array_max("roots_b"))
+        both = both.where(mixed).select(*[f"{c}_{side}" for side in "ab" for c in ("nodes", "roots", "longs")])
+        return both.mapInPandas(unlinked(whole), "a long, b long").distinct()
+
+    roots, tried = connected_components(verified(close)), close
+    for whole in (False, True):  # first one pair for two groups, so that large groups that belong together are one before all pairs count
+        more = behind_hubs(roots, whole).join(tried, ["a", "b"], "left_anti").checkpoint()
+        if more.isEmpty():
+            break
+        roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(verified(more)))
+        tried = tried.unionByName(more)
     grouped = texts.select("key", "digest", "node").join(roots, "node", "left").select("key", "digest", F.coalesce("root", "node").alias("group"))
     first = grouped.groupBy("group").agg(F.min(F.struct("key", "digest")).alias("first"))
     return grouped.join(first, "group").select("key", "digest", F.col("first.key").alias("root"), F.col("first.digest").alias("root_digest"))

@@ -177,6 +177,28 @@ def test_near_copies_without_ids(spark):
     assert Counter(kept) == Counter([(0, texts[0])] + [(None, t) for t in texts[1:7]] + [(5, t) for t in texts[7:]])
 
 
+def family(members, shared, size, twins, seed=8):
+    """Texts that share the first words of one passage, and a copy of each of the first twins with two words changed."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    passage, rows = [word() for _ in range(shared)], []
+    for n in range(members):
+        words = passage + [word() for _ in range(size - shared)]
+        rows.append((2 * n, " ".join(words)))
+        if n < twins:
+            for at in (shared + 20, size - 20):
+                words[at] = word()
+            rows.append((2 * n + 1, " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize("shared", [200, 245])  # Jaccard similarities of about 0.5 and 0.7
+def test_near_copies_in_a_family(spark, shared):
+    rows = family(250, shared, 300, 60)
+    kept = simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(8))
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(0, 500, 2))
+
+
 # 4
 
 
