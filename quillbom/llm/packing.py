@@ -43,7 +43,8 @@ class WordTokenizer:
     """Byte-level BPE by pre-token: each distinct one is encoded by the library and kept as bytes.
 
     Byte-level BPE merges inside pre-tokens only, so the ids of a text are those of its pre-tokens.
-    Strings of special tokens in a text are ordinary text.
+    As in the library, strings of added tokens (such as the end of a text) are found first, are one
+    id each, and part the text around them.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
@@ -52,7 +53,11 @@ class WordTokenizer:
         self.cache_words = cache_words
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        if any(t.lstrip or t.rstrip or t.single_word for t in self.tokenizer.get_added_tokens_decoder().values()):
+            raise ValueError("added tokens that take the space around them are not supported")
+        self.added = {content: np.array([i], "<u4").tobytes() for content, i in added.items()}
+        self.at_added = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")").split if added else lambda text: [text]
         self.split_any = regex.compile(public_tokenizers.PATTERN).findall
         self.plain = regex.compile(r" \p{L}+").fullmatch
         vocabulary = self.tokenizer.get_vocab()
@@ -80,7 +85,15 @@ class WordTokenizer:
 
     def ids(self, text: str | None) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit numbers; null texts have none."""
-        words = self.split(text) if text else []
+        if not text:
+            return b""
+        if any(content in text for content in self.added):
+            return b"".join(self.added[part] if n % 2 else self.between(part) for n, part in enumerate(self.at_added(text)))
+        return self.between(text)
+
+    def between(self, text: str) -> bytes:
+        """The ids of a text without added tokens."""
+        words = self.split(text)
         parts = list(map(self.cache.get, words))
         if None in parts:
             holes = [i for i, p in enumerate(parts) if p is None]
@@ -110,10 +123,14 @@ def piece_bounds(length: int, capacity: int) -> Iterator[tuple[int, int]]:
 
 
 def cut_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, key: str, text: str, cache_words: int = CACHE_WORDS) -> DataFrame:
-    """One row per piece: key, doc_hash, piece, start, length and the CRC-32 of its ids."""
+    """One row per piece: key, doc_hash, deal, piece, start, length and the CRC-32 of its ids.
+
+    deal tells repeated rows apart, so that they don't all go to one bucket; it is the same when a
+    lost task reads its rows again, as from files or a checkpoint.
+    """
 
     kind = docs.schema[key].dataType.simpleString()
-    names = ["k", "doc_hash", "piece", "start", "length", "ids_crc32"]
+    names = ["k", "doc_hash", "deal", "piece", "start", "length", "ids_crc32"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, end = tokenizer(path, cache_words), np.array([end_id], "<u4").tobytes()
@@ -121,16 +138,17 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, key: str,
             for at in range(0, batch.num_rows, SLICE_ROWS):  # texts become Python objects a slice at a time
                 part = batch.slice(at, SLICE_ROWS)
                 out: list[list] = [[] for _ in names]
-                for k, h, t in zip(*(part.column(c).to_pylist() for c in ("k", "doc_hash", "t")), strict=True):
+                for k, h, d, t in zip(*(part.column(c).to_pylist() for c in ("k", "doc_hash", "deal", "t")), strict=True):
                     data = words.ids(t) + end
                     for piece, (start, length) in enumerate(piece_bounds(len(data) // 4, capacity)):
-                        for column, value in zip(out, (k, h, piece, start, length, zlib.crc32(data[4 * start:4 * (start + length)])), strict=True):
+                        for column, value in zip(out, (k, h, d, piece, start, length, zlib.crc32(data[4 * start:4 * (start + length)])), strict=True):
                             column.append(value)
-                types = [part.schema.field("k").type, pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+                types = [part.schema.field("k").type, pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types, strict=True)], names=names)
 
-    return small_batches(docs).select(F.col(key).alias("k"), F.xxhash64(F.col(key), F.col(text)).alias("doc_hash"), F.col(text).alias("t")).mapInArrow(
-        run, f"k {kind}, doc_hash long, piece int, start long, length long, ids_crc32 long"
+    digest = F.xxhash64(F.col(key), F.col(text))
+    return small_batches(docs).select(F.col(key).alias("k"), digest.alias("doc_hash"), F.xxhash64(digest, F.monotonically_increasing_id()).alias("deal"), F.col(text).alias("t")).mapInArrow(
+        run, f"k {kind}, doc_hash long, deal long, piece int, start long, length long, ids_crc32 long"
     )
 
 
@@ -167,7 +185,7 @@ def best_fit(lengths: Iterable[int], capacity: int, open_bins: int = OPEN_BINS)
 
 
 def pack(pieces: DataFrame, total: int, capacity: int, bucket_pieces: int = BUCKET_PIECES, open_bins: int = OPEN_BINS) -> DataFrame:
-    """Adds sequence_id and offset to rows with doc_hash, piece and length; total is their number.
+    """Adds sequence_id and offset to rows with doc_hash, deal, piece and length; total is their number.
 
     Longer pieces come first in a bucket, as best fit wastes least on them; ties go by hash and
     piece, so that the result does not depend on how rows arrive.
@@ -180,18 +198,19 @@ def pack(pieces: DataFrame, total: int, capacity: int, bucket_pieces: int = BUCK
         return rows.assign(sequence_id=np.array(bins, np.int64) * buckets + int(rows["bucket"].iloc[0]), offset=np.array(offsets, np.int64)).drop(columns="bucket")
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_hash", "piece"), F.lit(buckets)))
+    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("deal", "piece"), F.lit(buckets)))
     return dealt.groupBy("bucket").applyInPandas(run, f"{fields}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, key: str = "doc_id", text: str = "text", cache_words: int = CACHE_WORDS) -> DataFrame:
     """Packs all documents; null texts count as empty, so each row has at least its end token.
 
-    Per piece: key, piece, start, length, ids_crc32, sequence_id, offset. Repeated rows are packed
-    each time they occur. The number of buckets comes from an estimate of the pieces, a token for
+    Per piece: key, piece, start, length, ids_crc32, sequence_id, offset; other columns of docs, of
+    any name, are not read. Repeated rows are packed each time they occur, a very long text is cut
+    into as many pieces as it needs, an empty table gives no rows. The number of buckets comes from an estimate of the pieces, a token for
     each three bytes; results do not depend on how good it is. cache_words trades memory of the
     workers for time.
     """
     estimate = docs.select(F.sum(F.ceil((F.coalesce(F.octet_length(text), F.lit(0)) / 3 + 1) / capacity)).alias("n")).first()["n"] or 0
     pieces = cut_pieces(docs, path, capacity, end_id, key, text, cache_words)
-    return pack(pieces, int(estimate), capacity).drop("doc_hash").withColumnRenamed("k", key)
+    return pack(pieces, int(estimate), capacity).drop("doc_hash", "deal").withColumnRenamed("k", key)

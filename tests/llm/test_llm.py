@@ -225,9 +225,18 @@ def test_extract(spark):
 # 5
 
 
-def test_packing(docs, none):
+def test_ids_equal_library():
+    library, words, rng = Tokenizer.from_file(BYTES), packing.tokenizer(BYTES), random.Random(9)
+    assert library.encode("hello <|endoftext|> world", add_special_tokens=False).ids == [31373, 220, 50256, 995]
+    pool = ["<|endoftext|>", "<|endoftext", "|>", " ", "  ", "\n", "hello", " world", "été", "日本", "'s", "12", "<", "|", "endoftext"]
+    for _ in range(2000):
+        text = "".join(rng.choice(pool) for _ in range(rng.randint(0, 9)))
+        assert np.frombuffer(words.ids(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_packing(docs, none, spark):
     library = Tokenizer.from_file(BYTES)
-    library.encode_special_tokens = True
+    docs = docs.unionByName(spark.createDataFrame([(70, "one <|endoftext|> two<|endoftext|><|endoftext|>three"), (71, "<|endoftext|>")], "doc_id long, text string"), allowMissingColumns=True)
     want = Counter()
     for i, t in pairs(docs):
         data = np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
