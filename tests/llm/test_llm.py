@@ -364,16 +364,63 @@ def test_huge_components():
 # 9
 
 
-def test_base_features(docs, spark):
+def plain_features(text):
+    text = text or ""
+    words = WORD.findall(text)
+    threes = Counter(zip(words, words[1:], words[2:]))
+    covered = {p + k for p in range(len(words) - 2) if threes[tuple(words[p:p + 3])] > 1 for k in range(3)}
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered)
+
+
+@pytest.mark.parametrize("values", [None, 5])  # None: the hash itself; 5: nearly all windows meet by chance
+def test_base_features(docs, spark, monkeypatch, values):
+    if values:
+        monkeypatch.setattr(quality, "window_hash", lambda *w: F.pmod(F.xxhash64(*w), F.lit(values)))
     got = {(r["doc_id"], r["text"]): tuple(r)[-5:] for r in quality.base_features(docs.select("doc_id", "text"), "text").drop("words").collect()}
     for i, t in pairs(docs):
-        text = t or ""
-        words = WORD.findall(text)
-        threes = Counter(zip(words, words[1:], words[2:]))
-        covered = {p + k for p in range(len(words) - 2) if threes[tuple(words[p:p + 3])] > 1 for k in range(3)}
-        lines = [x for x in text.split("\n") if WORD.search(x)]
-        want = (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered))
-        assert got[i, t] == want, t
+        assert got[i, t] == plain_features(t), t
+
+
+def test_quality_against_plain(spark, docs):
+    """Every score and verdict from its definition, over trusted and other rows, nulls and repeats."""
+    rng = random.Random(11)
+    good, bad = ([f"{c}{n}" for n in range(60)] for c in "gb")
+    rows = [(n, " ".join(rng.choice(good if n % 3 else bad) for _ in range(rng.choice([20, 60, 90])))) for n in range(60)] + pairs(docs)
+    marks = [(n, 1 if n % 3 else 0, 0) for n in range(0, 60, 2)] + [(4, 1, 1), (None, 1, 0), (8, 1, None)]
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    hashed = {}  # buckets of grams, by Spark's own hash
+    grams = {(g,) if isinstance(g, str) else g for _, t in rows for w in [WORD.findall(t or "")] for g in [*w, *zip(w, w[1:])]}
+    for size in (1, 2):
+        some = [g for g in grams if len(g) == size]
+        frame = spark.createDataFrame(some, ", ".join(f"g{k} string" for k in range(size)))
+        hashed |= {tuple(r)[:size]: r["b"] for r in frame.withColumn("b", F.pmod(F.xxhash64(*frame.columns), F.lit(quality.BUCKETS))).collect()}
+    of = lambda t: [hashed[g] for w in [WORD.findall(t or "")] for g in [*((x,) for x in w), *zip(w, w[1:])]]
+    trusted = {n for n, q, t in marks if n is not None and min(x[1] for x in marks if x[0] == n) == 1 and not any(x[2] for x in marks if x[0] == n)}
+    raw, target = Counter(b for _, t in rows for b in of(t)), Counter(b for i, t in rows if i in trusted for b in of(t))
+    share = lambda counts, b: (counts[b] + 1) / (sum(counts.values()) + quality.BUCKETS)
+    score = lambda t: sum(math.log(share(target, b) / share(raw, b)) for b in of(t)) / len(of(t)) if of(t) else 0.0
+    own = [score(t) for i, t in rows if i in trusted and len(WORD.findall(t or "")) >= quality.MIN_WORDS]
+    least = float(np.quantile(own, quality.TRUSTED_LOSS)) - quality.MARGIN
+    got = quality.judge(table, labels).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        n, *_, repeats = plain_features(r["text"])
+        failed = n < 50 or 100 * repeats > 50 * n
+        assert r["score"] == pytest.approx(score(r["text"]), abs=1e-6) and r["base_failed"] == failed
+        assert r["kept"] == (not failed and r["score"] >= least)
+
+
+def test_quality_with_clashing_names(spark):
+    labels = spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int")
+    names = ["words", "grams", "packed", "Score", "kept", "n_words", "verdict", "met", "starts", "low_bits", "c0", "trusted_id", "quality"]
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(60 * i)), *[f"{i}{c}" for c in names]) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} string" for c in names))
+    kept = quality.accepted(docs, labels)
+    assert kept.columns == docs.columns and ordered(kept.collect()) == ordered(rows[1:])
+    judged = quality.judge(docs, labels)
+    assert {r["words"] for r in judged.collect()} == {"0words", "1words", "2words"} and len({c.lower() for c in judged.columns}) == len(judged.columns)
 
 
 def test_quality_verdicts(spark):
