@@ -1,8 +1,10 @@
 """Removal of passages of words that occur more than once, by seed and extend.
 
-Documents meet on winnowed anchors (windows.cover()); around an anchor met in several contexts each
-match is extended to both sides, as far as windows of the full length agree, and every word that a
-repeated window covers goes.
+Documents meet on winnowed anchors, the seeds (windows.cover()). Around a seed that occurs in several
+contexts, matches are extended word by word to both sides, for all occurrences at once: occurrences
+that agree so far have the same name, and each further word parts them, until one is alone. A seed
+that agrees with another over at least the length, to both sides together, lies in a repeat; the
+maximal repeats are the unions of these stretches, and every word in one goes.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from itertools import compress
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quillbom.llm import windows
@@ -20,38 +23,73 @@ from quillbom.llm import windows
 ANCHOR = 8
 
 
-def settle(spec: windows.Spec, value: np.ndarray, left: np.ndarray, right: np.ndarray, body: np.ndarray) -> np.ndarray:
-    """Per context the windows that another context, or a second copy of this one, holds too."""
-    offsets = np.arange(spec.reach + 1)
-    valid = (left[:, None] >= offsets) & (right[:, None] >= spec.window - offsets)
-    owner, j = np.nonzero(valid)
-    # a window is counted once for each place of its anchor: one that holds two anchors comes twice, in different places
-    keys = body[owner, j] ^ (j.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    _, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
-    hit = (counts[inverse] > 1) | (value[owner] > 1)
-    masks = np.zeros(len(value), np.uint64)
-    np.bitwise_or.at(masks, owner[hit], np.uint64(1) << j[hit].astype(np.uint64))
+def _named(names: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """New names for pairs of a name and one more; -1 where either is -1 or the pair occurs once."""
+    ok = np.flatnonzero((names >= 0) & (more >= 0))
+    out = np.full(len(names), -1, np.int64)
+    if len(ok):
+        pair = names[ok] * (int(more.max()) + 1) + more[ok]
+        _, inverse, counts = np.unique(pair, return_inverse=True, return_counts=True)
+        out[ok] = np.where(counts[inverse] > 1, inverse, -1)
+    return out
+
+
+def settle(spec: windows.Spec, h: np.ndarray, value: np.ndarray, left: np.ndarray, right: np.ndarray, bodies: np.ndarray) -> np.ndarray:
+    """Per context the windows that another context of its seed holds in the same place.
+
+    A window is compared in each place of a seed of its own, so one that holds two seeds is not
+    counted twice; contexts of which there are copies are settled before.
+    """
+    n, reach, anchor = len(value), spec.reach, spec.anchor
+    words = [w for b in bodies for w in b.split(b" ")]
+    numbers, _ = pd.factorize(np.array(words, object))
+    size = left + right
+    table = np.full((n, reach + spec.window), -1, np.int64)  # by place around the seed
+    owner = np.repeat(np.arange(n), size)
+    place = np.arange(len(words)) - np.repeat(np.cumsum(size) - size, size) - np.repeat(left, size) + reach
+    table[owner, place] = numbers
+    seed = np.unique(h, return_inverse=True)[1]
+    for k in range(anchor):
+        seed = _named(seed, table[:, reach + k])
+    to_left, to_right = [seed], [seed]
+    for k in range(reach):
+        to_left.append(_named(to_left[-1], table[:, reach - 1 - k]))
+        to_right.append(_named(to_right[-1], table[:, reach + anchor + k]))
+    masks = np.zeros(n, np.uint64)
+    for j in range(reach + 1):
+        masks[_named(to_left[j], to_right[reach - j]) >= 0] |= np.uint64(1) << np.uint64(j)
     return masks
 
 
 def _kept(text: bytes, gone: np.ndarray) -> bytes:
-    return b" ".join(compress(text.split(), (~gone).tolist()))
+    return b" ".join(compress(text.split(b" "), (~gone).tolist())) if len(gone) else b""
 
 
-def _digests(rows: pd.DataFrame, texts: list[bytes], masks: list[np.ndarray]) -> pd.DataFrame:
-    out = [(k, len(m), int(m.sum()), hashlib.sha256(_kept(t, m)).hexdigest()) for k, t, m in zip(rows["k"], texts, masks, strict=True)]
-    return pd.DataFrame(out, columns=["k", "n_words", "n_removed", "kept_sha256"]).astype({"k": rows["k"].dtype})
+def _digests(rows: pa.Table, texts: list[bytes], masks: list[np.ndarray]) -> pa.Table:
+    return pa.table({
+        "k": rows.column("k"),
+        "n_words": pa.array([len(m) for m in masks], pa.int64()),
+        "n_removed": pa.array([int(m.sum()) for m in masks], pa.int64()),
+        "kept_sha256": pa.array([hashlib.sha256(_kept(t, m)).hexdigest() for t, m in zip(texts, masks, strict=True)], pa.string()),
+    })
 
 
-def _texts(rows: pd.DataFrame, texts: list[bytes], masks: list[np.ndarray]) -> pd.DataFrame:
-    return pd.DataFrame({"k": rows["k"], "kept_text": [_kept(t, m).decode() for t, m in zip(texts, masks, strict=True)], "n_removed": [int(m.sum()) for m in masks], "n_words": [len(m) for m in masks]})
+def _texts(rows: pa.Table, texts: list[bytes], masks: list[np.ndarray]) -> pa.Table:
+    return pa.table({
+        "k": rows.column("k"),
+        "kept_text": pa.array([_kept(t, m).decode() for t, m in zip(texts, masks, strict=True)], pa.string()),
+        "n_removed": pa.array([int(m.sum()) for m in masks], pa.int64()),
+        "n_words": pa.array([len(m) for m in masks], pa.int64()),
+    })
 
 
 def remove_repeats(docs: DataFrame, length: int = 35, key: str = "doc_id", text: str = "text", digests: bool = False) -> DataFrame:
     """Removes each word covered by a window of length words that starts anywhere else too.
 
     Per row: the key, n_words, n_removed, and kept_text (words joined by one space) or its SHA-256.
-    Null texts have no words; repeated rows are texts of their own and take from each other.
+    Null and empty texts have no words; repeated rows are texts of their own and take from each
+    other, and null keys do no harm. A very long text is in one chunk as a whole and takes memory in
+    proportion. An empty table gives no rows. Other columns of docs, of any name, are not read.
     """
     spec = windows.Spec(length, min(ANCHOR, length), words=True, earlier=False)
     kind = docs.schema[key].dataType.simpleString()

@@ -1,10 +1,11 @@
 """Removal of byte strings that an earlier document has, by longest-previous-factor arrays.
 
-The windows to compare come from windows.cover(): around anchors met in several contexts. In each
-part they are put in suffix order, equal prefixes by document order. In that order the longest
-previous factor of a suffix is its longer match with the nearest suffixes, before and after it, of
-smaller position; one of at least the window's length means that an earlier document holds the
-string, so this copy goes and the first stays.
+The suffixes to compare come from windows.cover(): those that start in a window around an anchor
+which several documents hold; no others can have a previous factor of the window's length. Each part
+builds its suffix array, the array of longest common prefixes, and from both, by the previous and
+the next suffix of smaller position, the longest previous factor of every suffix. Where that is at
+least the window's length an earlier document holds the string, so this copy goes and the first
+stays. Suffixes are compared over the window's length only, as longer factors are unions of windows.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,9 +23,8 @@ from quillbom.llm import windows
 ANCHOR = 24
 
 
-def suffix_order(keys: np.ndarray, position: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the rows of keys, by all their columns and then by position; and per place in that
-    order, whether its key equals the one before it. Columns are compared as far as ties go."""
+def suffix_order(keys: np.ndarray, position: np.ndarray) -> np.ndarray:
+    """Order of the rows of keys, by all their columns and then by position. Columns are compared as far as ties go."""
     order = np.lexsort((position, keys[:, 0]))
     group = np.cumsum(np.concatenate([[0], keys[order[1:], 0] != keys[order[:-1], 0]]))
     for c in range(1, keys.shape[1]):
@@ -41,22 +41,48 @@ def suffix_order(keys: np.ndarray, position: np.ndarray) -> tuple[np.ndarray, np
         differs[at[1:]] = (g[1:] == g[:-1]) & (keys[rows[1:], c] != keys[rows[:-1], c])
         new = np.concatenate([[0], group[1:] != group[:-1]]) | differs
         group = np.cumsum(new)
-    return order, np.concatenate([[False], group[1:] == group[:-1]])
+    return order
 
 
-def previous_factor(position: np.ndarray, order: np.ndarray, same: np.ndarray) -> np.ndarray:
-    """Whether a suffix's longest previous factor spans the whole window.
+def common_prefixes(keys: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Bytes that each suffix in the order shares with the one before it; the first shares none."""
+    out = np.zeros(len(order), np.int64)
+    at = np.arange(1, len(order))
+    for c in range(keys.shape[1]):
+        x = keys[order[at], c] ^ keys[order[at - 1], c]
+        out[at] += sum((x >> np.uint64(8 * k) == 0).astype(np.int64) for k in range(8))
+        at = at[x == 0]
+        if not len(at):
+            break
+    return out
+
 
-    Equal windows stand together by rising position, so the nearest smaller position before a
-    suffix, if its window is equal, is that of the run's first.
+def _before(position: np.ndarray, lcp: np.ndarray, least: int) -> np.ndarray:
+    """What each suffix shares with the nearest one before it of smaller position; 0 if that is under least.
+
+    All suffixes look back at once: one whose candidate is not smaller goes on to that one's own
+    candidate, as everything between those two is not smaller either.
     """
-    start = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
-    out = np.zeros(len(order), bool)
-    out[order] = position[order[start]] < position[order]
-    return out
+    candidate, common = np.arange(len(position)) - 1, lcp.copy()
+    active = np.arange(len(position))
+    while len(active):
+        active = active[(candidate[active] >= 0) & (common[active] >= least)]
+        active = active[position[candidate[active]] >= position[active]]
+        over = candidate[active]
+        common[active], candidate[active] = np.minimum(common[active], common[over]), candidate[over]
+    return np.where((candidate >= 0) & (common >= least), common, 0)
+
 
+def longest_previous_factor(position: np.ndarray, lcp: np.ndarray, least: int = 1) -> np.ndarray:
+    """Per suffix in suffix order, its longest match with one of smaller position; matches under least count as 0.
 
-def settle(spec: windows.Spec, value: np.ndarray, left: np.ndarray, right: np.ndarray, body: np.ndarray) -> np.ndarray:
+    It is the longer of those with the nearest smaller positions before and after it in the order.
+    """
+    back = np.concatenate([[0], lcp[:0:-1]]) if len(lcp) else lcp
+    return np.maximum(_before(position, lcp, least), _before(position[::-1], back, least)[::-1])
+
+
+def settle(spec: windows.Spec, h: np.ndarray, value: np.ndarray, left: np.ndarray, right: np.ndarray, body: np.ndarray) -> np.ndarray:
     """Per context the windows that an earlier document holds; value is the context's first document."""
     width = -(-spec.window // 8) * 8
     keys, owner, bit = [], [], []
@@ -69,35 +95,46 @@ def settle(spec: windows.Spec, value: np.ndarray, left: np.ndarray, right: np.nd
         bit.append(np.full(len(rows), j, np.uint64))
     keys, owner, bit = np.concatenate(keys), np.concatenate(owner), np.concatenate(bit)
     masks = np.zeros(len(value), np.uint64)
-    if len(owner):
-        position = value[owner]
-        hit = previous_factor(position, *suffix_order(keys, position))
-        np.bitwise_or.at(masks, owner[hit], np.uint64(1) << bit[hit])
+    order = suffix_order(keys, value[owner])
+    lcp = np.minimum(common_prefixes(keys, order), spec.window)
+    hit = order[longest_previous_factor(value[owner[order]], lcp, spec.window) >= spec.window]
+    np.bitwise_or.at(masks, owner[hit], np.uint64(1) << bit[hit])
     return masks
 
 
-def _digests(rows: pd.DataFrame, texts: list[bytes], masks: list[np.ndarray]) -> pd.DataFrame:
-    out = []
-    for k, text, gone in zip(rows["k"], texts, masks, strict=True):
-        spans = int(np.count_nonzero(np.diff(np.concatenate([[0], gone.view(np.int8)])) == 1))
-        kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
-        out.append((k, len(text), len(text) - len(kept), spans, hashlib.sha256(kept).hexdigest()))
-    return pd.DataFrame(out, columns=["k", "n_bytes", "n_removed", "n_spans", "kept_sha256"]).astype({"k": rows["k"].dtype})
+def _spans(gone: np.ndarray) -> int:
+    return int(np.count_nonzero(np.diff(np.concatenate([[0], gone.view(np.int8)])) == 1))
+
 
+def _digests(rows: pa.Table, texts: list[bytes], masks: list[np.ndarray]) -> pa.Table:
+    kept = [np.frombuffer(t, np.uint8)[~m].tobytes() if m.any() else t for t, m in zip(texts, masks, strict=True)]
+    return pa.table({
+        "k": rows.column("k"),
+        "n_bytes": pa.array([len(t) for t in texts], pa.int64()),
+        "n_removed": pa.array([len(t) - len(k) for t, k in zip(texts, kept, strict=True)], pa.int64()),
+        "n_spans": pa.array(map(_spans, masks), pa.int64()),
+        "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
+    })
 
-def _texts(rows: pd.DataFrame, texts: list[bytes], masks: list[np.ndarray]) -> pd.DataFrame:
+
+def _texts(rows: pa.Table, texts: list[bytes], masks: list[np.ndarray]) -> pa.Table:
     """Kept texts; a character that loses a byte goes as a whole."""
-    kept = [np.frombuffer(t, np.uint8)[~m].tobytes().decode(errors="ignore") for t, m in zip(texts, masks, strict=True)]
-    found = pd.DataFrame({"k": rows["k"], "kept_text": kept, "n_removed": [int(m.sum()) for m in masks], "n_bytes": [len(t) for t in texts]})
-    return pd.concat([found, rows[[c for c in rows.columns if c[0] == "c" and c[1:].isdigit()]]], axis=1)
+    kept = [np.frombuffer(t, np.uint8)[~m].tobytes().decode(errors="ignore") if m.any() else t.decode() for t, m in zip(texts, masks, strict=True)]
+    carried = {c: rows.column(c) for c in rows.column_names if c[0] == "c" and c[1:].isdigit()}
+    return pa.table({
+        "k": rows.column("k"), "kept_text": pa.array(kept, pa.string()),
+        "n_removed": pa.array([int(m.sum()) for m in masks], pa.int64()), "n_bytes": pa.array([len(t) for t in texts], pa.int64()), **carried,
+    })
 
 
 def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text: str = "text", digests: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """Removes each byte covered by a string of length bytes that starts in a row of smaller key.
 
     Per row: the key, n_bytes, n_removed, and either kept_text and the columns named in carry, or
-    n_spans and kept_sha256. Null texts
-    count as empty; rows of one key never take from each other; null keys come after all others.
+    n_spans and kept_sha256. A carried column that has the name of a result takes its place; other
+    columns of docs are not read. Null texts count as empty; rows of one key, repeated ones too,
+    never take from each other; null keys come after all others. A very long text is in one chunk as
+    a whole and takes memory in proportion. An empty table gives no rows.
     """
     spec = windows.Spec(length, min(ANCHOR, length), words=False, earlier=True)
     kind = docs.schema[key].dataType.simpleString()
@@ -106,4 +143,14 @@ def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text:
         return windows.cover(docs, spec, settle, _digests, schema, key, text).withColumnRenamed("k", key)
     schema += "".join(f", c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
     found = windows.cover(docs, spec, settle, _texts, schema, key, text, carry)
-    return found.select(F.col("k").alias(key), "kept_text", "n_removed", "n_bytes", *[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)])
+    own = [F.col(c).alias(key if c == "k" else c) for c in ("k", "kept_text", "n_removed", "n_bytes") if (key if c == "k" else c).lower() not in {c.lower() for c in carry}]
+    return found.select(*own, *[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)])
+
+
+def cleaned(docs: DataFrame, length: int = 50, key: str = "doc_id", text: str = "text", count: str = "n_chars") -> DataFrame:
+    """docs, of the same columns, with texts that have lost what remove_repeats() removes; the column
+    count, if there is one, holds their characters anew. Null texts that lose nothing become empty."""
+    columns = docs.columns
+    found = remove_repeats(docs.toDF(*[f"v{i}" for i in range(len(columns))]), length, f"v{columns.index(key)}", f"v{columns.index(text)}", carry=tuple(f"v{i}" for i in range(len(columns)) if columns[i] != text))
+    value = lambda i, c: F.col("kept_text") if c == text else F.length("kept_text").cast(docs.schema[c].dataType) if c == count else F.col(f"v{i}")
+    return found.select(*[value(i, c).alias(c) for i, c in enumerate(columns)])

@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import xxhash
@@ -309,22 +310,71 @@ def plain_bytes(rows, size):
     return out
 
 
-@pytest.mark.parametrize(("size", "seed"), [(35, 0), (10, 1), (3, 2)])
-def test_substring_dedup(spark, monkeypatch, size, seed):
+@pytest.fixture(params=[1 << 14, 2], ids=["by anchor", "split"])
+def small_parts(request, monkeypatch):
+    """Many chunks and parts; with few contexts an anchor, so that most anchors are split."""
     monkeypatch.setattr(windows, "CHUNK_BYTES", 2000)
     monkeypatch.setattr(windows, "PART_BYTES", 3000)
+    monkeypatch.setattr(windows, "HOT_CONTEXTS", request.param)
+
+
+@pytest.mark.parametrize(("size", "seed"), [(35, 0), (10, 1), (3, 2)])
+def test_substring_dedup(spark, small_parts, size, seed):
     docs = spark.createDataFrame(fixture(seed), SCHEMA)
     assert ordered(substring_dedup.remove_repeats(docs, size, digests=True).collect()) == ordered(plain_words(pairs(docs), size))
 
 
 @pytest.mark.parametrize(("size", "seed"), [(50, 0), (20, 1), (60, 2)])
-def test_suffix_dedup(spark, monkeypatch, size, seed):
-    monkeypatch.setattr(windows, "CHUNK_BYTES", 2000)
-    monkeypatch.setattr(windows, "PART_BYTES", 3000)
+def test_suffix_dedup(spark, small_parts, size, seed):
     docs = spark.createDataFrame(fixture(seed), SCHEMA)
     assert ordered(suffix_dedup.remove_repeats(docs, size, digests=True).collect()) == ordered(plain_bytes(pairs(docs), size))
 
 
+def test_dedup_of_a_common_phrase(spark, small_parts):
+    """One phrase in every text, each time between other words, and some texts that share a stretch around it."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcd") for _ in range(rng.randint(1, 4)))
+    phrase, shared = "it goes without saying that we all like rain", [word() for _ in range(30)]
+    rows = []
+    for n in range(60):
+        before, after = [word() for _ in range(40)], [word() for _ in range(40)]
+        if n % 3 == 0:
+            before[-15:], after[:9] = shared[:15], shared[15:24]
+        rows.append((n, " ".join([*before, phrase, *after])))
+    docs = spark.createDataFrame(rows + rows[:3] * 5, "doc_id long, text string")
+    assert ordered(substring_dedup.remove_repeats(docs, 20, digests=True).collect()) == ordered(plain_words(pairs(docs), 20))
+    assert ordered(suffix_dedup.remove_repeats(docs, 50, digests=True).collect()) == ordered(plain_bytes(pairs(docs), 50))
+
+
+def test_equal_hashes_of_different_contexts(spark, small_parts, monkeypatch):
+    """Contexts are told apart by their text, even where all hashes of contexts are equal."""
+    rows = fixture(3)
+    spec = [windows.Spec(10, 4, words=True, earlier=False), windows.Spec(20, 8, words=False, earlier=True)]
+    for s in spec:
+        texts = s.texts(pa.chunked_array([pa.array([r[1] for r in rows], pa.string())]))
+        a = s.anchors(texts)
+        bodies = windows._bodies(s).of(s, texts, a)
+        zero = np.zeros(len(a["hash"]), np.uint64)
+        values = a["row"] if s.earlier else np.ones(len(zero), np.int64)
+        e = windows.Entries(s, a["hash"], zero, values, a["left"], a["right"], bodies)
+        assert not bodies.differ(np.arange(len(zero)), e.first[e.of]).any()
+
+
+def test_longest_previous_factor():
+    rng = random.Random(13)
+    for _ in range(50):
+        text = bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 60)))
+        n = len(text)
+        keys = np.frombuffer(b"".join(text[i:].ljust(64, b"\0") for i in range(n)), ">u8").reshape(n, 8).astype(np.uint64)
+        place = np.arange(n)
+        order = suffix_dedup.suffix_order(keys, place)
+        assert order.tolist() == sorted(range(n), key=lambda i: text[i:])
+        lcp = np.minimum(suffix_dedup.common_prefixes(keys, order), n - np.maximum(order, np.roll(order, 1)))
+        match = lambda i, j: next((k for k in range(n - max(i, j)) if text[i + k] != text[j + k]), n - max(i, j))
+        lpf = dict(zip(order.tolist(), suffix_dedup.longest_previous_factor(order, lcp).tolist()))
+        assert lpf == {i: max((match(i, j) for j in range(i)), default=0) for i in range(n)}
+
+
 def test_dedup_of_nothing(none):
     assert substring_dedup.remove_repeats(none).count() == suffix_dedup.remove_repeats(none).count() == 0
 
@@ -334,6 +384,17 @@ def test_kept_texts(docs):
     assert kept.columns == ["doc_id", "kept_text", "n_removed", "n_bytes", "hash", "row"] and kept.count() == docs.count()
 
 
+def test_cleaned_with_clashing_names(spark):
+    names = ["n_removed", "kept_text", "k", "chunk", "rid", "order", "v0", "c0"]
+    text = "a sentence of more than fifty bytes that two texts have, "
+    rows = [(2, text + "later", 9, *names), (1, text + "first", 9, *names), (None, None, None, *names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars int, " + ", ".join(f"{c} string" for c in names))
+    assert suffix_dedup.remove_repeats(docs, carry=("n_removed", "kept_text")).columns == ["doc_id", "n_bytes", "n_removed", "kept_text"]
+    got = suffix_dedup.cleaned(docs)
+    assert got.schema == docs.schema
+    assert ordered(got.collect()) == ordered([(2, "later", 5, *names), (1, text + "first", len(text) + 5, *names), (None, "", 0, *names)])
+
+
 # 7
 
 
