@@ -99,13 +99,107 @@ def test_scores(docs, none):
     assert maxent_lm.score(none).count() == 0
 
 
-def test_model_is_a_distribution():
-    shares = maxent_lm.ClassShares([{"class": 100, "size": 9, "words": 3, "once": 1}, {"class": 0, "size": 5, "words": 1, "once": 0}])
-    inside = sum(10 ** (math.log10(c - maxent_lm.DISCOUNT) + shares.scale[100]) for c in (1, 3, 5)) + 10 ** shares.unseen[100]
-    assert inside == pytest.approx(1)
-    weights = maxent_lm.Weights(np.zeros(maxent_lm.CLASSES))
-    weights.pair += np.random.default_rng(1).normal(size=weights.pair.shape)
-    assert np.exp(weights.log_shares(3)).sum(axis=1) == pytest.approx(1)
+def plain_model(texts):
+    """The language model from its definition, token by token: the log10 probability of a text."""
+    m, tokens = maxent_lm, lambda t: WORD.findall(re.sub("[A-Z]", lambda x: x[0].lower(), t or "")) + ["\n"]
+    counts = Counter(w for t in texts for w in tokens(t))
+    ranked = sorted(counts, key=lambda w: (-counts[w], w))
+    own = {w: i for i, w in enumerate(ranked[: m.OWN_ROWS])}
+    singles = [w for w in own if w != "\n"][: m.SINGLE - 1] + ["\n"]
+    ends = Counter()
+    for w in counts:
+        if w not in singles and len(w) > 1:
+            ends[w[-2:]] += counts[w]
+    spellings = sorted(ends, key=lambda x: (-ends[x], x))[: m.SPELLINGS - 1]
+    classes = len(singles) + len(spellings) + 1
+    cls = lambda w: singles.index(w) if w in singles else len(singles) + spellings.index(w[-2:]) if w[-2:] in spellings else classes - 1
+    members = {}
+    for w in ranked:
+        if w not in singles:
+            members.setdefault(cls(w), []).append(w)
+    places = {c: ws[: m.PLACES - 1] for c, ws in members.items()}
+    rest = {c: ws[m.PLACES - 1:] for c, ws in members.items()}
+    row = lambda w: m.WORD_ROWS - 1 if w is None else own[w] if w in own else m.OWN_ROWS + zlib.crc32(w[-3:].encode()) % (m.WORD_ROWS - m.OWN_ROWS - 1)
+    mixed = lambda x, by, rows: (x * by % 2**64 >> 40) % rows
+
+    def features(last, before):
+        a, b = row(last), row(before)
+        return [("last", a), ("before", b), ("pair", mixed(a * m.WORD_ROWS + b, 0x9E3779B97F4A7C15, m.PAIR_ROWS))]
+
+    place_feature = lambda c, last: mixed(c * m.WORD_ROWS + row(last), 0xD6E8FEB86659FD93, m.PLACE_ROWS)
+    place = lambda c, w: places.get(c, []).index(w) if w in places.get(c, []) else m.PLACES - 1
+    total = [sum(counts[w] for w in counts if cls(w) == c) + m.PRIOR for c in range(classes)]
+    bias = np.log(np.array(total) / sum(total))
+    own_place = {}
+    for c in range(len(singles), classes):
+        n = np.zeros(m.PLACES)
+        for i, w in enumerate(places.get(c, [])):
+            n[i] = counts[w] + m.PRIOR
+        n[-1] = sum(counts[w] for w in rest.get(c, [])) + m.PRIOR
+        own_place[c] = np.log(np.maximum(n, 1e-300) / n.sum())
+    weight, place_weight = {}, {}
+    softmax = lambda x: np.exp(x) / np.exp(x).sum()
+    class_shares = lambda fs: softmax(bias + sum(weight.get(f, 0) for f in fs))
+    place_shares = lambda c, last: softmax(own_place[c] + place_weight.get(place_feature(c, last), 0))
+
+    def walk(t):
+        before = last = None
+        for w in tokens(t):
+            yield w, cls(w), last, before
+            before, last = last, w
+
+    seen, place_seen = {}, {}
+    for t in texts:
+        for w, c, last, before in walk(t):
+            for f in features(last, before):
+                seen.setdefault(f, np.zeros(classes))[c] += 1
+            if c >= len(singles):
+                place_seen.setdefault(place_feature(c, last), np.zeros(m.PLACES))[place(c, w)] += 1
+    share = np.exp(bias)
+    for f, n in seen.items():
+        weight[f] = m.FIRST_STEP * np.log((n + m.PRIOR * share) / (n.sum() * share + m.PRIOR * share))
+    for _ in range(m.ROUNDS):
+        told, place_told = {f: np.zeros(classes) for f in seen}, {f: np.zeros(m.PLACES) for f in place_seen}
+        for t in texts:
+            for _w, c, last, before in walk(t):
+                p = class_shares(features(last, before))
+                for f in features(last, before):
+                    told[f] += p
+                if c >= len(singles):
+                    place_told[place_feature(c, last)] += place_shares(c, last)
+        for size, w, s, e in ((m.STEP, weight, seen, told), (m.PLACE_STEP, place_weight, place_seen, place_told)):
+            for f in s:
+                w[f] = w.get(f, 0) + size * (s[f] - e[f]) / (0.5 * (s[f] + e[f]) + m.PRIOR)
+
+    def in_rest(c, w):
+        size, words, once = sum(counts[x] for x in rest.get(c, [])), len(rest.get(c, [])), sum(counts[x] == 1 for x in rest.get(c, []))
+        unseen = (once + 0.5) / (size + 1) if size else 1.0
+        return (1 - unseen) * (counts[w] - m.DISCOUNT) / (size - m.DISCOUNT * words) if w in counts else unseen
+
+    def probability(w, last, before):
+        c = cls(w)
+        p = class_shares(features(last, before))[c]
+        if c < len(singles):
+            return p
+        k = place(c, w)
+        return p * place_shares(c, last)[k] * (in_rest(c, w) if k == m.PLACES - 1 else 1)
+
+    unseen_of = lambda c: "".join(["\r", spellings[c - len(singles)] if c - len(singles) < len(spellings) else "\r\r"])  # noqa: E731  # no word of a text
+    everything = lambda last, before: sum(probability(w, last, before) for w in [*counts, *(unseen_of(c) for c in range(len(singles), classes))])
+    return lambda t: sum(math.log10(probability(w, last, before)) for w, _, last, before in walk(t)), everything
+
+
+def test_scores_equal_the_definition(spark):
+    """Every score against the plain version, whose probabilities of all words and of an unseen one in each class sum to 1."""
+    rng = random.Random(15)
+    words = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 4))) + rng.choice(["", "xy", "uv"]) for _ in range(400)]
+    rows = [(n, " ".join(words[int(400 * rng.random() ** 2)] for _ in range(rng.randint(0, 60)))) for n in range(60)] + [(None, None), (61, "unseen Words"), (62, "abxyz " * 20), (62, "")]
+    score, everything = plain_model([t for i, t in rows if zlib.crc32(str("" if i is None else i).encode()) % 5 != 1])
+    assert everything(words[0], words[1]) == pytest.approx(1) and everything(None, None) == pytest.approx(1)
+    got = maxent_lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = sorted((repr(i), score(t)) for i, t in rows)
+    have = sorted((repr(r["doc_id"]), r["score"]) for r in got)
+    assert have == [(i, pytest.approx(x, abs=1e-3)) for i, x in want]
 
 
 def test_held_out_texts_score_better(spark):
