@@ -4,7 +4,8 @@ A page becomes a tree of its block elements. Each paragraph gives points, for it
 commas, to its parent in full and to its grandparent by half; a container's points are discounted
 by the share of its text that stands in links. The best container, widened to the article or main
 element around it, is kept with those siblings that read like it. Elements that say what they are
-(navigation, asides, forms, comment sections and so on) take no part.
+(navigation, asides, comment sections and so on) take no part; a form takes part if it holds the
+article or half of the text, and inside an article a doubtful name yields to running text.
 
 Per page, in one pass where it is read: nothing is shuffled, and the time is linear in the page.
 """
@@ -22,50 +23,64 @@ from pyspark.sql import functions as F
 from quillbom.llm.shared import small_batches
 
 # Elements by how they take part.
-RAW = "script style noscript template textarea iframe object svg math title select".split()
-VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = set("nav footer aside form button dialog menu head".split())
+RAW = ["script", "style", "textarea", "title"]
+FOREIGN = ["svg", "math"]
+HIDDEN = {"noscript", "template", "iframe", "object", "select", "button", "label", "legend", "datalist", *FOREIGN}
+DROPPED = {"nav", "footer", "aside", "dialog", "menu", "head"}
 BLOCK = set(
-    "address article aside blockquote body button center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
+    "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split()
 )
-HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
-LISTED = set("ul ol dl table div section".split())
+TREE = BLOCK | HIDDEN
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+LISTED = {"ul", "ol", "dl", "table", "div", "section"}
 #: A start tag of the key ends an open element of the values, up to the given scope.
 ENDS = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
-SCOPE = set("ul ol dl table article section div main body".split())
-# Parts of class names, ids and roles that tell of what is no main text.
+SCOPE = {"ul", "ol", "dl", "table", "article", "section", "div", "main", "body"}
+# Parts of class names, ids and roles. A name tells of what is no main text if all its
+# parts are of these lists, and one is of the first two.
 UNLIKELY = set(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header "
-    "login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted promotion related reply "
-    "replies respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget contentinfo complementary search".split()
+    "ad ads advert adverts advertisement advertising breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr "
+    "login masthead menu modal nav navbar navigation newsletter overlay pager pagination popup promo promoted promotion reply "
+    "replies respond sidebar signup sponsor sponsored subscribe subscription toolbar contentinfo".split()
 )
-NOT_ABOUT_ITSELF = set("has have with no without".split())
+#: Inside an article these tell only of what doesn't read like text itself.
+DOUBTFUL = set("banner complementary header notice notices related search share sharing social widget".split())
+NEUTRAL = set(
+    "article articles area bar block body box btn button buttons col column container content form global group icon icons inner item items left "
+    "link links list lists main media outer page panel post posts primary right row secondary section sections site sticky stories text title top bottom "
+    "widget widgets wrap wrapper".split()
+)
+#: Characters outside links from which an element of a doubtful name in an article counts as text.
+PROSE_CHARS = 200
 
-_raw = re.compile(r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>", re.S | re.I)
-_tag = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""")
+_attributes = r"""(?:[^>"']|"[^"]*"|'[^']*')*"""
+_raw = re.compile(r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW) + rf")\b{_attributes}>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>", re.S | re.I)
+_tag = re.compile(rf"""<(/?)([a-zA-Z][^\s/>]*)({_attributes})>""")
 _names = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+_part = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
-def unlikely(attributes: str) -> bool:
-    for found in _names.finditer(attributes):
-        for name in (found[1] or found[2] or found[3] or "").lower().split():
-            parts = re.split(r"[-_]+", name)
-            if parts[0] not in NOT_ABOUT_ITSELF and not UNLIKELY.isdisjoint(parts):
-                return True
-    return False
+def unlikely(attributes: str) -> int:
+    """2 if a name tells of what is no main text, 1 if it is doubtful."""
+    found = 0
+    for names in _names.finditer(attributes):
+        for name in (names[1] or names[2] or names[3] or "").split():
+            parts = {p.lower() for p in _part.findall(name)}
+            if parts <= UNLIKELY | DOUBTFUL | NEUTRAL and parts - NEUTRAL | parts & DOUBTFUL:
+                found = max(found, 2 if parts & UNLIKELY else 1)
+    return found
 
 
 class _Page:
-    """The block tree of one page: per node its parent and tag; per block of text its node."""
+    """The block tree of one page: per node its parent, tag and name; per block of text its node."""
 
-    def __init__(self, html: str, by_name: bool):
-        self.parent, self.tag = [-1], ["#page"]
+    def __init__(self, html: str):
+        self.parent, self.tag, self.named = [-1], ["#page"], [0]
         self.blocks: list[tuple[int, str, int]] = []  # node, text, characters in links
-        self.stack, self.dropped_at, self.links = [0], 0, 0
+        self.stack, self.links = [0], 0
         self.text: list[str] = []
         self.linked = 0
-        self.by_name = by_name
         html = _raw.sub(" ", html)
         at = 0
         for m in _tag.finditer(html):
@@ -73,8 +88,11 @@ class _Page:
                 self.add(html[at:m.start()])
             at = m.end()
             name = m[2].lower()
-            if name in BLOCK:
-                self.close(name) if m[1] else self.open(name, m[3])
+            if name in TREE:
+                if m[1]:
+                    self.close(name)
+                elif not (name in FOREIGN and m[3].endswith("/")):  # other elements can't close themselves
+                    self.open(name, m[3])
             elif name == "a":
                 self.links = 0 if m[1] else 1
             elif name == "br":
@@ -84,10 +102,9 @@ class _Page:
         self.flush()
 
     def add(self, text: str) -> None:
-        if not self.dropped_at:
-            self.text.append(text)
-            if self.links:
-                self.linked += len(text)
+        self.text.append(text)
+        if self.links:
+            self.linked += len(text)
 
     def flush(self) -> None:
         if self.text:
@@ -100,37 +117,55 @@ class _Page:
 
     def open(self, name: str, attributes: str) -> None:
         self.flush()
-        self.links = 0
+        if name in BLOCK:
+            self.links = 0
         ending = ENDS.get(name)
         if ending:
             for k in range(len(self.stack) - 1, 0, -1):
                 tag = self.tag[self.stack[k]]
                 if tag in ending and (name != "tr" or tag == "tr"):
-                    self.cut(k)
+                    del self.stack[k:]
                     break
                 if tag in SCOPE:
                     break
-        elif self.tag[self.stack[-1]] == "p" or self.tag[self.stack[-1]] in HEADINGS:
-            self.cut(len(self.stack) - 1)
+        elif name in BLOCK and (self.tag[self.stack[-1]] in ("p", "head") or self.tag[self.stack[-1]] in HEADINGS):
+            del self.stack[-1]
         self.parent.append(self.stack[-1])
         self.tag.append(name)
+        self.named.append(unlikely(attributes) if attributes and name in BLOCK and name not in ("html", "body", "article", "main") else 0)
         self.stack.append(len(self.tag) - 1)
-        if not self.dropped_at and name not in ("html", "body", "article", "main"):
-            inside = name == "header" and any(self.tag[n] in ("article", "main") for n in self.stack)
-            if name in DROPPED or name == "header" and not inside or self.by_name and attributes and unlikely(attributes):
-                self.dropped_at = len(self.stack)
 
     def close(self, name: str) -> None:
         self.flush()
         for k in range(len(self.stack) - 1, 0, -1):
             if self.tag[self.stack[k]] == name:
-                self.cut(k)
+                del self.stack[k:]
                 return
 
-    def cut(self, k: int) -> None:
-        del self.stack[k:]
-        if len(self.stack) < self.dropped_at:
-            self.dropped_at = 0
+    def drop(self, by_name: bool) -> None:
+        """Leaves out the blocks of elements that are no main text, by tag, name and what they hold."""
+        n = len(self.tag)
+        inside, gone = [False] * n, [False] * n  # inside an article or main element; in an element that goes
+        for k in range(1, n):
+            above = self.parent[k]
+            inside[k] = inside[above] or self.tag[k] in ("article", "main")
+            certain = self.tag[k] in DROPPED or self.tag[k] in HIDDEN or self.tag[k] == "header" and not inside[k]
+            gone[k] = gone[above] or certain or by_name and (self.named[k] == 2 or self.named[k] == 1 and not inside[k])
+        chars, linked, holds = [0] * n, [0] * n, [t in ("article", "main") for t in self.tag]
+        for node, text, in_links in self.blocks:
+            if not gone[node]:
+                chars[node] += len(text)
+                linked[node] += in_links
+        for k in range(n - 1, 0, -1):
+            above = self.parent[k]
+            chars[above] += chars[k]
+            linked[above] += linked[k]
+            holds[above] |= holds[k] and not gone[k]
+        for k in range(1, n):
+            form = self.tag[k] == "form" and not inside[k] and not holds[k] and 2 * chars[k] <= chars[0] or self.tag[k] == "form" and inside[k] and not holds[k]
+            doubtful = by_name and self.named[k] == 1 and inside[k] and (chars[k] - linked[k] < PROSE_CHARS or 0.3 * chars[k] < linked[k])
+            gone[k] = gone[k] or gone[self.parent[k]] or form or doubtful
+        self.blocks = [b for b in self.blocks if not gone[b[0]]]
 
     def main_blocks(self) -> list[str]:
         n = len(self.tag)
@@ -171,14 +206,21 @@ def main_text(html: str | None) -> str:
     """Main text of a page, blocks joined by a line feed; null, empty and textless pages give ''."""
     if not html:
         return ""
-    page = _Page(html, by_name=True)
-    if not page.blocks:  # all stands in elements with telling names: these names tell nothing here
-        page = _Page(html, by_name=False)
-    return "\n".join(page.main_blocks()) if page.blocks else ""
+    for by_name in (True, False):  # where all stands in elements with telling names, these names tell nothing
+        page = _Page(html)
+        page.drop(by_name)
+        if page.blocks:
+            return "\n".join(page.main_blocks())
+    return ""
 
 
 def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
-    """The kept columns, text and n_chars (code points) of each page; repeated rows stay repeated."""
+    """The kept columns, text and n_chars (code points) of each page.
+
+    Null and empty pages give an empty text, repeated rows stay repeated, very long pages are read as
+    a whole (memory and time are linear in the page), an empty table gives no rows. Other columns
+    than html and the kept ones are not read; null keys and addresses stay null.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers
@@ -311,10 +312,82 @@ def test_main_text(html, text):
     assert html_text.main_text(html) == text
 
 
+ARTICLE = "<article><h1>T</h1><p>Text, with commas, and so on.</p></article>"
+PROSE = "Long sentences, with commas, that read like any other part of the article. " * 4
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (f'<svg width="1"/>{ARTICLE}', "T\nText, with commas, and so on."),
+        (f'<div><svg><g><text>no</text><svg>no</svg></g>no</svg></div>{ARTICLE}', "T\nText, with commas, and so on."),
+        (f"<form action=x>{ARTICLE}<label>Name</label><button>Send</button></form>", "T\nText, with commas, and so on."),
+        ("<form><div><p>All of the page, with commas, stands in a form.</p></div></form>", "All of the page, with commas, stands in a form."),
+        (f"<head><title>x</title><body>{ARTICLE}", "T\nText, with commas, and so on."),
+        (f'<article><p>Start.</p><section class="related-work"><p>{PROSE}</p></section><div class="share-price">Up, again</div></article>', f"Start.\n{PROSE.strip()}\nUp, again"),
+        (f'<article><p>{PROSE}</p><div class="related-posts"><a href=x>Other</a></div><div class="shareButtons">Share</div><div id="comments"><p>{PROSE}</p></div></article>', PROSE.strip()),
+        (f'<article><p>{PROSE}</p><div class="related"><p>{PROSE}</p></div></article>', f"{PROSE.strip()}\n{PROSE.strip()}"),
+        (f'<article><p title="a>b">One</p><script src="x>y">var a = "<p>";</script><noscript>no</noscript></article>', "One"),
+        (f"<aside>{PROSE}</aside><nav><ul><li>a</ul></nav><footer>f</footer>", ""),
+    ],
+)
+def test_main_text_inside_other_elements(html, text):
+    assert html_text.main_text(html) == text
+
+
+class PlainPage(HTMLParser):
+    """The article of a page by the standard library's parser: its blocks' texts, without navigation, adverts and so on."""
+
+    def __init__(self):
+        super().__init__()
+        self.open, self.blocks, self.text = [], [], ""
+
+    def end_block(self):
+        if self.text.split():
+            self.blocks.append(" ".join(self.text.split()))
+        self.text = ""
+
+    def handle_starttag(self, tag, attributes):
+        if tag == "br":
+            self.text += " "
+        elif tag in ("b", "i", "a", "meta"):
+            return
+        else:
+            self.end_block()
+            if tag in ("p", "li") and self.open[-1] == tag:
+                self.open.pop()
+            self.open.append(tag)
+
+    def handle_endtag(self, tag):
+        if tag in self.open:
+            self.end_block()
+            while self.open.pop() != tag:
+                pass
+
+    def handle_data(self, data):
+        if "article" in self.open and not {"script", "style", "nav"} & set(self.open):
+            self.text += data
+
+
+def test_all_pages_against_plain(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html_text.extract(pages).collect()}
+    for r in pages.collect():
+        plain = PlainPage()
+        plain.feed(r["html"])
+        plain.end_block()
+        text = "\n".join(plain.blocks)
+        assert got[r["page_id"]] == (text, len(text))
+
+
 def test_extract(spark):
-    rows = [(1, "u", "<p>é</p>", "x"), (1, "u", "<p>é</p>", "x"), (None, None, None, None), (2, "v", "<p>" + "word, " * 50000 + "</p>", "y")]
-    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
-    assert sorted((r["n_chars"], r["url"] or "") for r in got) == [(0, ""), (1, "u"), (1, "u"), (299999, "v")]
+    schema = "page_id long, url string, html string, text string, raw_page string, n_chars string"
+    rows = [(1, "u", "<p>é</p>"), (1, "u", "<p>é</p>"), (None, None, None), (2, "v", "<p>" + "word, " * 50000 + "</p>"), (3, None, "")]
+    pages = spark.createDataFrame([(*r, "x", "y", "z") for r in rows], schema)
+    got = html_text.extract(pages)
+    assert got.columns == ["page_id", "url", "text", "n_chars"]
+    assert sorted((r["n_chars"], r["url"] or "") for r in got.collect()) == [(0, ""), (0, ""), (1, "u"), (1, "u"), (299999, "v")]
+    assert html_text.extract(pages.limit(0)).count() == 0
 
 
 # 5
