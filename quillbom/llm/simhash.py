@@ -19,16 +19,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillbom.llm.shared import checkpoint_dir, connected_components, slices, small_batches
+from quillbom.llm.shared import checkpoint_dir, connected_components, join_hot, slices, small_batches
 
 #: Shingle hashes that are counted at a time.
 BLOCK = 1 << 17
-#: Share of pairs of just the least similarity that near_copies() is to find; of more similar ones it finds more.
-RECALL = 0.92
+#: Bits and number of the short fingerprints of near_copies(), least hashes a text, and words of the long fingerprint.
+BITS, TABLES, MINIMA, LONG_WORDS = 16, 4, 3, 4
 #: Texts of a value that are compared with others in one step, on average.
 PAIR_BLOCK = 64
-#: Bits of a short fingerprint over those that tell all documents apart.
-SPARE_BITS = 8
 
 
 def _majority(hashes: list[np.ndarray]) -> np.ndarray:
@@ -72,13 +70,17 @@ def ball(half: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
+def spread(rows: DataFrame, column: str) -> DataFrame:
+    """rows dealt to as many tasks as shuffles have, before they multiply: rows this small would be coalesced to few
+    tasks, and a repartitioning by the column itself would be left out where rows are dealt by it already."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(F.lit("spread"), F.col(column)))
+
+
 def links(prints: DataFrame, radius: int = 2) -> DataFrame:
     """Star links (a, b) between distinct fingerprints fp, with the components of all pairs within an even radius."""
     if radius % 2:
         raise ValueError("the radius must be even")
-    n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # an explicit number, as rows this small would be coalesced to few tasks before they multiply
-    variants = prints.repartition(n, "fp").select("fp", F.explode(F.array(*[F.lit(m) for m in ball(radius // 2)])).alias("flip"))
+    variants = spread(prints, "fp").select("fp", F.explode(F.array(*[F.lit(m) for m in ball(radius // 2)])).alias("flip"))
     met = variants.groupBy(F.col("fp").bitwiseXOR(F.col("flip")).alias("variant")).agg(F.collect_list("fp").alias("met"))
     met = met.where(F.size("met") > 1).select(F.array_min("met").alias("a"), F.explode("met").alias("b"))
     return met.where("a <> b").distinct()
@@ -88,36 +90,38 @@ def near_duplicate_groups(docs: DataFrame, width: int = 3, radius: int = 2, key:
     """(key, fingerprint, component_id) per row: the smallest key reachable over links, itself included.
 
     Null and empty texts share fingerprint 0. Rows with a null key belong to the group of their
-    text, whose id is the smallest known key (null if there is none). Repeated rows stay repeated.
+    text, whose id is the smallest known key (null if there is none). Repeated rows stay repeated; a
+    very long text is hashed in blocks; an empty table gives no rows. Other columns of docs, of any
+    name, are not read.
     """
     checkpoint_dir(docs.sparkSession)
-    marked = fingerprints(docs, width, key, text).checkpoint()
-    prints = marked.groupBy("fp").agg(F.min(key).alias("least"))
+    marked = fingerprints(docs.select(F.col(key).alias("k"), F.col(text).alias("t")), width, "k", "t").checkpoint()
+    prints = marked.groupBy("fp").agg(F.min("k").alias("least"), F.count("*").alias("rows")).checkpoint()
     roots = connected_components(links(prints, radius))
     grouped = prints.join(roots, prints["fp"] == roots["node"])
     smallest = grouped.groupBy("root").agg(F.min("least").alias("component"))
     of_print = grouped.select("fp", "root").join(smallest, "root").select("fp", "component")
-    named = prints.join(of_print, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
-    return marked.join(named, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = prints.join(of_print, "fp", "left").select("fp", "rows", F.coalesce("component", "least").alias("component_id"))
+    found = join_hot(marked, named, "fp", marked.count())
+    return found.select(F.col("k").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 # Near copies by similarity. At a Jaccard similarity of 0.8 one bit in seven differs, too many for
-# one ball of 64 bits. So there are many short fingerprints, each searched by ball hashing with
-# radius 2; pairs that meet in any are held against all bits, then against the shingles themselves.
+# one ball of 64 bits. So there are TABLES fingerprints of BITS bits, each searched by ball hashing with
+# radius 2. Bits so few would bring all documents of a large corpus together, so only texts that share
+# one of MINIMA least shingle hashes meet (the chance of one is the similarity itself): a text has
+# TABLES * MINIMA * (BITS + 1) variants, whatever the size of the corpus, and chance meetings don't grow
+# with it. Pairs that meet are held against all bits, then against the shingles themselves.
 # All texts of a value are first held against its smallest, the hub, which joins groups of copies at
 # once. A hub may be a chance meeting, so then all pairs that meet and are not yet in one group are
 # compared, in blocks: their number grows with the square only of texts that are alike but not linked.
 
 
-def short_fingerprints(rows: float, similarity: float) -> tuple[int, int, float]:
-    """(bits, tables, differing share) so that pairs of that similarity meet with chance RECALL.
-
-    Bits grow with the number of rows, to keep chance meetings few, and tables to keep the recall.
-    """
-    bits = min(48, max(16, math.ceil(math.log2(max(2.0, rows))) + SPARE_BITS))
+def meeting_chance(similarity: float) -> float:
+    """The chance that a pair of texts of that similarity meets."""
     differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    meet = sum(math.comb(bits, n) * differ**n * (1 - differ) ** (bits - n) for n in range(3))
-    return bits, math.ceil(math.log(1 - RECALL) / math.log(1 - meet)), differ
+    ball = sum(math.comb(BITS, n) * differ**n * (1 - differ) ** (BITS - n) for n in range(3))
+    return (1 - (1 - similarity) ** MINIMA) * (1 - (1 - ball) ** TABLES)
 
 
 def _long_fingerprints(hashes: list[np.ndarray], words: int) -> np.ndarray:
@@ -131,42 +135,59 @@ def _long_fingerprints(hashes: list[np.ndarray], words: int) -> np.ndarray:
     return np.stack(out, axis=1)
 
 
-def _cut(prints: np.ndarray, bits: int, tables: int) -> np.ndarray:
-    """The short fingerprints that the bits of long ones hold, as non-negative numbers."""
+def _minima(hashes: np.ndarray) -> list[int]:
+    """The least of a text's shingle hashes, in MINIMA orders of chance; 0 for a text without shingles."""
+    out = []
+    for n in range(MINIMA):
+        x = hashes * np.uint64((0xBF58476D1CE4E5B9 * (2 * n + 3)) % (1 << 64))
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        out.append(int((x ^ (x >> np.uint64(29))).min()) if len(x) else 0)
+    return out
+
+
+def _values(hashes: list[np.ndarray], prints: np.ndarray) -> list[np.ndarray]:
+    """Per text the places where it meets others: a hash of minimum and table above, BITS bits of a fingerprint below."""
     flat = np.unpackbits(np.ascontiguousarray(prints.astype("<u8")).view(np.uint8).reshape(len(prints), -1), axis=1, bitorder="little")
-    flat = flat[:, : bits * tables].reshape(len(prints), tables, bits).astype(np.int64)
-    return flat @ (np.int64(1) << np.arange(bits, dtype=np.int64))
+    short = flat[:, : BITS * TABLES].reshape(len(prints), TABLES, BITS).astype(np.int64) @ (np.int64(1) << np.arange(BITS, dtype=np.int64))
+    number = np.arange(MINIMA * TABLES, dtype=np.uint64).reshape(MINIMA, TABLES)
+    out = []
+    for h, own in zip(hashes, short, strict=True):
+        x = (np.array(_minima(h), np.uint64)[:, None] + number) * np.uint64(0x9E3779B97F4A7C15)
+        above = ((x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(BITS + 1)).astype(np.int64)
+        out.append(((above << BITS) | own).reshape(-1))
+    return out
 
 
 def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, digest, root, root_digest) of each distinct text: its smallest key, its MD5, and both of the first of its group.
 
     Groups are the connected components of pairs whose shingle sets have at least that Jaccard
-    similarity. Every pair that is linked has been verified; pairs of just the least similarity are
-    found with chance RECALL. Null keys count as the largest number, null texts as empty; texts that
-    share a key are as different as others.
+    similarity. Every pair that is linked has been verified; a pair is found with meeting_chance() of
+    its similarity, 0.95 at 0.8. Null keys count as the largest number, null texts as empty; texts
+    that share a key are as different as others. A very long text is hashed as a whole; an empty
+    table gives no rows. Other columns of docs, of any name, are not read.
     """
     checkpoint_dir(docs.sparkSession)
     ready = small_batches(docs).select(F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    bits, tables, differ = short_fingerprints(docs.count(), similarity)
-    words = -(-bits * tables // 64)
+    bits, words = BITS, LONG_WORDS
+    differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in slices(batches):
-            long = _long_fingerprints([np.unique(shingle_hashes(t, width)) for t in rows["t"]], words)  # sets, as the similarity is one of sets
-            yield pd.DataFrame({"key": rows["key"], "digest": rows["digest"], "long": list(long.view(np.int64)), "short": list(_cut(long, bits, tables))})
+            sets = [np.unique(shingle_hashes(t, width)) for t in rows["t"]]  # sets, as the similarity is one of sets
+            long = _long_fingerprints(sets, words)
+            yield pd.DataFrame({"key": rows["key"], "digest": rows["digest"], "long": list(long.view(np.int64)), "short": _values(sets, long)})
 
     marked = ready.withColumn("digest", F.md5("t")).mapInPandas(run, "key long, digest string, long array<long>, short array<long>")
     texts = marked.groupBy("digest").agg(F.min("key").alias("key"), F.first("long").alias("long"), F.first("short").alias("short"))
     texts = texts.withColumn("node", F.monotonically_increasing_id()).checkpoint()  # fixed by the checkpoint
-    values = texts.select("node", F.posexplode("short").alias("number", "value")).select("node", (F.col("number") * F.lit(1 << bits) + F.col("value")).alias("value"))
+    values = texts.select("node", F.explode("short").alias("value"))
     hubs = values.groupBy("value").agg(F.min("node").alias("hub"), F.count("*").alias("texts"))
     homes = values.join(hubs, "value").select(F.shiftright("value", bits).alias("number"), "hub", "node", "texts")
     same = homes.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
     masks = [0] + [1 << n for n in range(bits)]
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # the last bit of a tag says whether the hub's value has more texts
-    variants = hubs.repartition(n, "value").select((F.col("hub") * 2 + (F.col("texts") > 1).cast("long")).alias("tag"), F.col("value"), F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("flip"))
+    variants = spread(hubs, "value").select((F.col("hub") * 2 + (F.col("texts") > 1).cast("long")).alias("tag"), F.col("value"), F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("flip"))
     met = variants.groupBy(F.col("value").bitwiseXOR(F.col("flip")).alias("variant")).agg(F.collect_list("tag").alias("met"))
     met = met.where(F.size("met") > 1).select(F.shiftright("variant", bits).alias("number"), F.array_sort("met").alias("met"))
     # all pairs of hubs: at most bits + 1 of them share a variant
@@ -249,8 +270,17 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, key: s
 
 
 def keep_one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents without near copies: of each group the row of the smallest key stays, once."""
+    """The documents without near copies: of each group the row of the smallest key stays, once.
+
+    Null keys come last in a group; null and empty texts are one text, of which one row stays; of
+    rows that repeat a key and a text one stays, with the other columns of any of them. Columns may
+    have any names. An empty table stays empty.
+    """
+    names = docs.columns
+    docs = docs.toDF(*[f"c{i}" for i in range(len(names))])  # so that no name clashes with one of ours
+    key, text = f"c{names.index(key)}", f"c{names.index(text)}"
     groups = near_copies(docs, width, similarity, key, text)
-    stay = groups.where((F.col("key") == F.col("root")) & (F.col("digest") == F.col("root_digest"))).select(F.col("key").alias("_key"), F.col("digest").alias("_digest"))
-    marked = docs.withColumns({"_key": F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)), "_digest": F.md5(F.coalesce(F.col(text), F.lit("")))})
-    return marked.join(stay, ["_key", "_digest"], "left_semi").dropDuplicates(["_key", "_digest"]).select(*docs.columns)
+    stay = groups.where((F.col("key") == F.col("root")) & (F.col("digest") == F.col("root_digest"))).select("key", "digest")
+    marked = docs.withColumns({"key": F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)), "digest": F.md5(F.coalesce(F.col(text), F.lit("")))})
+    kept = marked.join(stay, ["key", "digest"], "left_semi").dropDuplicates(["key", "digest"])
+    return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])

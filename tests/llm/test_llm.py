@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from quillbom.llm import html_text, licenses, maxent_lm, packing, piece_codec, quality, simhash, substring_dedup, suffix_dedup, topk, windows
+from quillbom.llm import html_text, licenses, maxent_lm, packing, piece_codec, quality, shared, simhash, substring_dedup, suffix_dedup, topk, windows
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -252,6 +252,50 @@ def test_near_copies(spark):
     assert sorted(i for i in ids if i is not None) == list(range(0, 400, 10)) and ids.count(None) == 1
 
 
+def test_recall_by_similarity(spark):
+    """Pairs of texts of known similarity: those of 0.8 and more are found as often as stated, those below never."""
+    rng = random.Random(16)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows, similar = [], {}
+    for n in range(700):
+        base = [word() for _ in range(200)]
+        copy = list(base)
+        for _ in range(rng.randint(1, 7)):
+            copy[rng.randrange(200)] = word()
+        a, b = ({tuple(w[i:i + 5]) for i in range(196)} for w in (base, copy))
+        similar[2 * n] = len(a & b) / len(a | b)
+        rows += [(2 * n, " ".join(base)), (2 * n + 1, " ".join(copy))]
+    kept = {r["doc_id"] for r in simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    found = {n: n + 1 not in kept for n in similar}
+    assert all(n in kept for n in similar) and not any(found[n] for n in similar if similar[n] < 0.8)
+    for low, high, least in ((0.8, 0.83, 0.9), (0.83, 0.9, 0.95), (0.9, 1.01, 0.99)):
+        band = [found[n] for n in similar if low <= similar[n] < high]
+        assert len(band) > 50 and sum(band) >= least * len(band), (low, sum(band), len(band))
+    assert simhash.meeting_chance(0.8) > 0.95
+
+
+def test_near_copies_with_clashing_names(spark):
+    names = ["key", "digest", "_key", "_digest", "t", "c0", "node", "root"]
+    rows = [(i, "one text of some words here", *[f"{i}{c}" for c in names]) for i in (2, 1)] + [(3, None, *names), (3, None, *names), (4, "", *names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} string" for c in names))
+    kept = simhash.keep_one_of_each(docs)
+    assert kept.columns == docs.columns and ordered(kept.collect()) == ordered([rows[1], rows[2]])
+    assert simhash.keep_one_of_each(docs.limit(0)).count() == 0
+
+
+def test_components_with_a_hot_node(spark):
+    rng = random.Random(17)
+    edges = [(0, n) for n in range(1, 3000)] + [(5000 + n, 5001 + n) for n in range(60)] + [(rng.randrange(6000, 6400), rng.randrange(6000, 6400)) for _ in range(300)]
+    root = {}
+    find = lambda x: x if root.setdefault(x, x) == x else find(root[x])
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    want = {x: find(x) for e in edges if e[0] != e[1] for x in e}
+    got = shared.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {r["node"]: r["root"] for r in got} == want and len(got) == len(want)
+
+
 def test_near_copies_with_a_repeated_line(spark):
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
