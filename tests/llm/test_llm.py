@@ -742,3 +742,41 @@ def test_pipeline(spark):
     for i, t in texts:
         assert len(got[i].encode()) <= want[i][0] - want[i][1] and (want[i][1] or got[i] == t)
     assert {r["doc_id"] for r in rows} == set(got)
+
+
+STAGE_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, words string, k string, chunk int, score string, _key string"
+
+
+def stage_rows():
+    """Nulls, empty texts, repeated rows, ties, near copies, a very long text and columns of clashing names."""
+    rng = random.Random(18)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    texts = [" ".join(word() for _ in range(120)) for _ in range(6)]
+    rows = [(0, texts[0]), (1, texts[0]), (1, texts[0]), (2, texts[0] + " tail"), (3, texts[1]), (3, texts[2]), (None, texts[3]), (None, texts[3]), (None, None), (4, None), (5, ""), (6, "few words")]
+    rows += [(7, " ".join(word() for _ in range(40000))), (8, texts[4] + "\n" + texts[5][:300]), (9, texts[5])]
+    return [(i, t, None, "s", None if t is None else len(t), "w", "k", 1, None, "x") for i, t in rows]
+
+
+def test_stages_on_odd_rows(spark):
+    """Each stage of the pipeline against a plain version, on rows of every odd kind, and on none."""
+    rows = stage_rows()
+    docs, sf = spark.createDataFrame(rows, STAGE_SCHEMA).repartition(4), "/root/testdata/sf0.001"
+    judged = corpus_pipeline.quality_rules(spark, docs.where("doc_id is null or doc_id not in (1, 8)"), sf)
+    assert judged.schema == docs.schema
+    got = judged.collect()
+    assert all(r["text"] is not None and len(r["text"].split()) >= 50 for r in got)
+    single = corpus_pipeline.near_duplicates(spark, docs, sf)
+    assert single.schema == docs.schema
+    want = [r for r in rows if (r[0], r[1]) not in {(1, rows[0][1]), (2, rows[3][1]), (None, None), (5, "")}]
+    want = list({(r[0], r[1]): r for r in want}.values())
+    assert ordered(single.collect()) == ordered(want)
+    cleaned = corpus_pipeline.repeated_strings(spark, docs, sf)
+    assert cleaned.schema == docs.schema and cleaned.count() == len(rows)
+    plain = {(i, n) for i, n, *_ in plain_bytes([(r[0], r[1]) for r in rows], 50)}
+    assert {r["doc_id"] for r in cleaned.collect()} == {i for i, _ in plain}
+    for r in cleaned.where("doc_id in (0, 1, 8)").collect():
+        assert r["n_chars"] == len(r["text"]) and (r["text"] == "") == (r["doc_id"] == 1)
+    packed = corpus_pipeline.best_fit_packing(spark, docs, sf).collect()
+    assert Counter(r["doc_id"] for r in packed if r["piece"] == 0) == Counter(r[0] for r in rows)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf).count() == 0
