@@ -65,78 +65,76 @@ COSE = {
 
 # First primitive and families of known libraries.
 LIBRARIES: dict[str, tuple[str, str]] = {
-    line.split(":")[0]: tuple(line.split(":")[1].split("=", 1))
-    for line in """crypto:symmetric=AES, DES, 3DES, ChaCha20-Poly1305, RSA, EC, DH, SHA, MD5, HMAC, PBKDF2, scrypt, HKDF
-node/crypto:symmetric=AES, DES, 3DES, ChaCha20-Poly1305, RSA, EC, DH, SHA, MD5, HMAC, PBKDF2, scrypt, HKDF
-tls:asymmetric=TLS
-https:asymmetric=TLS
-crypto-js:symmetric=AES, DES, 3DES, RC4, Rabbit, SHA-1, SHA-256, SHA-512, SHA-3, MD5, HMAC, PBKDF2
-node-forge:asymmetric=RSA, AES, DES, 3DES, SHA, MD5, PKCS#7, PKCS#12, X.509
-tweetnacl:asymmetric=Curve25519, Ed25519, XSalsa20-Poly1305
-libsodium-wrappers:symmetric=XChaCha20-Poly1305, Ed25519, X25519, Argon2, BLAKE2b
-sodium-native:symmetric=XChaCha20-Poly1305, Ed25519, X25519, Argon2, BLAKE2b
-jsonwebtoken:mac=HMAC, RSA, ECDSA, JWT
-jose:symmetric=JWT, JWE, JWS, AES, RSA, ECDSA, EdDSA
-jwa:mac=HMAC, RSA, ECDSA
-jws:mac=HMAC, RSA, ECDSA
-node-jose:symmetric=JWT, JWE, JWS, AES, RSA, EC
-jwk-to-pem:asymmetric=RSA, EC
-pem:asymmetric=RSA, X.509
-node-rsa:asymmetric=RSA
-ursa:asymmetric=RSA
-elliptic:asymmetric=ECDSA, ECDH, EdDSA
-bcrypt:kdf=bcrypt
-bcrypt-nodejs:kdf=bcrypt
-bcryptjs:kdf=bcrypt
-argon2:kdf=Argon2
-scrypt-js:kdf=scrypt
-scrypt:kdf=scrypt
-pbkdf2:kdf=PBKDF2
-hash.js:hash=SHA-1, SHA-256, SHA-512, RIPEMD-160
-sha.js:hash=SHA-1, SHA-256, SHA-512
-sha1:hash=SHA-1
-sha3:hash=SHA-3, Keccak
-js-sha256:hash=SHA-256
-js-sha3:hash=SHA-3, Keccak
-md5:hash=MD5
-blakejs:hash=BLAKE2
-@noble/hashes:hash=SHA-2, SHA-3, BLAKE2, BLAKE3, HMAC, PBKDF2, scrypt, HKDF
-@noble/curves:asymmetric=secp256k1, Ed25519, X25519, P-256
-@noble/ciphers:symmetric=AES, ChaCha20-Poly1305
-crypto-browserify:symmetric=AES, RSA, DH, SHA, MD5, HMAC, PBKDF2
-browserify-aes:symmetric=AES
-browserify-rsa:asymmetric=RSA
-browserify-sign:signature=RSA, ECDSA, DSA
-browserify-cipher:symmetric=AES, DES, 3DES
-public-encrypt:asymmetric=RSA
-diffie-hellman:key-agreement=DH
-create-ecdh:key-agreement=ECDH
-create-hash:hash=SHA, MD5, RIPEMD-160
-create-hmac:mac=HMAC
-randombytes:drbg=CSPRNG
-secure-random:drbg=CSPRNG
-otplib:mac=HMAC, HOTP, TOTP
-speakeasy:mac=HMAC, HOTP, TOTP
-openpgp:asymmetric=RSA, ECC, AES, SHA, PGP
-asn1.js:asymmetric=X.509, ASN.1
-selfsigned:asymmetric=RSA, X.509
-pem-jwk:asymmetric=RSA, EC
-keypair:asymmetric=RSA
-rsa-pem-to-jwk:asymmetric=RSA
-@peculiar/webcrypto:symmetric=AES, RSA, EC, SHA, HKDF, PBKDF2
-webcrypto-core:symmetric=AES, RSA, EC, SHA
-secp256k1:asymmetric=secp256k1, ECDSA, ECDH
-eciesjs:asymmetric=secp256k1, ECIES, AES
-ethereumjs-util:hash=Keccak-256, secp256k1, ECDSA
-bitcoinjs-lib:hash=SHA-256, RIPEMD-160, secp256k1, ECDSA
-ethers:hash=Keccak-256, secp256k1, ECDSA, HDKey/BIP32
-web3:hash=Keccak-256, secp256k1, ECDSA
-cookie-signature:mac=HMAC
-csrf:mac=HMAC, CSPRNG
-ssh2:symmetric=SSH, AES, RSA, ECDSA, Ed25519
-node-ssh:symmetric=SSH""".splitlines()
+    "crypto": ("symmetric", "AES, DES, 3DES, ChaCha20-Poly1305, RSA, EC, DH, SHA, MD5, HMAC, PBKDF2, scrypt, HKDF"),
+    "node:crypto": ("symmetric", "AES, DES, 3DES, ChaCha20-Poly1305, RSA, EC, DH, SHA, MD5, HMAC, PBKDF2, scrypt, HKDF"),
+    "tls": ("asymmetric", "TLS"),
+    "https": ("asymmetric", "TLS"),
+    "crypto-js": ("symmetric", "AES, DES, 3DES, RC4, Rabbit, SHA-1, SHA-256, SHA-512, SHA-3, MD5, HMAC, PBKDF2"),
+    "node-forge": ("asymmetric", "RSA, AES, DES, 3DES, SHA, MD5, PKCS#7, PKCS#12, X.509"),
+    "tweetnacl": ("asymmetric", "Curve25519, Ed25519, XSalsa20-Poly1305"),
+    "libsodium-wrappers": ("symmetric", "XChaCha20-Poly1305, Ed25519, X25519, Argon2, BLAKE2b"),
+    "sodium-native": ("symmetric", "XChaCha20-Poly1305, Ed25519, X25519, Argon2, BLAKE2b"),
+    "jsonwebtoken": ("mac", "HMAC, RSA, ECDSA, JWT"),
+    "jose": ("symmetric", "JWT, JWE, JWS, AES, RSA, ECDSA, EdDSA"),
+    "jwa": ("mac", "HMAC, RSA, ECDSA"),
+    "jws": ("mac", "HMAC, RSA, ECDSA"),
+    "node-jose": ("symmetric", "JWT, JWE, JWS, AES, RSA, EC"),
+    "jwk-to-pem": ("asymmetric", "RSA, EC"),
+    "pem": ("asymmetric", "RSA, X.509"),
+    "node-rsa": ("asymmetric", "RSA"),
+    "ursa": ("asymmetric", "RSA"),
+    "elliptic": ("asymmetric", "ECDSA, ECDH, EdDSA"),
+    "bcrypt": ("kdf", "bcrypt"),
+    "bcrypt-nodejs": ("kdf", "bcrypt"),
+    "bcryptjs": ("kdf", "bcrypt"),
+    "argon2": ("kdf", "Argon2"),
+    "scrypt-js": ("kdf", "scrypt"),
+    "scrypt": ("kdf", "scrypt"),
+    "pbkdf2": ("kdf", "PBKDF2"),
+    "hash.js": ("hash", "SHA-1, SHA-256, SHA-512, RIPEMD-160"),
+    "sha.js": ("hash", "SHA-1, SHA-256, SHA-512"),
+    "sha1": ("hash", "SHA-1"),
+    "sha3": ("hash", "SHA-3, Keccak"),
+    "js-sha256": ("hash", "SHA-256"),
+    "js-sha3": ("hash", "SHA-3, Keccak"),
+    "md5": ("hash", "MD5"),
+    "blakejs": ("hash", "BLAKE2"),
+    "@noble/hashes": ("hash", "SHA-2, SHA-3, BLAKE2, BLAKE3, HMAC, PBKDF2, scrypt, HKDF"),
+    "@noble/curves": ("asymmetric", "secp256k1, Ed25519, X25519, P-256"),
+    "@noble/ciphers": ("symmetric", "AES, ChaCha20-Poly1305"),
+    "crypto-browserify": ("symmetric", "AES, RSA, DH, SHA, MD5, HMAC, PBKDF2"),
+    "browserify-aes": ("symmetric", "AES"),
+    "browserify-rsa": ("asymmetric", "RSA"),
+    "browserify-sign": ("signature", "RSA, ECDSA, DSA"),
+    "browserify-cipher": ("symmetric", "AES, DES, 3DES"),
+    "public-encrypt": ("asymmetric", "RSA"),
+    "diffie-hellman": ("key-agreement", "DH"),
+    "create-ecdh": ("key-agreement", "ECDH"),
+    "create-hash": ("hash", "SHA, MD5, RIPEMD-160"),
+    "create-hmac": ("mac", "HMAC"),
+    "randombytes": ("drbg", "CSPRNG"),
+    "secure-random": ("drbg", "CSPRNG"),
+    "otplib": ("mac", "HMAC, HOTP, TOTP"),
+    "speakeasy": ("mac", "HMAC, HOTP, TOTP"),
+    "openpgp": ("asymmetric", "RSA, ECC, AES, SHA, PGP"),
+    "asn1.js": ("asymmetric", "X.509, ASN.1"),
+    "selfsigned": ("asymmetric", "RSA, X.509"),
+    "pem-jwk": ("asymmetric", "RSA, EC"),
+    "keypair": ("asymmetric", "RSA"),
+    "rsa-pem-to-jwk": ("asymmetric", "RSA"),
+    "@peculiar/webcrypto": ("symmetric", "AES, RSA, EC, SHA, HKDF, PBKDF2"),
+    "webcrypto-core": ("symmetric", "AES, RSA, EC, SHA"),
+    "secp256k1": ("asymmetric", "secp256k1, ECDSA, ECDH"),
+    "eciesjs": ("asymmetric", "secp256k1, ECIES, AES"),
+    "ethereumjs-util": ("hash", "Keccak-256, secp256k1, ECDSA"),
+    "bitcoinjs-lib": ("hash", "SHA-256, RIPEMD-160, secp256k1, ECDSA"),
+    "ethers": ("hash", "Keccak-256, secp256k1, ECDSA, HDKey/BIP32"),
+    "web3": ("hash", "Keccak-256, secp256k1, ECDSA"),
+    "cookie-signature": ("mac", "HMAC"),
+    "csrf": ("mac", "HMAC, CSPRNG"),
+    "ssh2": ("symmetric", "SSH, AES, RSA, ECDSA, Ed25519"),
+    "node-ssh": ("symmetric", "SSH"),
 }
-LIBRARIES["node:crypto"] = LIBRARIES.pop("node/crypto")
 NOT_CAPABLE = ["tweetnacl-util", "uuid", "passport-jwt", "express-jwt", "helmet"]
 PRIMITIVE_OF = {
     "symmetric": "block-cipher", "asymmetric": "pke", "hash": "hash", "mac": "mac", "kdf": "kdf", "signature": "signature", "key-agreement": "key-agree",
@@ -174,3 +172,7 @@ STEMS = [
     (r"^(jsonwebtoken|jwt-simple|jose|jwa|jws|node-jose)\z", "signature", "JWT, HMAC, RSA, ECDSA"),
     (r"^(crypto-js|node-forge|forge|tweetnacl|elliptic|noble-secp256k1)\z", "symmetric", "AES, SHA-256, RSA, ECDSA"),
 ]
+
+# Order of asset types and levels in summaries.
+ASSET_TYPE_ORDER = ["algorithm", "certificate", "protocol", "related-crypto-material"]
+QUANTUM_LEVELS = [0, 1, 2, 3, 4, 5]

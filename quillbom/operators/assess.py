@@ -10,54 +10,70 @@ from pyspark.sql import functions as F
 
 from quillbom.functions import columns as C
 from quillbom.functions import rules
+from quillbom.functions.keys import scan_key
 
-FILLED = ["primitive", "algorithmFamily", "parameterSet", "mode", "materialType", "fingerprint"]
+FILLED = ["primitive", "algorithmFamily", "parameterSet", "mode", "materialType", "fingerprint", "keyExtension", "callContext", "sourceContext", "exposureRisk"]
 
 
 def merge_evidence(findings: DataFrame, window: int = 2) -> DataFrame:
-    """Findings of one asset type and file, at most so many lines apart, become one, in the order of seq.
+    """Findings of one asset type and file (and scan), at most so many lines apart, become one, in the order of seq.
 
     The merge is greedy: a finding goes to the first one before it that it fits, whose identity and
-    evidence grow as it takes others in. Two fit when their families do (null and unknown fit all) and
-    they are on one line or share no source. Runs of findings whose lines lie within the window of
-    their neighbours are the largest groups that can merge, so only these reach Python, each on its
-    own, and findings alone in their run never do.
+    evidence grow as it takes others in. Two fit when their families (or names) do (null and unknown
+    fit all) and they are on one line or share no source. Runs of findings whose lines lie within the
+    window of their neighbours are the largest groups that can merge, so only these reach Python,
+    many runs at a time, and findings alone in their run never do. Inside a run only the findings
+    kept on near lines are looked at, so a file with a hit on each line costs no more than others.
     """
-    by_file = Window.partitionBy("assetType", "filePath").orderBy("line", "seq")
+    place = [*scan_key(findings), "assetType", "filePath"]
+    by_file = Window.partitionBy(*place).orderBy("line", "seq")
     gap = F.coalesce(F.col("line") - F.lag("line").over(by_file) > window, F.lit(True))
-    runs = findings.withColumn("_new", gap.cast("int")).withColumn("_run", F.sum("_new").over(by_file))
-    sized = runs.withColumn("_n", F.count("*").over(Window.partitionBy("assetType", "filePath", "_run")))
-    alone = sized.where("_n = 1").drop("_new", "_run", "_n")
-    together = sized.where("_n > 1").drop("_new", "_n")
+    last = F.coalesce(F.lead("line").over(by_file) - F.col("line") > window, F.lit(True))
+    runs = findings.withColumns({"_new": gap, "_last": last}).withColumn("_run", F.sum(F.col("_new").cast("int")).over(by_file))
+    alone = runs.where("_new and _last").drop("_new", "_last", "_run")
+    buckets = 16 * int(findings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    together = runs.where("not (_new and _last)").drop("_new", "_last").withColumn("_bucket", F.pmod(F.xxhash64(*place, "_run"), F.lit(buckets)))
     schema = findings.schema
+    names = [f.name for f in schema.fields]
+    filled = [c for c in FILLED if c in names]
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        kept: list[dict] = []
-        for row in rows.sort_values("seq").drop(columns="_run").to_dict("records"):
+        rows = rows.sort_values([*place, "_run", "seq"])
+        run_of = list(zip(*(rows[c].tolist() for c in [*place, "_run"]), strict=True))
+        found = rows[names].astype(object)
+        found = found.where(found.notna(), None).to_dict("records")
+        out: list[dict] = []
+        near: dict[int, list[tuple[int, dict]]] = {}
+        before = None
+        for own, row in zip(run_of, found, strict=True):
+            if own != before:
+                near, before = {}, own
             row["evidence"] = [dict(e) for e in row["evidence"]]
-            target = next((k for k in kept if _fits(k, row, window)), None)
+            close = [k for line in range(row["line"] - window, row["line"] + window + 1) for k in near.get(line, [])]
+            target = min((k for k in close if _fits(k[1], row, window)), key=lambda k: k[0], default=None)
             if target is None:
-                kept.append(row)
+                near.setdefault(row["line"], []).append((len(out), row))
+                out.append(row)
                 continue
-            target["evidence"] += row["evidence"]
-            for c in FILLED:
-                if pd.isna(target[c]):
-                    target[c] = row[c]
-            if target["name"] in (None, "unknown") and row["name"] is not None:
-                target["name"] = row["name"]
-        return pd.DataFrame(kept, columns=[f.name for f in schema.fields])
+            kept = target[1]
+            kept["evidence"] += row["evidence"]
+            for c in filled:
+                if kept[c] is None:
+                    kept[c] = row[c]
+            if kept["name"] in (None, "", "unknown") and row["name"] not in (None, "", "unknown"):
+                kept["name"] = row["name"]
+        return pd.DataFrame(out, columns=names)
 
-    return alone.unionByName(together.groupBy("assetType", "filePath", "_run").applyInPandas(run, schema))
+    return alone.unionByName(together.groupBy("_bucket").applyInPandas(run, schema))
 
 
 def _fits(a: dict, b: dict, window: int) -> bool:
     if abs(a["line"] - b["line"]) > window:
         return False
-    families = [None if pd.isna(x["algorithmFamily"]) or x["algorithmFamily"].lower() == "unknown" else x["algorithmFamily"].lower() for x in (a, b)]
-    if None not in families and families[0] != families[1]:
+    families = [(x["algorithmFamily"] or x["name"] or "unknown").lower() for x in (a, b)]
+    if "unknown" not in families and families[0] != families[1]:
         return False
-    sources = [{e["source"] for e in x["evidence"]} for x in (a, b)]
-    return a["line"] == b["line"] or sources[0].isdisjoint(sources[1])
+    return a["line"] == b["line"] or {e["source"] for e in a["evidence"]}.isdisjoint(e["source"] for e in b["evidence"])
 
 
 def assess(findings: DataFrame) -> DataFrame:

@@ -9,49 +9,64 @@ from pyspark.sql import functions as F
 
 from quillbom.functions import columns as C
 from quillbom.functions import rules
+from quillbom.functions.keys import SCAN, scan_key
+from quillbom.operators import scan as detectors
 
 
 def attribute(findings: DataFrame, packages: DataFrame) -> DataFrame:
-    """findings with packageContext: the first version of the package whose folder holds the file."""
-    first = packages.groupBy("name").agg(F.min_by(F.struct("name", "version", "purl"), "seq").alias("packageContext")).withColumnRenamed("name", "_owner")
-    return findings.withColumn("_owner", C.owning_package(F.col("filePath"))).join(first, "_owner", "left").drop("_owner")
+    """findings with packageContext: the first version of the package of the scan whose folder holds the file."""
+    by = scan_key(findings, packages)
+    first = packages.groupBy(*by, "name").agg(F.min_by(F.struct("name", "version", "purl"), "seq").alias("packageContext")).withColumnRenamed("name", "_owner")
+    return findings.withColumn("_owner", C.owning_package(F.col("filePath"))).join(first, [*by, "_owner"], "left").drop("_owner")
 
 
 def compounding(correlated: DataFrame, packages: DataFrame, anomalies: DataFrame | None = None) -> DataFrame:
-    """(name, version, purl) of packages with a known vulnerability (or anomaly) and a severe finding of their own."""
+    """((scan,) name, version, purl) of packages with a known vulnerability (or anomaly) and a severe finding of their own."""
+    by = scan_key(correlated, packages)
     severe = correlated.where(F.col("quantumRisk").isin("CRITICAL", "HIGH") | F.col("exposureRisk").isin("CRITICAL", "HIGH"))
-    own = severe.where("packageContext is not null").select(F.col("packageContext.purl").alias("purl")).distinct()
-    risky = packages.where(F.size("osvCves") > 0).select("name", "version", "purl")
+    own = severe.where("packageContext is not null").select(*by, F.col("packageContext.purl").alias("purl")).distinct()
+    risky = packages.where(F.size("osvCves") > 0).select(*by, "name", "version", "purl")
     if anomalies is not None:
-        risky = risky.unionByName(packages.join(anomalies.select("purl").distinct(), "purl", "left_semi").select("name", "version", "purl")).distinct()
-    return risky.join(own, "purl", "left_semi")
+        risky = risky.unionByName(packages.join(anomalies.select(*by, "purl").distinct(), [*by, "purl"], "left_semi").select(*by, "name", "version", "purl")).distinct()
+    return risky.join(own, [*by, "purl"], "left_semi")
 
 
 def combined_summary(correlated: DataFrame) -> DataFrame:
-    """One row: counts by quantum and exposure class, and of findings with and without a package."""
+    """Counts by quantum and exposure class, and of findings with and without a package; a row for each scan if there are several."""
     count = lambda c, v, n: F.count(F.when(F.coalesce(F.when(F.col(c).isin(rules.EXPOSURES), F.col(c)), F.lit("NONE")) == v, 1)).alias(n)
-    return correlated.agg(
+    return correlated.groupBy(*scan_key(correlated)).agg(
         *[count("quantumRisk", v, f"quantum{v.title()}") for v in rules.EXPOSURES], *[count("exposureRisk", v, f"exposure{v.title()}") for v in rules.EXPOSURES],
         F.count("packageContext").alias("attributed"), F.count(F.when(F.col("packageContext").isNull(), 1)).alias("firstParty"),
     )
 
 
 def by_primitive(correlated: DataFrame) -> DataFrame:
-    return correlated.where("primitive is not null").groupBy("primitive").agg(F.count("*").alias("n"))
+    return correlated.where("primitive is not null").groupBy(*scan_key(correlated), "primitive").agg(F.count("*").alias("n"))
 
 
-def component(ref: Column) -> Column:
-    """A finding as a CycloneDX component struct; null fields are left out when written as JSON."""
+def findings_by_package(correlated: DataFrame) -> DataFrame:
+    """((scan,) purl, findings): what each package is known to hold, in the order of files and lines."""
+    own = correlated.where("packageContext is not null")
+    each = F.array_sort(F.collect_list(F.struct("filePath", "line", "findingId", "name", "assetType", "quantumRisk", "exposureRisk")))
+    return own.groupBy(*scan_key(own), F.col("packageContext.purl").alias("purl")).agg(each.alias("findings"))
+
+
+def component(ref: Column, columns: list[str] = ()) -> Column:
+    """A finding as a CycloneDX component struct; null fields are left out when written as JSON. Of the columns
+    of certificates (subject, validTo), those that are among the given ones are used."""
     kind = F.col("assetType")
     algorithm = F.when(kind == "algorithm", F.struct("primitive", F.col("parameterSet").alias("parameterSetIdentifier"), "mode", F.col("nistQuantumLevel").alias("nistQuantumSecurityLevel")))
     material = F.when(kind == "related-crypto-material", F.struct(F.coalesce("materialType", F.lit("other")).alias("type"), F.lit("active").alias("state"), C.leading_int(F.col("parameterSet")).alias("size")))
+    given = lambda c: F.col(c) if c in columns else F.lit(None).cast("string")
+    until = F.coalesce(F.date_format(given("validTo").try_cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), given("validTo"))
+    certificate = F.when(kind == "certificate", F.struct(given("subject").alias("subjectName"), until.alias("notValidAfter"), F.col("parameterSet").alias("signatureAlgorithm")))
     prop = lambda name, value: F.when(value.isNotNull(), F.struct(F.lit(f"quillbom:{name}").alias("name"), value.cast("string").alias("value")))
     props = F.array_compact(F.array(prop("confidence", F.col("confidence")), prop("context", F.col("contextCategory")), prop("quantumRisk", F.col("quantumRisk")), prop("exposureRisk", F.col("exposureRisk")), prop("fingerprint", F.col("fingerprint"))))
     shown = lambda s: F.when(s.isin("keys_certs", "sca", "constant"), "static").when(s == "sbom_sca", "sca").when(s == "vectorSearch", "embedding").otherwise(s)
     seen = F.transform("evidence", lambda e: F.struct(F.lit("quillbom:evidence").alias("name"), F.concat(e["evidenceClass"], F.lit(" — "), e["detail"]).alias("value")))
     return F.struct(
         F.lit("cryptographic-asset").alias("type"), ref.alias("bom-ref"), "name",
-        F.struct(kind.alias("assetType"), algorithm.alias("algorithmProperties"), material.alias("relatedCryptoMaterialProperties")).alias("cryptoProperties"),
+        F.struct(kind.alias("assetType"), algorithm.alias("algorithmProperties"), certificate.alias("certificateProperties"), material.alias("relatedCryptoMaterialProperties")).alias("cryptoProperties"),
         F.concat(props, seen).alias("properties"), F.array_distinct(F.transform("evidence", lambda e: shown(e["source"]))).alias("sources"),
     )
 
@@ -61,17 +76,18 @@ def references(findings: DataFrame) -> DataFrame:
 
 
 def provides(correlated: DataFrame) -> DataFrame:
-    """(ref, provides): per package the findings in its folder."""
+    """((scan,) ref, provides): per package the findings in its folder."""
     own = correlated.where((F.col("contextCategory") == "vendor") & F.col("packageContext").isNotNull())
-    return own.groupBy(F.col("packageContext.purl").alias("ref")).agg(F.array_sort(F.collect_set("bomRef")).alias("provides"))
+    return own.groupBy(*scan_key(own), F.col("packageContext.purl").alias("ref")).agg(F.array_sort(F.collect_set("bomRef")).alias("provides"))
 
 
-def document(correlated: DataFrame) -> DataFrame:
-    """The CBOM of one scan as JSON text."""
-    parts = references(correlated).agg(F.array_sort(F.collect_list(F.struct("filePath", "line", component(F.col("bomRef")).alias("c")))).alias("x"))
-    edges = provides(references(correlated)).agg(F.array_sort(F.collect_list(F.struct("ref", "provides"))).alias("dependencies"))
-    body = F.struct(F.lit("CycloneDX").alias("bomFormat"), F.lit("1.6").alias("specVersion"), F.transform("x", lambda e: e["c"]).alias("components"), "dependencies")
-    return parts.crossJoin(edges).select(F.to_json(body).alias("document"))  # one row each
+def documents(correlated: DataFrame) -> DataFrame:
+    """(scan, document): the CBOM of each scan as JSON text; rows without a scan column are of one scan, whose name is empty."""
+    rows = references(correlated if scan_key(correlated) else correlated.withColumn(SCAN, F.lit("")))
+    parts = rows.groupBy(SCAN).agg(F.array_sort(F.collect_list(F.struct("filePath", "line", component(F.col("bomRef"), rows.columns).alias("c")))).alias("x"))
+    edges = provides(rows).groupBy(SCAN).agg(F.array_sort(F.collect_list(F.struct("ref", "provides"))).alias("dependencies"))
+    body = F.struct(F.lit("CycloneDX").alias("bomFormat"), F.lit("1.6").alias("specVersion"), F.transform("x", lambda e: e["c"]).alias("components"), F.coalesce("dependencies", F.array().cast(edges.schema["dependencies"].dataType)).alias("dependencies"))
+    return parts.join(edges, SCAN, "left").select(SCAN, F.to_json(body).alias("document"))
 
 
 def merge_documents(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -92,8 +108,9 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm == 0, 0.0).otherwise(dot(a, b) / norm)
 
 
-def nearest(queries: DataFrame, corpus: DataFrame, k: int = 3, least: float = 0.75, block_rows: int = 2048) -> DataFrame:
+def nearest(queries: DataFrame, corpus: DataFrame, k: int = 3, least: float = 0.75, block_rows: int = 2048, others: bool = False) -> DataFrame:
     """queries (id, v) with their k most similar corpus entries (entry, w) of at least that cosine; ties to the smaller entry.
+    With others, an entry is no neighbour of the query of the same number.
 
     Both sides are dealt to blocks of bounded size, and each pair of blocks is one task's matrix product.
     """
@@ -111,7 +128,7 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int = 3, least: float = 0.
             scores = np.divide(q @ c.T, size, out=np.zeros_like(size), where=size > 0)
             entries = held["entry"].to_numpy()
             for n, row in zip(asked["id"], scores, strict=True):
-                near = np.flatnonzero(row >= least)
+                near = np.flatnonzero((row >= least) & (entries != n) if others else row >= least)
                 out += [(n, entries[x], row[x]) for x in near[np.lexsort((entries[near], -row[near]))][:k]]
         return pd.DataFrame(out, columns=["id", "entry", "score"]).astype({"id": "int64", "entry": "int64", "score": "float64"})
 
@@ -121,17 +138,26 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int = 3, least: float = 0.
 
 
 def fixed_span(lines: DataFrame, at: DataFrame, back: int = 40, ahead: int = 5) -> DataFrame:
-    """(path, line, text): the lines around each place, from back before it to just under ahead after it."""
-    places = at.select("path", F.col("line").alias("at"), F.explode(F.sequence(F.greatest(F.lit(1), F.col("line") - back), F.col("line") + ahead - 1)).alias("line"))
-    joined = places.join(lines, ["path", "line"])
+    """((scan,) path, line, text): the lines around each place, from back before it to just under ahead after it."""
+    key = [*scan_key(lines, at), "path"]
+    places = at.select(*key, F.col("line").alias("at"), F.explode(F.sequence(F.greatest(F.lit(1), F.col("line") - back), F.col("line") + ahead - 1)).alias("line"))
+    joined = places.join(lines, [*key, "line"])
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("line", "content"))), lambda x: x["content"])
-    return joined.groupBy("path", "at").agg(F.array_join(ordered, "\n").alias("text")).withColumnRenamed("at", "line")
+    return joined.groupBy(*key, "at").agg(F.array_join(ordered, "\n").alias("text")).withColumnRenamed("at", "line")
+
+
+def enclosing_span(lines: DataFrame, at: DataFrame) -> DataFrame:
+    """The span that a place is shown in. Functions around it are never found where this comes from, as it reads a
+    field that is not there, so the span is always the fixed one."""
+    return fixed_span(lines, at)
 
 
 def hashed_vector(text: Column, size: int = 256) -> Column:
-    """A term-frequency vector of hashed words, for retrieval without a model."""
-    words = F.transform(F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != ""), lambda w: F.pmod(F.xxhash64(w), F.lit(size)))
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(words, lambda w: w == i)).cast("float"))
+    """A term-frequency vector of hashed words, for retrieval without a model: buckets are counted by sorting them once."""
+    words = F.array_sort(F.transform(F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != ""), lambda w: F.pmod(F.xxhash64(w), F.lit(size)).cast("int")))
+    ends = F.filter(F.transform(words, lambda w, i: F.when(F.coalesce(F.get(words, i + 1) != w, F.lit(True)), F.struct(w.alias("w"), (i + 1).alias("end")))), lambda e: e.isNotNull())
+    counts = F.map_from_arrays(F.transform(ends, lambda e: e["w"]), F.transform(ends, lambda e, i: e["end"] - F.coalesce(F.get(ends, i - 1)["end"], F.lit(0))))
+    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at(counts, i), F.lit(0)).cast("float"))
 
 
 # Verification
@@ -148,6 +174,46 @@ def capped(rows: DataFrame, order: list, most: int = 50) -> DataFrame:
     return rows.orderBy(*order).limit(most)
 
 
+def skipped(rows: DataFrame, most: int = 50) -> DataFrame:
+    """One row: how many there are for the costly step, how many it takes, and how many it skips."""
+    n = F.count("*")
+    return rows.agg(n.alias("total"), F.least(n, F.lit(most)).alias("taken"), F.greatest(n - most, F.lit(0)).alias("skipped"))
+
+
+def verified(findings: DataFrame, answers: DataFrame) -> DataFrame:
+    """The whole pass from findings to be verified to findings with interpretive evidence.
+
+    answers has the recorded answer (raw) of a finding's id. Findings without direct evidence whose
+    answer names a family get it, with the answer's confidence as evidence; outcome is null for
+    findings that were not asked, or whose answer is missing.
+    """
+    by = scan_key(findings, answers)
+    asked = to_verify(findings).select(*by, "findingId")
+    known = answers.join(asked, [*by, "findingId"], "left_semi").dropDuplicates([*by, "findingId"]).select(*by, "findingId", verdict(response(F.col("raw"))).alias("v"))
+    rows = findings.join(known, [*by, "findingId"], "left")
+    ok = F.coalesce(F.col("v.outcome") == "ok", F.lit(False))
+    seen = F.struct(
+        F.lit("llm").alias("source"), F.lit("interpretive").alias("evidenceClass"), F.concat(F.lit("verified as "), F.col("v.family")).alias("detail"),
+        F.col("v.confidence").alias("rawConfidence"), F.col("filePath"), F.col("line").cast("int").alias("line"),
+    )
+    added = F.when(ok, F.concat("evidence", F.array(seen).cast(f"array<{detectors.EVIDENCE}>"))).otherwise(F.col("evidence"))
+    take = lambda c, new: F.when(ok, F.coalesce(new, F.col(c))).otherwise(F.col(c))
+    return rows.withColumns({
+        "evidence": added, "algorithmFamily": take("algorithmFamily", F.col("v.family")), "name": take("name", F.col("v.family")), "primitive": take("primitive", F.col("v.primitive")), "outcome": F.col("v.outcome"),
+    }).drop("v")
+
+
+def scan_summary(findings: DataFrame) -> DataFrame:
+    """What a scan says at its end: findings in all, with direct evidence, candidates for verification, and its outcomes with the reasons of failures."""
+    direct = F.exists("evidence", lambda e: e["evidenceClass"] == "direct")
+    is_ = lambda *v: F.count(F.when(F.col("outcome").isin(*v), 1))
+    return findings.groupBy(*scan_key(findings)).agg(
+        F.count("*").alias("total"), F.count(F.when(direct, 1)).alias("direct"), F.count(F.when(~direct | F.col("outcome").isNotNull(), 1)).alias("candidates"),
+        is_("ok", "no_crypto", "failed", "schema_mismatch").alias("attempted"), is_("ok", "no_crypto").alias("succeeded"), is_("no_crypto").alias("noCrypto"),
+        is_("failed", "schema_mismatch").alias("failed"), is_("failed").alias("unreadable"), is_("schema_mismatch").alias("mismatched"),
+    )
+
+
 def prompt(path: Column, code: Column, neighbours: Column) -> Column:
     listed = F.array_join(F.transform(neighbours, lambda n: F.concat(F.lit("- "), n["entry"], F.lit(" ("), F.format_number(n["score"], 2), F.lit(")"))), "\n")
     return F.concat_ws("\n\n", F.concat(F.lit("File: "), path), F.concat(F.lit("Similar code:\n"), listed), F.concat(F.lit("Code:\n"), code), F.lit("Answer with one JSON object: algorithmFamily, primitive, parameterSet, confidence, reasoning."))

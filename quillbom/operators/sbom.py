@@ -7,25 +7,28 @@ from pyspark.sql import functions as F
 
 from quillbom.functions import columns as C
 from quillbom.functions import rules
+from quillbom.functions.keys import SCAN, scan_key
 from quillbom.functions.positions import with_position
 
 
 def components(entries: DataFrame) -> DataFrame:
-    """One row per installed package: entries without the root and without a version; ranges that any entry declares."""
+    """One row per installed package: entries without the root and without a version; ranges that any entry of the scan declares."""
+    by = scan_key(entries)
     flag = lambda c: F.coalesce(F.col(c), F.lit(False)).alias(c)
     name = C.package_name(F.col("path"))
     kept = entries.where((F.col("path") != "") & F.col("version").isNotNull()).select(
-        "seq", name.alias("name"), F.col("path").alias("lockfilePath"), "version", C.purl(name, F.col("version")).alias("purl"),
+        *by, "seq", name.alias("name"), F.col("path").alias("lockfilePath"), "version", C.purl(name, F.col("version")).alias("purl"),
         F.nullif("resolved", F.lit("")).alias("resolved"), F.nullif("integrity", F.lit("")).alias("integrity"), flag("dev"), flag("optional"), flag("hasInstallScript"),
     )
-    declared = declared_ranges(entries.select("seq", F.explode("dependencies").alias("name", "range")), "name", "range", "seq")
-    return kept.join(declared, "name", "left").withColumn("declaredRanges", F.coalesce("declaredRanges", F.array().cast("array<string>")))
+    declared = declared_ranges(entries.select(*by, "seq", F.explode("dependencies").alias("name", "range")), "name", "range", "seq")
+    return kept.join(declared, [*by, "name"], "left").withColumn("declaredRanges", F.coalesce("declaredRanges", F.array().cast("array<string>")))
 
 
 def declared_ranges(edges: DataFrame, name: str, value: str, seq: str) -> DataFrame:
-    """(name, declaredRanges): the ranges in the order of the entries that declare them."""
+    """(scan,) name, declaredRanges: the ranges in the order of the entries that declare them. With a scan
+    column a group is no larger than one lockfile."""
     pairs = F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), F.col(value).alias("v"))))
-    return edges.groupBy(F.col(name).alias("name")).agg(F.transform(pairs, lambda p: p["v"]).alias("declaredRanges"))
+    return edges.groupBy(*scan_key(edges), F.col(name).alias("name")).agg(F.transform(pairs, lambda p: p["v"]).alias("declaredRanges"))
 
 
 def hit(kind: str, severity: Column, reason: Column) -> Column:
@@ -98,40 +101,54 @@ def enrich(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
 
 
 def anomalies(parts: DataFrame, popular: DataFrame, registry: DataFrame, downloads: DataFrame, as_of: Column) -> DataFrame:
-    """(purl, seq, type, severity, reason) of all detectors, in their fixed order; freshness is asked only where
-    no other detector of the lockfile has a hit."""
+    """((scan,) purl, seq, type, severity, reason) of all detectors, in their fixed order; freshness is asked only where
+    no other detector of the lockfile has a hit. Popular names, registry and downloads are the same for all scans."""
     near = nearest_popular(parts, popular).withColumnRenamed("name", "_n")
     rows = flag_members(parts, popular.select("name"), "name", "popular").join(near, F.col("name") == F.col("_n"), "left")
-    typo = F.when(F.col("near").isNotNull(), hit("typosquat", F.lit("critical"), F.concat(F.lit("Looks like "), F.col("near"))))
+    typo = F.when(F.col("near").isNotNull(), hit("typosquat", F.lit("high"), F.concat(F.lit("Looks like "), F.col("near"))))
     rows = rows.withColumn("static", F.array_compact(F.array(typo, version_pinning(F.col("declaredRanges")), install_script(F.col("hasInstallScript"), F.col("popular")))))
     rows = enrich(enrich(rows, registry, "name"), downloads, "name")
     new = F.when(F.size("static") == 0, freshness(F.col("published"), F.col("weekly"), as_of))
     found = F.concat("static", F.array_compact(F.array(new, licence(F.col("license")), deprecation(F.col("deprecated")))))
-    return rows.select("purl", F.posexplode(found).alias("seq", "h")).select("purl", "seq", "h.*")
+    by = scan_key(parts)
+    return rows.select(*by, "purl", F.posexplode(found).alias("seq", "h")).select(*by, "purl", "seq", "h.*")
+
+
+def detector_counts(found: DataFrame) -> DataFrame:
+    """Hits of each detector, by scan if there are several: what a scan logs of its detectors (typosquat and freshness among them)."""
+    return found.groupBy(*scan_key(found), "type").agg(F.count("*").alias("hits"))
+
+
+def fact_counts(parts: DataFrame, facts: DataFrame, key: str = "name") -> DataFrame:
+    """How many distinct names were asked, answered, and not answered (errors count as no answer)."""
+    names = parts.select(key).distinct().join(facts.select(F.col(key).alias("_fact")).distinct(), F.col(key) == F.col("_fact"), "left")
+    return names.agg(F.count("*").alias("asked"), F.count("_fact").alias("answered"), F.count(F.when(F.col("_fact").isNull(), 1)).alias("errors"))
 
 
 def with_hits(parts: DataFrame, vulns: DataFrame, found: DataFrame) -> DataFrame:
-    """Components with the arrays of their purl's vulnerabilities and anomalies; rows of one purl share them."""
-    ids = vulns.groupBy("purl").agg(F.array_sort(F.collect_list("vuln_id")).alias("vulns"))
-    hits = found.groupBy("purl").agg(F.array_sort(F.collect_list(F.struct("seq", "type", "severity", "reason"))).alias("hits"))
-    rows = parts.join(ids, "purl", "left").join(hits, "purl", "left")
+    """Components with the arrays of their purl's vulnerabilities and anomalies; rows of one purl (and scan) share them."""
+    by = scan_key(parts, vulns, found)
+    ids = vulns.groupBy(*by, "purl").agg(F.array_sort(F.collect_list("vuln_id")).alias("vulns"))
+    hits = found.groupBy(*by, "purl").agg(F.array_sort(F.collect_list(F.struct("seq", "type", "severity", "reason"))).alias("hits"))
+    rows = parts.join(ids, [*by, "purl"], "left").join(hits, [*by, "purl"], "left")
     return rows.withColumns({"vulns": F.coalesce("vulns", F.array().cast("array<string>")), "hits": F.coalesce("hits", F.array().cast(hits.schema["hits"].dataType))})
 
 
 def worst_bucket(has_vuln: Column, severities: Column) -> Column:
-    """Exclusive bucket: any vulnerability is critical; else the worst of the severities; low for any other hit."""
+    """Exclusive bucket: any vulnerability (or hit of that severity) is critical; else the worst of the severities; low for any other hit."""
     holds = lambda s: F.array_contains(severities, s)
-    return F.when(has_vuln, "critical").when(holds("high"), "high").when(holds("medium"), "medium").when(F.size(severities) > 0, "low")
+    return F.when(has_vuln | holds("critical"), "critical").when(holds("high"), "high").when(holds("medium"), "medium").when(F.size(severities) > 0, "low")
 
 
 def risk_summary(rows: DataFrame, bucket: str = "bucket") -> DataFrame:
-    """Counts of components by bucket, flagged and in all."""
+    """Counts of components by bucket, flagged and in all; a row for each scan if there are several."""
     count = lambda s: F.count(F.when(F.col(bucket) == s, 1)).alias(s)
-    return rows.agg(*[count(s) for s in rules.SEVERITIES], F.count(bucket).alias("flaggedCount"), F.count("*").alias("totalComponents"))
+    return rows.groupBy(*scan_key(rows)).agg(*[count(s) for s in rules.SEVERITIES], F.count(bucket).alias("flaggedCount"), F.count("*").alias("totalComponents"))
 
 
 def type_histogram(rows: DataFrame) -> DataFrame:
-    return rows.select(F.explode("hits").alias("h")).groupBy(F.col("h.type").alias("type")).agg(F.count("*").alias("n"))
+    by = scan_key(rows)
+    return rows.select(*by, F.explode("hits").alias("h")).groupBy(*by, F.col("h.type").alias("type")).agg(F.count("*").alias("n"))
 
 
 def chunks(rows: DataFrame, order: list, size: int) -> DataFrame:
@@ -140,14 +157,22 @@ def chunks(rows: DataFrame, order: list, size: int) -> DataFrame:
     return with_position(rows, order, "position").withColumn("chunk", F.floor(F.col("position") / size)).drop("position")
 
 
-def document(rows: DataFrame) -> DataFrame:
-    """One CycloneDX document as JSON text, from with_hits()."""
+def component_struct() -> Column:
+    """A component of with_hits() as a CycloneDX struct; null fields are left out when written as JSON."""
     prop = lambda h: F.struct(F.concat(F.lit("anomaly:"), h["type"]).alias("name"), F.concat(h["severity"], F.lit(" — "), h["reason"]).alias("value"))
-    part = F.struct(
+    return F.struct(
         F.lit("library").alias("type"), "name", "version", "purl", F.col("purl").alias("bom-ref"), F.when(F.col("dev"), "optional").otherwise("required").alias("scope"),
         F.when(F.size("hits") > 0, F.transform("hits", prop)).alias("properties"),
     )
+
+
+def documents(rows: DataFrame) -> DataFrame:
+    """(scan, document): one CycloneDX document as JSON text for each scan, from with_hits(). A document holds
+    the components of one lockfile, so its size does not grow with the number of scans; rows without a scan
+    column are of one scan, whose name is empty."""
+    rows = rows if scan_key(rows) else rows.withColumn(SCAN, F.lit(""))
     vuln = F.transform("vulns", lambda v: F.struct(v.alias("id"), F.array(F.struct(F.col("purl").alias("ref"))).alias("affects")))
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("seq", part.alias("c"), vuln.alias("v")))), lambda x: F.struct(x["c"].alias("c"), x["v"].alias("v")))
-    one = rows.agg(listed.alias("x"))
-    return one.select(F.to_json(F.struct(F.lit("CycloneDX").alias("bomFormat"), F.lit("1.6").alias("specVersion"), F.col("x.c").alias("components"), F.flatten("x.v").alias("vulnerabilities"))).alias("document"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("seq", component_struct().alias("c"), vuln.alias("v")))), lambda x: F.struct(x["c"].alias("c"), x["v"].alias("v")))
+    one = rows.groupBy(SCAN).agg(listed.alias("x"))
+    body = F.struct(F.lit("CycloneDX").alias("bomFormat"), F.lit("1.6").alias("specVersion"), F.col("x.c").alias("components"), F.flatten("x.v").alias("vulnerabilities"))
+    return one.select(SCAN, F.to_json(body).alias("document"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillbom.functions import columns as C
 from quillbom.functions import rules
+from quillbom.functions.keys import SCAN, scan_key
 
 EVIDENCE = "struct<source:string,evidenceClass:string,detail:string,rawConfidence:double,filePath:string,line:int>"
 FINDING = [
@@ -26,26 +27,28 @@ def finding(rows: DataFrame, source: str, kind: str, **given: Column | str | flo
         value("rawConfidence").cast("double").alias("rawConfidence"), "filePath", F.col("line").cast("int").alias("line"),
     )
     out = rows.select(
-        value("assetType").alias("assetType"), value("name").alias("name"),
+        *scan_key(rows), value("assetType").alias("assetType"), value("name").alias("name"),
         *[value(c).cast("string").alias(c) for c in ("primitive", "algorithmFamily", "parameterSet", "mode", "materialType", "fingerprint")],
         "filePath", F.col("line").cast("int").alias("line"), value("sourceContext", "live").alias("sourceContext"), value("contextCategory", "unknown").alias("contextCategory"),
         F.array(evidence).cast(f"array<{EVIDENCE}>").alias("evidence"),
     )
-    key = F.concat_ws("|", F.lit(source), "assetType", "name", "algorithmFamily", "parameterSet", "filePath", "line")
-    return out.withColumn("findingId", F.sha2(key, 256)).select(*FINDING)
+    key = F.concat_ws("|", *scan_key(rows), F.lit(source), "assetType", "name", "algorithmFamily", "parameterSet", "filePath", "line")
+    return out.withColumn("findingId", F.sha2(key, 256)).select(*scan_key(rows), *FINDING)
 
 
 def text_lines(files: DataFrame, text: Column, path: str = "path") -> DataFrame:
-    """(path, line, content) of texts cut at line feeds only."""
-    return files.select(path, F.posexplode(F.split(text, "\n")).alias("number", "content")).select(path, (F.col("number") + 1).alias("line"), "content")
+    """((scan,) path, line, content) of texts cut at line feeds only."""
+    by = scan_key(files)
+    return files.select(*by, path, F.posexplode(F.split(text, "\n")).alias("number", "content")).select(*by, path, (F.col("number") + 1).alias("line"), "content")
 
 
 def pem_blocks(files: DataFrame) -> DataFrame:
     """Key and certificate blocks, every header of every file; the fingerprint is that of the block's text."""
     text = C.as_text(F.col("content"))
     everything = "|".join(rules.PEM_HEADERS.values())
-    starts = files.where(F.contains(text, F.lit("-----BEGIN "))).select("path", text.alias("text")).select("path", "text", F.split("text", f"(?={everything})").alias("parts"))
-    parts = starts.select("path", "text", F.posexplode("parts").alias("k", "part"), F.col("parts"))
+    by = scan_key(files)
+    starts = files.where(F.contains(text, F.lit("-----BEGIN "))).select(*by, "path", text.alias("text")).select(*by, "path", "text", F.split("text", f"(?={everything})").alias("parts"))
+    parts = starts.select(*by, "path", "text", F.posexplode("parts").alias("k", "part"), F.col("parts"))
     before = F.array_join(F.slice("parts", 1, F.col("k")), "")
     ended = F.instr("part", "-----END ")
     tail = F.substr(F.col("part"), ended)
@@ -57,7 +60,7 @@ def pem_blocks(files: DataFrame) -> DataFrame:
     found = parts.withColumns({"label": label, "line": F.size(F.split(before, "\n")), "block": block, "filePath": F.col("path")}).where(F.col("label").isNotNull())
     stored = F.col("label") != "certificate"
     return finding(
-        found.dropDuplicates(["path", "line", "label"]), "keys_certs", "direct", assetType=F.when(stored, "related-crypto-material").otherwise("certificate"), name=F.col("label"),
+        found.dropDuplicates([*by, "path", "line", "label"]), "keys_certs", "direct", assetType=F.when(stored, "related-crypto-material").otherwise("certificate"), name=F.col("label"),
         materialType=F.when(stored, F.col("label")), rawConfidence=0.99, detail=F.concat(F.lit("PEM header: "), F.col("label")), fingerprint=C.fingerprint(F.col("block")),
     )
 
@@ -65,39 +68,61 @@ def pem_blocks(files: DataFrame) -> DataFrame:
 def byte_constants(files: DataFrame) -> DataFrame:
     """First place of each known constant in each file; the constants are a list, not a join side."""
     table = F.array(*[F.struct(F.lit(n).alias("family"), F.lit(rules.CONSTANT_PRIMITIVE[n]).alias("primitive"), F.unhex(F.lit(h)).alias("bytes")) for n, h in rules.BYTE_CONSTANTS.items()])
-    each = files.select(F.col("path").alias("filePath"), "content", F.explode(table).alias("k"))
+    each = files.select(*scan_key(files), F.col("path").alias("filePath"), "content", F.explode(table).alias("k"))
     at = F.position(F.col("k.bytes"), F.col("content"))
-    # hex pairs keep one byte each, so line feeds can be counted in front of the place
-    before = F.hex(F.substring("content", F.lit(1), at - 1))
-    feeds = F.size(F.filter(F.regexp_extract_all(before, F.lit("(..)"), 1), lambda b: b == "0A"))
-    found = each.where(at > 0).withColumn("line", feeds + 1)
+    # in Latin-1 each byte is a character, so what is missing without line feeds are the line feeds before the place
+    before = F.decode(F.substring("content", F.lit(1), at - 1), "ISO-8859-1")
+    found = each.where(at > 0).withColumn("line", F.length(before) - F.length(F.translate(before, "\n", "")) + 1)
     return finding(found, "constant", "supporting", assetType="algorithm", name=F.col("k.family"), algorithmFamily=F.col("k.family"), primitive=F.col("k.primitive"), rawConfidence=0.5, detail=F.concat(F.lit("constant of "), F.col("k.family")))
 
 
 def comment_free(files: DataFrame) -> DataFrame:
-    """(path, line, content, code): code is the line outside block comments; the state is folded over each file's lines."""
-    lines = F.split(C.as_text(F.col("content")), "\n")
-    step = lambda acc, line: F.struct(
-        F.when(acc["inside"], ~F.contains(line, F.lit("*/"))).otherwise(F.contains(line, F.lit("/*")) & ~F.contains(F.substring_index(line, "/*", -1), F.lit("*/"))).alias("inside"),
-        F.array_append(acc["code"], F.when(acc["inside"], F.when(F.contains(line, F.lit("*/")), F.substring_index(line, "*/", -1)).otherwise("")).otherwise(F.regexp_replace(line, r"/\*.*?(\*/|\z)", " "))).alias("code"),
-    )
-    code = F.aggregate(lines, F.struct(F.lit(False).alias("inside"), F.array().cast("array<string>").alias("code")), step)["code"]
-    zipped = F.arrays_zip(lines.alias("content"), code.alias("code"))
-    return files.select("path", F.posexplode(zipped).alias("k", "z")).select("path", (F.col("k") + 1).alias("line"), F.col("z.content").alias("content"), F.col("z.code").alias("code"))
+    """((scan,) path, line, content, code): code is the line outside block comments.
+
+    Comments are blanked in the text as a whole, by one pattern that keeps their line feeds, so the
+    work is linear in the file; an unclosed comment runs to the end.
+    """
+    by, text = scan_key(files), C.as_text(F.col("content"))
+    pieces = F.split(text, r"(?=/\*)")  # each but the first begins with a comment, if none is open before it
+    # which pieces begin inside an open comment is a running state; only flags are kept, a character for each piece
+    flags = F.aggregate(
+        pieces, F.struct(F.lit(False).alias("open"), F.lit("").alias("seen")),
+        lambda acc, piece: F.struct(
+            F.when(acc["open"], F.position(F.lit("*/"), piece) == 0).otherwise(F.startswith(piece, F.lit("/*")) & (F.position(F.lit("*/"), piece, F.lit(3)) == 0)).alias("open"),
+            F.concat(acc["seen"], F.when(acc["open"], "1").otherwise("0")).alias("seen"),
+        ),
+    )["seen"]
+    blank = lambda comment: F.regexp_replace(comment, r"[^\n]", "")
+
+    def outside(piece: Column, i: Column) -> Column:
+        inside = F.substring(flags, i + 1, 1) == "1"
+        starts = inside | F.startswith(piece, F.lit("/*"))
+        end = F.position(F.lit("*/"), piece, F.when(inside, 1).otherwise(3).cast("int"))
+        return F.when(~starts, piece).when(end == 0, blank(piece)).otherwise(F.concat(F.lit(" "), blank(F.substring(piece, F.lit(1), end - 1)), F.substring(piece, end + 2, F.length(piece))))
+
+    code = F.split(F.array_join(F.transform(pieces, outside), ""), "\n")
+    zipped = F.arrays_zip(F.split(text, "\n").alias("content"), code.alias("code"))
+    return files.select(*by, "path", F.posexplode(zipped).alias("k", "z")).select(*by, "path", (F.col("k") + 1).alias("line"), F.col("z.content").alias("content"), F.col("z.code").alias("code"))
 
 
 def candidates(files: DataFrame, findings: DataFrame) -> DataFrame:
-    """Lines that import a cryptographic module or call what sounds like one, unless direct evidence stands there."""
+    """Lines that import a cryptographic module or call what sounds like one, unless direct evidence of the scan stands there."""
+    by = scan_key(files, findings)
     lines = comment_free(files)
     clean = C.sanitize_line(F.col("code"))
     module = F.coalesce(F.nullif(F.regexp_extract("code", r"require\(\s*[\"']([^\"']+)[\"']", 1), F.lit("")), F.nullif(F.regexp_extract("code", r"from\s+[\"']([^\"']+)[\"']", 1), F.lit("")))
     called = C.crypto_calls(clean)
     hits = lines.where(F.coalesce(module.rlike(rules.CRYPTO_MODULES), F.lit(False)) | (F.size(called) > 0)).withColumn("filePath", F.col("path"))
-    direct = findings.where(F.exists("evidence", lambda e: e["evidenceClass"] == "direct")).select("filePath", "line").distinct()
-    left = hits.join(direct, ["filePath", "line"], "left_anti")
+    left = without_direct(hits, findings, by)
     return finding(left, "ast", "unclassified", assetType="algorithm", name="unknown", rawConfidence=0.35, detail=F.substring(F.trim("content"), 1, 60))
 
 
+def without_direct(rows: DataFrame, findings: DataFrame, by: list[str]) -> DataFrame:
+    """Rows (filePath, line) where no finding has direct evidence."""
+    direct = findings.where(F.exists("evidence", lambda e: e["evidenceClass"] == "direct")).select(*by, "filePath", "line").distinct()
+    return rows.join(direct, [*by, "filePath", "line"], "left_anti")
+
+
 # Line rules for code that can't be parsed: pattern, family, primitive, group of the parameter, confidence.
 LINE_RULES = [
     (r"\balg\s*:\s*(-\d+)", "COSE", "signature", 1, 0.60),
@@ -168,21 +193,38 @@ def sca_confidence(exact: Column, direct: Column, dev: Column, corroborated: Col
     return C.half_up(F.greatest(F.lit(0.15), F.least(F.lit(0.98), x)), 2)
 
 
+def corroborated(known: DataFrame, findings: DataFrame) -> DataFrame:
+    """(scan, name, version, agreed) of known packages (families, bare) whose family a finding of the scan has, or whose
+    bare name the detail of some evidence contains.
+
+    The names of a scan's known packages are one short array, for there are no more than known
+    libraries; each finding meets that array once and passes on the names that it contains.
+    """
+    key = [SCAN, "name", "version"]
+    seen = findings.where(F.col("algorithmFamily").isNotNull()).select(SCAN, F.col("algorithmFamily").alias("f")).distinct()
+    by_family = known.select(*key, F.explode("families").alias("f")).join(seen, [SCAN, "f"]).select(*key)
+    names = known.groupBy(SCAN).agg(F.collect_set("bare").alias("names"))
+    details = findings.select(SCAN, F.explode("evidence.detail").alias("detail")).distinct().join(names, SCAN)
+    met = details.select(SCAN, F.explode(F.filter("names", lambda n: F.contains(F.col("detail"), n))).alias("bare")).distinct()
+    by_name = known.join(met, [SCAN, "bare"]).select(*key)
+    return by_family.union(by_name).distinct().withColumn("agreed", F.lit(True))
+
+
 def packages(bom: DataFrame, findings: DataFrame) -> DataFrame:
     """Findings for packages known to hold cryptography, surer where a code finding agrees on the family or names the package."""
+    by = scan_key(bom, findings)
+    if not by:
+        bom, findings, by = bom.withColumn(SCAN, F.lit("")), findings.withColumn(SCAN, F.lit("")), [SCAN]
+        return packages(bom, findings).drop(SCAN)
     known = bom.withColumn("info", library_info(F.col("name"))).where(F.col("info").isNotNull()).withColumn("families", F.split("info.families", ", "))
-    seen = findings.where(F.col("algorithmFamily").isNotNull()).select(F.col("algorithmFamily").alias("f")).distinct()
-    by_family = known.select("name", "version", F.explode("families").alias("f")).join(seen, "f").select("name", "version").distinct()
-    words = findings.select(F.explode(F.flatten(F.transform("evidence", lambda e: F.split(e["detail"], r"[^A-Za-z0-9@/._-]+")))).alias("w")).distinct()
-    bare = F.element_at(F.split("name", "/"), -1)
-    by_name = known.select("name", "version", F.explode(F.array_distinct(F.array("name", bare))).alias("w")).join(words, "w").select("name", "version").distinct()
-    agreed = by_family.union(by_name).distinct().withColumn("agreed", F.lit(True))
-    rows = known.join(agreed, ["name", "version"], "left").withColumn("agreed", F.coalesce("agreed", F.lit(False)))
+    known = known.withColumn("bare", F.coalesce(F.try_element_at(F.split("name", "/"), F.lit(2)), "name"))
+    agreed = corroborated(known, findings)
+    rows = known.join(agreed, [SCAN, "name", "version"], "left").withColumn("agreed", F.coalesce("agreed", F.lit(False)))
     rows = rows.withColumns({"filePath": F.concat(F.lit("node_modules/"), F.col("name"), F.lit("/package.json")), "line": F.lit(1)})
     family = F.coalesce(F.col("families")[0], F.col("name"))
     primitive = F.create_map(*[F.lit(x) for kv in rules.PRIMITIVE_OF.items() for x in kv])
     return finding(
         rows, "sca", "supporting", evidenceClass=F.when(F.col("isDirect") & F.col("agreed"), "direct").otherwise("supporting"), assetType="algorithm", name=family, algorithmFamily=family,
         primitive=F.try_element_at(primitive, F.col("info.primitive")), rawConfidence=sca_confidence(F.col("info.exact"), F.col("isDirect"), F.col("devDependency"), F.col("agreed")),
-        detail=F.concat(F.lit("package "), F.col("name")), contextCategory="vendor",
+        detail=F.concat(F.lit("package "), F.col("name")), contextCategory=F.when(F.col("isDirect") & F.col("agreed"), "production").otherwise("vendor"),
     )

@@ -21,20 +21,29 @@ def _list(values: list) -> str:
     return "[" + ", ".join("NULL" if v is None else "'" + str(v).replace("'", "''") + "'" for v in values) + "]"
 
 
-ALGORITHMS = ["aes-256-gcm", "des-ede3-cbc", "RSA-SHA256", "sha1", "sha-256", "chacha20-poly1305", "HS256", "PS512", "EdDSA", "none", "'sha512'", "md5", " ripemd160 ", "{ name: 'AES-GCM', length: 256 }", "", "Blowfish"]
-PARSED = [
-    ("AES", "GCM", "256"), ("DES-EDE3", "CBC", None), ("RSA-SHA256", None, None), ("SHA1", None, None), ("SHA", None, "256"), ("CHACHA20", "POLY1305", None), ("HMAC", "SHA-256", None),
-    ("RSA-PSS", "SHA-512", None), ("EdDSA", None, None), ("none", None, None), ("SHA-512", None, None), ("MD5", None, None), ("RIPEMD-160", None, None), ("AES-GCM", None, "256"), (None, None, None), ("BLOWFISH", None, None),
-]
-
-
-@query(f"""SELECT p_partkey, {_list([p[0] for p in PARSED])}[p_partkey % 16 + 1] AS family, {_list([p[1] for p in PARSED])}[p_partkey % 16 + 1] AS mode, {_list([p[2] for p in PARSED])}[p_partkey % 16 + 1] AS key_size FROM part""")
+@query("""SELECT p_partkey, upper(split_part(p_name, ' ', 1)) || CASE WHEN p_partkey % 3 = 0 THEN '-X' ELSE '' END AS family, upper(['gcm', 'cbc', 'ctr', 'ecb'][p_size % 4 + 1]) AS mode, CAST(100 + p_size * 8 AS VARCHAR) AS key_size FROM part""")
 def algorithm_id_parse(spark, sf_dir):
-    """What code calls an algorithm, as family, mode and key size (F1)."""
-    rows = table(spark, sf_dir, "part").withColumn("a", C.algorithm_identifier(_nth(ALGORITHMS, F.col("p_partkey"))))
+    """What code calls an algorithm, as family, mode and key size: names in dashed parts, in any order and case (F1)."""
+    word, size = F.substring_index("p_name", " ", 1), (F.lit(100) + F.col("p_size") * 8).cast("string")
+    mode = _nth(["gcm", "cbc", "ctr", "ecb"], F.col("p_size"))
+    family = F.when(F.col("p_partkey") % 3 == 0, F.concat(word, F.lit("-X"))).otherwise(word)
+    raw = F.when(F.col("p_partkey") % 2 == 0, F.concat_ws("-", family, size, mode)).otherwise(F.concat(F.lit(" '"), F.upper(F.concat_ws("-", mode, family, size)), F.lit("'")))
+    rows = table(spark, sf_dir, "part").withColumn("a", C.algorithm_identifier(raw))
     return rows.select("p_partkey", "a.family", "a.mode", "a.key_size")
 
 
+@query("""SELECT p_partkey, CASE WHEN family IN ('RSA', 'DES', 'ECDSA') THEN 0 WHEN primitive = 'hash' THEN CASE WHEN size >= 512 THEN 5 WHEN size >= 384 THEN 4 WHEN size >= 256 THEN 3 WHEN size >= 160 THEN 1 ELSE 0 END
+ELSE CASE WHEN size >= 256 THEN 5 WHEN size >= 192 THEN 3 WHEN size >= 128 THEN 1 ELSE 0 END END AS level
+FROM (SELECT p_partkey, p_size * 12 AS size, ['AES', 'SHA', 'RSA', 'DES', 'ChaCha20', 'ECDSA'][p_partkey % 6 + 1] AS family, CASE WHEN p_partkey % 6 = 1 THEN 'hash' WHEN p_partkey % 6 IN (2, 5) THEN 'signature' ELSE 'block-cipher' END AS primitive FROM part)""")
+def nist_level(spark, sf_dir):
+    """Security levels of families and sizes of every part."""
+    p = F.col("p_partkey") % 6
+    primitive = F.when(p == 1, "hash").when(p.isin(2, 5), "signature").otherwise("block-cipher")
+    family = _nth(["AES", "SHA", "RSA", "DES", "ChaCha20", "ECDSA"], F.col("p_partkey"))
+    size = F.concat((F.col("p_size") * 12).cast("string"), F.lit(" bits"))
+    return table(spark, sf_dir, "part").select("p_partkey", C.nist_level(F.lit("algorithm"), primitive, F.lit(None).cast("string"), family, size).cast("int").alias("level"))
+
+
 @query(r"""WITH hit AS (SELECT doc_id, unnest(regexp_extract_all(text, 'token = "([0-9a-f]{40})"', 1)) AS secret FROM documents)
 SELECT doc_id, substr(sha256(secret), 1, 16) AS fingerprint, count(*) AS n FROM hit GROUP BY ALL""")
 def secret_fingerprint(spark, sf_dir):
@@ -284,11 +293,32 @@ def sca_priority_lookup(spark, sf_dir):
     return rows.select("p_partkey", "info.primitive", F.split("info.families", ", ")[0].alias("family"), sure.alias("confidence"))
 
 
-@query("SELECT n_nationkey, EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal > 5000) OR EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey AND c_acctbal > 9900) AS corroborated FROM nation")
+@query("""WITH name AS (SELECT unnest(['jose', 'bcrypt', '@noble/hashes', 'node-rsa', 'md5', 'elliptic']) AS name, unnest([0, 1, 2, 3, 4, 5]) AS i, unnest(['jose', 'bcrypt', 'hashes', 'node-rsa', 'md5', 'elliptic']) AS bare,
+    unnest([['JWT', 'JWE', 'JWS', 'AES', 'RSA', 'ECDSA', 'EdDSA'], ['bcrypt'], ['SHA-2', 'SHA-3', 'BLAKE2', 'BLAKE3', 'HMAC', 'PBKDF2', 'scrypt', 'HKDF'], ['RSA'], ['MD5'], ['ECDSA', 'ECDH', 'EdDSA']]) AS families),
+package AS (SELECT s_suppkey, s_suppkey % 200 AS scan, name, bare, families, s_acctbal > 0 AS direct FROM supplier JOIN name ON i = s_suppkey % 6),
+finding AS (SELECT c_custkey % 200 AS scan, CASE c_custkey % 11 WHEN 0 THEN 'AES' WHEN 1 THEN 'MD5' END AS family, c_mktsegment || ' ' || ['a.bcryptSync', 'jose.SignJWT', 'x', 'y', 'thenoble/hashes', 'z', 'w'][c_custkey % 7 + 1] AS detail FROM customer)
+SELECT DISTINCT scan::BIGINT AS scan, name, EXISTS (SELECT 1 FROM finding f WHERE f.scan = p.scan AND (list_contains(families, f.family) OR contains(f.detail, bare))) AS agreed FROM package p""")
 def semi_corroboration(spark, sf_dir):
-    """Whether any of several facts agrees."""
-    agree = table(spark, sf_dir, "supplier").where("s_acctbal > 5000").select(F.col("s_nationkey").alias("k")).unionByName(table(spark, sf_dir, "customer").where("c_acctbal > 9900").select(F.col("c_nationkey").alias("k"))).distinct()
-    return table(spark, sf_dir, "nation").join(agree, F.col("n_nationkey") == F.col("k"), "left").select("n_nationkey", F.col("k").isNotNull().alias("corroborated"))
+    """Known packages that a finding of their scan agrees with: by family, or where the detail of its evidence contains the name."""
+    supplier, customer = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "customer")
+    names = _nth(["jose", "bcrypt", "@noble/hashes", "node-rsa", "md5", "elliptic"], F.col("s_suppkey"))
+    bom = supplier.select((F.col("s_suppkey") % 200).cast("long").alias("scan"), names.alias("name"), F.lit("1").alias("version"), (F.col("s_acctbal") > 0).alias("isDirect"), F.lit(False).alias("devDependency")).distinct()
+    c = F.col("c_custkey")
+    detail = F.concat("c_mktsegment", F.lit(" "), _nth(["a.bcryptSync", "jose.SignJWT", "x", "y", "thenoble/hashes", "z", "w"], c))
+    evidence = F.array(F.struct(detail.alias("detail")))
+    code = customer.select((c % 200).cast("long").alias("scan"), F.when(c % 11 == 0, "AES").when(c % 11 == 1, "MD5").alias("algorithmFamily"), evidence.alias("evidence"))
+    found = scan.packages(bom, code).select("scan", F.regexp_extract("filePath", "node_modules/(.*)/package.json", 1).alias("name"), F.col("evidence")[0]["rawConfidence"].alias("sure"), (F.col("contextCategory") == "production").alias("direct"))
+    bare = bom.select("scan", "name", "isDirect").join(found, ["scan", "name"])
+    # an agreement adds 0.20: the exact names' 0.70, and 0.15 or -0.10 for direct ones and others
+    agreed = F.col("sure") > F.when(F.col("isDirect"), 0.86).otherwise(0.61)
+    return bare.select("scan", "name", agreed.alias("agreed")).distinct()
+
+
+@query(_FINDINGS_SQL + "SELECT doc_id, assetType, title FROM (SELECT *, list_aggregate(list_transform(string_split(assetType, '-'), lambda w: upper(w[1]) || w[2:]), 'string_agg', ' ') AS title FROM f)")
+def type_labels(spark, sf_dir):
+    """Types in words."""
+    kind = _nth(["algorithm", "certificate", "related-crypto-material", "gadget"], F.col("doc_id"))
+    return table(spark, sf_dir, "documents").select("doc_id", kind.alias("assetType"), views.type_label(kind).alias("title"))
 
 
 @query("SELECT event_id, value FROM events WHERE event_type <> 'purchase' ORDER BY value DESC, event_id LIMIT 50")
@@ -299,13 +329,13 @@ def cap_topn(spark, sf_dir):
 
 @query("""SELECT id, CAST(rank AS INTEGER) AS rank, entry, floor(score * 1e6 + 0.5) / 1e6 AS score FROM (SELECT q.vec_id AS id, c.vec_id AS entry, list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS score,
 row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) DESC, c.vec_id) AS rank FROM embeddings q, embeddings c
-WHERE q.vec_id % 50 = 0 AND c.vec_id % 50 <> 0 AND list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) >= 0.2) WHERE rank <= 3""")
+WHERE q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) >= 0.2) WHERE rank <= 3""")
 def cosine_topk(spark, sf_dir):
-    """The three most similar labelled entries of each query row (J16, L2, F36, C16); the query set is every fiftieth row."""
+    """The three most similar of all other entries for each query row (J16, L2, F36, C16); the query set is every fiftieth row."""
     rows = table(spark, sf_dir, "embeddings")
     queries = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    corpus = rows.where("vec_id % 50 <> 0").select(F.col("vec_id").alias("entry"), F.col("embedding").alias("w"))
-    return relate.nearest(queries, corpus, 3, 0.2).select("id", "rank", "entry", C.half_up(F.col("score"), 6).alias("score"))
+    corpus = rows.select(F.col("vec_id").alias("entry"), F.col("embedding").alias("w"))
+    return relate.nearest(queries, corpus, 3, 0.2, others=True).select("id", "rank", "entry", C.half_up(F.col("score"), 6).alias("score"))
 
 
 _ANSWERS = [
@@ -404,14 +434,23 @@ def quantum_tier(spark, sf_dir):
     return table(spark, sf_dir, "part").groupBy(C.quantum_tier(F.col("p_size") % 7).alias("tier")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT p_partkey, [-7, -257, -8, -37, -99][p_partkey % 5 + 1] AS number, ['ECDSA', 'RSA', 'EdDSA', 'RSA-PSS', NULL][p_partkey % 5 + 1] AS family, ['P-256 / ES256', 'RS256', 'EdDSA', 'PS256', NULL][p_partkey % 5 + 1] AS parameter FROM part")
+@query("""WITH cose(number, family, parameter) AS (VALUES (-7, 'ECDSA', 'P-256 / ES256'), (-8, 'EdDSA', 'EdDSA'), (-37, 'RSA-PSS', 'PS256'), (-35, 'ECDSA', 'P-384 / ES384'), (-36, 'ECDSA', 'P-521 / ES512'), (-47, 'ECDSA', 'secp256k1 / ES256K'))
+SELECT p_partkey, -p_size AS number, family, parameter FROM part LEFT JOIN cose ON number = -p_size""")
 def cose_lookup(spark, sf_dir):
-    """COSE numbers."""
-    number = _nth([-7, -257, -8, -37, -99], F.col("p_partkey"), "int")
+    """COSE numbers, for every size as a number."""
+    number = -F.col("p_size")
     cose = scan.cose_column(number)
     return table(spark, sf_dir, "part").select("p_partkey", number.alias("number"), cose["family"].alias("family"), cose["parameter"].alias("parameter"))
 
 
+@query("""SELECT page_id, regexp_replace(url, '^https?://[^/]+/?', '') || CASE WHEN page_id > 0 THEN '#L' || page_id ELSE '' END AS tail FROM pages""")
+def file_links(spark, sf_dir):
+    """Links to a line of a file."""
+    path = F.regexp_replace("url", "^https?://[^/]+/?", "")
+    link = views.file_link(F.lit("https://github.com/a/b.git"), path, F.col("page_id"))
+    return table(spark, sf_dir, "pages").where(path != "").select("page_id", F.replace(link, F.lit("https://github.com/a/b/blob/HEAD/"), F.lit("")).alias("tail"))
+
+
 @query("SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'https://github.com/advisories/GHSA-' || s_suppkey ELSE 'https://osv.dev/vulnerability/CVE-' || s_suppkey END AS link FROM supplier")
 def issue_links(spark, sf_dir):
     """Links to advisories."""
@@ -467,11 +506,12 @@ def comment_rules(spark, sf_dir):
     return calls.comment_hits(rows, "text").select("p_partkey", F.col("hit.rule").alias("rule"))
 
 
-@query("SELECT n_nationkey, n_nationkey % 3 = 0 AS is_repository FROM nation")
+@query(r"""SELECT page_id, regexp_full_match(u, 'https?://(www\.)?github\.com/[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+?(\.git)?/?') AS is_repository
+FROM (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN regexp_replace(url, '^https?://[^/]+', 'https://github.com/owner') ELSE url END AS u FROM pages)""")
 def repository_urls(spark, sf_dir):
-    """Which addresses are repositories."""
-    url = _nth(["https://github.com/a/b", "https://example.com/a", "github.com"], F.col("n_nationkey"))
-    return table(spark, sf_dir, "nation").select("n_nationkey", C.is_repository(url).alias("is_repository"))
+    """Which addresses are repositories: those of all pages, half of them moved to the hosting site."""
+    url = F.when(F.col("page_id") % 2 == 0, F.regexp_replace("url", "^https?://[^/]+", "https://github.com/owner")).otherwise(F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", C.is_repository(url).alias("is_repository"))
 
 
 @query("""SELECT k, count(*) AS n, min(v) AS first FROM (SELECT 'dep' || (s_suppkey % 40) AS k, s_suppkey AS v FROM supplier UNION SELECT 'dep' || (p_partkey % 60), p_partkey FROM part) GROUP BY k""")
@@ -482,9 +522,86 @@ def name_union(spark, sf_dir):
     return both.groupBy("k").agg(F.count("*").alias("n"), F.min("v").alias("first"))
 
 
-@query(_ASSETS_SQL + "SELECT count(*) AS documents, (SELECT count(*) FROM a)::BIGINT AS components FROM (VALUES (1))")
+def _exported(spark, sf_dir, crypto):
+    """Parts as assets and suppliers as libraries, in 50 scans."""
+    assets = _assets(spark, sf_dir).select((F.col("p_partkey") % 50).alias("scan"), F.concat(F.lit("crypto/"), F.col("p_partkey").cast("string")).alias("ref"), F.lit("cryptographic-asset").alias("type"), "name", F.when(F.col("p_partkey") % 4 == 0, F.array(F.concat(F.lit("lib/"), F.col("p_partkey").cast("string")))).alias("dependsOn"))
+    libraries = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 50).cast(assets.schema["scan"].dataType).alias("scan"), F.concat(F.lit("lib/"), F.col("s_suppkey").cast("string")).alias("ref"), F.lit("library").alias("type"), F.col("s_name").alias("name"))
+    parts = assets.unionByName(libraries, allowMissingColumns=True)
+    repositories = parts.select("scan").distinct().withColumn("repository", F.concat(F.lit("https://github.com/a/r"), F.col("scan").cast("string")))
+    documents = views.exported(parts, crypto, F.lit("2024-01-02").cast("timestamp"), repositories)
+    kind = "specVersion string, serialNumber string, metadata struct<timestamp string, component struct<name string>>, components array<struct<`bom-ref` string, type string, name string>>, dependencies array<struct<ref string, dependsOn array<string>>>"
+    read = documents.select("scan", F.from_json("document", kind).alias("d"))
+    edges = F.map_from_entries(F.transform(F.coalesce("d.dependencies", F.array()), lambda e: F.struct(e["ref"], e["dependsOn"][0])))
+    rows = read.select(F.col("scan").cast("long").alias("scan"), F.col("d.metadata.component.name").alias("repository"), F.length("d.serialNumber").cast("long").alias("serial"), edges.alias("edges"), F.explode("d.components").alias("c"))
+    return rows.select("scan", "repository", "serial", F.col("c.bom-ref").alias("ref"), "c.name", F.try_element_at("edges", F.col("c.bom-ref")).alias("depends"))
+
+
+@query(_ASSETS_SQL + """SELECT (p_partkey % 50)::BIGINT AS scan, 'https://github.com/a/r' || (p_partkey % 50) AS repository, 45::BIGINT AS serial, 'crypto/' || p_partkey AS ref, name, CASE WHEN p_partkey % 4 = 0 THEN 'lib/' || p_partkey END AS depends FROM a""")
 def export_document(spark, sf_dir):
-    """The exported document, read back."""
-    parts = _assets(spark, sf_dir).select(F.lit("cryptographic-asset").alias("type"), "name").unionByName(table(spark, sf_dir, "supplier").select(F.lit("library").alias("type"), F.col("s_name").alias("name")))
-    one = views.export_document(parts, drop_crypto=False).select(F.size(F.from_json("document", "components array<struct<name string>>")["components"]).alias("n"))
-    return one.agg(F.count("*").alias("documents"), F.sum("n").alias("components"))
+    """The exported document of each scan's cryptographic assets, read back."""
+    return _exported(spark, sf_dir, crypto=True)
+
+
+@query("""SELECT (s_suppkey % 50)::BIGINT AS scan, 'https://github.com/a/r' || (s_suppkey % 50) AS repository, 45::BIGINT AS serial, 'lib/' || s_suppkey AS ref, s_name AS name, NULL::VARCHAR AS depends FROM supplier""")
+def export_without_assets(spark, sf_dir):
+    """The exported document without them (K4)."""
+    return _exported(spark, sf_dir, crypto=False)
+
+
+@query(_ASSETS_SQL + """SELECT count(*) AS totalAssets, count(*) AS typeAlgorithm, 0::BIGINT AS typeCertificate, count(*) FILTER (level = 0) AS level0, count(*) FILTER (level = 5) AS level5, count(*) FILTER (exposed) AS exposureCritical,
+count(*) FILTER (NOT exposed) AS exposureNone, count(*) FILTER (conf >= 0.85) AS confidenceVeryHigh, count(*) FILTER (conf < 0.3) AS flaggedForReview, count(*) FILTER (exposed) AS exposedSecrets, count(*) AS firstPartySource FROM a""")
+def asset_summary(spark, sf_dir):
+    """All counts of the assets in one row, zeros included (A5)."""
+    found = views.cbom_summary(_assets(spark, sf_dir), F.lit("2024-01-02").cast("timestamp"))
+    return found.select("totalAssets", "typeAlgorithm", "typeCertificate", "level0", "level5", "exposureCritical", "exposureNone", "confidenceVeryHigh", "flaggedForReview", "exposedSecrets", "firstPartySource")
+
+
+@query(_ASSETS_SQL + """SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN level ELSE coalesce(CASE WHEN p_partkey % 3 = 0 THEN level + 10 END, level) END::INT AS level, CASE WHEN conf >= 0.85 THEN 'very-high' WHEN conf >= 0.6 THEN 'high' WHEN conf >= 0.3 THEN 'medium' ELSE 'low' END AS confidence,
+CASE WHEN p_partkey % 5 = 0 THEN 'llm' ELSE 'static' END AS source FROM a""")
+def flat_assets(spark, sf_dir):
+    """Assets of documents as flat rows: nested fields before properties, properties before flat ones."""
+    p = F.col("p_partkey")
+    prop = lambda n, v, test: F.when(test, F.struct(F.lit(f"quillbom:{n}").alias("name"), v.cast("string").alias("value")))
+    level = F.col("nistQuantumLevel")
+    bag = F.array_compact(F.array(prop("confidence", F.col("confidence"), F.lit(True)), prop("confidence", F.lit("9"), F.lit(True)), prop("nistQuantumLevel", level + 10, p % 3 == 0), prop("evidence:llm", F.lit("x"), p % 5 == 0)))
+    nested = F.when(p % 2 == 0, F.struct(F.lit("algorithm").alias("assetType"), F.struct(level.alias("nistQuantumSecurityLevel")).alias("algorithmProperties")))
+    body = F.struct(F.array(F.struct(F.lit("cryptographic-asset").alias("type"), F.col("p_partkey").cast("string").alias("name"), level.alias("nistQuantumLevel"), bag.alias("properties"), nested.alias("cryptoProperties")), F.struct(F.lit("library").alias("type"), F.lit("x").alias("name"), level.alias("nistQuantumLevel"), bag.alias("properties"), nested.alias("cryptoProperties"))).alias("components"))
+    assets = _assets(spark, sf_dir).select(F.inline(views.document_assets(F.to_json(body)))).drop("type")
+    return views.flat_assets(assets).select(F.col("name").cast("long").alias("p_partkey"), F.col("nistQuantumLevel").alias("level"), "confidence", F.col("evidenceSources")[0].alias("source"))
+
+
+@query(_ASSETS_SQL + """SELECT p_partkey, 'Level ' || level AS title FROM a""")
+def level_explanations(spark, sf_dir):
+    """Security levels explained."""
+    return views.explained(_assets(spark, sf_dir)).select("p_partkey", F.substring_index("explanation.title", ":", 1).alias("title"))
+
+
+@query("""WITH f AS (SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 3 = 0)
+SELECT 'pkg:npm/p' || o_custkey AS purl, count(*) AS n, min(o_orderkey) AS first FROM f GROUP BY o_custkey""")
+def findings_by_package(spark, sf_dir):
+    """What each package is known to hold (A4)."""
+    rows = _correlated(spark, sf_dir).select("packageContext", F.lit("").alias("filePath"), F.col("o_orderkey").alias("line"), F.lit("").alias("findingId"), F.lit("").alias("name"), F.lit("").alias("assetType"), "quantumRisk", "exposureRisk")
+    return relate.findings_by_package(rows).select("purl", F.size("findings").cast("long").alias("n"), F.col("findings")[0]["line"].alias("first"))
+
+
+@query("SELECT count(*) AS total, least(count(*), 50) AS taken, greatest(count(*) - 50, 0) AS skipped FROM events WHERE event_type <> 'purchase'")
+def cap_skipped(spark, sf_dir):
+    """How many the limit of the costly step skips (L1)."""
+    return relate.skipped(table(spark, sf_dir, "events").where("event_type <> 'purchase'"))
+
+
+@query("""WITH f AS (SELECT conv_id, turn, (conv_id + turn) % 3 = 0 AS direct, CASE (conv_id + turn) % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'failed' WHEN 2 THEN 'no_crypto' ELSE 'schema_mismatch' END AS outcome FROM conversations)
+SELECT count(*) AS total, count(*) FILTER (direct) AS direct, count(*) FILTER (NOT direct) AS candidates, count(*) FILTER (NOT direct) AS attempted, count(*) FILTER (NOT direct AND outcome IN ('ok', 'no_crypto')) AS succeeded,
+count(*) FILTER (NOT direct AND outcome = 'no_crypto') AS noCrypto, count(*) FILTER (NOT direct AND outcome IN ('failed', 'schema_mismatch')) AS failed, count(*) FILTER (NOT direct AND outcome = 'failed') AS unreadable,
+count(*) FILTER (NOT direct AND outcome = 'schema_mismatch') AS mismatched FROM f""")
+def verification_pass(spark, sf_dir):
+    """Findings to be verified, their recorded answers, interpretive evidence and the scan's summary, in one pass."""
+    n = F.col("conv_id") + F.col("turn")
+    rows = table(spark, sf_dir, "conversations").withColumn("findingId", F.concat_ws("-", "conv_id", "turn"))
+    kind = F.when(n % 3 == 0, "direct").otherwise("supporting")
+    evidence = F.array(F.struct(F.lit("ast").alias("source"), kind.alias("evidenceClass"), F.substring("text", 1, 40).alias("detail"), F.lit(0.4).alias("rawConfidence"), F.lit("a.js").alias("filePath"), F.lit(1).alias("line"))).cast(f"array<{scan.EVIDENCE}>")
+    findings = rows.select("findingId", F.lit("unknown").alias("name"), F.lit(None).cast("string").alias("algorithmFamily"), F.lit(None).cast("string").alias("primitive"), F.lit("a.js").alias("filePath"), F.lit(1).alias("line"), evidence.alias("evidence"))
+    confidence = (F.lit(1) + F.col("turn") % 9) / 10
+    said = F.when(n % 4 == 0, F.to_json(F.struct(F.lit("AES").alias("algorithmFamily"), confidence.alias("confidence"), F.col("text").alias("reasoning")))).when(n % 4 == 1, F.translate("text", "{}", "")).when(
+        n % 4 == 2, F.to_json(F.struct(F.lit(None).cast("string").alias("algorithmFamily"), confidence.alias("confidence")), {"ignoreNullFields": "false"})).otherwise(F.to_json(F.struct(F.lit("homebrew").alias("algorithmFamily"), confidence.alias("confidence"))))
+    return relate.scan_summary(relate.verified(findings, rows.select("findingId", said.alias("raw"))))

@@ -39,22 +39,23 @@ def purl_build(spark, sf_dir):
 
 
 def _parts(spark, sf_dir):
-    """Customers as components, with their urgent orders as vulnerabilities and their closed orders as anomalies."""
-    parts = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("seq"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("version"), F.concat(F.lit("c"), F.col("c_nationkey").cast("string"), F.lit("-"), (F.col("c_custkey") % 500).cast("string")).alias("purl"))
-    orders = table(spark, sf_dir, "orders").withColumn("purl", F.concat(F.lit("c"), (F.col("o_custkey") % 25).cast("string"), F.lit("-"), (F.col("o_custkey") % 500).cast("string")))
-    vulns = orders.where("o_orderpriority = '1-URGENT' AND o_orderkey % 7 = 0").select("purl", F.col("o_orderkey").cast("string").alias("vuln_id"))
+    """Customers as components of a scan for each nation, with urgent orders as vulnerabilities and closed ones as anomalies of the same package."""
+    package = lambda c: F.concat(F.lit("p-"), (F.col(c) % 500).cast("string"))
+    parts = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("scan"), F.col("c_custkey").alias("seq"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("version"), package("c_custkey").alias("purl"))
+    orders = table(spark, sf_dir, "orders").withColumns({"scan": (F.col("o_custkey") % 25).cast("long"), "purl": package("o_custkey")})
+    vulns = orders.where("o_orderpriority = '1-URGENT'").select("scan", "purl", F.col("o_orderkey").cast("string").alias("vuln_id"))
     severity = F.when(F.col("o_orderpriority") == "2-HIGH", "high").when(F.col("o_orderpriority") == "3-MEDIUM", "medium").otherwise("low")
-    hits = orders.where("o_orderstatus = 'F' AND o_orderkey % 5 = 0").select("purl", F.col("o_orderkey").alias("seq"), F.col("o_orderpriority").alias("type"), severity.alias("severity"), F.lit("closed").alias("reason"))
+    hits = orders.where("o_orderstatus = 'F'").select("scan", "purl", F.col("o_orderkey").alias("seq"), F.col("o_orderpriority").alias("type"), severity.alias("severity"), F.lit("closed").alias("reason"))
     return parts, vulns, hits
 
 
-_PARTS_SQL = """WITH parts AS (SELECT c_custkey AS seq, c_name AS name, 'c' || c_nationkey || '-' || (c_custkey % 500) AS purl FROM customer),
-o AS (SELECT *, 'c' || (o_custkey % 25) || '-' || (o_custkey % 500) AS purl FROM orders),
-v AS (SELECT purl, count(*) AS nv FROM o WHERE o_orderpriority = '1-URGENT' AND o_orderkey % 7 = 0 GROUP BY purl),
-hit AS (SELECT purl, o_orderpriority AS type, CASE o_orderpriority WHEN '2-HIGH' THEN 'high' WHEN '3-MEDIUM' THEN 'medium' ELSE 'low' END AS severity FROM o WHERE o_orderstatus = 'F' AND o_orderkey % 5 = 0),
-h AS (SELECT purl, count(*) AS nh, bool_or(severity = 'high') AS hi, bool_or(severity = 'medium') AS me FROM hit GROUP BY purl),
+_PARTS_SQL = """WITH parts AS (SELECT c_nationkey::BIGINT AS scan, c_custkey AS seq, c_name AS name, 'p-' || (c_custkey % 500) AS purl FROM customer),
+o AS (SELECT *, (o_custkey % 25)::BIGINT AS scan, 'p-' || (o_custkey % 500) AS purl FROM orders),
+v AS (SELECT scan, purl, count(*) AS nv FROM o WHERE o_orderpriority = '1-URGENT' GROUP BY ALL),
+hit AS (SELECT scan, purl, o_orderpriority AS type, CASE o_orderpriority WHEN '2-HIGH' THEN 'high' WHEN '3-MEDIUM' THEN 'medium' ELSE 'low' END AS severity FROM o WHERE o_orderstatus = 'F'),
+h AS (SELECT scan, purl, count(*) AS nh, bool_or(severity = 'high') AS hi, bool_or(severity = 'medium') AS me FROM hit GROUP BY ALL),
 rows AS (SELECT parts.*, coalesce(nv, 0) AS n_vulns, coalesce(nh, 0) AS n_hits,
-    CASE WHEN nv > 0 THEN 'critical' WHEN hi THEN 'high' WHEN me THEN 'medium' WHEN nh > 0 THEN 'low' END AS bucket FROM parts LEFT JOIN v USING (purl) LEFT JOIN h USING (purl)) """
+    CASE WHEN nv > 0 THEN 'critical' WHEN hi THEN 'high' WHEN me THEN 'medium' WHEN nh > 0 THEN 'low' END AS bucket FROM parts LEFT JOIN v USING (scan, purl) LEFT JOIN h USING (scan, purl)) """
 
 
 def _bucketed(spark, sf_dir):
@@ -62,29 +63,29 @@ def _bucketed(spark, sf_dir):
     return rows.withColumn("bucket", sbom.worst_bucket(F.size("vulns") > 0, F.transform("hits", lambda h: h["severity"])))
 
 
-@query(_PARTS_SQL + "SELECT seq, name, purl, n_vulns, n_hits, bucket FROM rows")
+@query(_PARTS_SQL + "SELECT scan, seq, name, purl, n_vulns, n_hits, bucket FROM rows")
 def left_enrich_hits(spark, sf_dir):
-    """Components with vulnerabilities and anomalies of their purl; rows of one purl share them."""
-    return _bucketed(spark, sf_dir).select("seq", "name", "purl", F.size("vulns").cast("long").alias("n_vulns"), F.size("hits").cast("long").alias("n_hits"), "bucket")
+    """Components with vulnerabilities and anomalies of their purl in their scan; rows of one purl share them."""
+    return _bucketed(spark, sf_dir).select("scan", "seq", "name", "purl", F.size("vulns").cast("long").alias("n_vulns"), F.size("hits").cast("long").alias("n_hits"), "bucket")
 
 
-@query(_PARTS_SQL + """SELECT count(*) FILTER (bucket = 'critical') AS critical, count(*) FILTER (bucket = 'high') AS high, count(*) FILTER (bucket = 'medium') AS medium,
-count(*) FILTER (bucket = 'low') AS low, count(bucket) AS flaggedCount, count(*) AS totalComponents FROM rows""")
+@query(_PARTS_SQL + """SELECT scan, count(*) FILTER (bucket = 'critical') AS critical, count(*) FILTER (bucket = 'high') AS high, count(*) FILTER (bucket = 'medium') AS medium,
+count(*) FILTER (bucket = 'low') AS low, count(bucket) AS flaggedCount, count(*) AS totalComponents FROM rows GROUP BY scan""")
 def risk_bucket_summary(spark, sf_dir):
-    """Components by their worst bucket (A1)."""
+    """Components of each scan by their worst bucket (A1)."""
     return sbom.risk_summary(_bucketed(spark, sf_dir))
 
 
-@query(_PARTS_SQL + "SELECT type, count(*) AS n FROM parts JOIN hit USING (purl) GROUP BY type")
+@query(_PARTS_SQL + "SELECT scan, type, count(*) AS n FROM parts JOIN hit USING (scan, purl) GROUP BY ALL")
 def type_histogram(spark, sf_dir):
     """Hits by type, once for each row that shows them."""
     return sbom.type_histogram(_bucketed(spark, sf_dir))
 
 
-@query(_PARTS_SQL + "SELECT seq, name, bucket AS severity, n_hits AS flagCount FROM rows WHERE n_vulns > 0 OR n_hits > 0")
+@query(_PARTS_SQL + "SELECT scan, seq, name, bucket AS severity, n_hits AS flagCount FROM rows WHERE n_vulns > 0 OR n_hits > 0")
 def worst_severity_view(spark, sf_dir):
     """The table of flagged components."""
-    return views.component_view(_bucketed(spark, sf_dir), only_flagged=True, sort="severity").select("seq", "name", "severity", F.col("flagCount").cast("long").alias("flagCount"))
+    return views.component_view(_bucketed(spark, sf_dir), only_flagged=True, sort="severity").select("scan", "seq", "name", "severity", F.col("flagCount").cast("long").alias("flagCount"))
 
 
 @query(_PARTS_SQL + "SELECT DISTINCT type FROM hit")
@@ -93,13 +94,36 @@ def anomaly_facets(spark, sf_dir):
     return _parts(spark, sf_dir)[2].select("type").distinct()
 
 
-@query("""SELECT count(*) AS n_documents, sum(len(json_extract(d, '$.components[*].name')))::BIGINT AS n_components FROM (
-SELECT to_json({'components': list({'name': c_name})}) AS d FROM customer)""")
+@query(_PARTS_SQL + "SELECT type, count(*) AS hits, scan FROM hit GROUP BY ALL")
+def detector_counts(spark, sf_dir):
+    """What each detector of a scan has found."""
+    return sbom.detector_counts(_parts(spark, sf_dir)[2])
+
+
+@query("""SELECT count(*) AS asked, count(k) AS answered, count(*) - count(k) AS errors FROM (SELECT DISTINCT o_custkey FROM orders) LEFT JOIN (SELECT DISTINCT c_custkey AS k FROM customer WHERE c_acctbal > 0) ON o_custkey = k""")
+def fact_counts(spark, sf_dir):
+    """How many names were asked of a registry, answered, and not."""
+    facts = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"))
+    return sbom.fact_counts(table(spark, sf_dir, "orders"), facts, "o_custkey")
+
+
+@query("""SELECT l_orderkey, l_linenumber, count(*) FILTER (l_returnflag = 'R') OVER (PARTITION BY l_partkey) AS n_hits FROM lineitem""")
+def duplicate_key_hits(spark, sf_dir):
+    """Hits of rows that repeat a purl add up, and each of these rows shows them all."""
+    purl = F.concat(F.lit("pkg:npm/p"), F.col("l_partkey").cast("string")).alias("purl")
+    rows = table(spark, sf_dir, "lineitem")
+    hits = rows.where("l_returnflag = 'R'").select(purl, F.lit(0).alias("seq"), F.lit("install-script").alias("type"), F.lit("high").alias("severity"), F.lit("script").alias("reason"))
+    none = rows.limit(0).select(purl, F.lit("").alias("vuln_id"))
+    return sbom.with_hits(rows.select("l_orderkey", "l_linenumber", purl), none, hits).select("l_orderkey", "l_linenumber", F.size("hits").cast("long").alias("n_hits"))
+
+
+@query(_PARTS_SQL + "SELECT scan, name, purl, 'required' AS scope, n_hits AS n_properties, sum(n_vulns) OVER (PARTITION BY scan)::BIGINT AS n_vulnerabilities FROM rows")
 def bom_document(spark, sf_dir):
-    """One document of all components, read back."""
-    one = sbom.document(sbom.with_hits(*_parts(spark, sf_dir)).withColumn("dev", F.lit(False)))
-    read = one.select(F.from_json("document", "components array<struct<name string>>").alias("d"))
-    return read.agg(F.count("*").alias("n_documents"), F.sum(F.size("d.components")).cast("long").alias("n_components"))
+    """The document of each scan, read back: components with their properties, and the vulnerabilities."""
+    documents = sbom.documents(sbom.with_hits(*_parts(spark, sf_dir)).withColumn("dev", F.lit(False)))
+    kind = "components array<struct<name string, purl string, scope string, properties array<struct<name string, value string>>>>, vulnerabilities array<struct<id string, affects array<struct<ref string>>>>"
+    read = documents.select("scan", F.from_json("document", kind).alias("d")).select("scan", F.explode("d.components").alias("c"), F.size("d.vulnerabilities").cast("long").alias("n_vulnerabilities"))
+    return read.select("scan", "c.name", "c.purl", "c.scope", F.coalesce(F.size("c.properties"), F.lit(0)).cast("long").alias("n_properties"), "n_vulnerabilities")
 
 
 @query("""SELECT p_partkey, coalesce(n > 30, false) AS popular FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY l_partkey) ON l_partkey = p_partkey""")
@@ -152,11 +176,11 @@ def license_extract_classify(spark, sf_dir):
 
 
 @query("""SELECT l_orderkey, l_linenumber, 'Loose version range: ' || r AS reason FROM (SELECT l_orderkey, l_linenumber,
-CASE l_returnflag WHEN 'A' THEN '*' WHEN 'R' THEN '^0.0.1, latest' END AS r FROM lineitem WHERE l_quantity < 5) WHERE r IS NOT NULL""")
+CASE l_returnflag WHEN 'A' THEN '*' WHEN 'R' THEN '^0.0.1, latest' END AS r FROM lineitem) WHERE r IS NOT NULL""")
 def version_pinning(spark, sf_dir):
     """Loose ranges."""
     ranges = F.when(F.col("l_returnflag") == "A", F.array(F.lit("*"), F.lit("^4.18.2"))).when(F.col("l_returnflag") == "R", F.array(F.lit("^0.0.1"), F.lit("~1.0"), F.lit("latest"))).otherwise(F.array(F.lit("1.2.3")))
-    rows = table(spark, sf_dir, "lineitem").where("l_quantity < 5").select("l_orderkey", "l_linenumber", sbom.version_pinning(ranges).alias("h"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", sbom.version_pinning(ranges).alias("h"))
     return rows.where("h is not null").select("l_orderkey", "l_linenumber", "h.reason")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillbom.functions import columns as C
 from quillbom.functions import rules
+from quillbom.functions.keys import scan_key
 
 LOCK_SCHEMA = (
     "lockfileVersion int, packages map<string, struct<version string, resolved string, integrity string, dev boolean, optional boolean, "
@@ -39,6 +40,11 @@ def code_files(tree: DataFrame) -> DataFrame:
     return tree.where(known & (own | (vendored & F.col("ext").isin("js", "mjs", "cjs"))))
 
 
+def candidate_files(tree: DataFrame) -> DataFrame:
+    """Source files that are searched for candidate lines: extensions in any case, nothing under a node_modules folder."""
+    return code_files(tree).where(~F.array_contains(F.split("path", "/"), "node_modules"))
+
+
 def pem_files(tree: DataFrame) -> DataFrame:
     small = F.col("ext").isin(rules.KEY_EXTENSIONS) | (F.col("length") < rules.MAX_PEM_BYTES)
     return tree.where(small & ~C.in_skipped_dir(F.col("path")) & ~C.is_test_path(F.col("path")))
@@ -66,20 +72,24 @@ def lock_entries(locks: DataFrame, text: str = "text", scan: str | None = None)
 
 def bom_packages(boms: DataFrame, direct_names: DataFrame | None = None) -> DataFrame:
     """Packages of parsed BOM documents, with the vulnerabilities that affect them."""
-    parts = boms.select(F.posexplode("components").alias("seq", "c"))
-    hits = boms.select(F.explode("vulnerabilities").alias("v")).select(F.col("v.id").alias("id"), F.explode("v.affects.ref").alias("ref"))
-    hits = hits.groupBy("ref").agg(F.collect_list("id").alias("osvCves"))
+    by = scan_key(boms) if direct_names is None else scan_key(boms, direct_names)
+    parts = boms.select(*by, F.posexplode("components").alias("seq", "c"))
+    hits = boms.select(*by, F.explode("vulnerabilities").alias("v")).select(*by, F.col("v.id").alias("id"), F.explode("v.affects.ref").alias("ref"))
+    hits = hits.groupBy(*[F.col(c).alias(f"_{c}") for c in by], "ref").agg(F.collect_list("id").alias("osvCves"))
     ref = F.col("c")["bom-ref"]
     named = F.coalesce(F.col("c.scope") == "required", F.lit(False)) | F.coalesce(F.col("c.direct"), F.lit(False))
     dev = F.exists(F.coalesce("c.properties", F.array()), lambda p: F.endswith(p["name"], F.lit("development")) & (p["value"] == "true"))
-    found = parts.join(hits, ref == F.col("ref"), "left").select(
-        "seq", F.col("c.name").alias("name"), F.col("c.version").alias("version"), F.col("c.purl").alias("purl"),
+    same = ref == F.col("ref")
+    for c in by:
+        same &= F.col(c) == F.col(f"_{c}")
+    found = parts.join(hits, same, "left").select(
+        *by, "seq", F.col("c.name").alias("name"), F.col("c.version").alias("version"), F.col("c.purl").alias("purl"),
         F.when(F.startswith("c.purl", F.lit("pkg:npm/")), "npm").otherwise("unknown").alias("ecosystem"),
         F.coalesce(dev, F.lit(False)).alias("devDependency"), named.alias("isDirect"), F.coalesce("osvCves", F.array().cast("array<string>")).alias("osvCves"),
     )
     if direct_names is not None:
-        found = found.join(direct_names.select(F.col("name").alias("_direct")).distinct(), F.col("name") == F.col("_direct"), "left")
-        found = found.withColumn("isDirect", F.col("isDirect") | F.col("_direct").isNotNull()).drop("_direct")
+        named = direct_names.select(*by, "name").distinct().withColumn("_direct", F.lit(True))
+        found = found.join(named, [*by, "name"], "left").withColumn("isDirect", F.col("isDirect") | F.coalesce("_direct", F.lit(False))).drop("_direct")
     return found
 
 
@@ -111,6 +121,17 @@ def registry_fields(raw: DataFrame) -> DataFrame:
     return raw.select("name", latest.alias("latest"), F.try_element_at(times, latest).try_cast("timestamp").alias("published"), licence.alias("license"), deprecated.alias("deprecated"), F.coalesce("notFound", F.lit(False)).alias("notFound"))
 
 
+def downloads(spark: SparkSession, path: str) -> DataFrame:
+    """A snapshot of weekly downloads: (name, weekly); what could not be read counts as 0, as an error of the service does."""
+    return spark.read.schema("name string, downloads long").json(path).select("name", F.coalesce("downloads", F.lit(0)).alias("weekly"))
+
+
+def write_scan(documents: DataFrame, correlation: DataFrame, path: str) -> None:
+    """The documents of scans as lines of text, and their correlation beside them as JSON."""
+    write_text(documents.select(F.col("document").alias("value")), f"{path}/cbom")
+    write_json(correlation, f"{path}/correlation.json")
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 

@@ -51,7 +51,7 @@ def test_anomalies(spark):
     downloads = spark.createDataFrame([("body-parser", 5)], "name string, weekly long")
     found = sbom.anomalies(parts, popular, registry, downloads, F.lit("2024-01-02").cast("timestamp"))
     hits = {(r["purl"].split("/")[1], r["type"], r["severity"]) for r in found.collect()}
-    assert ("accepts@1.3.8", "typosquat", "critical") in hits
+    assert ("accepts@1.3.8", "typosquat", "high") in hits
     assert ("loose-dep@2.0.0", "version-pinning", "low") in hits and ("loose-dep@2.0.0", "install-script", "high") in hits
     assert ("body-parser@1.20.1", "license", "high") in hits and ("body-parser@1.20.1", "deprecated", "high") in hits
     assert not any(h[0].startswith("express") for h in hits)
@@ -155,7 +155,7 @@ def test_end_to_end(spark, tmp_path):
     clean, errors, warnings = assess.validate(done)
     assert clean.count() == 3 and errors.count() == 0 and warnings.count() == 1
     packages = spark.createDataFrame([(0, "bcrypt", "1", "pkg:npm/bcrypt@1", ["CVE"])], "seq long, name string, version string, purl string, osvCves array<string>")
-    document = json.loads(relate.document(relate.attribute(clean, packages)).first()["document"])
+    document = json.loads(relate.documents(relate.attribute(clean, packages)).first()["document"])
     assert len(document["components"]) == 3 and document["components"][0]["type"] == "cryptographic-asset"
 
 
@@ -188,7 +188,9 @@ def test_views(spark):
     rows = spark.createDataFrame([("AES", None, 1, "NONE", 0.2), ("MD5", None, 0, "HIGH", 0.9)], "name string, parameterSet string, nistQuantumLevel int, exposureRisk string, confidence double")
     tasks = {r["id"]: r["affected"] for r in views.checklist(rows).collect()}
     assert tasks == {"exposed-secrets": 1, "post-quantum": 1, "weak-digests": 1, "short-keys": 1, "low-confidence": 1}
-    assert views.markdown(views.checklist(rows)).count() == 5
+    plan = views.markdown(views.checklist(rows), "https://github.com/a/b").first()["value"]
+    assert plan.count("- [ ]") == 5 and plan.count("### ") == 4 and "https://github.com/a/b" in plan and "Withdraw and isolate 1 exposed secret**" in plan
+    assert views.markdown(views.checklist(rows.limit(0))).first()["value"].endswith("Nothing critical is to be done.\n")
     assert views.checklist(rows.limit(0)).count() == 0
 
 
