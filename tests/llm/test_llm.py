@@ -170,7 +170,8 @@ def plain_model(texts):
                     place_told[place_feature(c, last)] += place_shares(c, last)
         for size, w, s, e in ((m.STEP, weight, seen, told), (m.PLACE_STEP, place_weight, place_seen, place_told)):
             for f in s:
-                w[f] = w.get(f, 0) + size * (s[f] - e[f]) / (0.5 * (s[f] + e[f]) + m.PRIOR)
+                if not isinstance(f, tuple) or f[0] != "pair":  # pairs keep their first step
+                    w[f] = w.get(f, 0) + size * (s[f] - e[f]) / (0.5 * (s[f] + e[f]) + m.PRIOR)
 
     def in_rest(c, w):
         size, words, once = sum(counts[x] for x in rest.get(c, [])), len(rest.get(c, [])), sum(counts[x] == 1 for x in rest.get(c, []))
