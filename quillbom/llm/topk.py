@@ -1,96 +1,142 @@
 """Exact top-k by inner product with vector-approximation files.
 
-Vectors are dealt by hash to blocks of bounded size, queries to blocks of their own; each pair of
-blocks is one group. In a group every candidate is approximated by the cells of a uniform grid, a
-byte for each component. The grid bounds how far an approximate score can be from the true one, so
-exact vectors are read in the order of their bounds, best first, until the next bound is below the
-k-th exact score. The groups' best k of each query are then merged.
+1. The file. Each batch of vectors becomes a block: ids, and for every component a cell of a uniform
+   grid, a byte each, with the grid's own bounds. Only these blocks meet the queries, in groups of
+   bounded size; exact vectors stay where they are.
+2. Scanning. From the cells alone follow a lower and an upper bound of each score. A group passes on,
+   for each query, the candidates whose upper bound reaches its own k-th best lower bound.
+3. Reading. The k-th best lower bound over all groups is one that the k-th result can't fall below.
+   The k candidates of the best lower bounds are read first; then, of the others, those whose upper
+   bound reaches the k-th exact score of these: for all others it is certain that they come later.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a candidate block and of a query block, on average.
-BLOCK_ROWS = 4096
+from quillbom.llm.shared import checkpoint_dir, small_batches
+
+#: Candidates and queries of a group, on average.
+BLOCK_ROWS = 16_384
 QUERY_ROWS = 1024
 #: Cells of each component's grid.
 CELLS = 256
-#: Exact vectors read at a time.
-READ_ROWS = 32
 _EXACT = float(1 << 53)
 
 
 def integer_vectors(vectors: DataFrame, scale: int, key: str, vector: str) -> DataFrame:
-    """(id, v): components floor(scale * x); rows with a null key, a null vector, or a null or
-    non-finite component are left out."""
+    """(id, d, v): components floor(scale * x) of d of them; rows with a null key, a null vector, or a null or
+    non-finite component are left out; of rows that repeat an id and a dimension the smallest vector stays."""
     x = F.col(vector)
     finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
     kept = vectors.where(F.col(key).isNotNull() & x.isNotNull()).where(finite)
-    return kept.select(F.col(key).cast("long").alias("id"), F.transform(x, lambda c: F.floor(F.lit(float(scale)) * c.cast("double"))).alias("v"))
+    rows = kept.select(F.col(key).cast("long").alias("id"), F.transform(x, lambda c: F.floor(F.lit(float(scale)) * c.cast("double"))).alias("v"))
+    return rows.groupBy("id", F.size("v").alias("d")).agg(F.min("v").alias("v"))
 
 
 class Approximation:
     """Cells of the candidates' components; score bounds follow from the cells alone."""
 
-    def __init__(self, exact: np.ndarray):
+    def __init__(self, cells: np.ndarray, low: np.ndarray, width: np.ndarray):
+        self.cells, self.low, self.width = cells, low, width
+
+    @staticmethod
+    def of(exact: np.ndarray) -> Approximation:
         data = exact.astype(np.float64)
-        self.low = data.min(axis=0)
-        self.width = (data.max(axis=0) - self.low) / CELLS
-        step = np.where(self.width > 0, self.width, 1.0)
-        self.cells = np.minimum((data - self.low) / step, CELLS - 1).astype(np.uint8)
+        low = data.min(axis=0)
+        width = (data.max(axis=0) - low) / CELLS
+        cells = np.clip((data - low) / np.where(width > 0, width, 1.0), 0, CELLS - 1).astype(np.uint8)
+        return Approximation(cells, low, width)
 
     def scores(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Approximate scores, and per query how far they may be off."""
+        """Approximate scores, and per query how far they may be off, rounding included."""
         q = queries.astype(np.float64)
         middle = (q * self.width) @ self.cells.T.astype(np.float64) + (q @ (self.low + self.width / 2))[:, None]
         size = np.abs(q) @ (np.abs(self.low) + self.width * CELLS)
         return middle, np.abs(q) @ self.width * 0.5001 + size * 1e-9 + 1e-9
 
 
-def best_of(queries: np.ndarray, query_ids: np.ndarray, exact: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query, candidate, score) of the k best for each query, ties to the smaller id."""
-    bounds, slack = Approximation(exact).scores(queries)
-    big = float(np.abs(queries).max(initial=0)) * float(np.abs(exact).max(initial=0)) * max(1, exact.shape[1]) >= _EXACT
-    kind = object if big else np.int64
-    out = []
-    for i, query in enumerate(queries):
-        order = np.argsort(-bounds[i], kind="stable")
-        order = order[ids[order] != query_ids[i]]
-        best: list[tuple[int, int]] = []
-        for at in range(0, len(order), READ_ROWS):
-            if len(best) == k and bounds[i, order[at]] + slack[i] < -best[-1][0]:
-                break
-            rows = order[at:at + READ_ROWS]
-            scores = exact[rows].astype(kind) @ query.astype(kind)
-            best = sorted(best + [(-int(s), int(n)) for s, n in zip(scores, ids[rows], strict=True)])[:k]
-        out += [(int(query_ids[i]), n, max(min(-s, (1 << 63) - 1), -(1 << 63))) for s, n in best]
-    return out
-
-
-def _search(k: int) -> Callable:
-    def once(rows: pd.DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-        """By dimension: vectors and ids; a repeated id counts once, with its smallest vector."""
-        found: dict[int, dict[int, tuple]] = {}
-        for n, v in zip(rows["id"], rows["v"], strict=True):
-            own, v = found.setdefault(len(v), {}), tuple(v)
-            own[n] = min(own.get(n, v), v)
-        return {d: (np.array(list(x.values()), np.int64).reshape(len(x), d), np.fromiter(x, np.int64, len(x))) for d, x in found.items()}
-
-    def run(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(queries) and len(candidates):
-            asked, held = once(queries), once(candidates)
-            for d in asked.keys() & held.keys():
-                out += best_of(*asked[d], *held[d], k)
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"], dtype="int64")
+def blocks(rows: DataFrame, approximate: bool) -> DataFrame:
+    """(d, ids, data, low, width): the batches of rows (id, v), as cells or as they are."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for d, part in batch.groupby("d"):
+                exact = np.array(part["v"].tolist(), np.int64).reshape(len(part), d)
+                ids = part["id"].to_numpy(np.int64).tobytes()
+                if approximate:
+                    a = Approximation.of(exact)
+                    out.append((d, ids, a.cells.tobytes(), a.low.tobytes(), a.width.tobytes()))
+                else:
+                    out.append((d, ids, exact.tobytes(), b"", b""))
+            yield pd.DataFrame(out, columns=["d", "ids", "data", "low", "width"])
 
-    return run
+    return small_batches(rows).select("id", "d", "v").mapInPandas(run, "d int, ids binary, data binary, low binary, width binary")
+
+
+def bounded(file: DataFrame, asked: DataFrame, k: int, groups: int, query_groups: int) -> DataFrame:
+    """(query_id, d, vec_id, lower, upper) of the candidates that a group can't rule out."""
+
+    def run(queries: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for d, own in queries.groupby("d"):
+            q_ids = np.concatenate([np.frombuffer(b, np.int64) for b in own["ids"]])
+            q = np.frombuffer(b"".join(own["data"]), np.int64).reshape(len(q_ids), d)
+            best = np.full((len(q), k), -np.inf)  # the k best lower bounds so far
+            seen = []
+            for r in held[held["d"] == d].itertuples(index=False):
+                ids = np.frombuffer(r.ids, np.int64)
+                cells = np.frombuffer(r.data, np.uint8).reshape(len(ids), d)
+                middle, slack = Approximation(cells, np.frombuffer(r.low), np.frombuffer(r.width)).scores(q)
+                middle[q_ids[:, None] == ids] = -np.inf  # a query is no candidate of its own
+                lower = middle - slack[:, None]
+                best = -np.partition(-np.concatenate([best, lower], axis=1), k - 1, axis=1)[:, :k]
+                i, j = np.nonzero(middle + slack[:, None] >= np.where(np.isfinite(best.min(axis=1)), best.min(axis=1), np.finfo(float).min)[:, None])
+                seen.append((i, ids[j], lower[i, j], (middle + slack[:, None])[i, j]))
+            if seen:
+                i, ids, lower, upper = (np.concatenate(x) for x in zip(*seen, strict=True))
+                stay = upper >= best.min(axis=1)[i]
+                out.append(pd.DataFrame({"query_id": q_ids[i[stay]], "d": d, "vec_id": ids[stay], "lower": lower[stay], "upper": upper[stay]}))
+        kinds = {"query_id": "int64", "d": "int32", "vec_id": "int64", "lower": "float64", "upper": "float64"}
+        return pd.concat(out).astype(kinds) if out else pd.DataFrame({c: pd.Series(dtype=t) for c, t in kinds.items()})
+
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    deal = lambda n: F.pmod(F.xxhash64("d", "ids"), F.lit(n)).cast("int")
+    left = asked.withColumn("j", deal(query_groups)).withColumn("i", every(groups))
+    right = file.withColumn("i", deal(groups)).withColumn("j", every(query_groups))
+    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(run, "query_id long, d int, vec_id long, lower double, upper double")
+
+
+def scored(pairs: DataFrame, exact: DataFrame) -> DataFrame:
+    """pairs (query_id, d, vec_id) with their exact scores, clamped to 64 bits."""
+    both = pairs.join(exact.select(F.col("id").alias("vec_id"), "d", F.col("v").alias("w")), ["vec_id", "d"])
+    both = both.join(exact.select(F.col("id").alias("query_id"), "d", "v"), ["query_id", "d"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            yield rows[["query_id", "d", "vec_id"]].assign(score=[product(v, w) for v, w in zip(rows["v"], rows["w"], strict=True)])
+
+    return both.select("query_id", "d", "vec_id", "v", "w").mapInPandas(run, "query_id long, d int, vec_id long, score long")
+
+
+def product(v: np.ndarray, w: np.ndarray) -> int:
+    """The inner product of two integer vectors, within 64 bits."""
+    v, w = np.asarray(v, np.int64), np.asarray(w, np.int64)
+    if float(np.abs(v.astype(np.float64)).max(initial=0)) * float(np.abs(w.astype(np.float64)).max(initial=0)) * max(1, len(v)) < _EXACT:
+        return int(v @ w)
+    return max(min(sum(a * b for a, b in zip(v.tolist(), w.tolist(), strict=True)), (1 << 63) - 1), -(1 << 63))
+
+
+def _first(rows: DataFrame, k: int, by: list[str], *order: Column) -> DataFrame:
+    """The k first rows of each key, numbered by rank; each task cuts its rows before they are shuffled."""
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    return ranked.where(F.col("rank") <= k)
 
 
 def search(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -98,16 +144,21 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
 
     Queries are the rows whose key is divisible by every, candidates all rows but those of the
     query's own key; only vectors of the query's dimension are candidates. Rows that repeat a key
-    count once. Queries without candidates have no rows. Scores outside 64 bits are clamped.
+    count once, with their smallest vector. Queries without candidates have no rows, nor has an empty
+    table. Ties go to the smaller key. Scores outside 64 bits are clamped. Other columns, of any name,
+    are not read; a very long vector is one row of its block.
     """
-    ready = integer_vectors(vectors, scale, key, vector)
-    is_query = F.col("id") % every == 0
+    checkpoint_dir(vectors.sparkSession)
+    exact = integer_vectors(vectors, scale, key, vector)
+    asked = exact.where(F.col("id") % every == 0)
     sizes = vectors.select(F.count("*").alias("n"), F.count(F.when(F.col(key) % every == 0, 1)).alias("q")).first()
-    blocks, query_blocks = max(1, -(-sizes["n"] // BLOCK_ROWS)), max(1, -(-sizes["q"] // QUERY_ROWS))
-    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    candidates = ready.withColumn("block", deal(blocks)).withColumn("query_block", numbers(query_blocks))
-    queries = ready.where(is_query).withColumn("query_block", deal(query_blocks)).withColumn("block", numbers(blocks))
-    found = queries.groupBy("block", "query_block").cogroup(candidates.groupBy("block", "query_block")).applyInPandas(_search(k), "query_id long, vec_id long, score long")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    groups, query_groups = max(1, -(-sizes["n"] // BLOCK_ROWS)), max(1, -(-sizes["q"] // QUERY_ROWS))
+    # of equal vectors only the first can be results, and the query's own may be one of them
+    candidates = _first(exact, k + 1, ["v"], F.asc("id"))
+    met = bounded(blocks(candidates, approximate=True), blocks(asked, approximate=False), k, groups, query_groups).checkpoint()
+    first = _first(met, k, ["query_id", "d"], F.desc("lower"), F.asc("vec_id")).select("query_id", "d", "vec_id")
+    read = scored(first, exact).checkpoint()
+    certain = read.groupBy("query_id", "d").agg(F.min("score").alias("least"), F.count("*").alias("n")).select("query_id", "d", F.when(F.col("n") >= k, F.col("least")).alias("least"))
+    others = met.join(certain, ["query_id", "d"]).where(F.col("least").isNull() | (F.col("upper") >= F.col("least") - F.abs("least") * 1e-12 - 1)).join(first, ["query_id", "d", "vec_id"], "left_anti")
+    found = read.unionByName(scored(others.select("query_id", "d", "vec_id"), exact))
+    return _first(found, k, ["query_id"], F.desc("score"), F.asc("vec_id")).select("query_id", "rank", "vec_id", "score")

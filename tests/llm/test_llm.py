@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 from html.parser import HTMLParser
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from quillbom.llm import html_text, licenses, maxent_lm, packing, piece_codec, quality, shared, simhash, substring_dedup, suffix_dedup, topk, windows
+from quillbom.llm import html_text, licenses, maxent_lm, packing, piece_codec, quality, queries, shared, simhash, substring_dedup, suffix_dedup, topk, windows
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -630,8 +631,22 @@ def test_top_k(spark):
 
 
 def test_huge_components():
-    big = np.array([[2**40, -(2**40)], [2**40, 2**40]], np.int64)
-    assert topk.best_of(big[:1], np.array([0]), big, np.array([0, 1]), 10) == [(0, 1, 0)]
+    assert topk.product([2**40, -(2**40)], [2**40, 2**40]) == 0
+    assert topk.product([2**62], [2**62]) == (1 << 63) - 1 and topk.product([], []) == 0
+
+
+def test_top_k_of_copies_against_sql(spark, tmp_path):
+    """Repeated ids, large groups of equal vectors and near ties, against the registered SQL."""
+    rng = random.Random(19)
+    rows = [(i, [0.5, 0.25, -0.125, 1.0]) for i in range(0, 3000, 3)] + [(i, [rng.gauss(0, 0.5) for _ in range(4)]) for i in range(1, 3000, 3)]
+    rows += [(100, [0.1] * 4), (100, [0.1] * 4), (100, [0.05] * 4), (7, [3.0] * 4), (7, [2.0] * 4), (None, [9.0] * 4), (5, [0.5, 0.2499999, -0.125, 1.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    vectors.write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.execute(queries.ORACLES["op7_exact_top_k"]).fetchall()
+    got = queries.op7_exact_top_k(spark, str(tmp_path)).collect()
+    assert ordered(got) == ordered(want) and len(got) == 200  # 20 queries: of the multiples of 100, those that are rows
 
 
 # 9
