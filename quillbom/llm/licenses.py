@@ -1,28 +1,25 @@
 """Licence recognition by sentences and ordered rules.
 
-A text is cut into sentences; each is normalised and mapped to the identifier of the known licence
-sentence it equals. The sequence of identifiers is then matched against licence rules in order: a
-rule takes the identifiers it matches, so that a longer text comes before what its parts alone
-would mean. Everything is an expression over the row: nothing is shuffled or sent to Python, and
-texts without a licence word are passed by after one scan.
+A text loses its comment and list markers and is cut into pieces at full stops and line feeds; a
+sentence is a run of pieces, as lines may be wrapped. Each sentence is normalised (case, signs, and
+the ways to say "this work is licensed under the ...") and mapped to the identifier of the known
+licence sentence it equals, the longest run first. The sequence of identifiers is then matched
+against licence rules in order: a rule takes the identifiers it matches, so that a longer text comes
+before what its parts alone would mean. SPDX tags name their licence themselves. Everything is an
+expression over the row: nothing is shuffled or sent to Python, and texts without a licence word
+are passed by after one scan.
 """
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Normalised licence sentences by identifier. Variable parts are not in them.
 SENTENCES: dict[str, list[str]] = {
     "ApacheRef": [
-        "licensed under the apache license version 2 0",
-        "licensed under the apache license version 2 0 the license",
-        "this work is licensed under the apache license version 2 0",
-        "released under the apache license version 2 0",
-        "released under the apache license 2 0",
-        "licensed under the apache license 2 0",
+        "licensed under the apache license version 2 0", "licensed under the apache license version 2 0 the license", "licensed under the apache license 2 0", "licensed under the apache 2 0 license",
+        "apache license version 2 0", "apache license version 2 0 january 2004", "apache license 2 0",
     ],
     "ApacheHead": ["licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"],
     "ApacheCopy": ["you may obtain a copy of the license at http www apache org licenses license 2 0", "you may obtain a copy of the license at"],
@@ -31,7 +28,7 @@ SENTENCES: dict[str, list[str]] = {
         "warranties or conditions of any kind either express or implied"
     ],
     "ApacheSee": ["see the license for the specific language governing permissions and limitations under the license"],
-    "MITRef": ["released under the mit license", "licensed under the mit license", "this work is licensed under the mit license", "this project is licensed under the mit license"],
+    "MITRef": ["licensed under the mit license", "mit license", "the mit license", "the mit license mit"],
     "MITGrant": [
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal "
         "in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies "
@@ -56,8 +53,9 @@ SENTENCES: dict[str, list[str]] = {
         "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
         "without specific prior written permission"
     ],
-    "BSD2Ref": ["licensed under the bsd 2 clause license", "released under the bsd 2 clause license"],
-    "BSD3Ref": ["licensed under the bsd 3 clause license", "released under the bsd 3 clause license"],
+    "BSD2Ref": ["licensed under the bsd 2 clause license", "bsd 2 clause license", "licensed under the simplified bsd license"],
+    "BSD3Ref": ["licensed under the bsd 3 clause license", "bsd 3 clause license", "licensed under the new bsd license", "licensed under the revised bsd license"],
+    "ISCRef": ["licensed under the isc license", "isc license"],
     "GPLFree": [
         "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free "
         "software foundation either version 3 of the license or at your option any later version"
@@ -66,25 +64,21 @@ SENTENCES: dict[str, list[str]] = {
         "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free "
         "software foundation either version 2 of the license or at your option any later version"
     ],
-    "GPL3Ref": [
-        "this work is licensed under the gnu general public license version 3",
-        "licensed under the gnu general public license version 3",
-        "released under the gnu general public license version 3",
-    ],
-    "GPL2Ref": ["this work is licensed under the gnu general public license version 2", "licensed under the gnu general public license version 2"],
-    "LGPL3Ref": ["licensed under the gnu lesser general public license version 3", "this work is licensed under the gnu lesser general public license version 3"],
-    "AGPL3Ref": ["licensed under the gnu affero general public license version 3", "this work is licensed under the gnu affero general public license version 3"],
+    "GPL3Ref": ["licensed under the gnu general public license version 3", "licensed under the gnu gpl version 3", "licensed under the gpl version 3", "gnu general public license version 3 29 june 2007"],
+    "GPL2Ref": ["licensed under the gnu general public license version 2", "licensed under the gnu gpl version 2", "licensed under the gpl version 2", "gnu general public license version 2 june 1991"],
+    "LGPL3Ref": ["licensed under the gnu lesser general public license version 3"],
+    "AGPL3Ref": ["licensed under the gnu affero general public license version 3"],
     "GPLHope": [
         "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or "
         "fitness for a particular purpose"
     ],
     "GPLSee": ["see the gnu general public license for more details"],
-    "MPLHead": ["this source code form is subject to the terms of the mozilla public license v 2 0", "licensed under the mozilla public license version 2 0"],
-    "CCBY": ["licensed under cc by 4 0", "this work is licensed under cc by 4 0", "this work is licensed under a creative commons attribution 4 0 international license"],
-    "CCBYSA": ["licensed under cc by sa 4 0", "this work is licensed under cc by sa 4 0", "this work is licensed under a creative commons attribution sharealike 4 0 international license"],
-    "CCBYNC": ["licensed under cc by nc 4 0", "this work is licensed under cc by nc 4 0", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"],
-    "CCBYND": ["licensed under cc by nd 4 0", "this work is licensed under cc by nd 4 0"],
-    "CC0": ["this work is licensed under cc0 1 0", "licensed under cc0 1 0", "to the extent possible under law the author has waived all copyright and related rights to this work"],
+    "MPLHead": ["this source code form is subject to the terms of the mozilla public license v 2 0", "licensed under the mozilla public license version 2 0", "mozilla public license version 2 0"],
+    "CCBY": ["licensed under the cc by 4 0", "licensed under the creative commons attribution 4 0 international license"],
+    "CCBYSA": ["licensed under the cc by sa 4 0", "licensed under the creative commons attribution sharealike 4 0 international license"],
+    "CCBYNC": ["licensed under the cc by nc 4 0", "licensed under the creative commons attribution noncommercial 4 0 international license"],
+    "CCBYND": ["licensed under the cc by nd 4 0", "licensed under the creative commons attribution noderivatives 4 0 international license"],
+    "CC0": ["licensed under the cc0 1 0", "to the extent possible under law the author has waived all copyright and related rights to this work"],
     "Unlicense": ["this is free and unencumbered software released into the public domain"],
     "AllRights": ["all rights reserved"],
 }
@@ -103,6 +97,7 @@ RULES: list[tuple[str, str]] = [
     ("Apache-2.0", "ApacheHead"),
     ("Apache-2.0", "ApacheRef"),
     ("MIT", "MITRef"),
+    ("ISC", "ISCRef"),
     ("BSD-3-Clause", "BSD3Ref"),
     ("BSD-2-Clause", "BSD2Ref"),
     ("GPL-3.0-only", "GPL3Ref"),
@@ -118,10 +113,19 @@ RULES: list[tuple[str, str]] = [
     ("Unlicense", "Unlicense"),
     ("All-rights-reserved", "AllRights"),
 ]
-#: Every known sentence holds one of these, in any case.
+#: Every known sentence and tag holds one of these, in any case.
 LICENCE_WORDS = "licen|copyright|permission|redistribut|warrant|public domain|all rights reserved|free software"
-#: Sentences end after a full stop, and at line feeds that don't stand inside a sentence.
-SENTENCE_END = r"(?<=[.!?])\s+|(?<![,\-])\s*\n+(?![a-z])"
+#: Marks at the start of a line: of comments, list items and quotes.
+MARKERS = r"(?m)^[ \t]*(?:(?:/\*+|\*+/|\*|//+|#+|--|;+|>|<!--|-->|-|\u2022|\(?[0-9a-z][.)])(?=[ \t]|$)[ \t]*)+"
+#: Pieces end after a full stop and at line feeds.
+PIECE_END = r"(?<=[.!?])\s+|\s*\n\s*"
+#: Pieces that a sentence may be wrapped to.
+WRAPPED = 10
+TAG = r"SPDX-License-Identifier:\s*\(?([A-Za-z0-9][A-Za-z0-9.+-]*)"
+#: Ways to say the same, on normalised sentences.
+UNDER = r"^(?:(?:this|the|our|all) (?:\w+ ){1,3}(?:is|are) )?(?:dual )?(?:licensed|released|distributed|available|provided|published) under (?:the |a |an )?(?:terms of )?(?:the )?"
+SEE = r" see (?:the )?license(?: file)?(?: in [a-z ]+| for [a-z ]+)?\z"
+NAMES = r"^neither the name of .{1,100}? nor the names of its contributors"
 
 
 def normalised(sentence: Column) -> Column:
@@ -129,45 +133,48 @@ def normalised(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(sentence), r"[^\p{L}\p{N}]+", " "))
 
 
+def canonical(sentence: Column) -> Column:
+    """A normalised sentence in the words of the table."""
+    plain = F.regexp_replace(F.replace(sentence, F.lit("licence"), F.lit("license")), UNDER, "licensed under the ")
+    return F.regexp_replace(F.regexp_replace(plain, SEE, ""), NAMES, "neither the name of the copyright holder nor the names of its contributors")
+
+
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: key, license (the found ones in rule order, joined by a comma; UNKNOWN where only
-    unrecognised licence sentences stand; NONE), sentence_ids (in text order), n_known and n_unknown
-    sentences. Null and empty texts have none; repeated rows give repeated results."""
+    """Per row: key, license (the found ones in rule order, then tags, joined by a comma; UNKNOWN where only
+    unrecognised licence sentences stand; NONE), sentence_ids (in text order), n_known and n_unknown.
+
+    n_known counts recognised sentences and tags, n_unknown pieces that speak of licences or copyright
+    and belong to none. Null and empty texts have none; repeated rows give repeated results; a very long
+    text is an array of its pieces within its row; an empty table gives no rows. Other columns, of any
+    name, are not read.
+    """
     words = F.lit(f"(?i){LICENCE_WORDS}")
+    none = F.array().cast("array<string>")
     known = F.create_map(*[F.lit(x) for i, sentences in SENTENCES.items() for s in sentences for x in (s, i)])
-    found = docs.select(key, F.when(F.regexp(F.col(text), words), F.split(F.col(text), SENTENCE_END)).otherwise(F.array().cast("array<string>")).alias("sentences"))
-    found = found.select(key, F.transform(F.filter("sentences", lambda s: F.regexp(s, words)), normalised).alias("sentences"))
-    found = found.select(key, F.transform("sentences", lambda s: F.element_at(known, s)).alias("all_ids"), F.filter("sentences", lambda s: s.rlike("licen|copyright")).alias("telling"))
-    found = found.select(key, F.array_compact("all_ids").alias("ids"), F.size(F.filter("telling", lambda s: F.element_at(known, s).isNull())).cast("long").alias("n_unknown"))
+    starts = F.lit(UNDER.replace("^", "^(?:", 1) + ")|^(?:" + "|".join(sorted({" ".join(s.split()[:2]) for group in SENTENCES.values() for s in group})) + r")\b")
+    found = docs.select(F.col(key).alias("k"), F.when(F.regexp(F.col(text), words), F.col(text)).alias("t"))
+    pieces = F.when(F.col("t").isNotNull(), F.filter(F.transform(F.split(F.regexp_replace("t", MARKERS, ""), PIECE_END), normalised), lambda p: p != "")).otherwise(none)
+    found = found.select("k", F.coalesce(F.regexp_extract_all("t", F.lit(TAG), 1), none).alias("tags"), pieces.alias("p"))
+
+    def sentence(piece: Column, i: Column) -> Column:
+        """The known sentence that begins here, of as many pieces as it can have."""
+        runs = [F.array_join(F.slice("p", i + 1, n), " ") for n in range(WRAPPED, 0, -1)]
+        fits = [F.when(F.element_at(known, canonical(r)).isNotNull(), F.struct(F.element_at(known, canonical(r)).alias("id"), F.least(F.lit(n), F.size("p") - i).alias("n"))) for n, r in zip(range(WRAPPED, 0, -1), runs, strict=True)]
+        return F.when(F.regexp(piece, starts), F.coalesce(*fits))
+
+    found = found.withColumn("hits", F.transform("p", sentence))
+    inside = lambda j: F.exists(F.array(*[F.coalesce(F.get("hits", j - back)["n"] > back, F.lit(False)) for back in range(WRAPPED)]), lambda x: x)
+    unknown = F.filter("p", lambda p, j: p.rlike("licen|copyright") & ~p.rlike("^spdx license identifier") & ~inside(j))
+    found = found.select("k", "tags", F.transform(F.filter("hits", lambda h: h.isNotNull()), lambda h: h["id"]).alias("ids"), F.size(unknown).cast("long").alias("n_unknown"))
     rules = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(f" {pattern} ").alias("pattern")) for name, pattern in RULES])
-    start = F.struct(F.concat(F.lit(" "), F.array_join("ids", "  "), F.lit(" ")).alias("left"), F.array().cast("array<string>").alias("names"))
+    start = F.struct(F.concat(F.lit(" "), F.array_join("ids", "  "), F.lit(" ")).alias("left"), none.alias("names"))
     # identifiers are parted by two spaces, so that each rule's own spaces are taken with it
     pattern = lambda r: F.concat(F.lit(" "), F.replace(F.trim(r["pattern"]), F.lit(" "), F.lit("  ")), F.lit(" "))
     step = lambda acc, r: F.struct(
         F.replace(acc["left"], pattern(r), F.lit("")).alias("left"),
         F.when(F.contains(acc["left"], pattern(r)), F.array_append(acc["names"], r["name"])).otherwise(acc["names"]).alias("names"),
     )
-    matched = found.select(key, "ids", "n_unknown", F.when(F.size("ids") > 0, F.aggregate(rules, start, step)["names"]).otherwise(F.array().cast("array<string>")).alias("names"))
-    names = F.array_distinct("names")
+    matched = found.select("k", "ids", "tags", "n_unknown", F.when(F.size("ids") > 0, F.aggregate(rules, start, step)["names"]).otherwise(none).alias("names"))
+    names = F.array_distinct(F.concat("names", "tags"))
     label = F.when(F.size(names) > 0, F.array_join(names, ",")).when(F.col("n_unknown") > 0, "UNKNOWN").otherwise("NONE")
-    return matched.select(key, label.alias("license"), F.array_join("ids", ",").alias("sentence_ids"), F.size("ids").cast("long").alias("n_known"), "n_unknown")
-
-
-def scan_text(text: str | None) -> tuple[str, str, int, int]:
-    """The same for one text in plain Python, for tests."""
-    words = re.compile(LICENCE_WORDS, re.I)
-    table = {s: i for i, sentences in SENTENCES.items() for s in sentences}
-    parts = [re.sub(r"[\W_]+", " ", p.lower()).strip() for p in re.split(SENTENCE_END, text or "") if words.search(p)]
-    ids = [table[p] for p in parts if p in table]
-    unknown = sum(p not in table and ("licen" in p or "copyright" in p) for p in parts)
-    left, names = list(ids), []
-    for name, pattern in RULES:
-        want, at = pattern.split(), 0
-        while at <= len(left) - len(want):
-            if left[at:at + len(want)] == want:
-                del left[at:at + len(want)]
-                left.insert(at, "")
-                names.append(name)
-            at += 1
-    names = list(dict.fromkeys(names))
-    return ",".join(names) or ("UNKNOWN" if unknown else "NONE"), ",".join(ids), len(ids), unknown
+    return matched.select(F.col("k").alias(key), label.alias("license"), F.array_join("ids", ",").alias("sentence_ids"), (F.size("ids") + F.size("tags")).cast("long").alias("n_known"), "n_unknown")

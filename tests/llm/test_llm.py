@@ -729,15 +729,96 @@ def test_without_trusted_rows(docs, spark):
 # 10
 
 
-def test_licenses(spark, docs, none):
+def plain_rules(ids):
+    """The licences that a sequence of identifiers stands for: each rule in turn takes all that it matches."""
+    left, names = list(ids), []
+    for name, pattern in licenses.RULES:
+        want, at = pattern.split(), 0
+        while at <= len(left) - len(want):
+            if left[at:at + len(want)] == want:
+                left[at:at + len(want)] = [""]
+                names.append(name)
+            at += 1
+    return ",".join(dict.fromkeys(names))
+
+
+def test_licenses_of_shuffled_sentences(spark, docs, none):
+    """Known sentences in any order, parted in any way and wrapped anywhere, among others."""
     rng = random.Random(8)
-    pool = [s for group in licenses.SENTENCES.values() for s in group] + ["the licence of bar", "hello world"]
-    rows = [(n, "".join(rng.choice(pool).capitalize() + rng.choice([". ", ".\n", "\n", ", ", ",\n"]) for _ in range(rng.randint(1, 9)))) for n in range(150)] + pairs(docs)
-    got = [tuple(r)[1:] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
-    assert Counter(got) == Counter(licenses.scan_text(t) for _, t in rows)
+    of = {s: i for i, group in licenses.SENTENCES.items() for s in group}
+    rows, want = [], []
+    for n in range(200):
+        text, ids, unknown = "", [], 0
+        for _ in range(rng.randint(1, 8)):
+            s = rng.choice([*of, "hello world", "the licence of bar"])
+            ids += [of[s]] if s in of else []
+            unknown += s == "the licence of bar"
+            words = s.split()
+            if len(words) > 12:
+                words[rng.randint(3, 10)] += "\n   "
+            text += " ".join(words).capitalize() + rng.choice([". ", ".\n", ".\n\n"])
+        rows.append((n, text))
+        want.append((plain_rules(ids) or ("UNKNOWN" if unknown else "NONE"), ",".join(ids), len(ids), unknown))
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
+    for g, w, (_, text) in zip(got, want, rows, strict=True):
+        assert tuple(g)[1:] == w, text
+    assert licenses.scan(docs).count() == docs.count() and {r["license"] for r in licenses.scan(docs).collect()} == {"NONE"}
     assert licenses.scan(none).count() == 0
-    assert all(re.search(licenses.LICENCE_WORDS, s) for group in licenses.SENTENCES.values() for s in group)
-    assert licenses.scan_text("Licensed under the Apache License,\nVersion 2.0.")[0] == "Apache-2.0"
+    assert all(re.search(licenses.LICENCE_WORDS, s) or i == "ApacheCopy" for i, group in licenses.SENTENCES.items() for s in group)
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
+files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify,
+merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished
+to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE."""
+BSD2 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+BSD3 = BSD2 + """
+3. Neither the name of Example, Inc. nor the names of its contributors may be used to endorse or promote products
+   derived from this software without specific prior written permission."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+
+
+def test_whole_licence_texts(spark):
+    cases = {
+        "MIT": [MIT, "MIT License\n\nCopyright (c) 2020 X\n\n" + MIT, "This code is licensed under the MIT License.", "Licensed under the MIT License (see LICENSE).", "// SPDX-License-Identifier: MIT\nint x;", "MIT License\nCopyright (c) 2020 X"],
+        "BSD-2-Clause": [BSD2, "This library is released under the BSD 2-Clause License."], "BSD-3-Clause": [BSD3], "GPL-3.0-or-later": [GPL], "Apache-2.0": [APACHE, "some prose\nLicensed under the Apache License, Version 2.0.\nmore prose"],
+        "NONE": ["no such words", None, ""], "UNKNOWN": ["Under the licence of Foo."], "MIT,GPL-3.0-or-later": [GPL.replace("\n", "\n") + "\n\n" + MIT],
+    }
+    shapes = [lambda t: t, lambda t: "/*\n" + "\n".join(f" * {x}" for x in t.split("\n")) + "\n */", lambda t: "\n".join(f"# {x}".rstrip() for x in t.split("\n")), lambda t: "\n".join(f"    {x}" for x in t.split("\n")), lambda t: "\n".join(f"// {x}" for x in t.split("\n"))]
+    rows = [(n, shape(t) if t else t, want) for n, (want, t, shape) in enumerate((w, t, f) for w, ts in cases.items() for t in ts for f in shapes)]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, license string")).collect()
+    assert {r["doc_id"]: r["license"] for r in got} == {n: want for n, _, want in rows}
 
 
 # The pipeline
