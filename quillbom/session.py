@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,9 +33,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of the session, from spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The checkpoint folder of the session, from spark.checkpoint.dir; a temporary one only in local mode, an error on a cluster."""
     context = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or tempfile.mkdtemp(prefix="quillbom-")
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not found:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
+        found = tempfile.mkdtemp(prefix="quillbom-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(found)
     return found
