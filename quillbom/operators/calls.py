@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillbom.functions import columns as C
+from quillbom.functions.keys import scan_key
 from quillbom.operators import scan
 
 # Names that stand for a module without any binding.
@@ -86,29 +87,32 @@ def _bound(tokens: list[tuple], i: int, module: str, line: int) -> list[tuple]:
 
 
 def code_facts(files: DataFrame) -> DataFrame:
-    """The rows of facts() for each file (path, content)."""
+    """The rows of facts() for each file ((scan,) path, content)."""
+    by = scan_key(files)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns, found = ["path", "kind", "pos", "line", "a", "b", "args"], []
+        columns, found = [*by, "path", "kind", "pos", "line", "a", "b", "args"], []
         for rows in batches:
-            for path, text in zip(rows["path"], rows["text"], strict=True):
-                found += [(path, *f) for f in facts(text or "")]
+            for *file, text in zip(*(rows[c] for c in [*by, "path"]), rows["text"], strict=True):
+                found += [(*file, *f) for f in facts(text or "")]
                 if len(found) > 10_000:
                     yield pd.DataFrame(found, columns=columns)
                     found = []
         if found:
             yield pd.DataFrame(found, columns=columns)
 
-    return files.select("path", C.as_text(F.col("content")).alias("text")).mapInPandas(run, "path string, kind string, pos long, line long, a string, b string, args array<string>")
+    kind = "".join(f"{c} {files.schema[c].dataType.simpleString()}, " for c in by)
+    return files.select(*by, "path", C.as_text(F.col("content")).alias("text")).mapInPandas(run, f"{kind}path string, kind string, pos long, line long, a string, b string, args array<string>")
 
 
 def resolved_calls(rows: DataFrame) -> DataFrame:
     """Calls with the module their receiver stands for: by a binding before them in the file, or by the name alone."""
     table = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
-    calls = rows.where("kind = 'call'").select("path", "pos", "line", F.col("a").alias("receiver"), F.col("b").alias("method"), "args", F.lower(F.substring_index(F.when(F.col("a") == "", F.col("b")).otherwise(F.col("a")), ".", 1)).alias("head"))
+    by = scan_key(rows)
+    calls = rows.where("kind = 'call'").select(*by, "path", "pos", "line", F.col("a").alias("receiver"), F.col("b").alias("method"), "args", F.lower(F.substring_index(F.when(F.col("a") == "", F.col("b")).otherwise(F.col("a")), ".", 1)).alias("head"))
     origin = F.coalesce(F.try_element_at(table(MODULES), F.lower("b")), F.try_element_at(table(SEEDS), F.lower(F.substring_index("b", ".", -1))))
-    bound = rows.where("kind = 'binding'").select("path", F.col("pos").alias("since"), F.lower("a").alias("head"), origin.alias("module")).where("module is not null")
-    first = bound.groupBy("path", "head").agg(F.min_by("module", "since").alias("module"), F.min("since").alias("since"))
+    bound = rows.where("kind = 'binding'").select(*by, "path", F.col("pos").alias("since"), F.lower("a").alias("head"), origin.alias("module")).where("module is not null")
+    first = bound.groupBy(*by, "path", "head").agg(F.min_by("module", "since").alias("module"), F.min("since").alias("since"))
     named = F.try_element_at(table(SEEDS), F.col("head"))
     low = F.lower("receiver")
     own = F.when(F.col("since") < F.col("pos"), F.col("module"))
@@ -117,7 +121,7 @@ def resolved_calls(rows: DataFrame) -> DataFrame:
         .when(F.contains(low, F.lit("bcrypt")), "bcrypt")
         .otherwise(F.coalesce(own, F.when(F.col("receiver") != "", named), F.when(low.rlike("jwt|jose"), "jwt")))
     )
-    return calls.join(first, ["path", "head"], "left").withColumn("module", known).where("module is not null").drop("since", "head")
+    return calls.join(first, [*by, "path", "head"], "left").withColumn("module", known).where("module is not null").drop("since", "head")
 
 
 def literal(args: Column, place: int) -> Column:
@@ -133,14 +137,50 @@ def findings(files: DataFrame) -> DataFrame:
 
 
 def number_findings(rows: DataFrame) -> DataFrame:
-    numbers = rows.where("kind = 'number'").withColumn("cose", scan.cose_column(F.col("b").try_cast("int"))).where("cose is not null").dropDuplicates(["path", "line", "b"]).withColumn("filePath", F.col("path"))
+    numbers = rows.where("kind = 'number'").withColumn("cose", scan.cose_column(F.col("b").try_cast("int"))).where("cose is not null").dropDuplicates([*scan_key(rows), "path", "line", "b"]).withColumn("filePath", F.col("path"))
     return scan.finding(numbers, "ast", "direct", assetType="algorithm", name=F.col("cose.family"), algorithmFamily=F.col("cose.family"), primitive="signature", parameterSet=F.col("cose.parameter"), rawConfidence=0.95, detail=F.concat(F.lit("COSE number "), F.col("b")))
 
 
+# What the names of web algorithms begin with, and their family.
+WEB_FAMILIES = [
+    ("RSASSA-PKCS1", "RSA"), ("RSA-OAEP", "RSA"), ("RSA-PSS", "RSA-PSS"), ("ECDSA", "ECDSA"), ("ECDH", "ECDH"), ("AES", "AES"), ("HMAC", "HMAC"), ("PBKDF2", "PBKDF2"), ("HKDF", "HKDF"), ("ED25519", "EdDSA"),
+]
+
+
+def web_algorithm(arg: Column) -> Column:
+    """struct(family, parameter) of a web algorithm: a name, or an object with curve, hash and lengths; null for what is neither."""
+    text = F.trim(arg)
+    value = lambda t, name: F.nullif(F.regexp_extract(t, rf"(?<![A-Za-z]){name}[\"']?\s*:\s*[\"'`]?([\w.+-]+)", 1), F.lit(""))
+    nested = F.nullif(F.regexp_extract(text, r"(?<![A-Za-z])hash[\"']?\s*:\s*\{[^}]*?name[\"']?\s*:\s*[\"'`]([^\"'`]+)", 1), F.lit(""))
+    outer = F.regexp_replace(text, r"hash[\"']?\s*:\s*\{[^}]*\}", "")
+    named = F.upper(F.coalesce(value(outer, "name"), F.lit("UNKNOWN")))
+    family = named
+    for start, known in reversed(WEB_FAMILIES):
+        family = F.when(F.startswith(named, F.lit(start)), known).otherwise(family)
+    bits = lambda name: F.concat(value(outer, name), F.lit(" bits"))
+    parts = F.concat_ws(" / ", value(outer, "namedCurve"), F.upper(F.coalesce(nested, value(outer, "hash"))), bits("length"), bits("modulusLength"))
+    word = F.regexp_extract(text, r"^[\"'`](.*)[\"'`]\z", 1)
+    plain = C.algorithm_identifier(word)
+    return F.when(F.startswith(text, F.lit("{")), F.struct(family.alias("family"), F.nullif(parts, F.lit("")).alias("parameter"))).when(
+        word != "", F.struct(F.coalesce(plain["family"], F.upper(word)).alias("family"), plain["key_size"].alias("parameter"))
+    )
+
+
+def token_algorithms(args: Column) -> Column:
+    """The algorithms that a token's options name, one or a list; HS256 where they name none."""
+    joined = F.array_join(args, ",")
+    one = F.regexp_extract_all(joined, F.lit(r"algorithm[\"']?\s*:\s*[\"'`]([^\"'`]+)"), 1)
+    lists = F.array_join(F.regexp_extract_all(joined, F.lit(r"algorithms[\"']?\s*:\s*\[([^\]]*)\]"), 1), ",")
+    several = F.regexp_extract_all(lists, F.lit(r"[\"'`]([^\"'`]+)[\"'`]"), 1)
+    found = F.concat(one, several)
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("HS256")))
+
+
 def call_findings(calls: DataFrame) -> DataFrame:
-    """Rules by module and method; the first that fits decides, calls without one give nothing."""
+    """Rules by module and method; the first that fits decides, calls without one give nothing. A token call gives a finding for each algorithm it names."""
     calls = calls.withColumns({"arg": literal(F.col("args"), 0), "filePath": F.col("path")}).withColumn("known", C.algorithm_identifier(F.col("arg")))
-    calls = calls.withColumn("web", C.algorithm_identifier(F.get("args", F.lit(0))))
+    calls = calls.withColumns({"web": web_algorithm(F.get("args", F.lit(0))), "imported": web_algorithm(F.get("args", F.lit(2)))})
+    calls = calls.withColumn("alg", F.explode_outer(F.when(F.col("module") == "jwt", token_algorithms(F.col("args")))))
     m, on = F.col("method"), lambda module, *names: (F.col("module") == module) & F.col("method").isin(*[x for n in names for x in (n, f"{n}Sync")])
     family, sure = F.col("known.family"), F.when(F.col("arg").isNotNull(), 0.95)
     text = F.lit(None).cast("string")
@@ -152,18 +192,29 @@ def call_findings(calls: DataFrame) -> DataFrame:
     cipher = F.coalesce(family, F.lit("AES"))
     stream = F.when(F.upper(cipher).isin("RC4", "CHACHA20"), "stream-cipher").otherwise("block-cipher")
     web = F.coalesce(F.col("web.family"), F.lit("ECDSA"))
+    curve = F.when(F.col("web").isNull(), "P-256").otherwise(F.col("web.parameter"))
+    key = F.coalesce(F.col("imported.family"), F.lit("ECDSA"))
+    key_curve = F.when(F.col("imported").isNull(), "P-256").otherwise(F.col("imported.parameter"))
+    pair = F.upper(key).isin("ECDSA", "ECDH", "RSA", "RSA-PSS", "EDDSA")
     last = F.substring_index("receiver", ".", -1)
-    js = F.when(last == "TripleDES", "3DES").when(last.isin("DES", "RC4", "Rabbit"), last).otherwise("AES")
-    alg = F.upper(F.coalesce(F.nullif(F.regexp_extract(F.array_join("args", ","), r"algorithms?:\[?[\"'](\w+)[\"']", 1), F.lit("")), F.lit("HS256")))
+    kind = lambda word: F.lower(last).contains(word)
+    js = F.when(kind("tripledes"), "3DES").when(kind("des"), "DES").when(kind("rc4"), "RC4").when(kind("rabbit"), "Rabbit").otherwise("AES")
+    either = lambda pattern: F.when(m.rlike(pattern), m).when(last.rlike(pattern), last)  # noqa: E731  # the method's name, or what it is a method of
+    digest, mac, derived = either(r"(?i)^(sha(256|512|384|224|1|3)|md5|ripemd160)\z"), either("(?i)^hmac"), either(r"(?i)^(pbkdf2|evpkdf)\z")
+    alg = F.col("alg")
     token = C.algorithm_identifier(alg)
+    no_token = F.lower(alg) == "none"
+    third, fourth = literal(F.col("args"), 3), literal(F.col("args"), 4)
     secret = literal(F.col("args"), 1)
     weak = secret.isNotNull() & (secret != "") & ((F.length(secret) < 16) | (secret == "secret"))
     hit = (
-        F.when(on("subtle", "sign", "verify"), say(web, F.when(web == "HMAC", "mac").otherwise("signature"), F.col("web.key_size")))
-        .when(on("subtle", "digest"), say(F.coalesce(F.col("web.family"), F.lit("SHA-256")), "hash"))
-        .when(on("subtle", "generateKey"), say(web, "signature", F.col("web.key_size")))
-        .when(on("subtle", "deriveKey", "deriveBits"), say(F.coalesce(F.col("web.family"), F.lit("HKDF")), F.when(F.col("web.family") == "ECDH", "key-agree").otherwise("kdf")))
-        .when(on("crypto", "verify", "sign"), say(F.coalesce(family, F.lit("RSA")), "signature", mode=F.coalesce("known.mode", "arg"), confidence=maybe(0.85)))
+        F.when(on("subtle", "sign", "verify"), say(web, F.when(web == "HMAC", "mac").otherwise("signature"), curve))
+        .when(on("subtle", "digest"), say(F.coalesce(F.col("web.family"), F.lit("SHA-256")), "hash", F.col("web.parameter")))
+        .when(on("subtle", "importKey"), say(key, F.when(pair, text).otherwise("block-cipher"), key_curve, material=F.when(pair, F.when(F.col("arg") == "pkcs8", "private-key").otherwise("public-key"))))
+        .when(on("subtle", "generateKey"), say(web, "signature", curve))
+        .when(on("subtle", "deriveKey", "deriveBits"), say(F.coalesce(F.col("web.family"), F.lit("HKDF")), F.when(F.col("web.family") == "ECDH", "key-agree").otherwise("kdf"), F.col("web.parameter")))
+        .when(F.col("module") == "subtle", F.lit(None))
+        .when(on("crypto", "verify", "sign"), say(F.coalesce(family, F.lit("RSA")), "signature", F.coalesce("known.mode", "arg"), confidence=maybe(0.85)))
         .when(on("crypto", "createPublicKey"), say("RSA", None, material="public-key", confidence=F.lit(0.90)))
         .when(on("crypto", "createPrivateKey"), say("RSA", None, material="private-key", confidence=F.lit(0.90)))
         .when(m == "timingSafeEqual", say("timingSafeEqual", None))
@@ -172,7 +223,7 @@ def call_findings(calls: DataFrame) -> DataFrame:
         .when(on("crypto", "createHmac"), say("HMAC", "mac", mode=F.coalesce("known.mode", F.upper("arg")), confidence=maybe(0.80)))
         .when(on("crypto", "createCipher", "createCipheriv", "createDecipher", "createDecipheriv"), say(cipher, stream, F.col("known.key_size"), F.coalesce(F.col("known.mode"), F.when(family.isNull(), "CBC")), confidence=maybe(0.80)))
         .when(on("crypto", "createSign", "createVerify"), say(F.coalesce(family, F.lit("RSA")), "signature", mode=F.coalesce("known.mode", F.upper("arg")), confidence=maybe(0.80)))
-        .when(on("crypto", "pbkdf2"), say("PBKDF2", "kdf", F.concat_ws(", ", F.concat(literal(F.col("args"), 2), F.lit(" iters")), F.concat(literal(F.col("args"), 3), F.lit(" bytes")), literal(F.col("args"), 4)), confidence=F.when(literal(F.col("args"), 2).isNotNull(), 0.95).otherwise(0.85)))
+        .when(on("crypto", "pbkdf2"), say("PBKDF2", "kdf", F.concat_ws(", ", F.concat(literal(F.col("args"), 2), F.lit(" iters")), F.concat(third, F.lit(" bytes")), F.coalesce(fourth, third)), confidence=F.when(literal(F.col("args"), 2).isNotNull() | third.isNotNull() | fourth.isNotNull(), 0.95).otherwise(0.85)))
         .when(on("crypto", "scrypt"), say("scrypt", "kdf"))
         .when(on("crypto", "randomBytes"), say("CSPRNG", "drbg", F.concat((F.col("arg").try_cast("int") * 8).cast("string"), F.lit(" bits")), confidence=maybe(0.85)))
         .when(on("crypto", "generateKeyPair"), say(F.coalesce(F.upper("arg"), F.lit("RSA")), None, material="private-key", confidence=maybe(0.80)))
@@ -181,11 +232,11 @@ def call_findings(calls: DataFrame) -> DataFrame:
         .when(on("bcrypt", "genSalt"), say("bcrypt", None, F.concat(F.col("arg"), F.lit(" rounds")), material="salt", confidence=maybe(0.85)))
         .when(on("bcrypt", "compare"), say("bcrypt", None))
         .when(on("bcrypt", "hash"), say("bcrypt", "kdf"))
-        .when((F.col("module") == "jwt") & F.lower(m).isin("sign", "verify", "signjwt", "jwtverify", "compactsign", "compactencrypt"), say(token["family"], "signature", F.when(token["family"] == "none", "none-algorithm-insecure").when(weak, "weak-secret").otherwise(alg), token["mode"], confidence=F.when(F.contains(F.array_join("args", ","), F.lit("algorithm")), 0.95).otherwise(0.80)))
+        .when((F.col("module") == "jwt") & F.lower(m).isin("sign", "verify", "signjwt", "jwtverify", "compactsign", "compactencrypt"), say(F.when(no_token, "none").otherwise(token["family"]), "signature", F.when(no_token, "none-algorithm-insecure").when(weak, "weak-secret").otherwise(alg), F.when(~no_token, token["mode"]), confidence=F.when(F.contains(F.array_join("args", ","), F.lit("algorithm")), 0.95).otherwise(0.80)))
         .when(on("cryptojs", "encrypt", "decrypt", "createEncryptor", "createDecryptor"), say(js, F.when(js.isin("RC4", "Rabbit"), "stream-cipher").otherwise("block-cipher")))
-        .when((F.col("module") == "cryptojs") & m.rlike(r"(?i)^(sha(256|512|384|224|1|3)|md5|ripemd160)\z"), say(C.algorithm_identifier(m)["family"], "hash"))
-        .when((F.col("module") == "cryptojs") & F.startswith(m, F.lit("Hmac")), say("HMAC", "mac", mode=F.coalesce(F.nullif(F.upper(F.substring(m, 5, 99)), F.lit("")), F.lit("SHA-256"))))
-        .when((F.col("module") == "cryptojs") & F.upper(m).isin("PBKDF2", "EVPKDF"), say(F.upper(m), "kdf"))
+        .when((F.col("module") == "cryptojs") & digest.isNotNull(), say(C.algorithm_identifier(digest)["family"], "hash"))
+        .when((F.col("module") == "cryptojs") & mac.isNotNull(), say("HMAC", "mac", mode=F.coalesce(F.nullif(F.upper(F.substring(mac, 5, 99)), F.lit("")), F.lit("SHA-256"))))
+        .when((F.col("module") == "cryptojs") & derived.isNotNull(), say(F.upper(derived), "kdf"))
     )
     hits = calls.withColumn("hit", hit).where("hit is not null")
     stored = F.col("hit.material").isNotNull()

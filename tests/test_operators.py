@@ -238,6 +238,103 @@ x.verify('RSA-SHA256'); "crypto.createHash('md5')";
     }
 
 
+def test_web_and_token_calls(spark, tmp_path):
+    from quillbom.operators import calls
+
+    code = """const crypto = require('crypto'), jwt = require('jsonwebtoken'), CryptoJS = require('crypto-js');
+window.crypto.subtle.sign({ name: 'ECDSA', namedCurve: 'P-384', hash: { name: 'SHA-384' } }, k, d);
+window.crypto.subtle.importKey('pkcs8', b, { name: 'RSA-PSS', hash: 'SHA-256' }, true, u);
+window.crypto.subtle.importKey('raw', b, { name: 'AES-GCM', length: 256 }, true, u);
+window.crypto.subtle.generateKey({ name: 'RSASSA-PKCS1-v1_5', modulusLength: 2048, hash: { name: 'SHA-256' } }, e, u);
+window.crypto.subtle.verify(algorithm, k, s, d);
+jwt.verify(t, key, { algorithms: ['RS256', 'ES384'] });
+jwt.sign(t, key, { algorithm: 'none' });
+crypto.sign('RSA-SHA256', d, k);
+CryptoJS.algo.SHA512.create(); CryptoJS.RC4.encrypt(m, k);
+crypto.pbkdf2Sync(p, s, 1000, 32);
+"""
+    files = tree(tmp_path, spark, {"src/a.js": code})
+    got = {(r["line"], r["algorithmFamily"], r["primitive"], r["mode"], r["parameterSet"], r["materialType"]) for r in calls.findings(files).collect()}
+    assert got == {
+        (2, "ECDSA", "signature", None, "P-384 / SHA-384", None), (3, "RSA-PSS", None, None, "SHA-256", "private-key"), (4, "AES", "block-cipher", None, "256 bits", None),
+        (5, "RSA", "signature", None, "SHA-256 / 2048 bits", None), (6, "ECDSA", "signature", None, "P-256", None), (7, "RSA", "signature", "SHA-256", "RS256", None), (7, "ECDSA", "signature", "SHA-384", "ES384", None),
+        (8, "none", "signature", None, "none-algorithm-insecure", None), (9, "RSA-SHA256", "signature", None, "RSA-SHA256", None), (10, "SHA-512", "hash", None, None, None), (10, "RC4", "stream-cipher", None, None, None),
+        (11, "PBKDF2", "kdf", None, "1000 iters, 32 bytes, 32", None),
+    }
+
+
+def test_severities_reach_the_summary(spark):
+    """Hits of the detectors by way of the summary: typosquats are high, and nothing critical counts as low."""
+    parts = spark.createDataFrame([(0, "expres", "1", "pkg:npm/expres@1", [], False, False)], "seq long, name string, version string, purl string, declaredRanges array<string>, hasInstallScript boolean, dev boolean")
+    popular = spark.createDataFrame([("express", 1)], "name string, rank int")
+    registry = spark.createDataFrame([], "name string, published timestamp, license string, deprecated string")
+    found = sbom.anomalies(parts, popular, registry, spark.createDataFrame([], "name string, weekly long"), F.lit("2024-01-02").cast("timestamp"))
+    rows = sbom.with_hits(parts, spark.createDataFrame([], "purl string, vuln_id string"), found.where("type = 'typosquat'"))
+    rows = rows.withColumn("bucket", sbom.worst_bucket(F.size("vulns") > 0, F.transform("hits", lambda h: h["severity"])))
+    summary = sbom.risk_summary(rows).first()
+    assert (summary["critical"], summary["high"], summary["low"]) == (0, 1, 0)
+    assert values(spark, sbom.worst_bucket(F.lit(False), F.array(F.lit("critical")))) == "critical"
+
+
+def test_scans_do_not_mix(spark):
+    entries = [(s, i, f"node_modules/{n}", "1", None, None, False, False, False, {"b": f"^{s}"} if n == "a" else None) for s in ("x", "y") for i, n in enumerate("ab")]
+    parts = sbom.components(spark.createDataFrame(entries, "scan string, seq int, path string, version string, resolved string, integrity string, dev boolean, optional boolean, hasInstallScript boolean, dependencies map<string,string>"))
+    assert {(r["scan"], r["name"]): r["declaredRanges"] for r in parts.collect()} == {("x", "a"): [], ("x", "b"): ["^x"], ("y", "a"): [], ("y", "b"): ["^y"]}
+    vulns = spark.createDataFrame([("x", "pkg:npm/a@1", "V")], "scan string, purl string, vuln_id string")
+    none = spark.createDataFrame([], "scan string, purl string, seq int, type string, severity string, reason string")
+    documents = {r["scan"]: json.loads(r["document"]) for r in sbom.documents(sbom.with_hits(parts, vulns, none)).collect()}
+    assert [v["id"] for v in documents["x"]["vulnerabilities"]] == ["V"] and documents["y"]["vulnerabilities"] == []
+    with pytest.raises(ValueError, match="tell scans apart"):
+        sbom.with_hits(parts, vulns.drop("scan"), none)
+
+
+def test_comments_are_left_out(spark):
+    text = "a(1) /* b(2)\n c */ d(3)\n/* e */ f /* g */ h\n/*/ i */ j\nk /* l"
+    rows = scan.comment_free(spark.createDataFrame([("p", text.encode())], "path string, content binary")).orderBy("line").collect()
+    assert [r["code"].split() for r in rows] == [["a(1)"], ["d(3)"], ["f", "h"], ["j"], ["k"]] and [r["content"] for r in rows] == text.split("\n")
+
+
+def test_certificate(spark):
+    """A certificate made of its parts: version, serial, algorithm, issuer, validity, subject and key."""
+    import base64
+
+    def der(tag, *parts):
+        body = b"".join(parts)
+        size = bytes([len(body)]) if len(body) < 128 else bytes([0x82, len(body) >> 8, len(body) & 255])
+        return bytes([tag]) + size + body
+
+    oid = lambda h: der(6, bytes.fromhex(h))
+    name = der(48, der(49, der(48, oid("550403"), der(12, "exämple".encode()))), der(49, der(48, oid("55040a"), der(19, b"Org"))))
+    validity = der(48, der(23, b"240101000000Z"), der(23, b"340102030405Z"))
+    key = der(48, der(48, oid("2a8648ce3d0201"), oid("2a8648ce3d030107")), der(3, b"\0" + b"k" * 200))
+    body = der(48, der(0xA0, der(2, b"\2")), der(2, b"\1"), der(48, oid("2a8648ce3d040302")), name, validity, name, key)
+    pem = "-----BEGIN CERTIFICATE-----\n" + base64.encodebytes(der(48, body, der(48), der(3, b"\0"))).decode() + "-----END CERTIFICATE-----\n"
+    row = assess.certificates(spark.createDataFrame([(pem,)], "pem string")).first()
+    assert (row["subject"], row["validTo"], row["keyType"]) == ("CN=exämple\nO=Org", "2034-01-02T03:04:05Z", "ec")
+
+
+def test_hashed_vector(spark):
+    row = spark.createDataFrame([("a b a. C",), ("",), (None,)], "t string").select(relate.hashed_vector(F.col("t"), 16).alias("v")).collect()
+    assert sum(row[0]["v"]) == 4 and max(row[0]["v"]) >= 2 and len(row[0]["v"]) == 16 and sum(row[1]["v"]) == 0
+
+
+def test_exports(spark):
+    parts = spark.createDataFrame([("s", "r1", "cryptographic-asset", "AES", ["l1"]), ("s", "l1", "library", "lib", None)], "scan string, ref string, type string, name string, dependsOn array<string>")
+    at = F.lit("2024-01-02").cast("timestamp")
+    document = json.loads(views.exported(parts, True, at).first()["document"])
+    assert [c["bom-ref"] for c in document["components"]] == ["r1"] and document["dependencies"] == [{"ref": "r1", "dependsOn": ["l1"]}]
+    assert document["metadata"]["tools"]["components"][0]["type"] == "application" and document["serialNumber"].startswith("urn:uuid:")
+    other = json.loads(views.exported(parts, False, at, spark.createDataFrame([("s", "u")], "scan string, repository string")).first()["document"])
+    assert [c["name"] for c in other["components"]] == ["lib"] and other["metadata"]["component"]["name"] == "u" and "dependencies" not in other
+
+
+def test_advice_has_actions(spark):
+    advice = values(spark, views.advice(F.lit("RSA"), F.lit(0), F.lit("NONE"), F.lit(None).cast("string"), F.lit("algorithm")))
+    assert advice["severity"] == "critical" and len(advice["actions"]) == 3 and advice["summary"]
+    assert values(spark, views.primitive_label(F.lit("hash"), F.lit("256"), F.lit(None).cast("string"))) == "hash / 256"
+    assert values(spark, views.source_label(F.lit("a.js"), F.lit(3))) == "a.js:3"
+
+
 def test_nearest_with_zero_vectors(spark):
     queries = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0])], "id long, v array<float>")
     corpus = spark.createDataFrame([(n, [1.0, n / 10]) for n in range(5)], "entry long, w array<float>")
