@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillbom.functions import columns as C
 from quillbom.functions import rules
-from quillbom.operators import assess, relate, scan, views
+from quillbom.operators import assess, calls, relate, scan, views
 from quillbom.plans.registered import query
 from quillbom.session import table
 
@@ -74,24 +74,33 @@ def line_scan(spark, sf_dir):
 
 
 _CODE = ["crypto.verify('RSA-SHA256', data)", "x = CryptoJS.SHA256(m)", "jwt.sign(p, 's')", "total(a)", "bcrypt.hash(p, 10)", "crypto.pbkdf2Sync(a)", "{ alg: -7 }", "CryptoJS.HmacSHA1(a) + CryptoJS.AES.encrypt(b)"]
-_FIRED = ["4", "11", "9", None, "6", "7", "0", "10,12"]
+_LINES_SQL = """lines AS (SELECT doc_id, line, content || ' ' || {code}[(doc_id + line) % {n} + 1] AS content FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents))"""
 
 
-@query(f"SELECT l_orderkey, l_linenumber, unnest(string_split({_list(_FIRED)}[l_orderkey % 8 + 1], ','))::INTEGER AS rule FROM lineitem")
-def line_rules(spark, sf_dir):
-    """Line rules for code that can't be parsed; several may fire."""
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", _nth(_CODE, F.col("l_orderkey")).alias("content"))
-    return scan.line_matches(rows).select("l_orderkey", "l_linenumber", F.col("hit.rule").alias("rule"))
+def _rule_table(patterns):
+    return "rules(rule, topic, pattern) AS (VALUES " + ", ".join(f"({i}, '{t}', '" + p.replace("'", "''") + "')" for i, (t, p) in enumerate(patterns)) + ")"
+
+
+def _code_lines(spark, sf_dir, code):
+    """The lines of all documents, each with a piece of code behind it."""
+    lines = scan.text_lines(table(spark, sf_dir, "documents"), F.col("text"), "doc_id")
+    return lines.withColumn("content", F.concat("content", F.lit(" "), _nth(code, F.col("doc_id") + F.col("line"))))
 
 
-_CALLS = ["verifySignature(a)", "obj.hashPassword(x)", "author.name(y)", "this.isAuth(z)", "hashmap.get(k)", "// verify(a)", "s = 'encrypt(x)'", "HMACDigest(a)", "mac_check(b)", "machine(c)", "signal(d)", "importKey(e)"]
-_CALLED = ["verifySignature", "obj.hashPassword", None, "this.isAuth", None, None, None, "HMACDigest", "mac_check", None, None, None]
+@query("WITH " + _LINES_SQL.format(code=_list(_CODE), n=len(_CODE)) + ", " + _rule_table([("line", r[0]) for r in scan.LINE_RULES]) + "SELECT doc_id, line, rule FROM lines JOIN rules ON regexp_matches(content, pattern)")
+def line_rules(spark, sf_dir):
+    """Line rules for code that can't be parsed, on every line of the documents; several may fire."""
+    rows = scan.line_matches(_code_lines(spark, sf_dir, _CODE))
+    return rows.select("doc_id", F.col("line").cast("long").alias("line"), F.col("hit.rule").alias("rule"))
 
 
-@query(f"SELECT p_partkey, coalesce({_list(_CALLED)}[p_partkey % 12 + 1], '') AS calls FROM part")
+@query("""SELECT p_partkey, CASE WHEN segment IN ('Hash', 'Verify', 'Box') THEN w[1] || '.' || w[2] || segment ELSE '' END AS calls
+FROM (SELECT p_partkey, string_split(p_name, ' ') AS w, ['Hash', 'List', 'Verify', 'Box', 'Items'][p_partkey % 5 + 1] AS segment FROM part)""")
 def call_token_match(spark, sf_dir):
-    """Calls whose name tells of cryptography, outside strings and comments."""
-    calls = C.crypto_calls(C.sanitize_line(_nth(_CALLS, F.col("p_partkey"))))
+    """Calls whose name tells of cryptography, outside strings and comments; names are made of every part's words."""
+    word = lambda i: F.split("p_name", " ")[i]
+    line = F.concat(word(0), F.lit("."), word(1), _nth(["Hash", "List", "Verify", "Box", "Items"], F.col("p_partkey")), F.lit("(x, 'sign(z)'); // encrypt(y)"))
+    calls = C.crypto_calls(C.sanitize_line(line))
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(calls, ",").alias("calls"))
 
 
@@ -102,37 +111,28 @@ def script_calls(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.size(names).cast("long").alias("calls"), F.size(F.split("html", "\n")).cast("long").alias("lines"))
 
 
-_MARKS = ["src/a.js", "latest/x.js", "webapp/y.js", "vendor/z/q.js", "deep/er/a.js", "/index.js", "node_modules/p/i.js", "a.spec.ts"]
-_CATEGORY = ["production", "test", "production", "vendor", "unknown", "production", "vendor", "test"]
-
-
-@query(f"SELECT page_id, {_list(_CATEGORY)}[page_id % 8 + 1] AS category, {_list(_MARKS)}[page_id % 8 + 1] IN ('a.spec.ts') AS is_test FROM pages")
+@query(r"""WITH p AS (SELECT page_id, ['src/', 'lib/tests/', 'vendor/', 'x/', 'app/', 'docs/node_modules/', ''][page_id % 7 + 1] || 'p' || page_id || regexp_replace(url, '^https?://[^/]+', '') || '.js' AS path FROM pages), l AS (SELECT *, lower(path) AS q FROM p)
+SELECT page_id, CASE WHEN regexp_matches(q, 'test/|tests/|spec/|__tests__/|__mocks__/|\.test\.|\.spec\.|mock|fixture') THEN 'test' WHEN regexp_matches(q, 'vendor/|node_modules/|third_party/|third-party/|dist/|build/') THEN 'vendor'
+WHEN regexp_matches(q, 'src/|lib/|app/|backend/|server/') OR NOT contains(trim(q, '/'), '/') THEN 'production' ELSE 'unknown' END AS category,
+regexp_matches(path, '(?i)[._-](test|spec)\.[a-zA-Z0-9]+$') OR regexp_matches(path, '(?i)(^|/)(__tests__|__mocks__|test|tests)/') AS is_test FROM l""")
 def context_classify(spark, sf_dir):
-    """Context of a path, and test paths."""
-    path = _nth(_MARKS, F.col("page_id"))
+    """Context of a path, and test paths: the addresses of all pages below several folders."""
+    folder = _nth(["src/", "lib/tests/", "vendor/", "x/", "app/", "docs/node_modules/", ""], F.col("page_id"))
+    path = F.concat(folder, F.lit("p"), F.col("page_id").cast("string"), F.regexp_replace("url", "^https?://[^/]+", ""), F.lit(".js"))
     return table(spark, sf_dir, "pages").select("page_id", C.context_category(path).alias("category"), C.is_test_path(path).alias("is_test"))
 
 
-_CASES = [  # asset type, primitive, material, family, parameter, context -> level, risk
-    ("algorithm", "signature", None, "RSA", None, "production", 0, "CRITICAL"), ("algorithm", "block-cipher", None, "AES", "256", "production", 5, "LOW"),
-    ("algorithm", "block-cipher", None, "AES", "128", "production", 1, "MEDIUM"), ("algorithm", "drbg", None, "CSPRNG", "128 bits", "production", 5, "NONE"),
-    ("algorithm", None, None, "bcrypt", None, "production", 5, "NONE"), ("related-crypto-material", None, "salt", "bcrypt", "10 rounds", "production", 5, "NONE"),
-    ("algorithm", "kdf", None, "PBKDF2", "1000 iters, 20 bytes, sha1", "production", 1, "MEDIUM"), ("algorithm", "hash", None, "SHA-256", None, "production", 3, "LOW"),
-    ("algorithm", "hash", None, "SHA-1", None, "test", 1, "MEDIUM"), ("algorithm", "hash", None, "SHA-512", None, "production", 5, "LOW"),
-    ("algorithm", "hash", None, "MD5", None, "vendor", 0, "HIGH"), ("certificate", None, None, None, "rsa", "production", 0, "CRITICAL"),
-    ("algorithm", "kem", None, "ML-KEM", None, "production", 1, "MEDIUM"), ("algorithm", "mac", None, "HMAC", None, "production", 1, "MEDIUM"),
-]
-
-
-@query(f"""SELECT p_partkey, CAST({_list([c[6] for c in _CASES])}[p_partkey % 14 + 1] AS INTEGER) AS level, {_list([c[7] for c in _CASES])}[p_partkey % 14 + 1] AS risk FROM part""")
+@query("""WITH c AS (SELECT p_partkey, p_size * 12 AS size, p_partkey % 5 AS kind, ['production', 'test', 'vendor'][p_size % 3 + 1] AS context FROM part),
+l AS (SELECT *, CASE kind WHEN 0 THEN CASE WHEN size >= 256 THEN 5 WHEN size >= 192 THEN 3 WHEN size >= 128 THEN 1 ELSE 0 END WHEN 1 THEN CASE WHEN size >= 512 THEN 5 WHEN size >= 384 THEN 4 WHEN size >= 256 THEN 3 WHEN size >= 160 THEN 1 ELSE 0 END
+    WHEN 2 THEN 0 ELSE 5 END AS level FROM c)
+SELECT p_partkey, level, CASE WHEN kind = 4 THEN 'NONE' WHEN level = 0 AND kind = 2 AND context = 'production' THEN 'CRITICAL' WHEN level = 0 THEN 'HIGH' WHEN level <= 2 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM l""")
 def quantum_risk(spark, sf_dir):
-    """Security level and quantum risk."""
-    names = ["asset", "primitive", "material", "family", "parameter", "context"]
-    rows = table(spark, sf_dir, "part").withColumns({n: _nth([c[i] for c in _CASES], F.col("p_partkey")) for i, n in enumerate(names)})
-    asset, primitive, material, family, parameter, context = map(F.col, names)
-    level = C.nist_level(asset, primitive, material, family, parameter)
-    rows = rows.withColumn("level", level).withColumn("sensitivity", C.data_sensitivity(context, asset, primitive))
-    risk = C.quantum_risk(F.col("level"), F.col("sensitivity"), C.is_unaffected(asset, primitive, material, F.upper(family)))
+    """Security level and quantum risk of families, sizes and contexts."""
+    p = F.col("p_partkey")
+    family, primitive = _nth(["AES", "SHA-2", "RSA", "bcrypt", "CSPRNG"], p), _nth(["block-cipher", "hash", "signature", "kdf", "drbg"], p)
+    asset, material, context = F.lit("algorithm"), F.lit(None).cast("string"), _nth(["production", "test", "vendor"], F.col("p_size"))
+    rows = table(spark, sf_dir, "part").withColumn("level", C.nist_level(asset, primitive, material, family, F.concat((F.col("p_size") * 12).cast("string"), F.lit(" bits"))))
+    risk = C.quantum_risk(F.col("level"), C.data_sensitivity(context, asset, primitive), C.is_unaffected(asset, primitive, material, F.upper(family)))
     return rows.select("p_partkey", "level", risk.alias("risk"))
 
 
@@ -280,15 +280,13 @@ def evidence_band_pairs(spark, sf_dir):
     return near.groupBy(F.col("filePath").cast("long").alias("user_id")).agg(F.count("*").alias("pairs"))
 
 
-_NAMES = ["bcrypt", "BCRYPT-NODEJS", "@scope/jose", "jwt-simple", "left-pad", "uuid", "@noble/hashes", "forge", "ssh2", "helmet"]
-_INFO = [("kdf", "bcrypt", True), ("kdf", "bcrypt", True), ("symmetric", "JWT", False), ("signature", "JWT", False), (None, None, None), (None, None, None), ("hash", "SHA-2", True), ("symmetric", "AES", False), ("symmetric", "SSH", True), (None, None, None)]
-
-
-@query(f"""SELECT p_partkey, {_list([i[0] for i in _INFO])}[p_partkey % 10 + 1] AS primitive, {_list([i[1] for i in _INFO])}[p_partkey % 10 + 1] AS family,
-CASE {_list([i[2] for i in _INFO])}[p_partkey % 10 + 1] WHEN 'True' THEN CASE WHEN p_size % 2 = 0 THEN 0.85 ELSE 0.6 END WHEN 'False' THEN CASE WHEN p_size % 2 = 0 THEN 0.65 ELSE 0.4 END END::DOUBLE AS confidence FROM part""")
+@query("""SELECT p_partkey, CASE WHEN kind IN (0, 1) THEN 'kdf' WHEN kind = 3 THEN 'hash' END AS primitive, CASE WHEN kind IN (0, 1) THEN 'bcrypt' WHEN kind = 3 THEN 'MD5' END AS family,
+CASE WHEN kind IN (0, 3) THEN CASE WHEN p_size % 2 = 0 THEN 0.85 ELSE 0.6 END WHEN kind = 1 THEN CASE WHEN p_size % 2 = 0 THEN 0.65 ELSE 0.4 END END::DOUBLE AS confidence FROM (SELECT *, p_partkey % 5 AS kind FROM part)""")
 def sca_priority_lookup(spark, sf_dir):
-    """What is known of a package, by name, name without scope, or stem; and how sure that makes us."""
-    rows = table(spark, sf_dir, "part").withColumn("info", scan.library_info(_nth(_NAMES, F.col("p_partkey"))))
+    """What is known of a package, by name, name without scope, or stem; and how sure that makes us; scopes and other names are the parts' words."""
+    word = lambda i: F.split("p_name", " ")[i]
+    names = [F.lit("bcrypt"), F.concat(F.lit("@"), word(0), F.lit("/bcrypt")), F.concat(word(0), F.lit("-"), word(1)), F.lit("MD5"), F.lit("uuid")]
+    rows = table(spark, sf_dir, "part").withColumn("info", scan.library_info(F.element_at(F.array(*names), (F.col("p_partkey") % 5 + 1).cast("int"))))
     sure = F.when(F.col("info").isNotNull(), scan.sca_confidence(F.col("info.exact"), F.col("p_size") % 2 == 0, F.lit(False), F.lit(False)))
     return rows.select("p_partkey", "info.primitive", F.split("info.families", ", ")[0].alias("family"), sure.alias("confidence"))
 
@@ -338,25 +336,33 @@ def cosine_topk(spark, sf_dir):
     return relate.nearest(queries, corpus, 3, 0.2, others=True).select("id", "rank", "entry", C.half_up(F.col("score"), 6).alias("score"))
 
 
-_ANSWERS = [
-    '{"algorithmFamily": "aes-gcm", "primitive": "ae", "confidence": 0.9}', '```json\n{"algorithmFamily": null, "confidence": 0.8}\n```', 'well: {"algorithmFamily": "homebrew", "confidence": 0.7} ok', "no json",
-    '{"algorithmFamily": "stream-cipher", "primitive": "xor", "parameterSet": "chacha20-poly1305", "confidence": 0.95}', '{"algorithmFamily": "ChaCha20", "primitive": "xor", "confidence": 3}', '{"algorithmFamily": "RSASSA-PSS", "confidence": 0}',
-]
-_OUTCOMES = [("ok", "AES"), ("no_crypto", None), ("schema_mismatch", None), ("failed", None), ("ok", "ChaCha20"), ("ok", "ChaCha20"), ("no_crypto", None)]
+def _answer():
+    """What a model said of a turn: an answer that quotes it, the turn itself, nothing found, or a family that is not known."""
+    n = F.col("conv_id") + F.col("turn")
+    confidence = (F.lit(1) + F.col("turn") % 9) / 10
+    answer = lambda family: F.to_json(F.struct(family.alias("algorithmFamily"), confidence.alias("confidence"), F.col("text").alias("reasoning")), {"ignoreNullFields": "false"})
+    nothing = F.to_json(F.struct(F.lit(None).cast("string").alias("algorithmFamily"), confidence.alias("confidence")), {"ignoreNullFields": "false"})
+    unknown = F.to_json(F.struct(F.lit("homebrew").alias("algorithmFamily"), confidence.alias("confidence")))
+    fenced = F.concat(F.lit("```json\n"), answer(F.lit("aes-gcm")), F.lit("\n```"))
+    return F.when(n % 4 == 0, F.when(n % 8 == 0, fenced).otherwise(answer(F.lit("ChaCha20")))).when(n % 4 == 1, F.translate("text", "{}", "")).when(n % 4 == 2, nothing).otherwise(unknown)
 
 
 def _verdicts(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").withColumn("v", relate.verdict(relate.response(_nth(_ANSWERS, F.col("conv_id") + F.col("turn")))))
-    return rows.select("conv_id", "turn", "v.outcome", "v.family")
+    rows = table(spark, sf_dir, "conversations").withColumn("v", relate.verdict(relate.response(_answer())))
+    return rows.select("conv_id", "turn", "v.outcome", "v.family", F.col("v.confidence").alias("confidence"))
 
 
-@query(f"SELECT conv_id, turn, {_list([o[0] for o in _OUTCOMES])}[(conv_id + turn) % 7 + 1] AS outcome, {_list([o[1] for o in _OUTCOMES])}[(conv_id + turn) % 7 + 1] AS family FROM conversations")
+_OUTCOME_SQL = """WITH o AS (SELECT conv_id, turn, ['ok', 'failed', 'no_crypto', 'schema_mismatch'][(conv_id + turn) % 4 + 1] AS outcome, CASE WHEN (conv_id + turn) % 8 = 0 THEN 'AES' WHEN (conv_id + turn) % 4 = 0 THEN 'ChaCha20' END AS family,
+    CASE WHEN (conv_id + turn) % 4 = 1 THEN 0 ELSE (1 + turn % 9) / 10 END::DOUBLE AS confidence FROM conversations) """
+
+
+@query(_OUTCOME_SQL + "SELECT * FROM o")
 def llm_verdicts(spark, sf_dir):
-    """Recorded model answers, read and checked."""
+    """Recorded answers that quote every turn, read and checked."""
     return _verdicts(spark, sf_dir)
 
 
-@query("SELECT count(*) AS attempted, count(*) FILTER ((conv_id + turn) % 7 NOT IN (2, 3)) AS succeeded, count(*) FILTER ((conv_id + turn) % 7 IN (2, 3)) AS failed, count(*) FILTER ((conv_id + turn) % 7 IN (1, 6)) AS noCrypto FROM conversations")
+@query(_OUTCOME_SQL + "SELECT count(*) AS attempted, count(*) FILTER (outcome IN ('ok', 'no_crypto')) AS succeeded, count(*) FILTER (outcome IN ('failed', 'schema_mismatch')) AS failed, count(*) FILTER (outcome = 'no_crypto') AS noCrypto FROM o")
 def llm_outcome_counts(spark, sf_dir):
     """Outcomes of verification, counted."""
     return relate.outcome_counts(_verdicts(spark, sf_dir))
@@ -472,38 +478,33 @@ def fixed_span(spark, sf_dir):
 SELECT 'track' AS method, count(*) AS n, count(DISTINCT page_id) AS pages FROM (SELECT page_id, unnest(regexp_extract_all(code, 'track\(')) FROM s)""")
 def code_calls(spark, sf_dir):
     """Calls in the scripts of pages, by the lexer."""
-    from quillbom.operators import calls
-
     files = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), F.regexp_extract("html", "<script>(.*?)</script>", 1).cast("binary").alias("content"))
     rows = calls.code_facts(files).where("kind = 'call'")
     return rows.groupBy(F.col("b").alias("method")).agg(F.count("*").alias("n"), F.count_distinct("path").alias("pages"))
 
 
-_CODE_CALLS = ["crypto.createHash('sha256')", "bcrypt.hash(p, 10)", "c.createCipheriv('aes-128-gcm', k)", "jwt.sign(a, b)", "total(x)", "CryptoJS.MD5(m)", "crypto.subtle.digest('SHA-512', d)", "crypto.randomBytes(16)"]
-_CALL_FAMILY = ["SHA-256", "bcrypt", "AES", "HMAC", None, "MD5", "SHA", "CSPRNG"]
-_CALL_PARAMETER = [None, None, "128", "HS256", None, None, None, "128 bits"]
-
-
-@query(f"SELECT p_partkey, {_list(_CALL_FAMILY)}[p_partkey % 8 + 1] AS family, {_list(_CALL_PARAMETER)}[p_partkey % 8 + 1] AS parameter FROM part WHERE p_partkey % 8 <> 4")
+@query("""WITH c AS (SELECT p_partkey, p_partkey % 4 AS kind, [128, 192, 256][p_size % 3 + 1] AS bits, ['gcm', 'cbc', 'ctr'][p_partkey % 3 + 1] AS mode, [256, 384, 512][p_size % 3 + 1] AS digest, p_size FROM part)
+SELECT p_partkey, CASE kind WHEN 0 THEN 'AES' WHEN 1 THEN 'SHA-' || digest WHEN 2 THEN 'CSPRNG' END AS family, CASE kind WHEN 0 THEN bits::VARCHAR WHEN 2 THEN (p_size * 8) || ' bits' END AS parameter, CASE kind WHEN 0 THEN upper(mode) END AS mode FROM c WHERE kind < 3""")
 def call_rules(spark, sf_dir):
-    """Calls resolved to modules and turned into findings."""
-    from quillbom.operators import calls
-
-    code = F.concat(F.lit("const c = require('crypto');\n"), _nth(_CODE_CALLS, F.col("p_partkey")))
-    files = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("path"), code.cast("binary").alias("content"))
-    return calls.findings(files).select(F.col("filePath").cast("long").alias("p_partkey"), F.col("algorithmFamily").alias("family"), F.col("parameterSet").alias("parameter"))
+    """Calls resolved to modules and turned into findings: sizes, modes and digests of every part."""
+    p, size = F.col("p_partkey"), F.col("p_size")
+    said = [
+        F.concat(F.lit("c.createCipheriv('aes-"), _nth([128, 192, 256], size), F.lit("-"), _nth(["gcm", "cbc", "ctr"], p), F.lit("', k, iv)")), F.concat(F.lit("c.createHash('sha"), _nth([256, 384, 512], size), F.lit("')")),
+        F.concat(F.lit("c.randomBytes("), size.cast("string"), F.lit(")")), F.concat(F.split("p_name", " ")[0], F.lit("(x)")),
+    ]
+    code = F.concat(F.lit("const c = require('crypto');\n// "), F.col("p_name"), F.lit("\n"), F.element_at(F.array(*said), (p % 4 + 1).cast("int")))
+    files = table(spark, sf_dir, "part").select(p.cast("string").alias("path"), code.cast("binary").alias("content"))
+    return calls.findings(files).select(F.col("filePath").cast("long").alias("p_partkey"), F.col("algorithmFamily").alias("family"), F.col("parameterSet").alias("parameter"), "mode")
 
 
 _COMMENTS = ["old: bcrypt.genSalt(10) then bcrypt.hash(p)", "bcrypt.compare(a, b)", "x = pbkdf2Sync(p)", "nothing", "jwt.verify(t); randomBytes(16)"]
 
 
-@query(f"SELECT p_partkey, unnest(string_split({_list(['0', '1', '3', None, '7,6'])}[p_partkey % 5 + 1], ','))::INTEGER AS rule FROM part")
+@query("WITH " + _LINES_SQL.format(code=_list(_COMMENTS), n=len(_COMMENTS)) + ", " + _rule_table([(r[0], r[1]) for r in calls.COMMENT_RULES]) + "SELECT doc_id, line, min(rule) AS rule FROM lines JOIN rules ON regexp_matches(content, pattern) GROUP BY doc_id, line, topic")
 def comment_rules(spark, sf_dir):
-    """Commented-out calls."""
-    from quillbom.operators import calls
-
-    rows = table(spark, sf_dir, "part").select("p_partkey", _nth(_COMMENTS, F.col("p_partkey")).alias("text"))
-    return calls.comment_hits(rows, "text").select("p_partkey", F.col("hit.rule").alias("rule"))
+    """Commented-out calls on every line of the documents: of each topic the first rule."""
+    rows = calls.comment_hits(_code_lines(spark, sf_dir, _COMMENTS), "content")
+    return rows.select("doc_id", F.col("line").cast("long").alias("line"), F.col("hit.rule").alias("rule"))
 
 
 @query(r"""SELECT page_id, regexp_full_match(u, 'https?://(www\.)?github\.com/[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+?(\.git)?/?') AS is_repository
@@ -601,7 +602,4 @@ def verification_pass(spark, sf_dir):
     kind = F.when(n % 3 == 0, "direct").otherwise("supporting")
     evidence = F.array(F.struct(F.lit("ast").alias("source"), kind.alias("evidenceClass"), F.substring("text", 1, 40).alias("detail"), F.lit(0.4).alias("rawConfidence"), F.lit("a.js").alias("filePath"), F.lit(1).alias("line"))).cast(f"array<{scan.EVIDENCE}>")
     findings = rows.select("findingId", F.lit("unknown").alias("name"), F.lit(None).cast("string").alias("algorithmFamily"), F.lit(None).cast("string").alias("primitive"), F.lit("a.js").alias("filePath"), F.lit(1).alias("line"), evidence.alias("evidence"))
-    confidence = (F.lit(1) + F.col("turn") % 9) / 10
-    said = F.when(n % 4 == 0, F.to_json(F.struct(F.lit("AES").alias("algorithmFamily"), confidence.alias("confidence"), F.col("text").alias("reasoning")))).when(n % 4 == 1, F.translate("text", "{}", "")).when(
-        n % 4 == 2, F.to_json(F.struct(F.lit(None).cast("string").alias("algorithmFamily"), confidence.alias("confidence")), {"ignoreNullFields": "false"})).otherwise(F.to_json(F.struct(F.lit("homebrew").alias("algorithmFamily"), confidence.alias("confidence"))))
-    return relate.scan_summary(relate.verified(findings, rows.select("findingId", said.alias("raw"))))
+    return relate.scan_summary(relate.verified(findings, rows.select("findingId", _answer().alias("raw"))))
