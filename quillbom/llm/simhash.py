@@ -112,9 +112,10 @@ def near_duplicate_groups(docs: DataFrame, width: int = 3, radius: int = 2, key:
 # one of MINIMA least shingle hashes meet (the chance of one is the similarity itself): a text has
 # TABLES * MINIMA * (BITS + 1) variants, whatever the size of the corpus, and chance meetings don't grow
 # with it. Pairs that meet are held against all bits, then against the shingles themselves.
-# All texts of a value are first held against its smallest, the hub, which joins groups of copies at
-# once. A hub may be a chance meeting, so then all pairs that meet and are not yet in one group are
-# compared, in blocks: their number grows with the square only of texts that are alike but not linked.
+# All texts of a value are first held against its smallest, the hub, and the hubs of a variant against
+# the first of them, which joins groups of copies at once. A hub may be a chance meeting, so then pairs
+# that meet and are not yet in one group are compared, in blocks: first each text's closest, then all.
+# Their number grows with the square only of texts that are alike but not linked.
 
 
 def meeting_chance(similarity: float) -> float:
@@ -186,16 +187,13 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, key: s
     homes = values.join(hubs, "value").select(F.shiftright("value", bits).alias("number"), "hub", "node", "texts")
     same = homes.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
     masks = [0] + [1 << n for n in range(bits)]
-    # the last bit of a tag says whether the hub's value has more texts
-    variants = spread(hubs, "value").select((F.col("hub") * 2 + (F.col("texts") > 1).cast("long")).alias("tag"), F.col("value"), F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("flip"))
-    met = variants.groupBy(F.col("value").bitwiseXOR(F.col("flip")).alias("variant")).agg(F.collect_list("tag").alias("met"))
-    met = met.where(F.size("met") > 1).select(F.shiftright("variant", bits).alias("number"), F.array_sort("met").alias("met"))
-    # all pairs of hubs: at most bits + 1 of them share a variant
-    met = met.select("number", "met", F.posexplode("met").alias("at", "tag_a")).select("number", "tag_a", F.explode(F.slice("met", F.col("at") + 2, F.size("met"))).alias("tag_b"))
-    met = met.select("number", F.shiftright("tag_a", 1).alias("a"), F.shiftright("tag_b", 1).alias("b"), (F.col("tag_a").bitwiseOR(F.col("tag_b")) % 2 == 1).alias("more"))
-    # a text may be the hub of several values, but of one in each table
-    met = met.select(F.when(F.col("more"), F.col("number")).alias("number"), "a", "b").where("a <> b").distinct().checkpoint()
-    pairs = same.unionByName(met.select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    variants = spread(hubs, "value").select("hub", "value", F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("flip"))
+    met = variants.groupBy(F.col("value").bitwiseXOR(F.col("flip")).alias("variant")).agg(F.collect_list("hub").alias("met"))
+    # at most bits + 1 hubs share a variant; a text may be the hub of several values, but of one in each table
+    met = met.where(F.size("met") > 1).select(F.shiftright("variant", bits).alias("number"), F.array_sort("met").alias("met")).distinct()
+    buckets = met.withColumn("bucket", F.monotonically_increasing_id()).checkpoint()
+    star = buckets.select(F.col("met")[0].alias("a"), F.explode(F.slice("met", F.lit(2), F.size("met"))).alias("b"))
+    pairs = same.unionByName(star).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
     far = math.ceil(64 * words * min(0.5, differ + 4 * math.sqrt(differ * (1 - differ) / (64 * words))))
     of = lambda side: texts.select(F.col("node").alias(side), F.col("long").alias(f"long_{side}"))
     apart = F.aggregate(F.zip_with("long_a", "long_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
@@ -215,7 +213,7 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, key: s
         return both.where(shared >= F.lit(similarity) * (F.size("set_a") + F.size("set_b") - shared)).select("a", "b")
 
     def unlinked(whole: bool) -> Callable:
-        """The close pairs of two blocks that are in different groups: all, or the closest of each two groups."""
+        """The close pairs of two blocks that are in different groups: all, or each text's closest."""
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
@@ -223,13 +221,14 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, key: s
                 for row in batch.itertuples(index=False):
                     long_a, long_b = (np.asarray(x, np.int64).view(np.uint64).reshape(-1, words) for x in (row.longs_a, row.longs_b))
                     apart = sum(np.bitwise_count(long_a[:, None, w] ^ long_b[None, :, w]).astype(np.int64) for w in range(words))
-                    i, j = np.nonzero((apart <= far) & (row.roots_a[:, None] != row.roots_b[None, :]))
-                    if not whole and len(i):
-                        order = np.argsort(apart[i, j], kind="stable")
-                        i, j = i[order], j[order]
-                        ends = np.stack([np.minimum(row.roots_a[i], row.roots_b[j]), np.maximum(row.roots_a[i], row.roots_b[j])], axis=1)
-                        at = np.unique(ends, axis=0, return_index=True)[1]
-                        i, j = i[at], j[at]
+                    apart[row.roots_a[:, None] == row.roots_b[None, :]] = far + 1
+                    if whole:
+                        i, j = np.nonzero(apart <= far)
+                    else:
+                        i, j = np.arange(len(long_a)), apart.argmin(axis=1)
+                        i, j = np.concatenate([i, apart.argmin(axis=0)]), np.concatenate([j, np.arange(len(long_b))])
+                        near = apart[i, j] <= far
+                        i, j = i[near], j[near]
                     a, b = row.nodes_a[i], row.nodes_b[j]
                     found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
                 yield pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["a", "b"])
@@ -240,10 +239,14 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, key: s
         """Close pairs that meet in any table and are not in one group yet."""
         placed = homes.join(roots, "node", "left").select("number", "hub", "node", "texts", F.coalesce("root", "node").alias("root"))
         sizes = placed.groupBy("number", "hub").agg(F.first("texts").alias("texts"), F.min("root").alias("low"), F.max("root").alias("high"))
-        meet = met.where("number is not null").select("number", "a", "b").unionByName(sizes.where("texts > 2 and low <> high").select("number", F.col("hub").alias("a"), F.col("hub").alias("b")))
-        for side in "ab":
-            meet = meet.join(sizes.select("number", F.col("hub").alias(side), F.ceil(F.col("texts") / PAIR_BLOCK).cast("int").alias(f"parts_{side}"), F.col("low").alias(f"low_{side}"), F.col("high").alias(f"high_{side}")), ["number", side])
-        meet = meet.where("least(low_a, low_b) <> greatest(high_a, high_b)").select("number", "a", "b", "parts_a", "parts_b").checkpoint()
+        # only variants whose hubs are not all of one group are taken apart to pairs
+        parts = F.ceil(F.col("texts") / PAIR_BLOCK).cast("int").alias("parts")
+        held = buckets.select("bucket", "number", F.explode("met").alias("hub")).join(sizes.select("number", "hub", parts, "low", "high"), ["number", "hub"])
+        held = held.groupBy("bucket", "number").agg(F.array_sort(F.collect_list(F.struct("hub", "parts", "low", "high"))).alias("m"), F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high")
+        meet = held.select("number", "m", F.posexplode("m").alias("at", "x")).select("number", "x", F.explode(F.slice("m", F.col("at") + 2, F.size("m"))).alias("y"))
+        meet = meet.select("number", F.col("x.hub").alias("a"), F.col("y.hub").alias("b"), F.col("x.parts").alias("parts_a"), F.col("y.parts").alias("parts_b"), F.least("x.low", "y.low").alias("low"), F.greatest("x.high", "y.high").alias("high"))
+        own = sizes.where("texts > 2 and low <> high").select("number", F.col("hub").alias("a"), F.col("hub").alias("b"), parts.alias("parts_a"), parts.alias("parts_b"))
+        meet = meet.where("low <> high").drop("low", "high").unionByName(own).distinct().checkpoint()
         if meet.isEmpty():
             return meet.select("a", "b")
         used = meet.select("number", F.explode(F.array("a", "b")).alias("hub")).distinct()
@@ -258,7 +261,7 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, key: s
         return both.mapInPandas(unlinked(whole), "a long, b long").distinct()
 
     roots, tried = connected_components(verified(close)), close
-    for whole in (False, True):  # first one pair for two groups, so that large groups that belong together are one before all pairs count
+    for whole in (False, True):  # first each text's closest, so that large groups that belong together are one before all pairs count
         more = behind_hubs(roots, whole).join(tried, ["a", "b"], "left_anti").checkpoint()
         if more.isEmpty():
             break
