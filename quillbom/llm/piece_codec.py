@@ -232,7 +232,7 @@ def codec(model_file: str) -> PieceCodec:
 
 
 def encode_texts(docs: DataFrame, model_file: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Adds the array of ids of each text. Null and empty texts give an empty array."""
+    """Adds the array of ids of each text. Null and empty texts give an empty array; a column of that name is replaced."""
 
     @F.pandas_udf("array<int>")
     def run(texts: pd.Series) -> pd.Series:
@@ -257,7 +257,10 @@ def round_trip_digests(docs: DataFrame, model_file: str, key: str = "doc_id", te
     """Per row: the key, the number of ids, and SHA-256 of the ids and of the decoded text.
 
     The ids themselves never leave the worker, so nothing is shuffled. Repeated rows give repeated
-    results, a null key stays null, null texts count as empty.
+    results, a null key stays null, null texts count as empty, an empty table gives no rows; other
+    columns, of any name, are not read. A very long text is encoded as a whole; within it a unit without
+    spaces takes memory in proportion (a list for each character while it is encoded, and a bit field of
+    its length).
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
