@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quillbom.plans import findings, packages
+from quillbom.plans import files, findings, packages
 from quillbom.plans.registered import ORACLES, QUERIES
 
-__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "findings", "packages"]
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "files", "findings", "packages"]
 FLAGSHIP = "risk_bucket_summary"

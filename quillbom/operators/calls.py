@@ -1,7 +1,7 @@
 """Calls of cryptography in JavaScript and TypeScript files.
 
-A small lexer turns each file into rows of four kinds: calls, bindings of names to modules,
-numbers under telling names, and comments. What they mean is said by joins and expressions: names
+The tokens of each file become rows of four kinds: calls, bindings of names to modules, numbers
+under telling names, and comments. What they mean is said by joins and expressions: names
 are resolved to modules by a join within the file, where a binding counts for the calls after it,
 and rules turn resolved calls into findings.
 """
@@ -9,6 +9,7 @@ and rules turn resolved calls into findings.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from quillbom.functions import columns as C
 from quillbom.functions.keys import scan_key
-from quillbom.operators import scan
+from quillbom.operators import lexer, scan
 
 # Names that stand for a module without any binding.
 SEEDS = {"crypto": "crypto", "node:crypto": "crypto", "subtle": "subtle", "cryptojs": "cryptojs", "crypto_js": "cryptojs", "jwt": "jwt", "jsonwebtoken": "jwt", "jose": "jwt"}
@@ -25,65 +26,86 @@ SEEDS = {"crypto": "crypto", "node:crypto": "crypto", "subtle": "subtle", "crypt
 MODULES = {"crypto": "crypto", "node:crypto": "crypto", "crypto-js": "cryptojs", "jsonwebtoken": "jwt", "jose": "jwt", "bcrypt": "bcrypt", "bcryptjs": "bcrypt", "bcrypt-nodejs": "bcrypt"}
 NUMBER_NAMES = r"alg|algorithm|coseAlg|coseAlgorithm|preferredAlgorithm"
 
-_token = re.compile(r"""(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))|(?P<text>"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`)|(?P<name>[A-Za-z_$][\w$]*(?:\s*\??\.\s*[A-Za-z_$][\w$]*)*)|(?P<number>-?\d[\w.]*)|(?P<mark>[^\s])""", re.S)
+_OPENS, _CLOSES = frozenset("([{"), {")": "(", "]": "[", "}": "{"}
 
 
 def facts(code: str) -> list[tuple]:
     """(kind, pos, line, a, b, args): calls (receiver, method, arguments as they stand), bindings (name, module
-    or name it comes from), numbers (name, value), comments (text)."""
-    tokens, feeds, out = [], [m.start() for m in re.finditer("\n", code)], []
-    from bisect import bisect_left
-
+    or name it comes from, and in args what it is called there), numbers (name, value), comments (text)."""
+    feeds, out, found = [m.start() for m in re.finditer("\n", code)], [], []
     line = lambda at: bisect_left(feeds, at) + 1
-    for m in _token.finditer(code):
-        if m.lastgroup == "comment":
-            out += [("comment", m.start(), line(m.start()) + i, t, None, None) for i, t in enumerate(m[0].split("\n"))]
+    for kind, value, at in lexer.tokens(code):
+        if kind == "comment":
+            first = line(at)
+            out += [("comment", at, first + i, t, None, None) for i, t in enumerate(value.split("\n"))]
         else:
-            tokens.append((m.lastgroup, re.sub(r"\s|\?(?=\.)", "", m[0]) if m.lastgroup == "name" else m[0], m.start()))
-    for i, (kind, value, at) in enumerate(tokens):
-        after = tokens[i + 1][1] if i + 1 < len(tokens) else ""
-        if kind == "name" and after == "(":
-            depth, k, args, part = 1, i + 2, [], []
-            while k < len(tokens) and depth:
-                t = tokens[k][1]
-                depth += (t in "([{") - (t in ")]}") if len(t) == 1 else 0
-                if depth == 1 and t == ",":
-                    args.append("".join(part))
-                    part = []
-                elif depth:
-                    part.append(t)
-                k += 1
-            if part:
-                args.append("".join(part))
-            head, _, method = value.rpartition(".")
-            out.append(("call", at, line(at), head, method, args))
-            if value == "require" and args:
-                out += _bound(tokens, i, args[0].strip("'\"`"), line(at))
-        elif kind == "name" and after in "=:" and after and i + 2 < len(tokens) and tokens[i + 2][0] == "number" and re.fullmatch(NUMBER_NAMES, value.rpartition(".")[2]):
-            out.append(("number", at, line(at), value, tokens[i + 2][1], None))
-        elif kind == "name" and after == "=" and i + 2 < len(tokens) and tokens[i + 2][0] == "name" and "." not in value and (i + 3 >= len(tokens) or tokens[i + 3][1] != "("):
-            out.append(("binding", at, line(at), value, tokens[i + 2][1], None))
-        elif kind == "name" and value == "from" and i + 1 < len(tokens) and tokens[i + 1][0] == "text":
-            k = i - 1
-            while k >= 0 and tokens[k][1] != "import":
-                if tokens[k][0] == "name" and tokens[k][1] != "as":
-                    out.append(("binding", at, line(at), tokens[k][1], tokens[i + 1][1].strip("'\"`"), None))
-                k -= 1
+            found.append((kind, value, at))
+    found = lexer.paths(found)
+    what = lambda i: found[i][1] if 0 <= i < len(found) and found[i][0] == "mark" else ""
+    kind_of = lambda i: found[i][0] if 0 <= i < len(found) else ""
+    open_brackets: list[tuple[str, int | None, list[int]]] = []  # opener, place of the call's name, places of commas
+
+    def closed(name_at: int, cuts: list[int], end: int) -> None:
+        _, value, at = found[name_at]
+        if what(end) == ")" and what(end + 1) == "{":  # a method's definition
+            return
+        args = ["".join(t[1] for t in found[a + 1:b]) for a, b in zip([name_at + 1, *cuts], [*cuts, end], strict=True)]
+        args = args if args != [""] else []
+        head, _, method = value.rpartition(".")
+        out.append(("call", at, line(at), head, method, args))
+        if value in ("require", "import") and args:
+            out.extend(_bound(found, name_at - (found[name_at - 1][1] == "await" and name_at > 0), args[0].strip("'\"`"), at, line(at)))
+
+    for i, (kind, value, at) in enumerate(found):
+        if kind == "mark" and value in _OPENS:
+            named = value == "(" and kind_of(i - 1) == "name" and found[i - 1][1] not in lexer.NO_CALLS and not (kind_of(i - 2) == "name" and found[i - 2][1] == "function")
+            open_brackets.append((value, i - 1 if named else None, []))
+        elif kind == "mark" and value in _CLOSES and any(b[0] == _CLOSES[value] for b in open_brackets[-2:]):
+            while True:
+                opener, name_at, cuts = open_brackets.pop()
+                if name_at is not None:
+                    closed(name_at, cuts, i)
+                if opener == _CLOSES[value]:
+                    break
+        elif kind == "mark" and value == "," and open_brackets:
+            open_brackets[-1][2].append(i)
+        elif kind == "name":
+            after, then = what(i + 1), kind_of(i + 2)
+            if after in ("=", ":") and then == "number" and re.fullmatch(NUMBER_NAMES, value.rpartition(".")[2]):
+                out.append(("number", at, line(at), value, found[i + 2][1], None))
+            elif after == "=" and then == "name" and "." not in value and what(i + 3) != "(" and found[i + 2][1] not in lexer.NO_CALLS:
+                out.append(("binding", at, line(at), value, found[i + 2][1], None))
+            elif value == "from" and kind_of(i + 1) == "text":
+                out += _imported(found, i, found[i + 1][1][1:-1], at, line(at))
+    while open_brackets:  # code that ends before its brackets do
+        _, name_at, cuts = open_brackets.pop()
+        if name_at is not None:
+            closed(name_at, cuts, len(found))
     return out
 
 
-def _bound(tokens: list[tuple], i: int, module: str, line: int) -> list[tuple]:
+def _names(found: list[tuple], i: int, stop: str) -> Iterator[tuple[str, str]]:
+    """(name, what it is called in the module) backwards from a place to a word or bracket, as in `a, b: c` and `a, b as c`."""
+    while i >= 0 and found[i][1] != stop and found[i][1] not in (";", "=", "("):
+        if found[i][0] == "name" and found[i][1] not in ("as", "type"):
+            renamed = i > 1 and found[i - 1][1] in (":", "as") and found[i - 2][0] == "name"
+            yield found[i][1], found[i - 2 if renamed else i][1]
+            i -= 2 * renamed
+        i -= 1
+
+
+def _imported(found: list[tuple], i: int, module: str, at: int, line: int) -> list[tuple]:
+    """Names that `import x, {a as b} from m` binds."""
+    return [("binding", at, line, name, module, [known]) for name, known in _names(found, i - 1, "import")]
+
+
+def _bound(found: list[tuple], i: int, module: str, at: int, line: int) -> list[tuple]:
     """Names that `x = require(m)` and `{a, b: c} = require(m)` bind."""
-    if i < 2 or tokens[i - 1][1] != "=":
+    if i < 2 or found[i - 1][1] != "=":
         return []
-    if tokens[i - 2][0] == "name":
-        return [("binding", tokens[i][2], line, tokens[i - 2][1], module, None)]
-    out, k = [], i - 2
-    while k >= 0 and tokens[k][1] != "{":
-        if tokens[k][0] == "name" and tokens[k + 1][1] != ":":
-            out.append(("binding", tokens[i][2], line, tokens[k][1], module, None))
-        k -= 1
-    return out
+    if found[i - 2][0] == "name":
+        return [("binding", at, line, found[i - 2][1], module, None)]
+    return [("binding", at, line, name, module, [known]) for name, known in _names(found, i - 3, "{")] if found[i - 2][1] == "}" else []
 
 
 def code_facts(files: DataFrame) -> DataFrame:
@@ -111,8 +133,8 @@ def resolved_calls(rows: DataFrame) -> DataFrame:
     by = scan_key(rows)
     calls = rows.where("kind = 'call'").select(*by, "path", "pos", "line", F.col("a").alias("receiver"), F.col("b").alias("method"), "args", F.lower(F.substring_index(F.when(F.col("a") == "", F.col("b")).otherwise(F.col("a")), ".", 1)).alias("head"))
     origin = F.coalesce(F.try_element_at(table(MODULES), F.lower("b")), F.try_element_at(table(SEEDS), F.lower(F.substring_index("b", ".", -1))))
-    bound = rows.where("kind = 'binding'").select(*by, "path", F.col("pos").alias("since"), F.lower("a").alias("head"), origin.alias("module")).where("module is not null")
-    first = bound.groupBy(*by, "path", "head").agg(F.min_by("module", "since").alias("module"), F.min("since").alias("since"))
+    bound = rows.where("kind = 'binding'").select(*by, "path", F.col("pos").alias("since"), F.lower("a").alias("head"), origin.alias("module"), F.get("args", F.lit(0)).alias("called")).where("module is not null")
+    first = bound.groupBy(*by, "path", "head").agg(F.min_by(F.struct("module", "called"), "since").alias("m"), F.min("since").alias("since")).select(*by, "path", "head", "m.*", "since")
     named = F.try_element_at(table(SEEDS), F.col("head"))
     low = F.lower("receiver")
     own = F.when(F.col("since") < F.col("pos"), F.col("module"))
@@ -121,7 +143,8 @@ def resolved_calls(rows: DataFrame) -> DataFrame:
         .when(F.contains(low, F.lit("bcrypt")), "bcrypt")
         .otherwise(F.coalesce(own, F.when(F.col("receiver") != "", named), F.when(low.rlike("jwt|jose"), "jwt")))
     )
-    return calls.join(first, [*by, "path", "head"], "left").withColumn("module", known).where("module is not null").drop("since", "head")
+    method = F.when((F.col("receiver") == "") & own.isNotNull(), F.coalesce("called", "method")).otherwise(F.col("method"))  # what a name stands for in its module
+    return calls.join(first, [*by, "path", "head"], "left").withColumns({"module": known, "method": method}).where("module is not null").drop("since", "head", "called")
 
 
 def literal(args: Column, place: int) -> Column:

@@ -5,12 +5,16 @@ Each gives findings with one evidence; a scan of many repositories is one narrow
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillbom.functions import columns as C
 from quillbom.functions import rules
 from quillbom.functions.keys import SCAN, scan_key
+from quillbom.operators import lexer
 
 EVIDENCE = "struct<source:string,evidenceClass:string,detail:string,rawConfidence:double,filePath:string,line:int>"
 FINDING = [
@@ -68,10 +72,11 @@ def pem_blocks(files: DataFrame) -> DataFrame:
 def byte_constants(files: DataFrame) -> DataFrame:
     """First place of each known constant in each file; the constants are a list, not a join side."""
     table = F.array(*[F.struct(F.lit(n).alias("family"), F.lit(rules.CONSTANT_PRIMITIVE[n]).alias("primitive"), F.unhex(F.lit(h)).alias("bytes")) for n, h in rules.BYTE_CONSTANTS.items()])
-    each = files.select(*scan_key(files), F.col("path").alias("filePath"), "content", F.explode(table).alias("k"))
-    at = F.position(F.col("k.bytes"), F.col("content"))
-    # in Latin-1 each byte is a character, so what is missing without line feeds are the line feeds before the place
-    before = F.decode(F.substring("content", F.lit(1), at - 1), "ISO-8859-1")
+    # in Latin-1 each byte is a character, so places are those of bytes, and what is missing without line feeds are the line feeds
+    latin = lambda c: F.decode(c, "ISO-8859-1")
+    each = files.select(*scan_key(files), F.col("path").alias("filePath"), latin(F.col("content")).alias("text")).withColumn("k", F.explode(table))
+    at = F.position(latin(F.col("k.bytes")), F.col("text"))
+    before = F.substring("text", F.lit(1), at - 1)
     found = each.where(at > 0).withColumn("line", F.length(before) - F.length(F.translate(before, "\n", "")) + 1)
     return finding(found, "constant", "supporting", assetType="algorithm", name=F.col("k.family"), algorithmFamily=F.col("k.family"), primitive=F.col("k.primitive"), rawConfidence=0.5, detail=F.concat(F.lit("constant of "), F.col("k.family")))
 
@@ -79,30 +84,19 @@ def byte_constants(files: DataFrame) -> DataFrame:
 def comment_free(files: DataFrame) -> DataFrame:
     """((scan,) path, line, content, code): code is the line outside block comments.
 
-    Comments are blanked in the text as a whole, by one pattern that keeps their line feeds, so the
-    work is linear in the file; an unclosed comment runs to the end.
+    What is a comment is said by the lexer, in one pass over the text, so that quotes, templates and
+    regular expressions that hold the signs of a comment open none; an unclosed one runs to the end.
     """
-    by, text = scan_key(files), C.as_text(F.col("content"))
-    pieces = F.split(text, r"(?=/\*)")  # each but the first begins with a comment, if none is open before it
-    # which pieces begin inside an open comment is a running state; only flags are kept, a character for each piece
-    flags = F.aggregate(
-        pieces, F.struct(F.lit(False).alias("open"), F.lit("").alias("seen")),
-        lambda acc, piece: F.struct(
-            F.when(acc["open"], F.position(F.lit("*/"), piece) == 0).otherwise(F.startswith(piece, F.lit("/*")) & (F.position(F.lit("*/"), piece, F.lit(3)) == 0)).alias("open"),
-            F.concat(acc["seen"], F.when(acc["open"], "1").otherwise("0")).alias("seen"),
-        ),
-    )["seen"]
-    blank = lambda comment: F.regexp_replace(comment, r"[^\n]", "")
+    by = scan_key(files)
 
-    def outside(piece: Column, i: Column) -> Column:
-        inside = F.substring(flags, i + 1, 1) == "1"
-        starts = inside | F.startswith(piece, F.lit("/*"))
-        end = F.position(F.lit("*/"), piece, F.when(inside, 1).otherwise(3).cast("int"))
-        return F.when(~starts, piece).when(end == 0, blank(piece)).otherwise(F.concat(F.lit(" "), blank(F.substring(piece, F.lit(1), end - 1)), F.substring(piece, end + 2, F.length(piece))))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            yield rows.assign(code=[lexer.without_comments(t or "") for t in rows["text"]])
 
-    code = F.split(F.array_join(F.transform(pieces, outside), ""), "\n")
-    zipped = F.arrays_zip(F.split(text, "\n").alias("content"), code.alias("code"))
-    return files.select(*by, "path", F.posexplode(zipped).alias("k", "z")).select(*by, "path", (F.col("k") + 1).alias("line"), F.col("z.content").alias("content"), F.col("z.code").alias("code"))
+    kind = "".join(f"{c} {files.schema[c].dataType.simpleString()}, " for c in by)
+    both = files.select(*by, "path", C.as_text(F.col("content")).alias("text")).mapInPandas(run, f"{kind}path string, text string, code string")
+    zipped = F.arrays_zip(F.split("text", "\n").alias("content"), F.split("code", "\n").alias("code"))
+    return both.select(*by, "path", F.posexplode(zipped).alias("k", "z")).select(*by, "path", (F.col("k") + 1).alias("line"), F.col("z.content").alias("content"), F.col("z.code").alias("code"))
 
 
 def candidates(files: DataFrame, findings: DataFrame) -> DataFrame:
@@ -123,47 +117,80 @@ def without_direct(rows: DataFrame, findings: DataFrame, by: list[str]) -> DataF
     return rows.join(direct, [*by, "filePath", "line"], "left_anti")
 
 
-# Line rules for code that can't be parsed: pattern, family, primitive, group of the parameter, confidence.
-LINE_RULES = [
-    (r"\balg\s*:\s*(-\d+)", "COSE", "signature", 1, 0.60),
-    (r"crypto\.subtle\.\w+\([^)]*(?:P-256|ECDSA)", "ECDSA", "signature", 0, 0.55),
-    (r"crypto\.subtle\.\w+\([^)]*RSA", "RSA", "signature", 0, 0.55),
-    (r"crypto\.subtle\.\w+\([^)]*AES", "AES", "block-cipher", 0, 0.55),
-    (r"crypto\.(?:verify|sign)\(\s*(?:[\"']([^\"']+)[\"'])?", "RSA", "signature", 1, 0.55),
-    (r"\bhkdf(?:Sync)?\(\s*(?:[\"']([^\"']+)[\"'])?", "HKDF", "kdf", 1, 0.55),
-    (r"\bbcrypt\w*\.(?:hash|genSalt)(?:Sync)?\(", "bcrypt", "kdf", 0, 0.55),
-    (r"\bpbkdf2(?:Sync)?\(", "PBKDF2", "kdf", 0, 0.55),
-    (r"\bcreate(?:C|Dec)ipher(?:iv)?\(\s*[\"']([^\"']+)[\"']", "AES", "block-cipher", 1, 0.55),
-    (r"\bjwt\.(?:sign|verify)\(", "HMAC", "signature", 0, 0.55),
-    (r"\bCryptoJS\.(?:AES|DES|TripleDES|RC4|Rabbit)\.", "AES", "block-cipher", 0, 0.55),
-    (r"\bCryptoJS\.(?:SHA\d+|MD5|RIPEMD160)\(", "SHA-256", "hash", 0, 0.55),
-    (r"\bCryptoJS\.Hmac\w+\(", "HMAC", "mac", 0, 0.55),
-    (r"\bCryptoJS\.(?:PBKDF2|EvpKDF)\(", "PBKDF2", "kdf", 0, 0.55),
-]
+# What lines of code that can't be parsed are searched for.
+COSE_LINE = r"(?i)\b(?:alg|coseAlg|algorithm)\s*:\s*(-(?:7|257|8|37|35|36|47|258|259))\b"
+WEB_LINE = r"crypto\.subtle\.(verify|sign|digest|importKey|generateKey|deriveKey|deriveBits)"
+SIGN_LINE = r"crypto\.(?:verify|sign)\s*\("
+SIGN_WORD = r"crypto\.(?:verify|sign)\s*\(\s*['\"]?([A-Za-z0-9-]+)"
+HKDF_LINE = r"crypto\.hkdf(?:Sync)?\s*\("
+BCRYPT_LINE = r"bcrypt\.(?:hash|compare|genSalt)"
+CIPHER_LINE = r"crypto\.createCipher"
+CIPHER_WORD = r"createCipher(?:iv)?\s*\(\s*['\"]([^'\"]+)['\"]"
+TOKEN_LINE = r"jwt\.(?:sign|verify)"
+TOKEN_WORD = r"(?i)algorithm\s*:\s*['\"]([^'\"]+)['\"]"
+JS_CIPHER_LINE = r"(?i)CryptoJS\.(?:AES|DES|TripleDES|RC4|Rabbit)\.(?:encrypt|decrypt)"
+JS_CIPHER_WORD = r"(?i)CryptoJS\.(AES|DES|TripleDES|RC4|Rabbit)"
+JS_HASH_LINE = r"(?i)CryptoJS\.(?:SHA256|SHA512|SHA384|SHA224|SHA1|SHA3|MD5|RIPEMD160)\s*\("
+JS_HASH_WORD = r"(?i)CryptoJS\.(SHA256|SHA512|SHA384|SHA224|SHA1|SHA3|MD5|RIPEMD160)"
+JS_MAC_LINE = r"(?i)CryptoJS\.Hmac"
+JS_MAC_WORD = r"(?i)CryptoJS\.Hmac([A-Za-z0-9]+)"
+JS_KDF_LINE = r"(?i)CryptoJS\.(?:PBKDF2|EvpKDF)\s*\("
+JS_KDF_WORD = r"(?i)CryptoJS\.(PBKDF2|EvpKDF)"
 
 
 def line_matches(lines: DataFrame, content: str = "content") -> DataFrame:
-    """lines with the rules that fire on them: rule, family, primitive, parameter, rawConfidence; several may fire."""
+    """lines with hit, one row for each topic that a line speaks of: topic, family, primitive, parameter, mode, material, confidence."""
+    text, none = F.col(content), F.lit(None).cast("string")
+    has, word = text.rlike, lambda p: F.nullif(F.regexp_extract(content, p, 1), F.lit(""))
+    said = lambda *kinds, otherwise: _cases(kinds, otherwise)
+    web, cose = word(WEB_LINE), cose_column(word(COSE_LINE).try_cast("int"))
+    named = said((has("(?i)P-256|ECDSA"), "ECDSA"), (has("(?i)RSA"), "RSA"), (has("(?i)AES"), "AES"), otherwise=none)
+    salt, compare = has("genSalt"), has("compare")
+    cipher, token = C.algorithm_identifier(word(CIPHER_WORD)), F.coalesce(word(TOKEN_WORD), F.lit("HS256"))
+    known_token, js = C.algorithm_identifier(token), F.lower(word(JS_CIPHER_WORD))
+    js_family = said((js == "tripledes", "3DES"), (js == "des", "DES"), (js == "rc4", "RC4"), (js == "rabbit", "Rabbit"), otherwise=F.lit("AES"))
+    digest = F.upper(word(JS_HASH_WORD))
+    rules_of = [
+        ("cose", cose.isNotNull(), cose["family"], "signature", cose["parameter"], none, none, 0.60),
+        (
+            "webcrypto", web.isNotNull(), F.coalesce(named, said((web == "digest", "SHA-256"), (web.startswith("derive"), "HKDF"), otherwise=F.lit("ECDSA"))),
+            said((named == "AES", "block-cipher"), (web == "digest", "hash"), (web.startswith("derive"), "kdf"), otherwise=F.lit("signature")), none, none, none, 0.55,
+        ),
+        ("sign", has(SIGN_LINE), "RSA", "signature", F.coalesce(word(SIGN_WORD), F.lit("RSA")), none, none, 0.55),
+        ("hkdf", has(HKDF_LINE), "HKDF", "kdf", "sha256", none, none, 0.55),
+        ("bcrypt", has(BCRYPT_LINE), "bcrypt", F.when(~salt & ~compare, "kdf"), none, none, F.when(salt, "salt"), 0.55),
+        ("pbkdf2", has(r"crypto\.pbkdf2"), "PBKDF2", "kdf", none, none, none, 0.55),
+        ("cipher", has(CIPHER_LINE), F.coalesce(cipher["family"], F.lit("AES")), "block-cipher", cipher["key_size"], F.when(word(CIPHER_WORD).isNull(), "CBC").otherwise(cipher["mode"]), none, 0.55),
+        ("token", has(TOKEN_LINE), F.coalesce(known_token["family"], F.lit("HMAC")), "signature", token, F.when(known_token.isNull(), "SHA-256").otherwise(known_token["mode"]), none, 0.55),
+        ("js-cipher", has(JS_CIPHER_LINE), js_family, F.when(js.isin("rc4", "rabbit"), "stream-cipher").otherwise("block-cipher"), none, none, none, 0.55),
+        ("js-hash", has(JS_HASH_LINE), F.coalesce(C.algorithm_identifier(digest)["family"], digest), "hash", none, none, none, 0.55),
+        ("js-mac", has(JS_MAC_LINE), "HMAC", "mac", none, F.coalesce(F.upper(word(JS_MAC_WORD)), F.lit("SHA256")), none, 0.55),
+        ("js-kdf", has(JS_KDF_LINE), F.upper(word(JS_KDF_WORD)), "kdf", none, none, none, 0.55),
+    ]
+    names = ("family", "primitive", "parameter", "mode", "material")
+    column = lambda x: x if isinstance(x, Column) else F.lit(x)
     fired = [
-        F.when(
-            F.col(content).rlike(p),
-            F.struct(F.lit(i).alias("rule"), F.lit(f).alias("family"), F.lit(m).alias("primitive"), (F.nullif(F.regexp_extract(content, p, g), F.lit("")) if g else F.lit(None).cast("string")).alias("parameter"), F.lit(c).alias("rawConfidence")),
-        )
-        for i, (p, f, m, g, c) in enumerate(LINE_RULES)
+        F.when(fires, F.struct(F.lit(topic).alias("topic"), *[column(v).cast("string").alias(k) for k, v in zip(names, values, strict=True)], F.lit(sure).alias("confidence")))
+        for topic, fires, *values, sure in rules_of
     ]
     return lines.withColumn("hit", F.explode(F.array_compact(F.array(*fired))))
 
 
+def _cases(kinds: tuple, otherwise: Column) -> Column:
+    out = otherwise
+    for condition, value in reversed(kinds):
+        out = F.when(condition, value).otherwise(out)
+    return out
+
+
 def fallback(files: DataFrame) -> DataFrame:
+    """Findings of the line rules, for files that no parser reads."""
     hits = line_matches(text_lines(files, C.as_text(F.col("content")))).withColumn("filePath", F.col("path"))
-    cose = cose_column(F.try_cast(F.col("hit.parameter"), "int") if hasattr(F, "try_cast") else F.col("hit.parameter").try_cast("int"))
-    known = C.algorithm_identifier(F.col("hit.parameter"))
-    is_cose = F.col("hit.family") == "COSE"
-    hits = hits.withColumns({"cose": cose, "known": known}).where(~is_cose | F.col("cose").isNotNull())
-    family = F.when(is_cose, F.col("cose.family")).when(F.col("hit.primitive").isin("block-cipher"), F.coalesce("known.family", "hit.family")).otherwise(F.col("hit.family"))
+    stored = F.col("hit.material").isNotNull()
     return finding(
-        hits, "ast", "direct", assetType="algorithm", name=family, algorithmFamily=family, primitive=F.col("hit.primitive"), mode=F.col("known.mode"),
-        parameterSet=F.when(is_cose, F.col("cose.parameter")).otherwise(F.coalesce("known.key_size", "hit.parameter")), rawConfidence=F.col("hit.rawConfidence"), detail="line rule",
+        hits, "ast", "direct", assetType=F.when(stored, "related-crypto-material").otherwise("algorithm"), name=F.when(stored, "bcrypt-salt").otherwise(F.col("hit.family")), algorithmFamily=F.col("hit.family"),
+        primitive=F.col("hit.primitive"), mode=F.col("hit.mode"), parameterSet=F.col("hit.parameter"), materialType=F.col("hit.material"), rawConfidence=F.col("hit.confidence"),
+        detail=F.concat(F.lit("line rule: "), F.col("hit.topic")),
     )
 
 

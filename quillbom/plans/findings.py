@@ -73,7 +73,6 @@ def line_scan(spark, sf_dir):
     return lines.where(F.lower("content").rlike("licensed under|token = ")).select("doc_id", F.col("line").cast("long").alias("line"), F.length("content").cast("long").alias("width"))
 
 
-_CODE = ["crypto.verify('RSA-SHA256', data)", "x = CryptoJS.SHA256(m)", "jwt.sign(p, 's')", "total(a)", "bcrypt.hash(p, 10)", "crypto.pbkdf2Sync(a)", "{ alg: -7 }", "CryptoJS.HmacSHA1(a) + CryptoJS.AES.encrypt(b)"]
 _LINES_SQL = """lines AS (SELECT doc_id, line, content || ' ' || {code}[(doc_id + line) % {n} + 1] AS content FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents))"""
 
 
@@ -87,13 +86,6 @@ def _code_lines(spark, sf_dir, code):
     return lines.withColumn("content", F.concat("content", F.lit(" "), _nth(code, F.col("doc_id") + F.col("line"))))
 
 
-@query("WITH " + _LINES_SQL.format(code=_list(_CODE), n=len(_CODE)) + ", " + _rule_table([("line", r[0]) for r in scan.LINE_RULES]) + "SELECT doc_id, line, rule FROM lines JOIN rules ON regexp_matches(content, pattern)")
-def line_rules(spark, sf_dir):
-    """Line rules for code that can't be parsed, on every line of the documents; several may fire."""
-    rows = scan.line_matches(_code_lines(spark, sf_dir, _CODE))
-    return rows.select("doc_id", F.col("line").cast("long").alias("line"), F.col("hit.rule").alias("rule"))
-
-
 @query("""SELECT p_partkey, CASE WHEN segment IN ('Hash', 'Verify', 'Box') THEN w[1] || '.' || w[2] || segment ELSE '' END AS calls
 FROM (SELECT p_partkey, string_split(p_name, ' ') AS w, ['Hash', 'List', 'Verify', 'Box', 'Items'][p_partkey % 5 + 1] AS segment FROM part)""")
 def call_token_match(spark, sf_dir):

@@ -1,6 +1,8 @@
 """Golden cases of the operators, on small frames and folders."""
 
 import json
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -294,6 +296,82 @@ def test_comments_are_left_out(spark):
     assert [r["code"].split() for r in rows] == [["a(1)"], ["d(3)"], ["f", "h"], ["j"], ["k"]] and [r["content"] for r in rows] == text.split("\n")
 
 
+def test_comment_signs_that_open_nothing(spark):
+    """Quotes, templates and patterns hold the signs of comments; much code takes time in proportion."""
+    from quillbom.operators import lexer
+
+    assert lexer.without_comments("const g = 'app/*';\nx(1); // */\n`/*` + /[/*]/; y(2) /* z\n*/ w") == "const g = 'app/*';\nx(1); // */\n`/*` + /[/*]/; y(2)  \n w"
+    for text in ("/* c */ x = 1;\n" * 70_000, "'\\'" * 300_000, "`\\`" * 300_000, "/[(" * 300_000, "/*" * 500_000):
+        began = time.time()
+        assert "".join(t for _, t, _ in lexer.tokens(text)) == text.replace(" x = 1;\n", "x=1;")
+        assert time.time() - began < 30
+
+
+def made_code(rng, depth=0):
+    """(code, the methods it calls): an expression of random literals, operators, templates, patterns and calls."""
+    kind = rng.randrange(10 if depth < 4 else 5)
+    if kind == 0:
+        return rng.choice(["'a\\'/*'", '"//`"', "`\\`$'`", "'\"'", "``"]), []
+    if kind == 1:
+        return rng.choice(["/['\"`]/g", "/[/]\\//", "/\\/*'/.source", "/(`|\\[)/i"]), []
+    if kind == 2:
+        return rng.choice(["x", "a.b", "7", "-1.5e3", "x++", "$", "(y)", "[1, 2]", "{ }.z"][: 8]), []
+    if kind == 3:
+        return f"x {rng.choice(['/', '/ /* ) */', '*', '- '])} 2", []
+    if kind == 4:
+        return rng.choice(["/* lost('x') ` */ y", "// lost(`\n z", "typeof x"]), []
+    a, found = made_code(rng, depth + 1)
+    b, more = made_code(rng, depth + 1)
+    if kind in (5, 6):
+        name = f"f{rng.randrange(1000)}"
+        form = rng.choice(["{n}({a}, {b})", "m.{n}({a}, {b})", "m['{n}']({a}, {b})", "m?.{n}?.({a}, {b})", "m\n.{n} ({a}, {b})"])
+        return form.replace("{n}", name).replace("{a}", a).replace("{b}", b), found + more + [name]
+    if kind == 7:
+        return f"`t ' ${{{a}}} /* \\` ${{ {b} }}`", found + more
+    if kind == 8:
+        return f"({a}) / ({b})", found + more
+    return f"{{ k: {a}, l: [{b}] }}" if depth else f"if (x) {{ y = {a} }} else z = [{b}]", found + more
+
+
+def test_no_call_is_lost():
+    from quillbom.operators import calls
+
+    rng = random.Random(5)
+    for _ in range(1500):
+        made = [made_code(rng) for _ in range(3)]
+        code = "\n;".join(c for c, _ in made)
+        got = sorted(r[4] for r in calls.facts(code) if r[0] == "call")
+        assert got == sorted(n for _, names in made for n in names), code
+
+
+def test_calls_in_their_lines(spark, tmp_path):
+    """Cases that a lexer without memory of what stood before takes for strings, comments or patterns."""
+    from quillbom.operators import calls
+
+    code = """const r=/['"]/; crypto.createHash('md5');
+x = `a ${crypto.createHash('sha1')} b`; crypto['createHash']('sha256');
+function createHash(a) { return crypto.createHash(a) }
+class Q { createHmac(b) { return crypto.createHmac('sha256', b) } }
+y = a / b; crypto.randomBytes(16); z = c / d;
+require('crypto').createHash('sha512');
+"""
+    files = tree(tmp_path, spark, {"src/a.js": code})
+    got = {(r["line"], r["algorithmFamily"]) for r in calls.findings(files).collect()}
+    assert got == {(1, "MD5"), (2, "SHA1"), (2, "SHA-256"), (3, "SHA-256"), (4, "HMAC"), (5, "CSPRNG"), (6, "SHA-512")}
+
+
+def test_line_rules(spark):
+    """Families of what the lines name, not of the rule."""
+    wanted = [
+        ("CryptoJS.MD5(x)", "js-hash", "MD5", "hash", None, None), ("CryptoJS.DES.encrypt(x)", "js-cipher", "DES", "block-cipher", None, None), ("CryptoJS.EvpKDF(x)", "js-kdf", "EVPKDF", "kdf", None, None),
+        ("coseAlg: -7", "cose", "ECDSA", "signature", "P-256 / ES256", None), ("algorithm: -257", "cose", "RSA", "signature", "RS256", None), ("crypto.subtle.digest(a, b)", "webcrypto", "SHA-256", "hash", None, None),
+        ("bcrypt.compare(a)", "bcrypt", "bcrypt", None, None, None), ("crypto.createCipheriv(alg, k)", "cipher", "AES", "block-cipher", None, "CBC"), ("jwt.sign(a, {algorithm: 'RS256'})", "token", "RSA", "signature", "RS256", "SHA-256"),
+    ]
+    rows = spark.createDataFrame([(w[0],) for w in wanted] + [("bcrypt(x)",), ("alg: -99",)], "content string")
+    got = {(r["content"], *(r["hit"][c] for c in ("topic", "family", "primitive", "parameter", "mode"))) for r in scan.line_matches(rows).collect()}
+    assert got == set(wanted)
+
+
 def test_certificate(spark):
     """A certificate made of its parts: version, serial, algorithm, issuer, validity, subject and key."""
     import base64
