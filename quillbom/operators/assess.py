@@ -5,66 +5,204 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from quillbom.functions import columns as C
 from quillbom.functions import rules
 from quillbom.functions.keys import scan_key
+from quillbom.session import shared_folder
 
 FILLED = ["primitive", "algorithmFamily", "parameterSet", "mode", "materialType", "fingerprint", "keyExtension", "callContext", "sourceContext", "exposureRisk"]
 
 
+class _Groups:
+    """Findings that may merge, as connected groups, read in the order of place and line.
+
+    Whether two may ever merge is seen from what they have at first: a merge adds sources and fills
+    in an unknown family, which only rules merges out. Findings of one line, family and set of
+    sources are one, so what is kept is bounded by the kinds of findings on a few lines.
+    """
+
+    def __init__(self, window: int):
+        self.window, self.place, self.line = window, None, None
+        self.parent: list[int] = []
+        self.active: dict[tuple, int] = {}  # (line, family, sources) of the last lines
+
+    def root(self, group: int) -> int:
+        while self.parent[group] != group:
+            self.parent[group] = group = self.parent[self.parent[group]]
+        return group
+
+    def add(self, place: tuple, line: int, family: str | None, sources: frozenset) -> int:
+        """The group of the next finding, to be looked up by root() when later ones are added."""
+        if place != self.place:
+            self.place, self.active = place, {}
+        elif line != self.line:
+            self.active = {k: g for k, g in self.active.items() if k[0] >= line - self.window}
+        self.line = line
+        found = self.active.get((line, family, sources))
+        if found is None:
+            found = len(self.parent)
+            self.parent.append(found)
+            for (other, known, seen), group in self.active.items():
+                if (known is None or family is None or known == family) and (other == line or seen.isdisjoint(sources)):
+                    self.parent[self.root(group)] = self.root(found)
+            self.active[line, family, sources] = found
+        return found
+
+
+def _signs(batch: pa.RecordBatch, place: list[str]) -> Iterator[tuple]:
+    """(place, line, family or None, sources) of the rows of a batch."""
+    columns = [batch[c].to_pylist() for c in place]
+    for *at, line, family, evidence in zip(*columns, batch["line"].to_pylist(), batch["algorithmFamily"].to_pylist(), batch["evidence"].to_pylist(), strict=True):
+        family = (family or "unknown").lower()
+        yield tuple(at), line, None if family == "unknown" else family, frozenset(e["source"] for e in evidence)
+
+
+def _edges(dealt: DataFrame, place: list[str], window: int) -> list:
+    """What a partition's first and last lines hold: (part, side, place, line, family, sources, group); for last lines as groups are at its end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups, head, first, part = _Groups(window), {}, None, None
+        for batch in batches:
+            for at, line, family, sources in _signs(batch, place):
+                part = batch["_part"][0].as_py() if part is None else part
+                first = first or (at, line)
+                group = groups.add(at, line, family, sources)
+                if at == first[0] and line <= first[1] + window:
+                    head.setdefault((line, family, sources), group)
+        rows = [(part, side, repr(at), line, family, sorted(sources), groups.root(g)) for side, at, held in (("head", first and first[0], head), ("tail", groups.place, groups.active)) for (line, family, sources), g in held.items()]
+        columns = list(zip(*rows, strict=True)) or [[]] * 7
+        kinds = [pa.int32(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["part", "side", "place", "line", "family", "sources", "group"])
+
+    return dealt.mapInArrow(run, "part int, side string, place string, line long, family string, sources array<string>, group long").collect()
+
+
+def _across(edges: list, window: int) -> dict[int, dict[int, str]]:
+    """For each partition its groups that go on in others, with a name for the whole: one walk over the edges of the partitions in their order."""
+    whole, member = _Groups(window), {}
+    for e in sorted(edges, key=lambda e: (e["part"], e["side"], e["line"])):  # a partition's head before its tail
+        at = whole.add(e["place"], e["line"], e["family"], frozenset(e["sources"]))
+        own = member.setdefault((e["part"], e["group"]), at)
+        whole.parent[whole.root(at)] = whole.root(own)
+    parts_of: dict[int, set[int]] = {}
+    for (part, _), at in member.items():
+        parts_of.setdefault(whole.root(at), set()).add(part)
+    found: dict[int, dict[int, str]] = {}
+    for (part, group), at in member.items():
+        if len(parts_of[whole.root(at)]) > 1:
+            found.setdefault(part, {})[group] = str(whole.root(at))
+    return found
+
+
+#: Rows of groups that may still grow, from which those that cannot are passed on.
+HELD_ROWS = 10_000
+
+
 def merge_evidence(findings: DataFrame, window: int = 2) -> DataFrame:
     """Findings of one asset type and file (and scan), at most so many lines apart, become one, in the order of seq.
 
     The merge is greedy: a finding goes to the first one before it that it fits, whose identity and
     evidence grow as it takes others in. Two fit when their families (or names) do (null and unknown
-    fit all) and they are on one line or share no source. Runs of findings whose lines lie within the
-    window of their neighbours are the largest groups that can merge, so only these reach Python,
-    many runs at a time, and findings alone in their run never do. Inside a run only the findings
-    kept on near lines are looked at, so a file with a hit on each line costs no more than others.
+    fit all) and they are on one line or share no source.
+
+    Findings are dealt by ranges of place and line, so a file of any number of findings is spread over
+    tasks as others are, and their number follows the data. In each range, groups that may merge are
+    told apart on the way; a finding alone in its group is passed on as it is, and a group is merged
+    as soon as no later line can join it. Groups that go on in the next range are found from what
+    stands on the ranges' first and last lines, and only their rows are shuffled once more. Findings
+    of no known line merge with none; a null path is a file like others.
     """
+    findings, nowhere = findings.where("line is not null"), findings.where("line is null")
     place = [*scan_key(findings), "assetType", "filePath"]
-    by_file = Window.partitionBy(*place).orderBy("line", "seq")
-    gap = F.coalesce(F.col("line") - F.lag("line").over(by_file) > window, F.lit(True))
-    last = F.coalesce(F.lead("line").over(by_file) - F.col("line") > window, F.lit(True))
-    runs = findings.withColumns({"_new": gap, "_last": last}).withColumn("_run", F.sum(F.col("_new").cast("int")).over(by_file))
-    alone = runs.where("_new and _last").drop("_new", "_last", "_run")
-    buckets = 16 * int(findings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    together = runs.where("not (_new and _last)").drop("_new", "_last").withColumn("_bucket", F.pmod(F.xxhash64(*place, "_run"), F.lit(buckets)))
-    schema = findings.schema
-    names = [f.name for f in schema.fields]
-    filled = [c for c in FILLED if c in names]
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([*place, "_run", "seq"])
-        run_of = list(zip(*(rows[c].tolist() for c in [*place, "_run"]), strict=True))
-        found = rows[names].astype(object)
-        found = found.where(found.notna(), None).to_dict("records")
-        out: list[dict] = []
-        near: dict[int, list[tuple[int, dict]]] = {}
-        before = None
-        for own, row in zip(run_of, found, strict=True):
-            if own != before:
-                near, before = {}, own
-            row["evidence"] = [dict(e) for e in row["evidence"]]
-            close = [k for line in range(row["line"] - window, row["line"] + window + 1) for k in near.get(line, [])]
-            target = min((k for k in close if _fits(k[1], row, window)), key=lambda k: k[0], default=None)
-            if target is None:
-                near.setdefault(row["line"], []).append((len(out), row))
-                out.append(row)
-                continue
-            kept = target[1]
-            kept["evidence"] += row["evidence"]
-            for c in filled:
-                if kept[c] is None:
-                    kept[c] = row[c]
-            if kept["name"] in (None, "", "unknown") and row["name"] not in (None, "", "unknown"):
-                kept["name"] = row["name"]
-        return pd.DataFrame(out, columns=names)
-
-    return alone.unionByName(together.groupBy("_bucket").applyInPandas(run, schema))
+    spark, names = findings.sparkSession, findings.columns
+    shared_folder(spark)
+    order = [*place, "line"]
+    dealt = findings.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    across = _across(_edges(dealt, place, window), window)
+
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str | None, list[dict] | None, pa.RecordBatch]]:
+        """(name, rows, batch): rows of groups of several findings; single findings as parts of batches."""
+        groups, held, beyond, count = _Groups(window), {}, None, 0
+
+        def passed(everything: bool) -> Iterator[tuple]:
+            nonlocal held, count
+            open_groups = set() if everything else {groups.root(g) for g in groups.active.values()}
+            together: dict[int, list] = {}
+            for group, rows in held.items():
+                together.setdefault(groups.root(group), []).extend(rows)
+            singles: dict[int, tuple] = {}
+            for root, rows in together.items():
+                if root in open_groups:
+                    continue
+                if root in beyond or len(rows) > 1:
+                    yield beyond.get(root), [b.slice(i, 1).to_pylist()[0] for b, i in rows], rows[0][0]
+                else:
+                    singles.setdefault(id(rows[0][0]), (rows[0][0], []))[1].append(rows[0][1])
+            for batch, places in singles.values():
+                yield None, None, batch.take(pa.array(sorted(places)))
+            held = {root: rows for root, rows in together.items() if root in open_groups}
+            count = sum(map(len, held.values()))
+
+        for batch in batches:
+            for i, (at, line, family, sources) in enumerate(_signs(batch, place)):
+                if beyond is None:
+                    beyond = across.get(batch["_part"][0].as_py(), {})
+                group = groups.add(at, line, family, sources)
+                held.setdefault(group, []).append((batch, i))
+                count += 1
+                if count >= HELD_ROWS and count % 1000 == 0:
+                    yield from passed(False)
+        if beyond is not None:
+            yield from passed(True)
+
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, rows, batch in grouped(batches):
+            if rows is None:
+                yield batch.select(names)
+            elif name is None:
+                yield pa.RecordBatch.from_pylist(_merged(rows, window), schema=batch.select(names).schema)
+
+    def beyond_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, rows, batch in grouped(batches):
+            if name is not None:
+                kept = pa.RecordBatch.from_pylist(rows, schema=batch.select(names).schema)
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([name] * len(rows))], [*names, "_whole"])
+
+    def joined(rows: pa.Table) -> pa.Table:
+        kept = rows.select(names)
+        return pa.Table.from_pylist(_merged(kept.to_pylist(), window), schema=kept.schema)
+
+    out = dealt.mapInArrow(inside, findings.schema)
+    if across:
+        split = dealt.where(F.col("_part").isin(list(across))).mapInArrow(beyond_edges, StructType([*findings.schema.fields, StructField("_whole", StringType())]))
+        out = out.unionByName(split.groupBy("_whole").applyInArrow(joined, findings.schema))
+    return out.unionByName(nowhere)
+
+
+def _merged(rows: list[dict], window: int) -> list[dict]:
+    """The greedy merge of one group, in the order of seq; only findings kept on near lines are looked at."""
+    out: list[dict] = []
+    near: dict[int, list[tuple[int, dict]]] = {}
+    for row in sorted(rows, key=lambda r: r["seq"]):
+        close = [k for line in range(row["line"] - window, row["line"] + window + 1) for k in near.get(line, [])]
+        target = min((k for k in close if _fits(k[1], row, window)), key=lambda k: k[0], default=None)
+        if target is None:
+            near.setdefault(row["line"], []).append((len(out), row))
+            out.append(row)
+            continue
+        kept = target[1]
+        kept["evidence"] = kept["evidence"] + row["evidence"]
+        for c in FILLED:
+            if c in kept and kept[c] is None:
+                kept[c] = row[c]
+        if kept["name"] in (None, "", "unknown") and row["name"] not in (None, "", "unknown"):
+            kept["name"] = row["name"]
+    return out
 
 
 def _fits(a: dict, b: dict, window: int) -> bool:

@@ -133,17 +133,26 @@ def plain_merge(rows, window=2):
     return sorted((k["seq"], k["family"], k["n"]) for k in kept)
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_merge(spark, seed):
-    import random
-
+@pytest.mark.parametrize("seed", range(8))
+def test_merge(spark, seed, monkeypatch):
+    """Files of few and of many ranges, dense and sparse, with and without a path; groups that go on over several ranges."""
     rng = random.Random(seed)
-    plain = [{"seq": i, "path": rng.choice("ab"), "line": rng.randint(1, 25), "family": rng.choice([None, "AES", "RSA"]), "sources": {rng.choice(["ast", "llm", "constant"])}} for i in range(60)]
+    monkeypatch.setattr(assess, "HELD_ROWS", rng.choice([1, 10_000]))
+    files, most, n = rng.choice(["ab", "a", ["a", None, "b", "c"]]), rng.choice([3, 25, 100]), rng.choice([60, 250])
+    plain = [{"seq": i, "path": rng.choice(files), "line": rng.randint(1, most), "family": rng.choice([None, "AES", "RSA"]), "sources": {rng.choice(["ast", "llm", "constant"])}} for i in range(n)]
     evidence = lambda r: [{"source": s, "evidenceClass": "direct", "detail": "", "rawConfidence": 0.5, "filePath": r["path"], "line": r["line"]} for s in r["sources"]]
-    rows = [(r["seq"], "algorithm", "unknown", None, r["family"], None, None, None, r["path"], r["line"], None, evidence(r)) for r in plain]
+    rows = [(r["seq"], "algorithm", "unknown", None, r["family"], None, None, None, r["path"], r["line"], None, evidence(r)) for r in plain] + [(n, "algorithm", "unknown", None, "AES", None, None, None, "a", None, None, [])]
     schema = f"seq long, assetType string, name string, primitive string, algorithmFamily string, parameterSet string, mode string, materialType string, filePath string, line int, fingerprint string, evidence array<{scan.EVIDENCE}>"
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(rng.choice([1, 4, 13])))
     merged = assess.merge_evidence(spark.createDataFrame(rows, schema)).collect()
-    assert sorted((r["seq"], r["algorithmFamily"], len(r["evidence"])) for r in merged) == plain_merge(plain)
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sorted((r["seq"], r["algorithmFamily"], len(r["evidence"])) for r in merged) == [*plain_merge(plain), (n, "AES", 0)]
+
+
+def test_merge_of_nothing(spark):
+    schema = f"seq long, assetType string, name string, algorithmFamily string, filePath string, line int, evidence array<{scan.EVIDENCE}>"
+    assert assess.merge_evidence(spark.createDataFrame([], schema)).count() == 0
 
 
 def test_end_to_end(spark, tmp_path):
