@@ -2,22 +2,32 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quillbom.functions import columns as C
-from quillbom.operators import sbom, views
+from quillbom.operators import documents, sbom, views
 from quillbom.plans.registered import query
-from quillbom.session import table
+from quillbom.session import shared_folder, table
+from quillbom.sources import repository
 
 AS_OF = "2001-08-02"
 
 
-@query("""SELECT k, count(*) AS n, sum(CAST(json_extract(props, '$.' || k) AS BIGINT))::BIGINT AS total
-FROM (SELECT props, unnest(json_keys(props)) AS k FROM events) GROUP BY k""")
-def json_map_explode(spark, sf_dir):
-    """A JSON map as rows."""
-    rows = table(spark, sf_dir, "events").select(F.explode(F.from_json("props", "map<string,bigint>")).alias("k", "v"))
-    return rows.groupBy("k").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
+@query("""WITH p AS (SELECT p_size::BIGINT AS scan, p_partkey, 'p' || p_partkey AS name, p_brand AS version, p_retailprice > 1500 AS dev, row_number() OVER (PARTITION BY p_size ORDER BY p_retailprice, p_partkey) AS seq FROM part)
+SELECT p.scan, p.name, p.version, 'pkg:npm/' || p.name || '@' || p.version AS purl, p.dev, p.seq, coalesce(string_agg('^' || q.p_partkey, ',' ORDER BY q.seq), '') AS ranges
+FROM p LEFT JOIN p q ON q.scan = p.scan AND q.p_partkey % 7 = 0 AND 'p' || (q.p_partkey % 100) = p.name GROUP BY ALL""")
+def lock_components(spark, sf_dir):
+    """Lockfiles of all parts, one for each size, taken apart to components with the ranges that others declare for them."""
+    part = table(spark, sf_dir, "part").withColumn("scan", F.col("p_size").cast("long"))
+    needs = F.when(F.col("p_partkey") % 7 == 0, F.create_map(F.concat(F.lit("p"), (F.col("p_partkey") % 100).cast("string")), F.concat(F.lit("^"), F.col("p_partkey").cast("string"))))
+    value = F.to_json(F.struct(F.col("p_brand").alias("version"), F.when(F.col("p_retailprice") > 1500, F.lit(True)).alias("dev"), needs.alias("dependencies")))
+    entry = F.concat(F.lit('"node_modules/p'), F.col("p_partkey").cast("string"), F.lit('":'), value)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("p_retailprice", "p_partkey", entry.alias("e")))), lambda x: x["e"])
+    locks = part.groupBy("scan").agg(F.concat(F.lit('{"lockfileVersion":3,"packages":{"":{"version":"1"},'), F.array_join(listed, ","), F.lit("}}")).alias("text"))
+    parts = sbom.components(repository.lock_entries(locks, scan="scan"))
+    return parts.select("scan", "name", "version", "purl", "dev", F.col("seq").cast("long").alias("seq"), F.array_join("declaredRanges", ",").alias("ranges"))
 
 
 @query("""SELECT p_partkey, coalesce(r, '') AS ranges, coalesce(n, 0) AS n_ranges FROM part LEFT JOIN (
@@ -126,6 +136,17 @@ def bom_document(spark, sf_dir):
     return read.select("scan", "c.name", "c.purl", "c.scope", F.coalesce(F.size("c.properties"), F.lit(0)).cast("long").alias("n_properties"), "n_vulnerabilities")
 
 
+@query(_PARTS_SQL + "SELECT scan, name, purl, 'required' AS scope, n_hits AS n_properties, NULL AS id FROM rows UNION ALL SELECT scan, NULL, purl, NULL, NULL, o_orderkey::VARCHAR FROM parts JOIN o USING (scan, purl) WHERE o_orderpriority = '1-URGENT'")
+def streamed_documents(spark, sf_dir):
+    """The documents of all scans written as streams and read back by element: components, then vulnerabilities."""
+    path = f"{shared_folder(spark)}/documents-{uuid.uuid4().hex}"
+    documents.write(documents.inventory(sbom.with_hits(*_parts(spark, sf_dir)).withColumn("dev", F.lit(False))), path)
+    read = F.from_json("element", "name string, purl string, scope string, properties array<struct<name string>>, id string, affects array<struct<ref string>>")
+    rows = documents.elements(spark, path).select(F.col("scan").cast("long").alias("scan"), read.alias("e"))
+    held = F.when(F.col("e.id").isNull(), F.coalesce(F.size("e.properties"), F.lit(0)).cast("long"))
+    return rows.select("scan", "e.name", F.coalesce("e.purl", F.col("e.affects")[0]["ref"]).alias("purl"), "e.scope", held.alias("n_properties"), "e.id")
+
+
 @query("""SELECT p_partkey, coalesce(n > 30, false) AS popular FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY l_partkey) ON l_partkey = p_partkey""")
 def popular_flag(spark, sf_dir):
     """Membership in a list."""

@@ -9,10 +9,6 @@ from quillbom.functions import columns as C
 from quillbom.functions import rules
 from quillbom.functions.keys import scan_key
 
-LOCK_SCHEMA = (
-    "lockfileVersion int, packages map<string, struct<version string, resolved string, integrity string, dev boolean, optional boolean, "
-    "hasInstallScript boolean, dependencies map<string, string>>>"
-)
 BOM_SCHEMA = (
     "components array<struct<name string, version string, purl string, `bom-ref` string, scope string, direct boolean, "
     "properties array<struct<name string, value string>>>>, vulnerabilities array<struct<id string, affects array<struct<ref string>>>>"
@@ -62,12 +58,26 @@ def lockfile(tree: DataFrame) -> DataFrame:
 
 
 def lock_entries(locks: DataFrame, text: str = "text", scan: str | None = None) -> DataFrame:
-    """One row per package entry of lockfiles: (scan,) seq, path and the entry's fields. Old lockfiles are an error."""
-    lock = F.from_json(F.col(text), LOCK_SCHEMA)
-    parsed = locks.select(*([scan] if scan else []), lock.alias("lock"))
-    bad = F.col("lock").isNull() | F.coalesce(F.col("lock.lockfileVersion") < 2, F.lit(True)) | F.col("lock.packages").isNull()
-    packages = F.when(bad, F.raise_error(F.lit("Unsupported lockfile"))).otherwise(F.col("lock.packages"))
-    return parsed.select(*([scan] if scan else []), F.posexplode(F.map_entries(packages)).alias("seq", "e")).select(*([scan] if scan else []), "seq", F.col("e.key").alias("path"), "e.value.*")
+    """One row per package entry of lockfiles: (scan,) seq, path and the entry's fields, in the order of the text. Old lockfiles are an error.
+
+    The text is parsed once to a variant, whose entries are generated one by one; no map of all
+    entries is built. A variant has its keys sorted, so an entry's place in the text is looked up
+    in the sorted list of keys.
+    """
+    by = [scan] if scan else []
+    lock = F.try_parse_json(text)
+    keys = F.json_object_keys(F.get_json_object(text, "$.packages"))
+    places = F.transform(F.array_sort(F.transform(keys, lambda k, i: F.struct(k.alias("k"), i.alias("i")))), lambda e: e["i"])
+    parsed = locks.select(*by, lock.alias("_lock"), places.alias("_places"))
+    packages = F.try_variant_get("_lock", "$.packages", "variant")
+    bad = F.col("_lock").isNull() | F.coalesce(F.try_variant_get("_lock", "$.lockfileVersion", "int") < 2, F.lit(True)) | packages.isNull() | F.col("_places").isNull()
+    parsed = parsed.select(*by, "_places", F.when(bad, F.raise_error(F.lit("Unsupported lockfile")).cast("variant")).otherwise(packages).alias("_packages"))
+    entries = parsed.lateralJoin(locks.sparkSession.tvf.variant_explode(F.col("_packages").outer()))
+    get = lambda name, kind: F.try_variant_get("value", f"$.{name}", kind).alias(name)
+    return entries.select(
+        *by, F.get("_places", F.col("pos")).alias("seq"), F.col("key").alias("path"), *[get(c, "string") for c in ("version", "resolved", "integrity")],
+        *[get(c, "boolean") for c in ("dev", "optional", "hasInstallScript")], get("dependencies", "map<string,string>"),
+    )
 
 
 def bom_packages(boms: DataFrame, direct_names: DataFrame | None = None) -> DataFrame:

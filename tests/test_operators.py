@@ -427,3 +427,85 @@ def test_nearest_with_zero_vectors(spark):
     corpus = spark.createDataFrame([(n, [1.0, n / 10]) for n in range(5)], "entry long, w array<float>")
     rows = relate.nearest(queries, corpus, k=2, least=0.9, block_rows=2).collect()
     assert sorted((r["id"], r["rank"], r["entry"]) for r in rows) == [(1, 1, 0), (1, 2, 1)]
+
+
+def test_tree_source(spark, tmp_path, capsys):
+    """Folders that no detector reads are not listed, filters reach the source, and the files are those of the plain reader."""
+    from quillbom.sources import tree as trees
+
+    names = ["a.js", "src/b.ts", "src/deep/er/c.js", "node_modules/lodash/x.js", "node_modules/bcrypt/lib/e.js", "node_modules/bcrypt/test/e.js", "node_modules/@noble/hashes/h.js", "node_modules/@types/node/n.js", ".git/objects/ab/cd", "dist/d.js", "x/node_modules/bcrypt/i.js", "key.pem"]
+    plain = tree(tmp_path, spark, {n: n * 3 for n in names})
+    found = trees.source_tree(spark, str(tmp_path))
+    for pick in (repository.code_files, repository.candidate_files, repository.pem_files, repository.constant_files):
+        assert {(r["path"], r["ext"], bytes(r["content"])) for r in pick(found).collect()} == {(r["path"], r["ext"], bytes(r["content"])) for r in pick(plain).collect()}
+    small = found.where("ext in ('js', 'ts') and length < 25 and path like 'src/%'")
+    assert [r["path"] for r in small.collect()] == ["src/b.ts"]
+    small.explain("formatted")
+    assert "PushedFilters: [In(ext, [js,ts]), LessThan(length,25), StringStartsWith(path,src/)]" in capsys.readouterr().out
+
+    from pyarrow import fs
+
+    visited: list[str] = []
+
+    def list_folder(folder):
+        visited.append(folder)
+        return trees.listed(fs.LocalFileSystem(), str(tmp_path), folder)
+
+    reader = trees.TreeReader(f"file://{tmp_path}", False, True, 4)
+    assert len(list(trees.walk(list_folder, "", reader.enter))) == 6
+    assert sorted(visited) == ["", "node_modules", "node_modules/@noble", "node_modules/@noble/hashes", "node_modules/@types", "node_modules/bcrypt", "node_modules/bcrypt/lib", "src", "src/deep", "src/deep/er", "x"]
+    visited.clear()
+    reader.wanted.starts.append("src/d")
+    list(trees.walk(list_folder, "", reader.enter))
+    assert visited == ["", "src", "src/deep", "src/deep/er"]
+    assert trees.source_tree(spark, str(tmp_path), content=False, vendored=False, partitions=1).where("content is null").count() == 4
+
+
+def document_texts(path):
+    texts = {}
+    for folder in sorted(path.glob("scan=*")):
+        texts[folder.name.removeprefix("scan=")] = json.loads("".join(f.read_text() for f in sorted(folder.glob("part-*"))))
+    return texts
+
+
+def test_documents_as_streams(spark, tmp_path):
+    """Documents that go over many partitions are those that are gathered in rows."""
+    from quillbom.operators import documents
+
+    none = F.array().cast("array<struct<seq:int,type:string,severity:string,reason:string>>")
+    rows = spark.range(3000).select(
+        F.when(F.col("id") % 10 == 0, F.concat(F.lit("s"), (F.col("id") % 3).cast("string"))).when(F.col("id") == 7, "one").otherwise("large").alias("scan"), F.col("id").alias("seq"), F.concat(F.lit('n"\n'), "id").alias("name"),
+        F.lit("1").alias("version"), F.concat(F.lit("p/"), "id").alias("purl"), (F.col("id") % 2 == 0).alias("dev"), F.when(F.col("id") % 5 == 0, F.array(F.struct(F.lit(0).alias("seq"), F.lit("t").alias("type"), F.lit("low").alias("severity"), F.lit("r").alias("reason")))).otherwise(none).alias("hits"),
+        F.when(F.col("id") % 100 == 1, F.array(F.lit("V1"), F.lit("V2"))).otherwise(F.array().cast("array<string>")).alias("vulns"),
+    )
+    documents.write(documents.inventory(rows), str(tmp_path / "a"))
+    assert document_texts(tmp_path / "a") == {r["scan"]: json.loads(r["document"]) for r in sbom.documents(rows).collect()}
+    assert len(list((tmp_path / "a" / "scan=large").glob("part-*"))) > 1
+    assert documents.elements(spark, str(tmp_path / "a")).count() == 3000 + 60
+    found = spark.range(500).select(
+        F.lit("algorithm").alias("assetType"), F.lit("AES").alias("name"), F.lit("x").alias("primitive"), F.lit(None).cast("string").alias("parameterSet"), F.lit("GCM").alias("mode"), F.lit(1).alias("nistQuantumLevel"), F.lit(None).cast("string").alias("materialType"), F.lit(0.5).alias("confidence"),
+        F.when(F.col("id") % 2 == 0, "vendor").otherwise("production").alias("contextCategory"), F.lit("LOW").alias("quantumRisk"), F.lit("LOW").alias("exposureRisk"), F.lit(None).cast("string").alias("fingerprint"), F.array().cast(f"array<{scan.EVIDENCE}>").alias("evidence"),
+        F.concat(F.lit("f"), (F.col("id") % 7).cast("string")).alias("filePath"), (F.col("id") % 90 + 1).cast("int").alias("line"), F.col("id").cast("string").alias("findingId"), F.struct(F.lit("n").alias("name"), F.lit("1").alias("version"), F.concat(F.lit("p"), (F.col("id") % 3).cast("string")).alias("purl")).alias("packageContext"),
+    )
+    documents.write(documents.crypto_inventory(found), str(tmp_path / "b"))
+    (got,) = document_texts(tmp_path / "b").values()
+    want = json.loads(relate.documents(found).first()["document"])
+    key = lambda c: json.dumps(c, sort_keys=True)
+    assert got["dependencies"] == want["dependencies"] and sorted(got["components"], key=key) == sorted(want["components"], key=key)
+    parts = found.select(F.lit("s").alias("scan"), F.concat(F.lit("c/"), "findingId").alias("ref"), F.when(F.col("line") > 40, "cryptographic-asset").otherwise("library").alias("type"), "name", F.when(F.col("line") % 2 == 0, F.array("filePath")).alias("dependsOn"))
+    for crypto in (True, False):
+        documents.write(documents.export(parts, crypto, F.lit("2024-01-02").cast("timestamp")), str(tmp_path / f"c{crypto}"))
+        (got,) = document_texts(tmp_path / f"c{crypto}").values()
+        want = json.loads(views.exported(parts, crypto, F.lit("2024-01-02").cast("timestamp")).first()["document"])
+        assert {**got, "dependencies": sorted(map(key, got["dependencies"])), "components": sorted(map(key, got["components"]))} == {**want, "dependencies": sorted(map(key, want["dependencies"])), "components": sorted(map(key, want["components"]))}
+
+
+def test_lock_entries_in_the_order_of_the_text(spark):
+    lock = {"lockfileVersion": 2, "packages": {"": {"version": "1"}, "node_modules/b": {"version": "2", "dev": True, "dependencies": {"z": "^1"}}, "node_modules/a": {"version": "3", "hasInstallScript": True, "extra": {"x": [1]}}, "node_modules/Z": {"link": True}}}
+    rows = repository.lock_entries(spark.createDataFrame([("s", json.dumps(lock))], "scan string, text string"), scan="scan").orderBy("seq").collect()
+    assert [(r["seq"], r["path"], r["version"], r["dev"], r["hasInstallScript"], r["dependencies"]) for r in rows] == [
+        (0, "", "1", None, None, None), (1, "node_modules/b", "2", True, None, {"z": "^1"}), (2, "node_modules/a", "3", None, True, None), (3, "node_modules/Z", None, None, None, None),
+    ]
+    for bad in ("{}", "no JSON", '{"lockfileVersion":1,"packages":{}}', '{"lockfileVersion":3}', '{"lockfileVersion":3,"packages":[]}'):
+        with pytest.raises(Exception, match="Unsupported lockfile"):
+            repository.lock_entries(spark.createDataFrame([(bad,)], "text string")).collect()
