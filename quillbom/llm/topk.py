@@ -30,13 +30,14 @@ _EXACT = float(1 << 53)
 
 
 def integer_vectors(vectors: DataFrame, scale: int, key: str, vector: str) -> DataFrame:
-    """(id, d, v): components floor(scale * x) of d of them; rows with a null key, a null vector, or a null or
-    non-finite component are left out; of rows that repeat an id and a dimension the smallest vector stays."""
+    """(row, id, d, v, copies): components floor(scale * x) of d of them; rows with a null key, a null vector, or a null or
+    non-finite component are left out; rows of the same id and vector are one, with their number."""
     x = F.col(vector)
     finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
     kept = vectors.where(F.col(key).isNotNull() & x.isNotNull()).where(finite)
     rows = kept.select(F.col(key).cast("long").alias("id"), F.transform(x, lambda c: F.floor(F.lit(float(scale)) * c.cast("double"))).alias("v"))
-    return rows.groupBy("id", F.size("v").alias("d")).agg(F.min("v").alias("v"))
+    grouped = rows.groupBy("id", "v").agg(F.count("*").alias("copies")).withColumn("d", F.size("v"))
+    return grouped.withColumn("row", F.monotonically_increasing_id()).checkpoint()  # fixes the numbers
 
 
 class Approximation:
@@ -62,14 +63,14 @@ class Approximation:
 
 
 def blocks(rows: DataFrame, approximate: bool) -> DataFrame:
-    """(d, ids, data, low, width): the batches of rows (id, v), as cells or as they are."""
+    """(d, ids, data, low, width): the batches of rows (row, v), as cells or as they are."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for d, part in batch.groupby("d"):
                 exact = np.array(part["v"].tolist(), np.int64).reshape(len(part), d)
-                ids = part["id"].to_numpy(np.int64).tobytes()
+                ids = part["row"].to_numpy(np.int64).tobytes()
                 if approximate:
                     a = Approximation.of(exact)
                     out.append((d, ids, a.cells.tobytes(), a.low.tobytes(), a.width.tobytes()))
@@ -77,11 +78,11 @@ def blocks(rows: DataFrame, approximate: bool) -> DataFrame:
                     out.append((d, ids, exact.tobytes(), b"", b""))
             yield pd.DataFrame(out, columns=["d", "ids", "data", "low", "width"])
 
-    return small_batches(rows).select("id", "d", "v").mapInPandas(run, "d int, ids binary, data binary, low binary, width binary")
+    return small_batches(rows).select("row", "d", "v").mapInPandas(run, "d int, ids binary, data binary, low binary, width binary")
 
 
 def bounded(file: DataFrame, asked: DataFrame, k: int, groups: int, query_groups: int) -> DataFrame:
-    """(query_id, d, vec_id, lower, upper) of the candidates that a group can't rule out."""
+    """(asked, row, lower, upper): rows of candidates that a group can't rule out for the row of a query."""
 
     def run(queries: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -102,27 +103,27 @@ def bounded(file: DataFrame, asked: DataFrame, k: int, groups: int, query_groups
             if seen:
                 i, ids, lower, upper = (np.concatenate(x) for x in zip(*seen, strict=True))
                 stay = upper >= best.min(axis=1)[i]
-                out.append(pd.DataFrame({"query_id": q_ids[i[stay]], "d": d, "vec_id": ids[stay], "lower": lower[stay], "upper": upper[stay]}))
-        kinds = {"query_id": "int64", "d": "int32", "vec_id": "int64", "lower": "float64", "upper": "float64"}
+                out.append(pd.DataFrame({"asked": q_ids[i[stay]], "row": ids[stay], "lower": lower[stay], "upper": upper[stay]}))
+        kinds = {"asked": "int64", "row": "int64", "lower": "float64", "upper": "float64"}
         return pd.concat(out).astype(kinds) if out else pd.DataFrame({c: pd.Series(dtype=t) for c, t in kinds.items()})
 
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     deal = lambda n: F.pmod(F.xxhash64("d", "ids"), F.lit(n)).cast("int")
     left = asked.withColumn("j", deal(query_groups)).withColumn("i", every(groups))
     right = file.withColumn("i", deal(groups)).withColumn("j", every(query_groups))
-    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(run, "query_id long, d int, vec_id long, lower double, upper double")
+    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(run, "asked long, row long, lower double, upper double")
 
 
 def scored(pairs: DataFrame, exact: DataFrame) -> DataFrame:
-    """pairs (query_id, d, vec_id) with their exact scores, clamped to 64 bits."""
-    both = pairs.join(exact.select(F.col("id").alias("vec_id"), "d", F.col("v").alias("w")), ["vec_id", "d"])
-    both = both.join(exact.select(F.col("id").alias("query_id"), "d", "v"), ["query_id", "d"])
+    """pairs (asked, row) with the exact scores of their vectors, clamped to 64 bits, and id and copies of the row."""
+    both = pairs.join(exact.select("row", "id", "copies", F.col("v").alias("w")), "row")
+    both = both.join(exact.select(F.col("row").alias("asked"), "v"), "asked")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            yield rows[["query_id", "d", "vec_id"]].assign(score=[product(v, w) for v, w in zip(rows["v"], rows["w"], strict=True)])
+            yield rows[["asked", "row", "id", "copies"]].assign(score=[product(v, w) for v, w in zip(rows["v"], rows["w"], strict=True)])
 
-    return both.select("query_id", "d", "vec_id", "v", "w").mapInPandas(run, "query_id long, d int, vec_id long, score long")
+    return both.select("asked", "row", "id", "copies", "v", "w").mapInPandas(run, "asked long, row long, id long, copies long, score long")
 
 
 def product(v: np.ndarray, w: np.ndarray) -> int:
@@ -142,23 +143,27 @@ def _first(rows: DataFrame, k: int, by: list[str], *order: Column) -> DataFrame:
 def search(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score of the k best candidates of each query.
 
-    Queries are the rows whose key is divisible by every, candidates all rows but those of the
-    query's own key; only vectors of the query's dimension are candidates. Rows that repeat a key
-    count once, with their smallest vector. Queries without candidates have no rows, nor has an empty
-    table. Ties go to the smaller key. Scores outside 64 bits are clamped. Other columns, of any name,
-    are not read; a very long vector is one row of its block.
+    Queries are the rows whose key is divisible by every, candidates all rows but the query's own;
+    only vectors of the query's dimension are candidates. Rows that repeat a key are queries and
+    candidates each for itself. Queries without candidates have no rows, nor has an empty table.
+    Ties go to the smaller key. Scores outside 64 bits are clamped. Other columns, of any name, are
+    not read; a very long vector is one row of its block.
     """
     checkpoint_dir(vectors.sparkSession)
     exact = integer_vectors(vectors, scale, key, vector)
     asked = exact.where(F.col("id") % every == 0)
-    sizes = vectors.select(F.count("*").alias("n"), F.count(F.when(F.col(key) % every == 0, 1)).alias("q")).first()
+    sizes = exact.select(F.count("*").alias("n"), F.count(F.when(F.col("id") % every == 0, 1)).alias("q")).first()
     groups, query_groups = max(1, -(-sizes["n"] // BLOCK_ROWS)), max(1, -(-sizes["q"] // QUERY_ROWS))
     # of equal vectors only the first can be results, and the query's own may be one of them
     candidates = _first(exact, k + 1, ["v"], F.asc("id"))
     met = bounded(blocks(candidates, approximate=True), blocks(asked, approximate=False), k, groups, query_groups).checkpoint()
-    first = _first(met, k, ["query_id", "d"], F.desc("lower"), F.asc("vec_id")).select("query_id", "d", "vec_id")
+    first = _first(met, k, ["asked"], F.desc("lower"), F.asc("row")).select("asked", "row")
     read = scored(first, exact).checkpoint()
-    certain = read.groupBy("query_id", "d").agg(F.min("score").alias("least"), F.count("*").alias("n")).select("query_id", "d", F.when(F.col("n") >= k, F.col("least")).alias("least"))
-    others = met.join(certain, ["query_id", "d"]).where(F.col("least").isNull() | (F.col("upper") >= F.col("least") - F.abs("least") * 1e-12 - 1)).join(first, ["query_id", "d", "vec_id"], "left_anti")
-    found = read.unionByName(scored(others.select("query_id", "d", "vec_id"), exact))
-    return _first(found, k, ["query_id"], F.desc("score"), F.asc("vec_id")).select("query_id", "rank", "vec_id", "score")
+    certain = read.groupBy("asked").agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
+    others = met.join(certain, "asked").where(F.col("least").isNull() | (F.col("upper") >= F.col("least") - F.abs("least") * 1e-12 - 1)).join(first, ["asked", "row"], "left_anti")
+    own = scored(asked.where("copies > 1").select(F.col("row").alias("asked"), "row"), exact).withColumn("copies", F.col("copies") - 1)  # the other rows that are like the query's
+    found = read.unionByName(scored(others.select("asked", "row"), exact)).unionByName(own)
+    found = found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least("copies", F.lit(k).cast("long")))))
+    best = _first(found, k, ["asked"], F.desc("score"), F.asc("id")).select("asked", "rank", F.col("id").alias("vec_id"), "score")
+    named = asked.select(F.col("row").alias("asked"), F.col("id").alias("query_id"), F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
+    return best.join(named, "asked").select("query_id", "rank", "vec_id", "score")
