@@ -3,7 +3,9 @@
 A page becomes a tree of its block elements. Each paragraph gives points, for its length and its
 commas, to its parent in full and to its grandparent by half; a container's points are discounted
 by the share of its text that stands in links. The best container, widened to the article or main
-element around it, is kept with those siblings that read like it. Elements that say what they are
+element around it, is kept with those siblings that read like it, with other articles that hold a
+fifth of its points or more, and with the headings before it. Lists of links go, but not those of an
+article. Elements that say what they are
 (navigation, asides, comment sections and so on) take no part; a form takes part if it holds the
 article or half of the text, and inside an article a doubtful name yields to running text.
 
@@ -169,36 +171,53 @@ class _Page:
 
     def main_blocks(self) -> list[str]:
         n = len(self.tag)
-        points, chars, linked = [0.0] * n, [0] * n, [0] * n
+        points, chars, linked, whole = [0.0] * n, [0] * n, [0] * n, [0.0] * n
         for node, text, in_links in self.blocks:
             chars[node] += len(text)
             linked[node] += in_links
             score = (1 + min(len(text) / 100, 3) + text.count(",") + text.count("、") + text.count("،")) * (1 - in_links / len(text))
+            whole[node] += score
             holder = self.parent[node] if self.tag[node] in ("p", "pre", "td", "blockquote", "li", "dd", "dt") or self.tag[node] in HEADINGS else node
             if holder >= 0:
                 points[holder] += score
                 if self.parent[holder] >= 0:
                     points[self.parent[holder]] += score / 2
+        inside = [False] * n
+        for node in range(1, n):
+            inside[node] = inside[self.parent[node]] or self.tag[node] in ("article", "main")
         for node in range(n - 1, 0, -1):  # children come after their parents
             chars[self.parent[node]] += chars[node]
             linked[self.parent[node]] += linked[node]
+            whole[self.parent[node]] += whole[node]
         density = [linked[k] / chars[k] if chars[k] else 0.0 for k in range(n)]
         value = [points[k] * (1 - density[k]) for k in range(n)]
         best = max(range(n), key=lambda k: (value[k], -k))
         around = best
         while around > 0 and self.tag[around] not in ("article", "main"):
             around = self.parent[around]
-        kept = {around} if around > 0 else {best}
-        if around <= 0 and best > 0:
-            least = max(10.0, 0.2 * value[best])
-            for k in range(1, n):
-                if self.parent[k] == self.parent[best] and density[k] < 0.5:
-                    near_text = self.tag[k] == "p" and (chars[k] > 80 and density[k] < 0.25)
-                    if value[k] >= least or near_text or self.tag[k] in HEADINGS:
-                        kept.add(k)
+        told = around > 0  # an element says that it is the main text
+        top = around if told else best
+        kept = {top}
+        siblings: dict[int, list[int]] = {}
+        for k in range(1, n):
+            if chars[k]:
+                siblings.setdefault(self.parent[k], []).append(k)
+        least = max(10.0, 0.2 * value[best])
+        for k in siblings.get(self.parent[top], []) if top > 0 else []:  # siblings that read like it
+            near_text = not told and self.tag[k] == "p" and chars[k] > 80 and density[k] < 0.25
+            if density[k] < 0.5 and (value[k] >= least or near_text):
+                kept.add(k)
+        if self.tag[top] == "article":  # articles that stand elsewhere
+            kept |= {k for k in range(1, n) if self.tag[k] == "article" and density[k] < 0.5 and whole[k] * (1 - density[k]) >= 0.2 * whole[top] * (1 - density[top])}
+        node = top
+        while node > 0:  # headings before it: any beside the container, the page's own further out
+            last = max(k for k in siblings[self.parent[node]] if k in kept or k == node)
+            kept |= {k for k in siblings[self.parent[node]] if k < last and density[k] < 0.5 and (self.tag[k] == "h1" or node == top and self.tag[k] in HEADINGS)}
+            node = self.parent[node]
         keep = [False] * n
         for k in range(n):
-            keep[k] = k in kept or self.parent[k] >= 0 and keep[self.parent[k]] and not (self.tag[k] in LISTED and density[k] > 0.5)
+            links = self.tag[k] in LISTED and density[k] > 0.5 and not inside[k]  # in an article they are part of it
+            keep[k] = k in kept or self.parent[k] >= 0 and keep[self.parent[k]] and not links
         return [text for node, text, _ in self.blocks if keep[node]]
 
 

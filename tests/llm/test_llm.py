@@ -375,6 +375,12 @@ PROSE = "Long sentences, with commas, that read like any other part of the artic
         (f'<article><p>{PROSE}</p><div class="related"><p>{PROSE}</p></div></article>', f"{PROSE.strip()}\n{PROSE.strip()}"),
         (f'<article><p title="a>b">One</p><script src="x>y">var a = "<p>";</script><noscript>no</noscript></article>', "One"),
         (f"<aside>{PROSE}</aside><nav><ul><li>a</ul></nav><footer>f</footer>", ""),
+        (f"<div><article><p>{PROSE}</p></article><article><p>{PROSE}</p></article></div>", f"{PROSE.strip()}\n{PROSE.strip()}"),
+        (f"<section><article><p>{PROSE}</p></article></section><section><article><h2>Two</h2><div><p>{PROSE}</p></div></article></section><article><a href=x>More</a></article>", f"{PROSE.strip()}\nTwo\n{PROSE.strip()}"),
+        (f"<article><p>{PROSE}</p><p>See:</p><ul><li><a href=x>One</a><li><a href=y>Two</a></ul><p>End.</p></article>", f"{PROSE.strip()}\nSee:\nOne\nTwo\nEnd."),
+        (f"<div><ul><li><a href=x>Home</a><li><a href=y>News</a></ul><h1>Title</h1><div><p>By me</p><div><p>{PROSE}</p><p>{PROSE}</p></div></div><h3>Elsewhere</h3><ul><li><a href=x>Other</a></ul></div>", f"Title\n{PROSE.strip()}\n{PROSE.strip()}"),
+        (f"<body><h1>Title</h1><div><main><p>{PROSE}</p></main></div><div>Bottom</div></body>", f"Title\n{PROSE.strip()}"),
+        (f"<div><div><p>{PROSE}</p></div><div><p>{PROSE}</p></div></div>", f"{PROSE.strip()}\n{PROSE.strip()}"),
     ],
 )
 def test_main_text_inside_other_elements(html, text):
