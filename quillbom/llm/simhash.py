@@ -15,6 +15,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +28,8 @@ BLOCK = 1 << 17
 BITS, TABLES, MINIMA, LONG_WORDS = 16, 4, 3, 4
 #: Texts of a value that are compared with others in one step, on average.
 PAIR_BLOCK = 64
+#: Pairs of a text that are compared in one place.
+PAIR_PART = 1000
 
 
 def _majority(hashes: list[np.ndarray]) -> np.ndarray:
@@ -177,12 +180,17 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, key: s
         for rows in slices(batches):
             sets = [np.unique(shingle_hashes(t, width)) for t in rows["t"]]  # sets, as the similarity is one of sets
             long = _long_fingerprints(sets, words)
-            yield pd.DataFrame({"key": rows["key"], "digest": rows["digest"], "long": list(long.view(np.int64)), "short": _values(sets, long)})
+            least = [np.array(_minima(h), np.uint64).view(np.int64) for h in sets]
+            yield pd.DataFrame({"key": rows["key"], "digest": rows["digest"], "long": list(long.view(np.int64)), "least": least, "short": _values(sets, long)})
 
-    marked = ready.withColumn("digest", F.md5("t")).mapInPandas(run, "key long, digest string, long array<long>, short array<long>")
-    texts = marked.groupBy("digest").agg(F.min("key").alias("key"), F.first("long").alias("long"), F.first("short").alias("short"))
+    marked = ready.withColumn("digest", F.md5("t")).mapInPandas(run, "key long, digest string, long array<long>, least array<long>, short array<long>")
+    found = F.max_by(F.struct("long", "least", "short"), "digest").alias("x")
+    texts = marked.groupBy("digest").agg(F.min("key").alias("key"), found).select("digest", "key", "x.*")
     texts = texts.withColumn("node", F.monotonically_increasing_id()).checkpoint()  # fixed by the checkpoint
-    values = texts.select("node", F.explode("short").alias("value"))
+    # a minimum that no other text has brings nobody together, and most are such
+    own = texts.select("node", F.posexplode("least").alias("n", "m"), "short").select("node", "n", "m", F.slice("short", F.col("n") * TABLES + 1, TABLES).alias("short"))
+    shared = own.groupBy("n", "m").agg(F.count("*").alias("texts")).where("texts > 1").select("n", "m")
+    values = own.join(shared, ["n", "m"]).select("node", F.explode("short").alias("value"))
     hubs = values.groupBy("value").agg(F.min("node").alias("hub"), F.count("*").alias("texts"))
     homes = values.join(hubs, "value").select(F.shiftright("value", bits).alias("number"), "hub", "node", "texts")
     same = homes.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
@@ -199,18 +207,43 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, key: s
     apart = F.aggregate(F.zip_with("long_a", "long_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
     close = pairs.join(of("a"), "a").join(of("b"), "b").where(apart <= far).select("a", "b").checkpoint()
 
+    # texts that stand at a value with others, or at one whose hub shares a variant: no others are ever compared
+    partners = buckets.select("number", F.explode("met").alias("hub")).distinct().withColumn("partner", F.lit(True))
+    meeting = homes.join(partners, ["number", "hub"], "left").where("texts > 1 or partner").select("node").distinct()
+
     def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in slices(batches):
             yield pd.DataFrame({"node": rows["node"], "set": [np.unique(shingle_hashes(t, width)).view(np.int64) for t in rows["t"]]})
 
+    chosen = ready.withColumn("digest", F.md5("t")).join(meeting.join(texts, "node").select("node", "key", "digest"), ["key", "digest"]).dropDuplicates(["key", "digest"])
+    sets = chosen.select("node", "t").mapInPandas(shingles, "node long, set array<long>").checkpoint()
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The similar pairs: rows come sorted by a and part, the row of a itself before the others."""
+        hub, first = None, np.zeros(0, np.int64)
+        for batch in batches:
+            column = batch["set"]
+            flat, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+            out: list[tuple[int, int]] = []
+            for i, (a, part, node) in enumerate(zip(batch["a"].to_pylist(), batch["part"].to_pylist(), batch["node"].to_pylist(), strict=True)):
+                own = flat[ends[i]:ends[i + 1]]
+                if hub != (a, part):
+                    hub, first = (a, part), own.copy()
+                    continue
+                both = np.concatenate((first, own))
+                both.sort(kind="stable")  # two sorted runs
+                met = int(np.count_nonzero(both[1:] == both[:-1]))
+                if met >= similarity * (len(both) - met):
+                    out.append((a, node))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
     def verified(close: DataFrame) -> DataFrame:
-        """The pairs whose shingle sets are as similar as asked."""
-        wanted = close.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(texts, "node").select("node", "key", "digest")
-        chosen = ready.withColumn("digest", F.md5("t")).join(wanted, ["key", "digest"]).dropDuplicates(["node"]).select("node", "t")
-        sets = chosen.mapInPandas(shingles, "node long, set array<long>")
-        both = close.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
-        shared = F.size(F.array_intersect("set_a", "set_b"))
-        return both.where(shared >= F.lit(similarity) * (F.size("set_a") + F.size("set_b") - shared)).select("a", "b")
+        """The pairs whose shingle sets are as similar as asked. Sets go to the pairs of a text part by part, that of the text itself once to each part."""
+        sizes = close.groupBy("a").agg(F.ceil(F.count("*") / PAIR_PART).cast("int").alias("parts"))
+        dealt = close.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts").cast("long")).alias("part"), "b")
+        roles = dealt.select("a", "part", F.col("b").alias("node"), F.lit(False).alias("hub")).unionByName(dealt.select("a", "part", F.col("a").alias("node"), F.lit(True).alias("hub")).distinct())
+        rows = roles.join(sets, "node").repartition(int(close.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "part").sortWithinPartitions("a", "part", F.desc("hub"))
+        return rows.select("a", "part", "node", "set").mapInArrow(compared, "a long, b long")
 
     def unlinked(whole: bool) -> Callable:
         """The close pairs of two blocks that are in different groups: all, or each text's closest."""
