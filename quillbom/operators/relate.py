@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -108,17 +110,96 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm == 0, 0.0).otherwise(dot(a, b) / norm)
 
 
-def nearest(queries: DataFrame, corpus: DataFrame, k: int = 3, least: float = 0.75, block_rows: int = 2048, others: bool = False) -> DataFrame:
+class Pivots:
+    """A few vectors to which angles are taken, and how far an entry may be from a query."""
+
+    def __init__(self, vectors: list, least: float):
+        known = [np.asarray(v, np.float64) for v in vectors]
+        self.units = np.array([v / n for v in known if (n := np.linalg.norm(v)) > 0])
+        self.widest = float(np.arccos(np.clip(least, -1.0, 1.0))) + 1e-6
+        self.band = max(self.widest / 4, np.pi / 64)
+        self.bands = int(np.pi / self.band) + 2
+
+    def angles(self, vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+        """(angles to the pivots, which vectors are all zeros)."""
+        v = np.array(vectors.tolist(), np.float64).reshape(len(vectors), -1)
+        size = np.linalg.norm(v, axis=1)
+        unit = v / np.where(size > 0, size, 1.0)[:, None]
+        return np.arccos(np.clip(unit @ self.units.T, -1.0, 1.0)), size == 0
+
+
+class Cells:
+    """A corpus in cells of bounded number: by the nearest of a few pivots, and by the angle to it in bands.
+
+    Angles obey the triangle inequality, so a query whose angle to a pivot differs from a band by more
+    than the widest angle asked for has no entry of that cell within it; nor has it one whose nearest
+    pivot is further from the query than its own nearest by more than twice that angle. Vectors of
+    all zeros have a cell of their own, which is searched if a cosine of 0 is enough. Pivots are a
+    bounded sample of the corpus, the first by hash: they decide what is left out, never what is found.
+    """
+
+    def __init__(self, corpus: DataFrame, least: float, pivots: int):
+        self.pivots = Pivots([r["w"] for r in corpus.orderBy(F.xxhash64("entry"), "entry").limit(pivots).select("w").collect()], least)
+        self.zeros = least <= 0
+        self.placed = self._placed(corpus, self.pivots)
+        self.sizes = {r["cell"]: r["count"] for r in self.placed.groupBy("cell").count().collect()}  # bounded: pivots times bands
+
+    @staticmethod
+    def _placed(corpus: DataFrame, pivots: Pivots) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for rows in batches:
+                cell = np.full(len(rows), -1)
+                if len(rows) and len(pivots.units):
+                    angle, zero = pivots.angles(rows["w"])
+                    near = angle.argmin(axis=1)
+                    cell = np.where(zero, -1, near * pivots.bands + (angle[np.arange(len(rows)), near] / pivots.band).astype(np.int64))
+                yield rows.assign(cell=cell)
+
+        return corpus.select("entry", "w").mapInPandas(run, f"entry {corpus.schema['entry'].dataType.simpleString()}, w {corpus.schema['w'].dataType.simpleString()}, cell long")
+
+    def asked(self, queries: DataFrame) -> DataFrame:
+        """(id, v, cell): queries with each cell that may hold what they ask for."""
+        pivots, zeros = self.pivots, self.zeros
+        cells = np.array(sorted(c for c in self.sizes if c >= 0), np.int64)
+        pivot, low = cells // pivots.bands, (cells % pivots.bands) * pivots.band
+        always = [c for c in self.sizes if c < 0 and zeros]
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for rows in batches:
+                found: list[list[int]] = [[] for _ in range(len(rows))]
+                if len(rows) and len(cells):
+                    angle, zero = pivots.angles(rows["v"])
+                    to = angle[:, pivot]
+                    stay = (to + pivots.widest >= low) & (to - pivots.widest <= low + pivots.band) & (to <= angle.min(axis=1)[:, None] + 2 * pivots.widest)
+                    found = [cells[s].tolist() for s in np.where(zero[:, None], zeros, stay)]
+                yield rows.assign(cells=[f + always for f in found])
+
+        kind = f"id {queries.schema['id'].dataType.simpleString()}, v {queries.schema['v'].dataType.simpleString()}, cells array<long>"
+        return queries.select("id", "v").mapInPandas(run, kind).select("id", "v", F.explode("cells").alias("cell"))
+
+
+def _looked_up(values: dict[int, int], default: int) -> Column:
+    """The value of a row's cell."""
+    table = F.create_map(*[F.lit(x).cast("long") for kv in (values or {-2: default}).items() for x in kv])
+    return F.coalesce(F.try_element_at(table, F.col("cell")), F.lit(default).cast("long"))
+
+
+def nearest(queries: DataFrame, corpus: DataFrame, k: int = 3, least: float = 0.75, block_rows: int = 2048, others: bool = False, pivots: int = 32) -> DataFrame:
     """queries (id, v) with their k most similar corpus entries (entry, w) of at least that cosine; ties to the smaller entry.
     With others, an entry is no neighbour of the query of the same number.
 
-    Both sides are dealt to blocks of bounded size, and each pair of blocks is one task's matrix product.
+    Exact: cells of the corpus that hold nothing so similar are left out by the triangle inequality.
+    Of the others, blocks of bounded size meet blocks of the queries that ask for them, and each pair
+    of blocks is one task's matrix product.
     """
-    blocks = [max(1, -(-df.count() // block_rows)) for df in (queries, corpus)]
-    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select("id", "v", deal("id", blocks[0]).alias("i"), every(blocks[1]).alias("j"))
-    right = corpus.select("entry", "w", deal("entry", blocks[1]).alias("j"), every(blocks[0]).alias("i"))
+    cells = Cells(corpus, least, pivots)
+    query_blocks = max(1, -(-queries.count() // block_rows))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), n.cast("long") if isinstance(n, Column) else F.lit(n)).cast("int")
+    of_cell = _looked_up({c: -(-n // block_rows) for c, n in cells.sizes.items()}, 1).cast("int")
+    asked = cells.asked(queries).withColumn("j", deal("id", query_blocks))
+    left = asked.withColumn("i", F.explode(F.sequence(F.lit(0), of_cell - 1)))
+    wanted = asked.select(F.col("cell").alias("at"), F.col("j").alias("by")).distinct()  # at most cells times blocks of queries
+    right = cells.placed.withColumn("i", deal("entry", of_cell)).join(wanted, F.col("cell") == F.col("at")).select("entry", "w", "cell", "i", "by")
 
     def run(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
@@ -132,11 +213,18 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int = 3, least: float = 0.
                 out += [(n, entries[x], row[x]) for x in near[np.lexsort((entries[near], -row[near]))][:k]]
         return pd.DataFrame(out, columns=["id", "entry", "score"]).astype({"id": "int64", "entry": "int64", "score": "float64"})
 
-    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(run, "id long, entry long, score double")
+    found = left.groupBy("cell", "i", "j").cogroup(right.groupBy("cell", "i", "by")).applyInPandas(run, "id long, entry long, score double")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "entry")))
     return ranked.where(F.col("rank") <= k).select("id", "rank", "entry", "score")
 
 
+def scored_share(queries: DataFrame, corpus: DataFrame, least: float = 0.75, pivots: int = 32) -> DataFrame:
+    """One row (pairs, scored): all pairs of queries and entries, and those that nearest() scores."""
+    cells = Cells(corpus, least, pivots)
+    scored = cells.asked(queries).agg(F.coalesce(F.sum(_looked_up(cells.sizes, 0)), F.lit(0)).alias("scored"))
+    return scored.select(F.lit(queries.count() * sum(cells.sizes.values())).alias("pairs"), "scored")
+
+
 def fixed_span(lines: DataFrame, at: DataFrame, back: int = 40, ahead: int = 5) -> DataFrame:
     """((scan,) path, line, text): the lines around each place, from back before it to just under ahead after it."""
     key = [*scan_key(lines, at), "path"]

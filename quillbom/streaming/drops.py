@@ -13,13 +13,14 @@ def stream_table(spark: SparkSession, path: str, schema: str | object, files_per
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def apply_per_batch(stream: DataFrame, operator: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str):
-    """Runs an operator of this package on each micro-batch and appends its rows; a repeated batch overwrites its own folder."""
+def apply_per_batch(stream: DataFrame, operator: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str, mode: str = "append"):
+    """Runs an operator of this package on each micro-batch and appends its rows; a repeated batch overwrites its own folder.
+    In update mode a batch holds the aggregates that have changed."""
 
     def write(batch: DataFrame, number: int) -> None:
         operator(batch).write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def windowed_counts(events: DataFrame, ts: str = "ts", kind: str = "event_type", width: str = "1 hour", late: str = "2 hours") -> DataFrame:

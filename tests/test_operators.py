@@ -1,9 +1,12 @@
 """Golden cases of the operators, on small frames and folders."""
 
+import hashlib
 import json
 import random
 import time
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -509,3 +512,100 @@ def test_lock_entries_in_the_order_of_the_text(spark):
     for bad in ("{}", "no JSON", '{"lockfileVersion":1,"packages":{}}', '{"lockfileVersion":3}', '{"lockfileVersion":3,"packages":[]}'):
         with pytest.raises(Exception, match="Unsupported lockfile"):
             repository.lock_entries(spark.createDataFrame([(bad,)], "text string")).collect()
+
+
+def test_ask_once(spark, tmp_path):
+    """Prompts that repeat, over restarts: each is asked once, and every finding gets its answer."""
+    from quillbom.streaming import keyed
+
+    prompts = {f"f{i}": f"prompt {i % 5}" for i in range(20)}
+    digests = {p: hashlib.sha256(p.encode()).hexdigest() for p in prompts.values()}
+    drop = lambda rows, schema, to: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / to))
+    findings, answers = "findingId string, prompt string", "digest string, raw string"
+    drop([], findings, "findings"), drop([], answers, "answers")
+
+    def run():
+        both = keyed.ask_once(drops.stream_table(spark, str(tmp_path / "findings"), findings, 1), drops.stream_table(spark, str(tmp_path / "answers"), answers, 1))
+        drops.apply_per_batch(both, lambda b: b, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+        return Counter((r["kind"], r["prompt"] or r["findingId"], r["raw"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    drop([(f, p) for f, p in prompts.items() if f < "f15"], findings, "findings")
+    want = Counter({("ask", p, None): 1 for p in {p for f, p in prompts.items() if f < "f15"}})
+    assert run() == want
+    drop([(digests["prompt 1"], "yes"), (digests["prompt 1"], "no")], answers, "answers")
+    drop([("f1", "prompt 1")], findings, "findings")
+    want += Counter({("answered", f, "no"): 1 for f, p in prompts.items() if f < "f15" and p == "prompt 1"})
+    got = run()
+    assert got - Counter({("answered", "f1", "no"): 1}) == want - Counter({("answered", "f1", "no"): 1}) and got["answered", "f1", "no"] in (1, 2)
+    drop([(f, p) for f, p in prompts.items() if f >= "f15"], findings, "findings")
+    drop([(d, "later") for d in digests.values()], answers, "answers")
+    got = run()
+    assert {f for kind, f, _ in got if kind == "answered"} == set(prompts)
+    assert {raw for kind, f, raw in got if kind == "answered" and prompts[f] == "prompt 1"} == {"no"}
+    assert {k: n for k, n in got.items() if k[0] == "ask" and n > 1} == {}
+
+
+def test_summaries_on_streams(spark, tmp_path):
+    """After each drop and restart the summaries are those of the tables so far, whatever comes first."""
+    from quillbom.streaming import keyed
+
+    rng = random.Random(3)
+    schemas = {"components": "scan string, seq int, purl string", "vulns": "scan string, purl string, vuln_id string", "hits": "scan string, purl string, seq int, type string, severity string, reason string"}
+    for name, schema in schemas.items():
+        spark.createDataFrame([], schema).coalesce(1).write.parquet(str(tmp_path / name))
+    for turn in range(3):
+        purl = lambda: f"p{rng.randrange(12)}"
+        scan_of = lambda: rng.choice("abc"[: turn + 1])
+        rows = {
+            "components": [(scan_of(), i, purl()) for i in range(15)], "vulns": [(scan_of(), purl(), f"V{i}") for i in range(2)],
+            "hits": [(scan_of(), purl(), i, "t", rng.choice(["high", "medium", "low"]), "r") for i in range(6)],
+        }
+        for name, schema in schemas.items():
+            spark.createDataFrame(rows[name], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+        streams = [drops.stream_table(spark, str(tmp_path / n), s, 1) for n, s in schemas.items()]
+        drops.apply_per_batch(keyed.risk_summaries(*streams), lambda b: b, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+        parts, vulns, hits = (spark.read.schema(s).parquet(str(tmp_path / n)) for n, s in schemas.items())
+        bucket = sbom.worst_bucket(F.size("vulns") > 0, F.transform("hits", lambda h: h["severity"]))
+        want = sbom.risk_summary(sbom.with_hits(parts, vulns, hits).withColumn("bucket", bucket))
+        got = {r["scan"]: r for r in keyed.latest(spark.read.parquet(str(tmp_path / "out")), "scan").collect()}
+        for r in want.collect():
+            assert [got[r["scan"]][c] for c in (*rules.SEVERITIES, "flaggedCount", "totalComponents")] == [r[c] for c in (*rules.SEVERITIES, "flaggedCount", "totalComponents")]
+
+
+@pytest.mark.parametrize("least", [0.75, 0.3, 0.0, -1.0, 1.0])
+def test_nearest_leaves_nothing_out(spark, least):
+    """Clusters, zero vectors and copies: the rows of all pairs, with few of the pairs scored where clusters are apart."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(12, 16))
+    vectors = [(i, (centres[i % 12] + 0.15 * rng.normal(size=16)).astype(np.float32).tolist()) for i in range(600)] + [(600, [0.0] * 16), (601, [0.0] * 16), (602, centres[3].tolist()), (603, centres[3].tolist())]
+    corpus, queries = spark.createDataFrame(vectors, "entry long, w array<float>"), spark.createDataFrame(vectors[::9], "id long, v array<float>")
+    w = np.array([np.float32(v) for _, v in vectors], np.float64)
+    size = np.linalg.norm(w, axis=1)
+    want = []
+    for n, v in vectors[::9]:
+        q = np.array(np.float32(v), np.float64)
+        near = size * np.linalg.norm(q)
+        scores = np.divide(w @ q, near, out=np.zeros(len(w)), where=near > 0)
+        best = sorted((-s, i) for i, s in enumerate(scores) if s >= least and i != n)[:3]
+        want += [(n, r, i, round(-s, 9)) for r, (s, i) in enumerate(best, 1)]
+    got = relate.nearest(queries, corpus, 3, least, block_rows=50, others=True).collect()
+    loose = lambda rows: sorted((n, r, round(s, 6)) for n, r, _, s in rows)  # noqa: E731  # equal scores may differ in the last digit
+    assert loose(map(tuple, got)) == loose(want)
+    assert least not in (0.75,) or sorted((r[0], r[1], r[2]) for r in got) == sorted(x[:3] for x in want)
+    share = relate.scored_share(queries, corpus, least).first()
+    assert share["pairs"] == len(vectors) * len(vectors[::9]) and (share["scored"] < 0.4 * share["pairs"] or least < 0.75)
+    assert relate.nearest(queries, corpus.limit(0)).count() == 0
+
+
+def test_combined_summary_on_a_stream(spark, tmp_path):
+    from quillbom.streaming import keyed
+
+    schema = "scan string, quantumRisk string, exposureRisk string, packageContext struct<name string>"
+    rng = random.Random(4)
+    for turn in range(2):
+        rows = [(rng.choice("ab"), rng.choice(["CRITICAL", "LOW", None]), rng.choice(["HIGH", "ODD"]), rng.choice([None, ("n",)])) for _ in range(20)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = relate.combined_summary(drops.stream_table(spark, str(tmp_path / "in"), schema, 1))
+        drops.apply_per_batch(stream, lambda b: b, str(tmp_path / "out"), str(tmp_path / "state"), "update").awaitTermination()
+        want = relate.combined_summary(spark.read.schema(schema).parquet(str(tmp_path / "in")))
+        assert sorted(keyed.latest(spark.read.parquet(str(tmp_path / "out")), "scan").select(*want.columns).collect()) == sorted(want.collect())
