@@ -93,8 +93,9 @@ def documents(correlated: DataFrame) -> DataFrame:
 
 
 def merge_documents(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Union of the components of two parsed documents."""
-    return left.select(F.explode("components").alias("c")).unionByName(right.select(F.explode("components").alias("c")), allowMissingColumns=True)
+    """((scan,) c): the components of two parsed documents of each scan, one row each; a scan may be in one of them only."""
+    by = scan_key(left, right)
+    return left.select(*by, F.explode("components").alias("c")).unionByName(right.select(*by, F.explode("components").alias("c")), allowMissingColumns=True)
 
 
 # Retrieval

@@ -100,6 +100,23 @@ def enrich(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
     return rows.join(facts, key, "left")
 
 
+def upsert(rows: DataFrame, key: list[str], seq: str = "seq") -> DataFrame:
+    """One row for each key (and scan): the values of its last row by seq, at the place (seq) of its first."""
+    by = [*scan_key(rows), *key]
+    others = [c for c in rows.columns if c not in (*by, seq)]
+    return rows.groupBy(*by).agg(F.min(seq).alias(seq), F.max_by(F.struct(*others), seq).alias("_last")).select(*by, seq, "_last.*")
+
+
+def keep_first(rows: DataFrame, same: list[str], order: str) -> DataFrame:
+    """(order, copies) of the first of the rows that are equal in some columns, by a total order, and how many they are.
+
+    Rows meet by the SHA-256 of what they say, so that long texts are not shuffled; nulls differ from empty texts.
+    """
+    by = scan_key(rows)
+    digest = F.sha2(F.to_json(F.struct(*same), {"ignoreNullFields": "false"}), 256).alias("digest")
+    return rows.select(*by, digest, order).groupBy(*by, "digest").agg(F.min(order).alias(order), F.count("*").alias("copies")).drop("digest")
+
+
 def anomalies(parts: DataFrame, popular: DataFrame, registry: DataFrame, downloads: DataFrame, as_of: Column) -> DataFrame:
     """((scan,) purl, seq, type, severity, reason) of all detectors, in their fixed order; freshness is asked only where
     no other detector of the lockfile has a hit. Popular names, registry and downloads are the same for all scans."""

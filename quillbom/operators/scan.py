@@ -111,6 +111,15 @@ def candidates(files: DataFrame, findings: DataFrame) -> DataFrame:
     return finding(left, "ast", "unclassified", assetType="algorithm", name="unknown", rawConfidence=0.35, detail=F.substring(F.trim("content"), 1, 60))
 
 
+def in_order(*detectors: DataFrame) -> DataFrame:
+    """All findings, those of the first detector first: detector is its number, from 1."""
+    out = None
+    for i, found in enumerate(detectors, 1):
+        found = found.withColumn("detector", F.lit(i))
+        out = found if out is None else out.unionByName(found, allowMissingColumns=True)
+    return out
+
+
 def without_direct(rows: DataFrame, findings: DataFrame, by: list[str]) -> DataFrame:
     """Rows (filePath, line) where no finding has direct evidence."""
     direct = findings.where(F.exists("evidence", lambda e: e["evidenceClass"] == "direct")).select(*by, "filePath", "line").distinct()

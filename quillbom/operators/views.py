@@ -216,6 +216,24 @@ def issue_link(identifier: Column) -> Column:
     return F.concat(F.when(F.startswith(identifier, F.lit("GHSA-")), "https://github.com/advisories/").otherwise("https://osv.dev/vulnerability/"), identifier)
 
 
+def anomaly_types(rows: DataFrame) -> DataFrame:
+    """((scan,) types): the distinct types of the hits of with_hits(), sorted, as a filter offers them."""
+    by = scan_key(rows)
+    each = rows.select(*by, F.explode("hits.type").alias("type"))
+    return each.groupBy(*by).agg(F.array_sort(F.collect_set("type")).alias("types"))
+
+
+def affected_first(components: DataFrame, vulnerabilities: DataFrame) -> DataFrame:
+    """components (bom-ref as ref) with the ids of the vulnerabilities (id, affects) that name them first among what they affect.
+
+    This is what is shown of a document: a vulnerability stands with one component, the first.
+    """
+    by = scan_key(components, vulnerabilities)
+    first = vulnerabilities.select(*by, "id", F.get("affects", F.lit(0))["ref"].alias("ref")).where("ref is not null")
+    ids = first.groupBy(*by, "ref").agg(F.array_sort(F.collect_list("id")).alias("vulns"))
+    return components.join(ids, [*by, "ref"], "left").withColumn("vulns", F.coalesce("vulns", F.array().cast("array<string>")))
+
+
 def exported(parts: DataFrame, crypto: bool, at: Column, repositories: DataFrame | None = None, tool: str = "quillbom") -> DataFrame:
     """(scan, document): the exported document of each scan, with only its cryptographic assets, or without them.
 

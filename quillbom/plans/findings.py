@@ -10,6 +10,7 @@ from quillbom.functions import rules
 from quillbom.operators import assess, calls, relate, scan, views
 from quillbom.plans.registered import query
 from quillbom.session import table
+from quillbom.sources import repository
 
 
 def _nth(values: list, column, kind: str = "string"):
@@ -76,10 +77,6 @@ def line_scan(spark, sf_dir):
 _LINES_SQL = """lines AS (SELECT doc_id, line, content || ' ' || {code}[(doc_id + line) % {n} + 1] AS content FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents))"""
 
 
-def _rule_table(patterns):
-    return "rules(rule, topic, pattern) AS (VALUES " + ", ".join(f"({i}, '{t}', '" + p.replace("'", "''") + "')" for i, (t, p) in enumerate(patterns)) + ")"
-
-
 def _code_lines(spark, sf_dir, code):
     """The lines of all documents, each with a piece of code behind it."""
     lines = scan.text_lines(table(spark, sf_dir, "documents"), F.col("text"), "doc_id")
@@ -99,8 +96,11 @@ def call_token_match(spark, sf_dir):
 @query("""SELECT page_id, len(regexp_extract_all(html, 'track\\([0-9]+\\)')) AS calls, len(string_split(html, chr(10))) AS lines FROM pages""".replace("\\\\", "\\"))
 def script_calls(spark, sf_dir):
     """Calls in the scripts of pages (F8 on markup)."""
-    names = F.regexp_extract_all("html", F.lit(r"track\([0-9]+\)"), 0)
-    return table(spark, sf_dir, "pages").select("page_id", F.size(names).cast("long").alias("calls"), F.size(F.split("html", "\n")).cast("long").alias("lines"))
+    pages = table(spark, sf_dir, "pages")
+    lines = scan.text_lines(pages.withColumn("path", F.col("page_id").cast("string")), F.col("html"))
+    names = C.crypto_calls(C.sanitize_line(F.regexp_replace("content", r"\btrack\(", "verify(")))  # a name that tells of cryptography in place of the pages' own
+    found = lines.select(F.col("path").cast("long").alias("page_id"), F.size(F.filter(names, lambda n: n == "verify")).alias("n"))
+    return found.groupBy("page_id").agg(F.sum("n").alias("calls"), F.count("*").alias("lines"))
 
 
 @query(r"""WITH p AS (SELECT page_id, ['src/', 'lib/tests/', 'vendor/', 'x/', 'app/', 'docs/node_modules/', ''][page_id % 7 + 1] || 'p' || page_id || regexp_replace(url, '^https?://[^/]+', '') || '.js' AS path FROM pages), l AS (SELECT *, lower(path) AS q FROM p)
@@ -241,8 +241,11 @@ def package_attribution(spark, sf_dir):
 @query("SELECT o_orderkey, o_orderpriority FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
 def anti_direct_lines(spark, sf_dir):
     """Rows whose place has no direct evidence."""
-    direct = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
-    return table(spark, sf_dir, "orders").join(direct, "o_orderkey", "left_anti").select("o_orderkey", "o_orderpriority")
+    evidence = F.array(F.struct(F.when(F.col("l_returnflag") == "R", "direct").otherwise("supporting").alias("evidenceClass")))
+    at = lambda c: (F.lit("f").alias("filePath"), F.col(c).alias("line"))
+    findings = table(spark, sf_dir, "lineitem").select(*at("l_orderkey"), evidence.alias("evidence"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", *at("o_orderkey"))
+    return scan.without_direct(rows, findings, []).select("o_orderkey", "o_orderpriority")
 
 
 def _evidence(spark, sf_dir):
@@ -369,8 +372,15 @@ UNION ALL SELECT 3, event_id FROM events WHERE event_type IN ('view', 'error'))
 def detector_union(spark, sf_dir):
     """Outputs of detectors in their fixed order."""
     rows = table(spark, sf_dir, "events")
-    parts = [rows.where(F.col("event_type").isin(*kinds)).select(F.lit(i).alias("detector"), "event_id") for i, kinds in enumerate((["click"], ["view"], ["view", "error"]), 1)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("detector").agg(F.count("*").alias("n"), F.min("event_id").alias("first"))
+    parts = [rows.where(F.col("event_type").isin(*kinds)).select("event_id") for kinds in (["click"], ["view"], ["view", "error"])]
+    return scan.in_order(*parts).groupBy("detector").agg(F.count("*").alias("n"), F.min("event_id").alias("first"))
+
+
+@query("SELECT n_nationkey::BIGINT AS scan, 'c' || c_custkey AS ref FROM nation JOIN customer ON c_nationkey = n_nationkey UNION ALL SELECT s_nationkey::BIGINT, 's' || s_suppkey FROM supplier")
+def merged_documents(spark, sf_dir):
+    """Components of two documents of each scan."""
+    parsed = lambda t, p: table(spark, sf_dir, t).groupBy(F.col(f"{p}_nationkey").cast("long").alias("scan")).agg(F.collect_list(F.struct(F.concat(F.lit(p), F.col(f"{p}_{'cust' if p == 'c' else 'supp'}key").cast("string")).alias("ref"))).alias("components"))
+    return relate.merge_documents(parsed("customer", "c"), parsed("supplier", "s")).select("scan", "c.ref")
 
 
 @query("""SELECT p_partkey, 'crypto/algorithm/' || trim(regexp_replace(lower(p_name || ' (' || p_brand || ')'), '[^a-z0-9]+', '-', 'g'), '-') || '@' ||
@@ -496,11 +506,17 @@ def call_rules(spark, sf_dir):
 _COMMENTS = ["old: bcrypt.genSalt(10) then bcrypt.hash(p)", "bcrypt.compare(a, b)", "x = pbkdf2Sync(p)", "nothing", "jwt.verify(t); randomBytes(16)"]
 
 
-@query("WITH " + _LINES_SQL.format(code=_list(_COMMENTS), n=len(_COMMENTS)) + ", " + _rule_table([(r[0], r[1]) for r in calls.COMMENT_RULES]) + "SELECT doc_id, line, min(rule) AS rule FROM lines JOIN rules ON regexp_matches(content, pattern) GROUP BY doc_id, line, topic")
+@query("WITH " + _LINES_SQL.format(code=_list(_COMMENTS), n=len(_COMMENTS)) + r""" , f AS (
+    SELECT doc_id, line, 'bcrypt' AS family, CASE WHEN regexp_matches(content, 'bcrypt\\w*\\.hash') AND NOT regexp_matches(content, 'bcrypt\\w*\\.(genSalt|compare)') THEN 'kdf' END AS primitive, NULL AS parameter, CASE WHEN regexp_matches(content, 'bcrypt\\w*\\.genSalt') THEN 'salt' END AS material
+    FROM lines WHERE regexp_matches(content, 'bcrypt\\w*\\.(genSalt|compare|hash)(Sync)?\\(')
+    UNION ALL SELECT doc_id, line, 'PBKDF2', 'kdf', 'sha512', NULL FROM lines WHERE regexp_matches(content, 'pbkdf2(Sync)?\\(')
+    UNION ALL SELECT doc_id, line, 'CSPRNG', 'drbg', '128 bits', NULL FROM lines WHERE contains(content, 'randomBytes(')
+    UNION ALL SELECT doc_id, line, 'HMAC', 'signature', 'HS256', NULL FROM lines WHERE contains(content, 'jwt.verify(')
+) SELECT * FROM f""".replace("\\\\", "\\"))
 def comment_rules(spark, sf_dir):
     """Commented-out calls on every line of the documents: of each topic the first rule."""
     rows = calls.comment_hits(_code_lines(spark, sf_dir, _COMMENTS), "content")
-    return rows.select("doc_id", F.col("line").cast("long").alias("line"), F.col("hit.rule").alias("rule"))
+    return rows.select("doc_id", F.col("line").cast("long").alias("line"), *[F.col(f"hit.{c}").alias(c) for c in ("family", "primitive", "parameter", "material")])
 
 
 @query(r"""SELECT page_id, regexp_full_match(u, 'https?://(www\.)?github\.com/[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+?(\.git)?/?') AS is_repository
@@ -511,12 +527,14 @@ def repository_urls(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", C.is_repository(url).alias("is_repository"))
 
 
-@query("""SELECT k, count(*) AS n, min(v) AS first FROM (SELECT 'dep' || (s_suppkey % 40) AS k, s_suppkey AS v FROM supplier UNION SELECT 'dep' || (p_partkey % 60), p_partkey FROM part) GROUP BY k""")
+@query("""SELECT n_nationkey::BIGINT AS scan, name FROM nation JOIN (SELECT s_nationkey AS k, 's' || (s_suppkey % 40) AS name FROM supplier UNION SELECT c_nationkey, 's' || (c_custkey % 60) FROM customer) ON k = n_nationkey""")
 def name_union(spark, sf_dir):
-    """Names of two declarations together, each once."""
-    named = lambda t, c, n: table(spark, sf_dir, t).select(F.concat(F.lit("dep"), (F.col(c) % n).cast("string")).alias("k"), F.col(c).alias("v"))
-    both = named("supplier", "s_suppkey", 40).union(named("part", "p_partkey", 60)).distinct()
-    return both.groupBy("k").agg(F.count("*").alias("n"), F.min("v").alias("first"))
+    """Names that the manifest of each nation declares, for use and for development, each once."""
+    declared = lambda t, key, n, as_: table(spark, sf_dir, t).groupBy(F.col(f"{key[0]}_nationkey").cast("long").alias("scan")).agg(F.collect_set(F.concat(F.lit("s"), (F.col(key) % n).cast("string"))).alias(as_))
+    both = declared("supplier", "s_suppkey", 40, "a").join(declared("customer", "c_custkey", 60, "b"), "scan", "full")
+    section = lambda names: F.map_from_arrays(F.coalesce(names, F.array().cast("array<string>")), F.transform(F.coalesce(names, F.array().cast("array<string>")), lambda n: F.lit("^1")))
+    manifests = both.select("scan", F.to_json(F.struct(F.lit("app").alias("name"), section(F.col("a")).alias("dependencies"), section(F.col("b")).alias("devDependencies"))).alias("text"))
+    return repository.declared_names(manifests)
 
 
 def _exported(spark, sf_dir, crypto):

@@ -98,10 +98,20 @@ def worst_severity_view(spark, sf_dir):
     return views.component_view(_bucketed(spark, sf_dir), only_flagged=True, sort="severity").select("scan", "seq", "name", "severity", F.col("flagCount").cast("long").alias("flagCount"))
 
 
-@query(_PARTS_SQL + "SELECT DISTINCT type FROM hit")
+@query(_PARTS_SQL + "SELECT scan, string_agg(DISTINCT type, ',' ORDER BY type) AS types FROM parts JOIN hit USING (scan, purl) GROUP BY scan")
 def anomaly_facets(spark, sf_dir):
-    """The distinct anomaly types, for a filter."""
-    return _parts(spark, sf_dir)[2].select("type").distinct()
+    """The distinct anomaly types of each scan, sorted, for a filter."""
+    return views.anomaly_types(_bucketed(spark, sf_dir)).select("scan", F.array_join("types", ",").alias("types"))
+
+
+@query("SELECT c_custkey, coalesce(string_agg('V' || o_orderkey, ',' ORDER BY 'V' || o_orderkey), '') AS vulns FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'F' GROUP BY c_custkey")
+def first_affected(spark, sf_dir):
+    """Vulnerabilities shown with the first component that they affect."""
+    ref = lambda c: F.struct(F.concat(F.lit("r"), c.cast("string")).alias("ref"))
+    orders = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'")
+    vulns = orders.select(F.concat(F.lit("V"), F.col("o_orderkey").cast("string")).alias("id"), F.array(ref(F.col("o_custkey")), ref(F.col("o_custkey") + 1)).alias("affects"))
+    parts = table(spark, sf_dir, "customer").select("c_custkey", ref(F.col("c_custkey"))["ref"].alias("ref"))
+    return views.affected_first(parts, vulns).select("c_custkey", F.array_join("vulns", ",").alias("vulns"))
 
 
 @query(_PARTS_SQL + "SELECT type, count(*) AS hits, scan FROM hit GROUP BY ALL")
@@ -219,17 +229,17 @@ def chunk_ids(spark, sf_dir):
     return sbom.chunks(table(spark, sf_dir, "customer"), [F.desc("c_acctbal"), F.asc("c_custkey")], 1000).select("c_custkey", "chunk")
 
 
-@query("""SELECT event_type, user_id, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY event_type, user_id""")
+@query("""SELECT event_type, user_id, min(event_id) AS seq, arg_max(value, event_id) AS value, max(event_id) AS event_id FROM events GROUP BY event_type, user_id""")
 def last_wins(spark, sf_dir):
-    """The last row of each key (D3)."""
-    rows = table(spark, sf_dir, "events")
-    return rows.groupBy("event_type", "user_id").agg(F.max("event_id").alias("event_id"), F.max_by("value", "event_id").alias("value"))
+    """The last row of each key, at the place of its first (D3)."""
+    rows = table(spark, sf_dir, "events").select("event_type", "user_id", F.col("event_id").alias("seq"), "event_id", "value")
+    return sbom.upsert(rows, ["event_type", "user_id"])
 
 
-@query("""SELECT min(doc_id) AS doc_id, md5(text) AS digest, count(*) AS copies FROM documents GROUP BY text""")
+@query("""SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY text, lang""")
 def dedupe_keep_first(spark, sf_dir):
     """The first of equal rows."""
-    return table(spark, sf_dir, "documents").groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", F.md5("text").alias("digest"), "copies")
+    return sbom.keep_first(table(spark, sf_dir, "documents"), ["text", "lang"], "doc_id")
 
 
 @query("""SELECT CAST(date_trunc('hour', ts) AS VARCHAR) AS start, event_type, count(*) AS n, floor(sum(value) * 100 + 0.5) / 100 AS total FROM events GROUP BY ALL""")

@@ -80,6 +80,13 @@ def lock_entries(locks: DataFrame, text: str = "text", scan: str | None = None)
     )
 
 
+def declared_names(manifests: DataFrame, text: str = "text") -> DataFrame:
+    """((scan,) name): the names that manifests declare as dependencies or for development, each once; what can't be read declares none."""
+    by = scan_key(manifests)
+    names = lambda section: F.coalesce(F.json_object_keys(F.get_json_object(text, f"$.{section}")), F.array().cast("array<string>"))
+    return manifests.select(*by, F.explode(F.array_union(names("dependencies"), names("devDependencies"))).alias("name")).distinct()
+
+
 def bom_packages(boms: DataFrame, direct_names: DataFrame | None = None) -> DataFrame:
     """Packages of parsed BOM documents, with the vulnerabilities that affect them."""
     by = scan_key(boms) if direct_names is None else scan_key(boms, direct_names)
