@@ -203,8 +203,8 @@ def test_views(spark):
     tasks = {r["id"]: r["affected"] for r in views.checklist(rows).collect()}
     assert tasks == {"exposed-secrets": 1, "post-quantum": 1, "weak-digests": 1, "short-keys": 1, "low-confidence": 1}
     plan = views.markdown(views.checklist(rows), "https://github.com/a/b").first()["value"]
-    assert plan.count("- [ ]") == 5 and plan.count("### ") == 4 and "https://github.com/a/b" in plan and "Withdraw and isolate 1 exposed secret**" in plan
-    assert views.markdown(views.checklist(rows.limit(0))).first()["value"].endswith("Nothing critical is to be done.\n")
+    assert plan.count("- [ ]") == 5 and plan.count("### ") == 4 and "https://github.com/a/b" in plan and "Revoke 1 key that the sources show**" in plan
+    assert views.markdown(views.checklist(rows.limit(0))).first()["value"].endswith("No task is open.\n")
     assert views.checklist(rows.limit(0)).count() == 0
 
 
