@@ -10,11 +10,13 @@ one before it with the last skipped (skip), and both (n-gram); the softmax of pl
 the last word. Frequent words have rows of their own, others one for their last three letters.
 
 1. Words are counted over all training texts, summed in each task before they are shuffled.
-2. Training. One pass counts what goes with each feature; the gradient at weights of zero follows
-   from these counts alone and gives the first step. Each further round computes what the model
-   expects, over all training tokens, in parallel, and updates the weights once (but those of pairs,
-   which are too sparse to gain by it). Tasks' sums are cut
-   into blocks and added in two levels, so that no group grows faster than their number's root.
+2. Training. One pass over the texts counts what goes with each feature, and how often each context
+   (the rows of the two words before) occurs. The gradient at weights of zero follows from the first
+   counts alone and gives the first step. Each further round computes what the model expects in every
+   context, in parallel, times its count, and updates all weights once: this is the gradient over all
+   training tokens, at the cost of the distinct contexts, whose number has a bound. What places
+   expect follows from how often classes follow words, which the first counts hold. Tasks' sums are
+   cut into blocks and added in two levels, so that no group grows faster than their number's root.
 3. Texts are scored in batches. The counts of the most frequent words, a fixed number, are at hand
    in each task; the other words of each text meet their counts in a join, so nothing that grows
    with the corpus is broadcast.
@@ -49,16 +51,19 @@ PLACE_ROWS = 4096
 HELD_WORDS = 1 << 17
 #: Distinct words a task counts before it passes them on.
 COUNTED_WORDS = 1 << 19
-#: Rounds after the first step, step of the first and of the further ones, of the places', and prior count.
-ROUNDS = 1
+#: Rounds after the first step, step of the first and of the further ones, of pairs and of places, and prior counts, those of pairs apart.
+ROUNDS = 4
 FIRST_STEP = 0.4
-STEP = 0.5
-PLACE_STEP = 0.9
-PRIOR = 1.0
-#: Blocks that a task's sums are cut into, and tokens at a time for scores and for sums.
+STEP = 0.4
+PAIR_STEP = 0.4
+PLACE_STEP = 0.5
+PRIOR, PAIR_PRIOR = 1.0, 30.0
+#: Blocks that a task's sums and contexts are cut into; contexts at a time for scores and for sums; tokens whose contexts a task holds one by one.
 SUM_BLOCKS = 16
+CONTEXT_BLOCKS = 64
 TOKENS = 1 << 13
 WIDE = 1 << 16
+WAITING = 1 << 22
 #: Taken from each count inside the last place.
 DISCOUNT = 0.5
 NEVER = -1e4
@@ -175,15 +180,22 @@ class Shares:
         self.scale = np.where(size > 0, np.log10(np.where(unseen < 1, 1 - unseen, 1)) - np.log10(np.where(size > 0, size - DISCOUNT * words, 1)), 0.0)
 
 
+def pair_rows(last: np.ndarray, before: np.ndarray) -> np.ndarray:
+    return ((last * WORD_ROWS + before).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % PAIR_ROWS
+
+
+def place_rows(cls: np.ndarray, last: np.ndarray) -> np.ndarray:
+    return ((cls * WORD_ROWS + last).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(40)).astype(np.int64) % PLACE_ROWS
+
+
 @dataclass
 class Contexts:
-    """Tokens and the features of their contexts."""
+    """Tokens and the rows of the two words before."""
 
     cls: np.ndarray
     place: np.ndarray
     last: np.ndarray
     before: np.ndarray
-    pair: np.ndarray
 
     @staticmethod
     def of(texts: list[np.ndarray]) -> Contexts:
@@ -196,18 +208,55 @@ class Contexts:
         last[starts] = before[starts] = START
         second = starts[np.array([len(t) > 1 for t in texts], bool)] + 1 if texts else starts
         before[second] = START
-        pair = ((last * WORD_ROWS + before).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % PAIR_ROWS
-        return Contexts(codes & 255, codes >> 8 & 255, last, before, pair)
+        return Contexts(codes & 255, codes >> 8 & 255, last, before)
+
+    @property
+    def keys(self) -> np.ndarray:
+        return self.last * WORD_ROWS + self.before
+
+
+def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and the sums of their counts."""
+    keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[starts], np.add.reduceat(counts, starts) if len(keys) else counts
+
+
+class ContextCounts:
+    """How often each context occurs; those of some tokens are kept one by one before they are counted."""
+
+    def __init__(self):
+        self.counted = (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        self.waiting: list[np.ndarray] = []
 
-    def blocks(self) -> Iterator[Contexts]:
-        for at in range(0, len(self.cls), TOKENS):
-            yield Contexts(*(getattr(self, n)[at:at + TOKENS] for n in ("cls", "place", "last", "before", "pair")))
+    def add(self, keys: np.ndarray) -> None:
+        self.waiting.append(keys.astype(np.int32))
+        if sum(map(len, self.waiting)) > WAITING:
+            self.count()
 
-    def of_places(self, singles: int) -> tuple[np.ndarray, np.ndarray]:
-        """The tokens that have a place, and the rows of their feature."""
-        at = np.flatnonzero(self.cls >= singles)
-        row = ((self.cls[at] * WORD_ROWS + self.last[at]).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(40)).astype(np.int64) % PLACE_ROWS
-        return at, row
+    def count(self) -> None:
+        if self.waiting:
+            self.counted = merged([self.counted, np.unique(np.concatenate(self.waiting), return_counts=True)])
+            self.waiting = []
+
+    def blocks(self) -> Iterator[tuple[int, bytes]]:
+        """Keys and counts by a hash of the key."""
+        self.count()
+        keys, counts = self.counted
+        of = keys.astype(np.uint32) * np.uint32(2654435761) >> np.uint32(20) & np.uint32(CONTEXT_BLOCKS - 1)
+        for block in range(CONTEXT_BLOCKS):
+            yield block, packed(keys[of == block], counts[of == block])
+
+
+def packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    return keys.astype(np.int32).tobytes() + counts.astype(np.int64).tobytes()
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(data) // 12
+    return np.frombuffer(data, np.int32, n), np.frombuffer(data, np.int64, n, 4 * n)
 
 
 _buffers: list[np.ndarray] = []
@@ -243,67 +292,85 @@ class Model:
             out += more
         return out
 
-    def class_scores(self, c: Contexts) -> np.ndarray:
-        """Unnormalised, by token and class."""
-        out = self._scores(self.tables[:3], [c.last, c.before, c.pair])
+    def class_scores(self, last: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Unnormalised, by context and class."""
+        out = self._scores(self.tables[:3], [last, before, pair_rows(last, before)])
         out += self.bias
         return out
 
     def place_scores(self, cls: np.ndarray, row: np.ndarray) -> np.ndarray:
         return self._scores([self.places, self.tables[3]], [cls, row])
 
+    def _class_totals(self, keys: np.ndarray) -> np.ndarray:
+        """Per context the log of the sum over classes. Contexts repeat, so what is found is kept, for the task's later batches too."""
+        if not hasattr(self, "known_totals"):
+            self.known_totals = np.full(WORD_ROWS * WORD_ROWS, np.nan, np.float32)
+        distinct, inverse = np.unique(keys, return_inverse=True)
+        new = distinct[np.isnan(self.known_totals[distinct])]
+        for at in range(0, len(new), TOKENS):
+            part = new[at:at + TOKENS]
+            self.known_totals[part] = np.log(_total(self.class_scores(part // WORD_ROWS, part % WORD_ROWS)))
+        return self.known_totals[distinct][inverse].astype(np.float64)
+
+    def _place_totals(self, cls: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """The same over places; there are few pairs of class and row, so all are computed at once."""
+        if not hasattr(self, "place_totals"):
+            classes, rows = np.divmod(np.arange(self.classes * PLACE_ROWS), PLACE_ROWS)
+            self.place_totals = np.concatenate([np.log(_total(self.place_scores(classes[at:at + TOKENS], rows[at:at + TOKENS]))) for at in range(0, len(classes), TOKENS)])
+        return self.place_totals[cls * PLACE_ROWS + row]
+
     def log_shares(self, c: Contexts) -> np.ndarray:
         """Per token the natural log of its class's share times its place's."""
-        out = np.zeros(len(c.cls))
-        for at, part in zip(range(0, len(c.cls), TOKENS), c.blocks()):
-            scores = self.class_scores(part)
-            own = scores[np.arange(len(part.cls)), part.cls].astype(np.float64)
-            out[at:at + TOKENS] = own - np.log(_total(scores))
-        of, row, cls_of, row_of, inverse, _ = self._place_contexts(c)
-        totals = [_total(self.place_scores(cls_of[at:at + TOKENS], row_of[at:at + TOKENS])) for at in range(0, len(cls_of), TOKENS)]
-        if totals:
-            own = self.places[c.cls[of], c.place[of]].astype(np.float64) + self.tables[3][row, c.place[of]]
-            out[of] += own - np.log(np.concatenate(totals))[inverse]
+        own = self.bias[c.cls].astype(np.float64)
+        for table, row in zip(self.tables[:3], (c.last, c.before, pair_rows(c.last, c.before)), strict=True):
+            own += table[row, c.cls]
+        out = own - self._class_totals(c.keys)
+        of = np.flatnonzero(c.cls >= self.singles)
+        cls, place = c.cls[of], c.place[of]
+        row = place_rows(cls, c.last[of])
+        out[of] += self.places[cls, place].astype(np.float64) + self.tables[3][row, place] - self._place_totals(cls, row)
         return out
 
-    def _place_contexts(self, c: Contexts) -> tuple[np.ndarray, ...]:
-        """The tokens that have a place, their feature rows, and the distinct pairs of class and row: these
-        alone decide the shares of places, and there are far fewer of them."""
-        of, row = c.of_places(self.singles)
-        pairs, inverse, counts = np.unique(c.cls[of] * PLACE_ROWS + row, return_inverse=True, return_counts=True)
-        return of, row, pairs // PLACE_ROWS, pairs % PLACE_ROWS, inverse, counts
-
     def seen(self, sums: list[np.ndarray], c: Contexts) -> None:
         """Adds what goes with each feature row."""
-        for table, row in zip(sums, (c.last, c.before, c.pair)):
+        for table, row in zip(sums, (c.last, c.before, pair_rows(c.last, c.before))):
             table += np.bincount(c.cls * table.shape[1] + row, minlength=table.size).reshape(table.shape)
-        of, row = c.of_places(self.singles)
-        sums[3] += np.bincount(c.place[of] * PLACE_ROWS + row, minlength=sums[3].size).reshape(sums[3].shape)
-
-    def told(self, sums: list[np.ndarray], c: Contexts) -> None:
-        """Adds what the model expects with each feature row but those of pairs, which keep their first step."""
-        for at in range(0, len(c.cls), WIDE):
-            part = Contexts(*(getattr(c, n)[at:at + WIDE] for n in ("cls", "place", "last", "before", "pair")))
-            shares = np.empty((self.classes, len(part.cls)), np.float32)
-            for lo, block in zip(range(0, len(part.cls), TOKENS), part.blocks()):
-                shares[:, lo:lo + TOKENS] = _shares(self.class_scores(block)).T
-            add_rows(sums[:2], (part.last, part.before), shares)
-        _, _, cls_of, row_of, _, counts = self._place_contexts(c)
-        for at in range(0, len(cls_of), TOKENS):
-            own = slice(at, at + TOKENS)
-            shares = _shares(self.place_scores(cls_of[own], row_of[own]))
-            shares *= counts[own, None].astype(np.float32)
-            add_rows(sums[3:], (row_of[own],), np.ascontiguousarray(shares.T))
+        of = np.flatnonzero(c.cls >= self.singles)
+        sums[3] += np.bincount(c.place[of] * PLACE_ROWS + place_rows(c.cls[of], c.last[of]), minlength=sums[3].size).reshape(sums[3].shape)
+
+    def expected(self, sums: list[np.ndarray], keys: np.ndarray, counts: np.ndarray) -> None:
+        """Adds what the model expects with each feature row of the class softmax, in contexts that occur so often."""
+        for at in range(0, len(keys), WIDE):
+            last, before = np.divmod(keys[at:at + WIDE].astype(np.int64), WORD_ROWS)
+            shares = np.empty((self.classes, len(last)), np.float32)
+            for lo in range(0, len(last), TOKENS):
+                shares[:, lo:lo + TOKENS] = _shares(self.class_scores(last[lo:lo + TOKENS], before[lo:lo + TOKENS])).T
+            shares *= counts[at:at + WIDE].astype(np.float32)
+            add_rows(sums[:3], (last, before, pair_rows(last, before)), shares)
+
+    def expected_places(self, seen: list[np.ndarray]) -> np.ndarray:
+        """The same for places: the classes that follow a word, and how often, are in the sums of what was seen."""
+        out = np.zeros((PLACES, PLACE_ROWS))
+        cls, last = np.nonzero(seen[0][self.singles:])
+        cls += self.singles
+        keys, counts = merged([(cls * PLACE_ROWS + place_rows(cls, last), seen[0][cls, last])])
+        for at in range(0, len(keys), TOKENS):
+            classes, rows = np.divmod(keys[at:at + TOKENS], PLACE_ROWS)
+            shares = _shares(self.place_scores(classes, rows))
+            shares *= counts[at:at + TOKENS, None].astype(np.float32)
+            add_rows([out], (rows,), np.ascontiguousarray(shares.T))
+        return out
 
     def first_step(self, seen: list[np.ndarray]) -> None:
         """With weights of zero the model expects the classes' own shares in every row."""
         share = np.exp(self.bias.astype(np.float64))[:, None]
-        for table, counts in zip(self.tables[:3], seen):
-            table += (FIRST_STEP * np.log((counts + PRIOR * share) / (counts.sum(axis=0) * share + PRIOR * share))).T.astype(np.float32)
+        for table, counts, prior in zip(self.tables[:3], seen, (PRIOR, PRIOR, PAIR_PRIOR)):
+            table += (FIRST_STEP * np.log((counts + prior * share) / (counts.sum(axis=0) * share + prior * share))).T.astype(np.float32)
 
     def step(self, seen: list[np.ndarray], told: list[np.ndarray]) -> None:
-        for table, s, t, size in zip(self.tables, seen, told, (STEP, STEP, 0.0, PLACE_STEP)):
-            table += (size * (s - t) / (0.5 * (s + t) + PRIOR)).T.astype(np.float32)
+        """The gradient of each weight, scaled by its counts; the prior counts hold back rows that are seldom seen."""
+        for table, s, t, size, prior in zip(self.tables, seen, told, (STEP, STEP, PAIR_STEP, PLACE_STEP), (PRIOR, PRIOR, PAIR_PRIOR, PRIOR), strict=True):
+            table += (size * (s - t) / (0.5 * (s + t) + prior)).T.astype(np.float32)
 
 
 def _total(scores: np.ndarray) -> np.ndarray:
@@ -338,47 +405,93 @@ class _Codes(dict):
         return found
 
 
-def summed(texts: DataFrame, vocabulary: Vocabulary, model: Model, what: str) -> list[np.ndarray]:
-    """Model.seen or Model.told, added over all training texts."""
-    spark = texts.sparkSession
-    sent = spark.sparkContext.broadcast((vocabulary, model))
-    salts = max(1, math.isqrt(texts.rdd.getNumPartitions()))
-    sizes = [math.prod(shape) for shape in model.shapes()]
-    cuts = np.linspace(0, sum(sizes), SUM_BLOCKS + 1).astype(int)
+_PARTS = "kind int, block int, data binary"
+_SUMS, _CONTEXTS = 0, 1
+
+
+def _sum_rows(sums: list[np.ndarray]) -> tuple[list[int], list[bytes]]:
+    """The sums in blocks."""
+    flat = np.concatenate([s.reshape(-1) for s in sums]).astype(np.float32)
+    cuts = np.linspace(0, len(flat), SUM_BLOCKS + 1).astype(int)
+    return list(range(SUM_BLOCKS)), [flat[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
+
+
+def _added(parts: DataFrame) -> DataFrame:
+    """The blocks of all tasks, added in two levels: first those of a root of the number of tasks each."""
+    salts = max(1, math.isqrt(parts.rdd.getNumPartitions()))
+
+    def add(kind: type) -> Callable:
+        def run(rows: pd.DataFrame) -> pd.DataFrame:
+            if rows["kind"].iloc[0] == _CONTEXTS:
+                data = packed(*merged([unpacked(d) for d in rows["data"]]))
+            else:
+                total = np.zeros(len(rows["data"].iloc[0]) // np.dtype(kind).itemsize)
+                for d in rows["data"]:
+                    total += np.frombuffer(d, kind)
+                data = total.tobytes()
+            return pd.DataFrame({"kind": rows["kind"].iloc[:1], "block": rows["block"].iloc[:1], "data": [data]})
+
+        return run
+
+    salted = parts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
+    return salted.groupBy("kind", "block", "salt").applyInPandas(add(np.float32), _PARTS).groupBy("kind", "block").applyInPandas(add(np.float64), _PARTS)
+
+
+def _unfolded(rows: list, shapes: list[tuple[int, int]]) -> list[np.ndarray]:
+    sizes = [math.prod(shape) for shape in shapes]
+    flat = np.concatenate([np.frombuffer(r["data"]) for r in sorted(rows, key=lambda r: r["block"])]) if rows else np.zeros(sum(sizes))
+    ends = np.cumsum(sizes)
+    return [flat[e - n:e].reshape(shape) for e, n, shape in zip(ends, sizes, shapes, strict=True)]
+
+
+def gathered(texts: DataFrame, vocabulary: Vocabulary, model: Model) -> tuple[list[np.ndarray], DataFrame]:
+    """What goes with each feature row in all texts, and (data): their contexts in blocks, with their numbers."""
+    sent = texts.sparkSession.sparkContext.broadcast((vocabulary, model))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocabulary, model = sent.value
-        codes, sums, any_rows = _Codes(vocabulary), [np.zeros(shape) for shape in model.shapes()], False
+        codes, sums, contexts, any_rows = _Codes(vocabulary), [np.zeros(shape) for shape in model.shapes()], ContextCounts(), False
         for rows in batches:
             words = [tokens(t) for t in rows["t"]]
-            getattr(model, what)(sums, Contexts.of([np.fromiter(map(codes.__getitem__, w), np.int64, len(w)) for w in words]))
+            c = Contexts.of([np.fromiter(map(codes.__getitem__, w), np.int64, len(w)) for w in words])
+            model.seen(sums, c)
+            contexts.add(c.keys)
             any_rows |= len(rows) > 0
         if any_rows:
-            flat = np.concatenate([s.reshape(-1) for s in sums]).astype(np.float32)
-            yield pd.DataFrame({"block": range(SUM_BLOCKS), "data": [flat[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]})
+            blocks, data = _sum_rows(sums)
+            yield pd.DataFrame({"kind": _SUMS, "block": blocks, "data": data})
+            blocks, data = zip(*contexts.blocks(), strict=True)
+            yield pd.DataFrame({"kind": _CONTEXTS, "block": blocks, "data": data})
 
-    def add(kind: type) -> object:
-        def run(rows: pd.DataFrame) -> pd.DataFrame:
-            total = np.zeros(len(rows["data"].iloc[0]) // np.dtype(kind).itemsize)
-            for d in rows["data"]:
-                total += np.frombuffer(d, kind)
-            return pd.DataFrame({"block": rows["block"].iloc[:1], "data": [total.tobytes()]})
+    rows = _added(texts.mapInPandas(run, _PARTS)).repartition(CONTEXT_BLOCKS, "block").checkpoint()
+    seen = _unfolded(rows.where(F.col("kind") == _SUMS).collect(), model.shapes())
+    return seen, rows.where(F.col("kind") == _CONTEXTS).select("data")
 
-        return run
 
-    parts = texts.mapInPandas(run, "block int, data binary").withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
-    rows = parts.groupBy("block", "salt").applyInPandas(add(np.float32), "block int, data binary").groupBy("block").applyInPandas(add(np.float64), "block int, data binary").collect()
-    flat = np.concatenate([np.frombuffer(r["data"]) for r in sorted(rows, key=lambda r: r["block"])]) if rows else np.zeros(sum(sizes))
+def expected(contexts: DataFrame, model: Model, seen: list[np.ndarray]) -> list[np.ndarray]:
+    """What the model expects with each feature row in all contexts."""
+    sent = contexts.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model, sums = sent.value, None
+        for rows in batches:
+            for data in rows["data"]:
+                sums = sums or [np.zeros(shape) for shape in model.shapes()[:3]]
+                model.expected(sums, *unpacked(data))
+        if sums:
+            blocks, data = _sum_rows(sums)
+            yield pd.DataFrame({"kind": _SUMS, "block": blocks, "data": data})
+
+    told = _unfolded(_added(contexts.mapInPandas(run, _PARTS)).collect(), model.shapes()[:3])
     sent.unpersist()
-    ends = np.cumsum(sizes)
-    return [flat[e - n:e].reshape(shape) for e, n, shape in zip(ends, sizes, model.shapes())]
+    return [*told, model.expected_places(seen)]
 
 
 def train(texts: DataFrame, vocabulary: Vocabulary, model: Model, rounds: int = ROUNDS) -> None:
-    seen = summed(texts, vocabulary, model, "seen")
+    seen, contexts = gathered(texts, vocabulary, model)
     model.first_step(seen)
     for _ in range(rounds):
-        model.step(seen, summed(texts, vocabulary, model, "told"))
+        model.step(seen, expected(contexts, model, seen))
 
 
 @dataclass

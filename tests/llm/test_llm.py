@@ -159,7 +159,8 @@ def plain_model(texts):
                 place_seen.setdefault(place_feature(c, last), np.zeros(m.PLACES))[place(c, w)] += 1
     share = np.exp(bias)
     for f, n in seen.items():
-        weight[f] = m.FIRST_STEP * np.log((n + m.PRIOR * share) / (n.sum() * share + m.PRIOR * share))
+        prior = m.PAIR_PRIOR if f[0] == "pair" else m.PRIOR
+        weight[f] = m.FIRST_STEP * np.log((n + prior * share) / (n.sum() * share + prior * share))
     for _ in range(m.ROUNDS):
         told, place_told = {f: np.zeros(classes) for f in seen}, {f: np.zeros(m.PLACES) for f in place_seen}
         for t in texts:
@@ -169,10 +170,10 @@ def plain_model(texts):
                     told[f] += p
                 if c >= len(singles):
                     place_told[place_feature(c, last)] += place_shares(c, last)
-        for size, w, s, e in ((m.STEP, weight, seen, told), (m.PLACE_STEP, place_weight, place_seen, place_told)):
+        for w, s, e in ((weight, seen, told), (place_weight, place_seen, place_told)):
             for f in s:
-                if not isinstance(f, tuple) or f[0] != "pair":  # pairs keep their first step
-                    w[f] = w.get(f, 0) + size * (s[f] - e[f]) / (0.5 * (s[f] + e[f]) + m.PRIOR)
+                size = {"last": m.STEP, "before": m.STEP, "pair": m.PAIR_STEP}[f[0]] if isinstance(f, tuple) else m.PLACE_STEP
+                w[f] = w.get(f, 0) + size * (s[f] - e[f]) / (0.5 * (s[f] + e[f]) + (m.PAIR_PRIOR if isinstance(f, tuple) and f[0] == "pair" else m.PRIOR))
 
     def in_rest(c, w):
         size, words, once = sum(counts[x] for x in rest.get(c, [])), len(rest.get(c, [])), sum(counts[x] == 1 for x in rest.get(c, []))
