@@ -743,7 +743,8 @@ def plain_rules(ids):
                 left[at:at + len(want)] = [""]
                 names.append(name)
             at += 1
-    return ",".join(dict.fromkeys(names))
+    names = list(dict.fromkeys(names))
+    return ",".join(n for n in names if n != "All-rights-reserved" or set(names) == {n})
 
 
 def test_licenses_of_shuffled_sentences(spark, docs, none):
@@ -800,6 +801,15 @@ This program is distributed in the hope that it will be useful,
 but WITHOUT ANY WARRANTY; without even the implied warranty of
 MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
 GNU General Public License for more details."""
+LGPL = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+Lesser General Public License for more details."""
 APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
 you may not use this file except in compliance with the License.
 You may obtain a copy of the License at
@@ -819,6 +829,20 @@ def test_whole_licence_texts(spark):
         "BSD-2-Clause": [BSD2, "This library is released under the BSD 2-Clause License."], "BSD-3-Clause": [BSD3], "GPL-3.0-or-later": [GPL], "Apache-2.0": [APACHE, "some prose\nLicensed under the Apache License, Version 2.0.\nmore prose"],
         "NONE": ["no such words", None, ""], "UNKNOWN": ["Under the licence of Foo."], "MIT,GPL-3.0-or-later": [GPL.replace("\n", "\n") + "\n\n" + MIT],
     }
+    cases |= {
+        "BSD-2-Clause ": ["Copyright (c) 2001 The Example Project. All rights reserved.\n\n" + BSD2],
+        "LicenseRef-BSD": ["Copyright 2001 X. All rights reserved. Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"],
+        "All-rights-reserved": ["Copyright (c) 2001 X. All rights reserved.", "All Rights Reserved"],
+        "MIT OR Apache-2.0": ["SPDX-License-Identifier: MIT OR Apache-2.0", "SPDX-License-Identifier: (MIT OR Apache-2.0)\nfn main"], "GPL-2.0-only WITH Classpath-exception-2.0": ["SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0"],
+        "(MIT OR ISC) AND BSD-3-Clause": ["SPDX-License-Identifier: (MIT OR ISC) AND BSD-3-Clause"],
+        "LGPL-2.1-or-later": [LGPL], "AGPL-3.0-or-later": [GPL.replace("GNU General", "GNU Affero General")], "GPL-2.0-only": [GPL.replace("either version 3 of the License, or\n(at your option) any later version", "version 2 of the License")],
+        "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at\nhttp://www.boost.org/LICENSE_1_0.txt)"],
+        "EPL-2.0": ["This program and the accompanying materials are made available under the\nterms of the Eclipse Public License 2.0 which is available at\nhttps://www.eclipse.org/legal/epl-2.0/"],
+        "Zlib": ["This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable\nfor any damages arising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose, including\ncommercial applications, and to alter it and redistribute it freely, subject to\nthe following restrictions:"],
+        "MIT,CC-BY-4.0": ["The code is licensed under the MIT License and the data under CC BY 4.0."], "0BSD": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."],
+        "UNKNOWN ": ["Permission is hereby granted, free of payment, to any person obtaining a copy of this software."], "OFL-1.1": ["This Font Software is licensed under the SIL Open Font License, Version 1.1."],
+    }
+    cases = {w.strip(): cases.get(w.strip(), []) + t if w != w.strip() else t for w, t in cases.items()}
     shapes = [lambda t: t, lambda t: "/*\n" + "\n".join(f" * {x}" for x in t.split("\n")) + "\n */", lambda t: "\n".join(f"# {x}".rstrip() for x in t.split("\n")), lambda t: "\n".join(f"    {x}" for x in t.split("\n")), lambda t: "\n".join(f"// {x}" for x in t.split("\n"))]
     rows = [(n, shape(t) if t else t, want) for n, (want, t, shape) in enumerate((w, t, f) for w, ts in cases.items() for t in ts for f in shapes)]
     got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, license string")).collect()
