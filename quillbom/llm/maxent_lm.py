@@ -64,6 +64,8 @@ CONTEXT_BLOCKS = 64
 TOKENS = 1 << 13
 WIDE = 1 << 16
 WAITING = 1 << 22
+#: Tasks of a round, each of which passes on sums as large as the model: contexts are bounded in number, so these are enough.
+ROUND_TASKS = 8
 #: Taken from each count inside the last place.
 DISCOUNT = 0.5
 NEVER = -1e4
@@ -417,8 +419,9 @@ def _sum_rows(sums: list[np.ndarray]) -> tuple[list[int], list[bytes]]:
 
 
 def _added(parts: DataFrame) -> DataFrame:
-    """The blocks of all tasks, added in two levels: first those of a root of the number of tasks each."""
-    salts = max(1, math.isqrt(parts.rdd.getNumPartitions()))
+    """The blocks of all tasks, added in two levels, first those of a root of the number of tasks each; in one where there are few."""
+    tasks = parts.rdd.getNumPartitions()
+    salts = math.isqrt(tasks)
 
     def add(kind: type) -> Callable:
         def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -433,6 +436,8 @@ def _added(parts: DataFrame) -> DataFrame:
 
         return run
 
+    if tasks <= 2 * ROUND_TASKS:
+        return parts.groupBy("kind", "block").applyInPandas(add(np.float32), _PARTS)
     salted = parts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
     return salted.groupBy("kind", "block", "salt").applyInPandas(add(np.float32), _PARTS).groupBy("kind", "block").applyInPandas(add(np.float64), _PARTS)
 
@@ -482,7 +487,7 @@ def expected(contexts: DataFrame, model: Model, seen: list[np.ndarray]) -> list[
             blocks, data = _sum_rows(sums)
             yield pd.DataFrame({"kind": _SUMS, "block": blocks, "data": data})
 
-    told = _unfolded(_added(contexts.mapInPandas(run, _PARTS)).collect(), model.shapes()[:3])
+    told = _unfolded(_added(contexts.coalesce(ROUND_TASKS).mapInPandas(run, _PARTS)).collect(), model.shapes()[:3])
     sent.unpersist()
     return [*told, model.expected_places(seen)]
 
