@@ -17,6 +17,7 @@ phrase, is split: its windows are dealt one by one, by their own hash, so that o
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -30,6 +31,10 @@ from pyspark.sql import functions as F
 #: Bytes of text in a chunk, on average, while there are at most MAX_CHUNKS of them; then chunks grow.
 CHUNK_BYTES = 2 << 20
 MAX_CHUNKS = 1 << 22
+#: Bytes of all texts from which chunks and parts grow with their root, so that the asks between them, a row
+#: for each chunk and part, grow with the texts and not with their square; and how many times they grow at most.
+ROOT_BYTES = 1 << 33
+MOST_GROWTH = 16
 #: Bytes of text that are hashed at a time.
 BLOCK_BYTES = 1 << 20
 #: Bytes of all texts for each part that compares contexts.
@@ -427,6 +432,12 @@ def _answer_contexts(spec: Spec, settle: Callable) -> Callable:
     return run
 
 
+def dealt_to(size: int) -> tuple[int, int]:
+    """The numbers of chunks and of parts for so many bytes; they decide where work is done, never what is found."""
+    growth = min(MOST_GROWTH, max(1.0, math.sqrt(size / ROOT_BYTES)))
+    return max(1, min(MAX_CHUNKS, math.ceil(size / (CHUNK_BYTES * growth)))), max(1, math.ceil(size / (PART_BYTES * growth)))
+
+
 def cover(docs: DataFrame, spec: Spec, settle: Callable, finish: Callable, schema: str, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """finish(rows, texts, masks) for each chunk: an Arrow table, its texts as bytes, and per row which units go.
 
@@ -437,7 +448,7 @@ def cover(docs: DataFrame, spec: Spec, settle: Callable, finish: Callable, schem
     the same numbers. The texts' size is read first, to fix the numbers of chunks and parts.
     """
     size = docs.select(F.sum(F.coalesce(F.octet_length(text), F.lit(0)).cast("long")).alias("n")).first()["n"] or 0
-    chunks, parts = max(1, min(MAX_CHUNKS, -(-size // CHUNK_BYTES))), max(1, -(-size // PART_BYTES))
+    chunks, parts = dealt_to(size)
     wide, hot = size > 1 << 33, HOT_CONTEXTS
     order = F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1))
     numbered = docs.select(order.alias("order"), F.monotonically_increasing_id().alias("rid"), F.col(key).alias("k"), F.col(text).alias("text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)])

@@ -550,6 +550,14 @@ def test_suffix_dedup(spark, small_parts, size, seed):
     assert ordered(suffix_dedup.remove_repeats(docs, size, digests=True).collect()) == ordered(plain_bytes(pairs(docs), size))
 
 
+def test_asks_grow_with_the_texts():
+    """Chunks times parts, the rows between them, in proportion to the bytes from ROOT_BYTES up to two TB."""
+    rows = lambda size: math.prod(windows.dealt_to(size))
+    assert windows.dealt_to(0) == (1, 1) and windows.dealt_to(5 << 29) == (1280, 640)
+    for size in (1 << 34, 1 << 36, 1 << 40):
+        assert rows(2 * size) < 2.1 * rows(size)
+
+
 def test_dedup_of_a_common_phrase(spark, small_parts):
     """One phrase in every text, each time between other words, and some texts that share a stretch around it."""
     rng = random.Random(12)
