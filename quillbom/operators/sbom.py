@@ -24,11 +24,25 @@ def components(entries: DataFrame) -> DataFrame:
     return kept.join(declared, [*by, "name"], "left").withColumn("declaredRanges", F.coalesce("declaredRanges", F.array().cast("array<string>")))
 
 
+#: Runs that the ranges of a name are sorted in, where names are not parted by scans.
+RUNS = 32
+
+
 def declared_ranges(edges: DataFrame, name: str, value: str, seq: str) -> DataFrame:
-    """(scan,) name, declaredRanges: the ranges in the order of the entries that declare them. With a scan
-    column a group is no larger than one lockfile."""
-    pairs = F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), F.col(value).alias("v"))))
-    return edges.groupBy(*scan_key(edges), F.col(name).alias("name")).agg(F.transform(pairs, lambda p: p["v"]).alias("declaredRanges"))
+    """(scan,) name, declaredRanges: the ranges in the order of the entries that declare them.
+
+    With a scan column a group is no larger than one lockfile. Without, a name may have a large part
+    of all rows: these are first collected and sorted in runs, in as many tasks, and the runs of a
+    name are then merged, which a sort does in linear time.
+    """
+    by = scan_key(edges)
+    rows = edges.select(*by, F.col(name).alias("name"), F.struct(F.col(seq).alias("s"), F.col(value).alias("v")).alias("p"))
+    if by:
+        pairs = rows.groupBy(*by, "name").agg(F.array_sort(F.collect_list("p")).alias("pairs"))
+    else:
+        runs = rows.groupBy("name", F.pmod(F.xxhash64("p"), F.lit(RUNS)).alias("run")).agg(F.array_sort(F.collect_list("p")).alias("sorted"))
+        pairs = runs.groupBy("name").agg(F.array_sort(F.flatten(F.collect_list("sorted"))).alias("pairs"))
+    return pairs.select(*by, "name", F.transform("pairs", lambda p: p["v"]).alias("declaredRanges"))
 
 
 def hit(kind: str, severity: Column, reason: Column) -> Column:

@@ -30,15 +30,16 @@ def lock_components(spark, sf_dir):
     return parts.select("scan", "name", "version", "purl", "dev", F.col("seq").cast("long").alias("seq"), F.array_join("declaredRanges", ",").alias("ranges"))
 
 
-@query("""SELECT p_partkey, coalesce(r, '') AS ranges, coalesce(n, 0) AS n_ranges FROM part LEFT JOIN (
-    SELECT l_partkey, string_agg(CAST(CAST(l_quantity AS INTEGER) AS VARCHAR), ',' ORDER BY l_orderkey, l_linenumber, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR)) AS r, count(*) AS n
-    FROM lineitem GROUP BY l_partkey) ON l_partkey = p_partkey""")
+@query("""WITH e AS (SELECT CASE WHEN l_linenumber % 10 = 3 THEN 0 ELSE l_partkey END AS k, l_orderkey, l_linenumber, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS v FROM lineitem)
+SELECT p_partkey, coalesce(md5(string_agg(v, ',' ORDER BY l_orderkey, l_linenumber, v)), '') AS ranges, count(v) AS n_ranges FROM (SELECT p_partkey FROM part UNION SELECT 0) LEFT JOIN e ON k = p_partkey GROUP BY p_partkey""")
 def declared_ranges_collect(spark, sf_dir):
-    """What all entries declare for a name, in their order."""
-    edges = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("k"), F.col("l_quantity").cast("int").cast("string").alias("v"), F.struct("l_orderkey", "l_linenumber").alias("s"))
+    """What all entries declare for a name, in their order; one name has more than a tenth of all."""
+    name = F.when(F.col("l_linenumber") % 10 == 3, F.lit(0)).otherwise(F.col("l_partkey"))
+    edges = table(spark, sf_dir, "lineitem").select(name.alias("k"), F.col("l_quantity").cast("int").cast("string").alias("v"), F.struct("l_orderkey", "l_linenumber").alias("s"))
     found = sbom.declared_ranges(edges, "k", "v", "s")
-    rows = table(spark, sf_dir, "part").join(found, F.col("p_partkey") == F.col("name"), "left")
-    return rows.select("p_partkey", F.coalesce(F.array_join("declaredRanges", ","), F.lit("")).alias("ranges"), F.coalesce(F.size("declaredRanges"), F.lit(0)).cast("long").alias("n_ranges"))
+    names = table(spark, sf_dir, "part").select("p_partkey").union(spark.range(1)).distinct()
+    rows = names.join(found, F.col("p_partkey") == F.col("name"), "left")
+    return rows.select("p_partkey", F.coalesce(F.md5(F.array_join("declaredRanges", ",")), F.lit("")).alias("ranges"), F.coalesce(F.size("declaredRanges"), F.lit(0)).cast("long").alias("n_ranges"))
 
 
 @query("""SELECT p_partkey, 'pkg:npm/' || url_encode('@' || p_brand || '/' || p_name) || '@' || CAST(p_size AS VARCHAR) AS purl FROM part""")
