@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from quillbom.functions import columns as C
 from quillbom.functions import rules
-from quillbom.operators import calls, relate, scan
+from quillbom.operators import assess, calls, relate, sbom, scan
 from quillbom.plans.registered import query
 from quillbom.session import table
+from quillbom.sources import repository
 
 _SCRIPT = "<script>(.*?)</script>"
 
@@ -147,3 +148,129 @@ def line_rules(spark, sf_dir):
     line = F.replace(F.element_at(F.array(*[F.lit(x.format(w="{w}")) for x in _RULE_LINES]), place.cast("int")), F.lit("{w}"), F.col("w"))
     hits = scan.line_matches(lines.withColumn("content", line))
     return hits.select("doc_id", F.col("line").cast("int").alias("line"), *[F.col(f"hit.{c}").alias(c) for c in ("topic", "family", "primitive", "parameter", "mode", "material")])
+
+
+_FOLDERS = ["src/", "lib/test/", "node_modules/bcrypt/lib/", "node_modules/@noble/hashes/", "node_modules/left-pad/", "dist/", ".git/", "", "node_modules/bcrypt/test/", "app/fixtures/", "a/b/c/", "node_modules/jose/a/b/c/d/e/"]
+_ENDS = [".js", ".TS", ".d.ts", ".pem", ".mjs", ".test.js", ".css", ".tsx", "", ".KEY"]
+
+
+@query(r"""WITH p AS (SELECT page_id, """ + "[" + ", ".join(f"'{x}'" for x in _FOLDERS) + r"""][length(url) % 12 + 1] || 'p' || page_id || """ + "[" + ", ".join(f"'{x}'" for x in _ENDS) + r"""][(length(html) + page_id) % 10 + 1] AS path, length(html) * 40 AS size FROM pages),
+f AS (SELECT *, lower(regexp_extract(path, '\.([^./]*)$', 1)) AS ext, string_split(path, '/') AS parts, regexp_matches(path, '(?i)[._-](test|spec)\.[a-z0-9]+$') OR regexp_matches(path, '(^|/)(__tests__|__mocks__|test|tests)/') AS test FROM p),
+g AS (
+    SELECT *, list_has_any(parts, ['node_modules', '.git', 'dist', 'build', 'coverage', '.next', '__tests__', '__mocks__', 'test', 'tests', 'fixtures']) AS skipped,
+           regexp_matches(path, '^node_modules/(bcrypt|jose|@noble/hashes)/') AND len(string_split(regexp_replace(path, '^node_modules/(bcrypt|jose|@noble/hashes)/', ''), '/')) <= 5
+           AND NOT list_has_any(list_slice(parts, 3, 99), ['node_modules', '.git', 'test', 'tests']) AS vendored,
+           list_contains(['js', 'jsx', 'ts', 'tsx', 'mjs', 'cjs'], ext) AND NOT path LIKE '%.d.ts' AND NOT test AS source
+    FROM f
+)
+SELECT page_id, path, ext, source AND (NOT skipped OR vendored AND ext IN ('js', 'mjs', 'cjs')) AS code, source AND NOT skipped AS candidates,
+       (list_contains(['pem', 'key', 'crt', 'cer', 'p12', 'pfx', 'jks', 'keystore'], ext) OR size < 20000) AND NOT skipped AND NOT test AS keys, size <= 2000000 AND NOT skipped AND NOT test AS constants FROM g""".replace("\\\\", "\\"))
+def file_kinds(spark, sf_dir):
+    """Which detectors read a file: by folder, name, extension and size."""
+    pages = table(spark, sf_dir, "pages")
+    nth = lambda values, place: F.element_at(F.array(*[F.lit(v) for v in values]), (place % len(values) + 1).cast("int"))
+    path = F.concat(nth(_FOLDERS, F.length("url")), F.lit("p"), F.col("page_id").cast("string"), nth(_ENDS, F.length("html") + F.col("page_id")))
+    tree = pages.select("page_id", path.alias("path"), (F.length("html") * 40).cast("long").alias("length")).withColumn("ext", C.extension(F.col("path")))
+    kinds = {"code": repository.code_files, "candidates": repository.candidate_files, "keys": repository.pem_files, "constants": repository.constant_files}
+    found = tree.select("page_id", "path", "ext")
+    for name, pick in kinds.items():
+        found = found.join(pick(tree).select("page_id", F.lit(True).alias(name)), "page_id", "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    return found
+
+
+@query("""SELECT p_partkey, p_brand AS name, CASE p_size % 3 WHEN 0 THEN 'rsa' WHEN 1 THEN 'ec' ELSE 'ed25519' END AS kind, '20' || CAST(20 + p_size % 40 AS VARCHAR) || '-03-04T05:06:07Z' AS until FROM part""")
+def certificate_facts(spark, sf_dir):
+    """Subject, end and type of key of certificates made of every part's values, and null for those that can't be read."""
+    part = table(spark, sf_dir, "part")
+    tlv = lambda tag, *parts: (lambda body: F.concat(F.lit(tag), F.lpad(F.hex((F.length(body) / 2).cast("long")), 2, "0"), body))(F.concat(*parts))
+    lit = F.lit
+    oid = F.when(F.col("p_size") % 3 == 0, tlv("06", lit("2A864886F70D010101"))).when(F.col("p_size") % 3 == 1, tlv("06", lit("2A8648CE3D0201"))).otherwise(tlv("06", lit("2B6570")))
+    name = tlv("30", tlv("31", tlv("30", tlv("06", lit("550403")), tlv("0C", F.hex(F.col("p_brand").cast("binary"))))))
+    year = (F.lit(20) + F.col("p_size") % 40).cast("string")
+    time = lambda text: tlv("17", F.hex(text.cast("binary")))
+    validity = tlv("30", time(lit("200101000000Z")), time(F.concat(year, lit("0304050607Z"))))
+    body = tlv("30", tlv("02", lit("01")), tlv("30", tlv("06", lit("2A03"))), tlv("30", lit("")), validity, name, tlv("30", tlv("30", oid), tlv("03", lit("00"))))
+    pem = F.concat(lit("-----BEGIN CERTIFICATE-----\n"), F.base64(F.unhex(tlv("30", body))), lit("\n-----END CERTIFICATE-----"))
+    read = assess.certificates(part.select("p_partkey", pem.alias("pem")))
+    until = F.regexp_replace("validTo", "^19", "20")  # years from 50 on are of the last century in this form of time
+    return read.select("p_partkey", F.regexp_replace("subject", "^CN=", "").alias("name"), F.col("keyType").alias("kind"), until.alias("until"))
+
+
+@query("""SELECT doc_id, 'File: ' || source || '.js' || chr(10) || chr(10) || 'Similar code:' || chr(10) || '- ' || lang || ' (0.' || CAST(50 + doc_id % 50 AS VARCHAR) || ')' || chr(10) || '- x (0.25)' || chr(10) || chr(10) || 'Code:' || chr(10) || left(coalesce(text, ''), 200)
+|| chr(10) || chr(10) || 'Answer with one JSON object: algorithmFamily, primitive, parameterSet, confidence, reasoning.' AS prompt FROM documents""")
+def verification_prompts(spark, sf_dir):
+    """What a model is asked about a place in code, with what is similar to it."""
+    rows = table(spark, sf_dir, "documents")
+    near = lambda name, score: F.struct(name.alias("entry"), score.cast("double").alias("score"))
+    neighbours = F.array(near(F.col("lang"), (F.lit(50) + F.col("doc_id") % 50) / 100), near(F.lit("x"), F.lit(0.25)))
+    return rows.select("doc_id", relate.prompt(F.concat("source", F.lit(".js")), F.left(F.coalesce("text", F.lit("")), F.lit(200)), neighbours).alias("prompt"))
+
+
+@query("""SELECT page_id, 'sha-' || page_id AS name, CASE WHEN page_id % 2 = 0 THEN 'algorithm' ELSE 'related-crypto-material' END AS kind, CASE WHEN page_id % 2 = 0 THEN 'hash' END AS primitive, CASE WHEN page_id % 2 = 1 THEN length(url) END AS size,
+CASE WHEN page_id % 3 = 0 THEN 'static,llm' ELSE 'ast,embedding' END AS sources, CASE WHEN page_id % 5 = 0 THEN 'pkg:npm/p' || (page_id % 4) END AS provided FROM pages""")
+def cbom_document(spark, sf_dir):
+    """The cryptographic inventory of all pages as findings, written as documents of ten scans and read back."""
+    rows = table(spark, sf_dir, "pages")
+    p, even = F.col("page_id"), F.col("page_id") % 2 == 0
+    evidence = lambda source: F.struct(F.lit(source).alias("source"), F.lit("direct").alias("evidenceClass"), F.col("url").alias("detail"), F.lit(0.9).alias("rawConfidence"), F.col("url").alias("filePath"), F.lit(1).alias("line"))
+    none = F.lit(None).cast("string")
+    package = F.concat(F.lit("pkg:npm/p"), (p % 4).cast("string"))
+    found = rows.select(
+        (p % 10).cast("string").alias("scan"), F.when(even, "algorithm").otherwise("related-crypto-material").alias("assetType"), F.concat(F.lit("sha-"), p.cast("string")).alias("name"), F.when(even, "hash").alias("primitive"),
+        F.when(~even, F.concat(F.length("url").cast("string"), F.lit(" bits"))).alias("parameterSet"), none.alias("mode"), F.lit(3).alias("nistQuantumLevel"), F.when(~even, "secret-key").alias("materialType"), F.lit(0.9).alias("confidence"),
+        F.when(p % 5 == 0, "vendor").otherwise("production").alias("contextCategory"), F.lit("LOW").alias("quantumRisk"), F.lit("NONE").alias("exposureRisk"), none.alias("fingerprint"),
+        F.when(p % 3 == 0, F.array(evidence("sca"), evidence("llm"), evidence("constant"))).otherwise(F.array(evidence("ast"), evidence("vectorSearch"))).alias("evidence"), F.col("url").alias("filePath"), F.lit(1).alias("line"), p.cast("string").alias("findingId"),
+        F.struct(F.lit("n").alias("name"), F.lit("1").alias("version"), package.alias("purl")).alias("packageContext"),
+    )
+    kind = (
+        "components array<struct<`bom-ref` string, name string, sources array<string>, cryptoProperties struct<assetType string, algorithmProperties struct<primitive string>, relatedCryptoMaterialProperties struct<size long>>>>, "
+        "dependencies array<struct<ref string, provides array<string>>>"
+    )
+    read = relate.documents(found).select(F.from_json("document", kind).alias("d"))
+    edges = read.select(F.explode("d.dependencies").alias("e")).select(F.col("e.ref").alias("provided"), F.explode("e.provides").alias("ref"))
+    parts = read.select(F.explode("d.components").alias("c")).select(F.col("c.bom-ref").alias("ref"), "c.name", "c.cryptoProperties.*", F.array_join("c.sources", ",").alias("sources"))
+    return parts.join(edges, "ref", "left").select(
+        F.substring("name", 5, 20).cast("long").alias("page_id"), "name", F.col("assetType").alias("kind"), F.col("algorithmProperties.primitive").alias("primitive"), F.col("relatedCryptoMaterialProperties.size").alias("size"), "sources", "provided",
+    )
+
+
+@query("""WITH c AS (SELECT c_nationkey::BIGINT AS scan, 'r' || c_custkey AS ref, c_name AS name, c_custkey FROM customer)
+SELECT scan, name, CASE WHEN c_custkey % 3 = 0 THEN 'npm' ELSE 'unknown' END AS ecosystem, c_custkey % 4 = 0 AS dev, c_custkey % 5 = 0 OR c_custkey % 7 = 0 AS direct, coalesce(n, 0) AS n_known
+FROM c LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey) ON o_custkey = c_custkey""")
+def bom_rows(spark, sf_dir):
+    """Packages of the document of each nation, with the vulnerabilities that affect them."""
+    customers = table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    dev = F.array(F.struct(F.lit("cdx:npm:package:development").alias("name"), F.when(k % 4 == 0, "true").otherwise("false").alias("value")))
+    component = F.struct(
+        F.col("c_name").alias("name"), F.lit("1").alias("version"), F.concat(F.when(k % 3 == 0, "pkg:npm/").otherwise("pkg:pypi/"), "c_name").alias("purl"), F.concat(F.lit("r"), k.cast("string")).alias("bom-ref"),
+        F.when(k % 5 == 0, "required").otherwise("optional").alias("scope"), F.lit(None).cast("boolean").alias("direct"), dev.alias("properties"),
+    )
+    scan_of = F.col("c_nationkey").cast("long").alias("scan")
+    parts = customers.groupBy(scan_of).agg(F.collect_list(component).alias("components"))
+    affects = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").join(customers.select(F.col("c_custkey").alias("o_custkey"), scan_of), "o_custkey")
+    vuln = F.struct(F.concat(F.lit("V"), F.col("o_orderkey").cast("string")).alias("id"), F.array(F.struct(F.concat(F.lit("r"), F.col("o_custkey").cast("string")).alias("ref"))).alias("affects"))
+    boms = parts.join(affects.groupBy("scan").agg(F.collect_list(vuln).alias("vulnerabilities")), "scan", "left")
+    named = customers.where(k % 7 == 0).select(scan_of, F.col("c_name").alias("name"))
+    return repository.bom_packages(boms, named).select("scan", "name", "ecosystem", F.col("devDependency").alias("dev"), F.col("isDirect").alias("direct"), F.size("osvCves").cast("long").alias("n_known"))
+
+
+@query("""SELECT o_orderkey, o_orderpriority AS latest, CAST(o_orderdate AS DATE)::VARCHAR AS published, CASE o_orderkey % 4 WHEN 0 THEN 'MIT-' || o_orderstatus WHEN 1 THEN 'BSD-' || o_custkey WHEN 2 THEN 'ISC-' || o_custkey ELSE 'UNKNOWN' END AS license,
+CASE WHEN o_orderstatus = 'F' THEN 'old ' || o_custkey END AS deprecated, CASE WHEN o_orderstatus = 'F' THEN 'Deprecated: old ' || o_custkey END AS reason FROM orders""")
+def registry_facts(spark, sf_dir):
+    """Fields of registry documents, with licences in their three forms, and what deprecation says."""
+    orders = table(spark, sf_dir, "orders")
+    k, who = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    licence = (
+        F.when(k % 4 == 0, F.concat(F.lit('"license":"MIT-'), "o_orderstatus", F.lit('",'))).when(k % 4 == 1, F.concat(F.lit('"license":{"type":"BSD-'), who, F.lit('"},')))
+        .when(k % 4 == 2, F.concat(F.lit('"licenses":[{"type":"ISC-'), who, F.lit('"}],'))).otherwise("")
+    )
+    old = F.when(F.col("o_orderstatus") == "F", F.concat(F.lit('{"deprecated":"old '), who, F.lit('"}'))).otherwise("{}")
+    document = F.concat(
+        F.lit("{"), licence, F.lit('"dist-tags":{"latest":'), quoted(F.col("o_orderpriority")), F.lit('},"time":{'), quoted(F.col("o_orderpriority")), F.lit(":"), quoted(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")),
+        F.lit('},"versions":{"0":{"deprecated":"no"},'), quoted(F.col("o_orderpriority")), F.lit(":"), old, F.lit("}}"),
+    )
+    read = repository.registry_fields(orders.select(k.cast("string").alias("name"), document.alias("packument"), F.lit(False).alias("notFound")))
+    said = sbom.deprecation(F.col("deprecated"))["reason"]
+    return read.select(F.col("name").cast("long").alias("o_orderkey"), "latest", F.date_format("published", "yyyy-MM-dd").alias("published"), "license", "deprecated", said.alias("reason"))
