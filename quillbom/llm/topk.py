@@ -152,7 +152,7 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
     checkpoint_dir(vectors.sparkSession)
     exact = integer_vectors(vectors, scale, key, vector)
     asked = exact.where(F.col("id") % every == 0)
-    sizes = exact.select(F.count("*").alias("n"), F.count(F.when(F.col("id") % every == 0, 1)).alias("q")).first()
+    sizes = exact.select(F.count("*").alias("n"), F.count(F.when(F.col("id") % every == 0, 1)).alias("q"), F.max("copies").alias("copies")).first()
     groups, query_groups = max(1, -(-sizes["n"] // BLOCK_ROWS)), max(1, -(-sizes["q"] // QUERY_ROWS))
     # of equal vectors only the first can be results, and the query's own may be one of them
     candidates = _first(exact, k + 1, ["v"], F.asc("id"))
@@ -161,9 +161,12 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
     read = scored(first, exact).checkpoint()
     certain = read.groupBy("asked").agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
     others = met.join(certain, "asked").where(F.col("least").isNull() | (F.col("upper") >= F.col("least") - F.abs("least") * 1e-12 - 1)).join(first, ["asked", "row"], "left_anti")
-    own = scored(asked.where("copies > 1").select(F.col("row").alias("asked"), "row"), exact).withColumn("copies", F.col("copies") - 1)  # the other rows that are like the query's
-    found = read.unionByName(scored(others.select("asked", "row"), exact)).unionByName(own)
-    found = found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least("copies", F.lit(k).cast("long")))))
+    found = read.unionByName(scored(others.select("asked", "row"), exact))
+    named = asked.select(F.col("row").alias("asked"), F.col("id").alias("query_id"), "copies")
+    if (sizes["copies"] or 1) > 1:
+        own = scored(asked.where("copies > 1").select(F.col("row").alias("asked"), "row"), exact).withColumn("copies", F.col("copies") - 1)  # the other rows that are like the query's
+        each = lambda most: F.explode(F.sequence(F.lit(1).cast("long"), most)).alias("copy")
+        found = found.unionByName(own).select("asked", "id", "score", each(F.least("copies", F.lit(k).cast("long"))))
+        named = named.select("asked", "query_id", each(F.col("copies")))
     best = _first(found, k, ["asked"], F.desc("score"), F.asc("id")).select("asked", "rank", F.col("id").alias("vec_id"), "score")
-    named = asked.select(F.col("row").alias("asked"), F.col("id").alias("query_id"), F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
     return best.join(named, "asked").select("query_id", "rank", "vec_id", "score")
