@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillbom.functions import columns as C
 from quillbom.functions import rules
-from quillbom.operators import assess, calls, relate, scan, views
+from quillbom.operators import assess, calls, documents, relate, scan, views
 from quillbom.plans.registered import query
-from quillbom.session import table
+from quillbom.session import shared_folder, table
 from quillbom.sources import repository
 
 
@@ -542,12 +544,15 @@ def _exported(spark, sf_dir, crypto):
     libraries = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 50).cast(assets.schema["scan"].dataType).alias("scan"), F.concat(F.lit("lib/"), F.col("s_suppkey").cast("string")).alias("ref"), F.lit("library").alias("type"), F.col("s_name").alias("name"))
     parts = assets.unionByName(libraries, allowMissingColumns=True)
     repositories = parts.select("scan").distinct().withColumn("repository", F.concat(F.lit("https://github.com/a/r"), F.col("scan").cast("string")))
-    documents = views.exported(parts, crypto, F.lit("2024-01-02").cast("timestamp"), repositories)
-    kind = "specVersion string, serialNumber string, metadata struct<timestamp string, component struct<name string>>, components array<struct<`bom-ref` string, type string, name string>>, dependencies array<struct<ref string, dependsOn array<string>>>"
-    read = documents.select("scan", F.from_json("document", kind).alias("d"))
-    edges = F.map_from_entries(F.transform(F.coalesce("d.dependencies", F.array()), lambda e: F.struct(e["ref"], e["dependsOn"][0])))
-    rows = read.select(F.col("scan").cast("long").alias("scan"), F.col("d.metadata.component.name").alias("repository"), F.length("d.serialNumber").cast("long").alias("serial"), edges.alias("edges"), F.explode("d.components").alias("c"))
-    return rows.select("scan", "repository", "serial", F.col("c.bom-ref").alias("ref"), "c.name", F.try_element_at("edges", F.col("c.bom-ref")).alias("depends"))
+    path = f"{shared_folder(spark)}/exported-{uuid.uuid4().hex}"
+    documents.write(documents.export(parts, crypto, F.lit("2024-01-02").cast("timestamp"), repositories=repositories), path)
+    here = F.col("scan").cast("long").alias("scan")
+    head = documents.heads(spark, path).select(here, F.from_json("head", "serialNumber string, metadata struct<component struct<name string>>").alias("h"))
+    e = documents.elements(spark, path).select(here, F.from_json("element", "`bom-ref` string, type string, name string, ref string, dependsOn array<string>").alias("e"))
+    edges = e.where("e.ref is not null").groupBy("scan", F.col("e.ref").alias("ref")).agg(F.min(F.get("e.dependsOn", F.lit(0))).alias("depends"))
+    rows = e.where("e.ref is null").select("scan", F.col("e.bom-ref").alias("ref"), "e.name").join(edges, ["scan", "ref"], "left")
+    heads = head.select("scan", F.col("h.metadata.component.name").alias("repository"), F.length("h.serialNumber").cast("long").alias("serial"))
+    return rows.join(heads, "scan", "left").select("scan", "repository", "serial", "ref", "name", "depends")
 
 
 @query(_ASSETS_SQL + """SELECT (p_partkey % 50)::BIGINT AS scan, 'https://github.com/a/r' || (p_partkey % 50) AS repository, 45::BIGINT AS serial, 'crypto/' || p_partkey AS ref, name, CASE WHEN p_partkey % 4 = 0 THEN 'lib/' || p_partkey END AS depends FROM a""")
