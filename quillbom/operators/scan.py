@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,6 +82,10 @@ def byte_constants(files: DataFrame) -> DataFrame:
     return finding(found, "constant", "supporting", assetType="algorithm", name=F.col("k.family"), algorithmFamily=F.col("k.family"), primitive=F.col("k.primitive"), rawConfidence=0.5, detail=F.concat(F.lit("constant of "), F.col("k.family")))
 
 
+#: Files whose code a task holds as Python strings at once; an Arrow batch has thousands.
+FILES_AT_ONCE = 64
+
+
 def comment_free(files: DataFrame) -> DataFrame:
     """((scan,) path, line, content, code): code is the line outside block comments.
 
@@ -89,12 +94,15 @@ def comment_free(files: DataFrame) -> DataFrame:
     """
     by = scan_key(files)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            yield rows.assign(code=[lexer.without_comments(t or "") for t in rows["text"]])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, FILES_AT_ONCE):
+                rows = batch.slice(first, FILES_AT_ONCE)
+                code = pa.array([lexer.without_comments(t.as_py() or "") for t in rows["text"]], rows["text"].type)
+                yield pa.RecordBatch.from_arrays([*rows.columns, code], [*rows.schema.names, "code"])
 
     kind = "".join(f"{c} {files.schema[c].dataType.simpleString()}, " for c in by)
-    both = files.select(*by, "path", C.as_text(F.col("content")).alias("text")).mapInPandas(run, f"{kind}path string, text string, code string")
+    both = files.select(*by, "path", C.as_text(F.col("content")).alias("text")).mapInArrow(run, f"{kind}path string, text string, code string")
     zipped = F.arrays_zip(F.split("text", "\n").alias("content"), F.split("code", "\n").alias("code"))
     return both.select(*by, "path", F.posexplode(zipped).alias("k", "z")).select(*by, "path", (F.col("k") + 1).alias("line"), F.col("z.content").alias("content"), F.col("z.code").alias("code"))
 
