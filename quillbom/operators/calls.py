@@ -13,7 +13,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillbom.functions import columns as C
@@ -108,15 +108,15 @@ def _bound(found: list[tuple], i: int, module: str, at: int, line: int) -> list[
     return [("binding", at, line, name, module, [known]) for name, known in _names(found, i - 3, "{")] if found[i - 2][1] == "}" else []
 
 
-def code_facts(files: DataFrame) -> DataFrame:
-    """The rows of facts() for each file ((scan,) path, content)."""
+def code_facts(files: DataFrame, kinds: tuple[str, ...] = ()) -> DataFrame:
+    """The rows of facts() for each file ((scan,) path, content), of all kinds or of those only."""
     by = scan_key(files)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns, found = [*by, "path", "kind", "pos", "line", "a", "b", "args"], []
         for rows in batches:
             for *file, text in zip(*(rows[c] for c in [*by, "path"]), rows["text"], strict=True):
-                found += [(*file, *f) for f in facts(text or "")]
+                found += [(*file, *f) for f in facts(text or "") if not kinds or f[0] in kinds]
                 if len(found) > 10_000:
                     yield pd.DataFrame(found, columns=columns)
                     found = []
@@ -131,10 +131,14 @@ def resolved_calls(rows: DataFrame) -> DataFrame:
     """Calls with the module their receiver stands for: by a binding before them in the file, or by the name alone."""
     table = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
     by = scan_key(rows)
-    calls = rows.where("kind = 'call'").select(*by, "path", "pos", "line", F.col("a").alias("receiver"), F.col("b").alias("method"), "args", F.lower(F.substring_index(F.when(F.col("a") == "", F.col("b")).otherwise(F.col("a")), ".", 1)).alias("head"))
+    is_call = F.col("kind") == "call"
     origin = F.coalesce(F.try_element_at(table(MODULES), F.lower("b")), F.try_element_at(table(SEEDS), F.lower(F.substring_index("b", ".", -1))))
-    bound = rows.where("kind = 'binding'").select(*by, "path", F.col("pos").alias("since"), F.lower("a").alias("head"), origin.alias("module"), F.get("args", F.lit(0)).alias("called")).where("module is not null")
-    first = bound.groupBy(*by, "path", "head").agg(F.min_by(F.struct("module", "called"), "since").alias("m"), F.min("since").alias("since")).select(*by, "path", "head", "m.*", "since")
+    binding = F.when(~is_call & origin.isNotNull(), F.struct(F.col("pos").alias("since"), origin.alias("module"), F.get("args", F.lit(0)).alias("called")))
+    head = F.lower(F.when(is_call, F.substring_index(F.when(F.col("a") == "", F.col("b")).otherwise(F.col("a")), ".", 1)).otherwise(F.col("a")))
+    # calls and bindings of a name meet in a window, so that files are lexed once for both
+    rows = rows.where("kind in ('call', 'binding')").withColumns({"head": head, "bound": binding}).where(is_call | F.col("bound").isNotNull())
+    first = F.min("bound").over(Window.partitionBy(*by, "path", "head"))
+    calls = rows.withColumn("m", first).where(is_call).select(*by, "path", "pos", "line", F.col("a").alias("receiver"), F.col("b").alias("method"), "args", "head", "m.*")
     named = F.try_element_at(table(SEEDS), F.col("head"))
     low = F.lower("receiver")
     own = F.when(F.col("since") < F.col("pos"), F.col("module"))
@@ -144,7 +148,7 @@ def resolved_calls(rows: DataFrame) -> DataFrame:
         .otherwise(F.coalesce(own, F.when(F.col("receiver") != "", named), F.when(low.rlike("jwt|jose"), "jwt")))
     )
     method = F.when((F.col("receiver") == "") & own.isNotNull(), F.coalesce("called", "method")).otherwise(F.col("method"))  # what a name stands for in its module
-    return calls.join(first, [*by, "path", "head"], "left").withColumns({"module": known, "method": method}).where("module is not null").drop("since", "head", "called")
+    return calls.withColumns({"module": known, "method": method}).where("module is not null").drop("since", "head", "called")
 
 
 def literal(args: Column, place: int) -> Column:
@@ -155,8 +159,9 @@ def literal(args: Column, place: int) -> Column:
 
 def findings(files: DataFrame) -> DataFrame:
     """Findings of calls and COSE numbers, with direct evidence."""
-    rows = code_facts(files)
-    return call_findings(resolved_calls(rows)).unionByName(number_findings(rows))
+    calls = call_findings(resolved_calls(code_facts(files, ("call", "binding"))))
+    named = files.where(F.contains(C.as_text(F.col("content")), F.lit("lg")))  # no other file has a name of NUMBER_NAMES
+    return calls.unionByName(number_findings(code_facts(named, ("number",))))
 
 
 def number_findings(rows: DataFrame) -> DataFrame:

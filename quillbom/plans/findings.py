@@ -500,7 +500,8 @@ def call_rules(spark, sf_dir):
         F.concat(F.lit("c.randomBytes("), size.cast("string"), F.lit(")")), F.concat(F.split("p_name", " ")[0], F.lit("(x)")),
     ]
     code = F.concat(F.lit("const c = require('crypto');\n// "), F.col("p_name"), F.lit("\n"), F.element_at(F.array(*said), (p % 4 + 1).cast("int")))
-    files = table(spark, sf_dir, "part").select(p.cast("string").alias("path"), code.cast("binary").alias("content"))
+    part = table(spark, sf_dir, "part").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")  # a few MB of rows make much code: they are dealt before
+    files = part.select(p.cast("string").alias("path"), code.cast("binary").alias("content"))
     return calls.findings(files).select(F.col("filePath").cast("long").alias("p_partkey"), F.col("algorithmFamily").alias("family"), F.col("parameterSet").alias("parameter"), "mode")
 
 
