@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -57,9 +58,22 @@ class _Groups:
 def _signs(batch: pa.RecordBatch, place: list[str]) -> Iterator[tuple]:
     """(place, line, family or None, sources) of the rows of a batch."""
     columns = [batch[c].to_pylist() for c in place]
-    for *at, line, family, evidence in zip(*columns, batch["line"].to_pylist(), batch["algorithmFamily"].to_pylist(), batch["evidence"].to_pylist(), strict=True):
+    sources = batch["evidence"].flatten().field("source").to_pylist()  # nothing else of the evidence becomes Python objects
+    at = 0
+    for *where, line, family, n in zip(*columns, batch["line"].to_pylist(), batch["algorithmFamily"].to_pylist(), batch["evidence"].value_lengths().to_pylist(), strict=True):
         family = (family or "unknown").lower()
-        yield tuple(at), line, None if family == "unknown" else family, frozenset(e["source"] for e in evidence)
+        yield tuple(where), line, None if family == "unknown" else family, frozenset(sources[at:at + n])
+        at += n
+
+
+def _dicts(groups: list[list[tuple[pa.RecordBatch, int]]]) -> Iterator[list[dict]]:
+    """The rows of groups, which are places in batches; each batch is turned to Python objects once, for the rows that are asked for."""
+    asked: dict[int, tuple[pa.RecordBatch, list[int]]] = {}
+    for batch, i in itertools.chain.from_iterable(groups):
+        asked.setdefault(id(batch), (batch, []))[1].append(i)
+    found = {(key, i): row for key, (batch, places) in asked.items() for i, row in zip(places, batch.take(pa.array(places)).to_pylist(), strict=True)}
+    for group in groups:
+        yield [found.pop((id(batch), i)) for batch, i in group]
 
 
 def _edges(dealt: DataFrame, place: list[str], window: int) -> list:
@@ -125,8 +139,8 @@ def merge_evidence(findings: DataFrame, window: int = 2) -> DataFrame:
     dealt = findings.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).checkpoint()
     across = _across(_edges(dealt, place, window), window)
 
-    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str | None, list[dict] | None, pa.RecordBatch]]:
-        """(name, rows, batch): rows of groups of several findings; single findings as parts of batches."""
+    def grouped(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[tuple[str | None, list[dict] | None, pa.RecordBatch]]:
+        """(name, rows, batch) of groups that end here, if whole, with single findings as parts of batches; or else of those that go on."""
         groups, held, beyond, count = _Groups(window), {}, None, 0
 
         def passed(everything: bool) -> Iterator[tuple]:
@@ -136,13 +150,16 @@ def merge_evidence(findings: DataFrame, window: int = 2) -> DataFrame:
             for group, rows in held.items():
                 together.setdefault(groups.root(group), []).extend(rows)
             singles: dict[int, tuple] = {}
+            several: list[tuple[str | None, list]] = []
             for root, rows in together.items():
-                if root in open_groups:
+                if root in open_groups or whole == (root in beyond):
                     continue
-                if root in beyond or len(rows) > 1:
-                    yield beyond.get(root), [b.slice(i, 1).to_pylist()[0] for b, i in rows], rows[0][0]
+                if len(rows) > 1 or not whole:
+                    several.append((beyond.get(root), rows))
                 else:
                     singles.setdefault(id(rows[0][0]), (rows[0][0], []))[1].append(rows[0][1])
+            for (name, places), rows in zip(several, _dicts([places for _, places in several]), strict=True):
+                yield name, rows, places[0][0]
             for batch, places in singles.values():
                 yield None, None, batch.take(pa.array(sorted(places)))
             held = {root: rows for root, rows in together.items() if root in open_groups}
@@ -161,17 +178,23 @@ def merge_evidence(findings: DataFrame, window: int = 2) -> DataFrame:
             yield from passed(True)
 
     def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, rows, batch in grouped(batches):
+        merged, schema = [], None
+        for _, rows, batch in grouped(batches, whole=True):
             if rows is None:
                 yield batch.select(names)
-            elif name is None:
-                yield pa.RecordBatch.from_pylist(_merged(rows, window), schema=batch.select(names).schema)
+                continue
+            schema = schema or batch.select(names).schema
+            merged += _merged(rows, window)
+            if len(merged) >= 1000:
+                yield pa.RecordBatch.from_pylist(merged, schema=schema)
+                merged = []
+        if merged:
+            yield pa.RecordBatch.from_pylist(merged, schema=schema)
 
     def beyond_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, rows, batch in grouped(batches):
-            if name is not None:
-                kept = pa.RecordBatch.from_pylist(rows, schema=batch.select(names).schema)
-                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([name] * len(rows))], [*names, "_whole"])
+        for name, rows, batch in grouped(batches, whole=False):
+            kept = pa.RecordBatch.from_pylist(rows, schema=batch.select(names).schema)
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([name] * len(rows))], [*names, "_whole"])
 
     def joined(rows: pa.Table) -> pa.Table:
         kept = rows.select(names)
