@@ -13,10 +13,11 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillbom.functions.positions import with_position
+from quillbom.session import shared_folder
+
 #: Buckets of the multinomials: their counts and ratios are all that reaches the driver.
 BUCKETS = 8192
-#: Trusted rows that define the target: those of the smallest hashes, at most so many.
-TRUSTED_ROWS = 20_000
 #: Added to each count.
 SMOOTHING = 1.0
 #: Quantile of the trusted rows' scores from which the threshold is set; rows under MIN_WORDS don't count.
@@ -92,10 +93,23 @@ def grams(words: Column) -> Column:
 
 
 def trusted_ids(labels: DataFrame, key: str) -> DataFrame:
-    """The bounded target: ids labelled of good quality and not toxic, smallest hashes first."""
+    """The target: all ids labelled of good quality and not toxic."""
     good = labels.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("trusted_id")).agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))
     good = good.where((F.col("q") == 1) & (F.coalesce("t", F.lit(0)) == 0))
-    return good.select("trusted_id").orderBy(F.xxhash64("trusted_id"), "trusted_id").limit(TRUSTED_ROWS)
+    return good.select("trusted_id")
+
+
+def quantile(values: DataFrame, share: float) -> float | None:
+    """The exact quantile of a column of numbers, between its two nearest rows in proportion; None without any. Rows are placed by ranges, two come back."""
+    (name,) = values.columns
+    shared_folder(values.sparkSession)
+    values = values.where(F.col(name).isNotNull()).checkpoint()  # counted, sampled and dealt
+    place = share * (values.count() - 1)
+    if place < 0:
+        return None
+    below, above = math.floor(place), math.ceil(place)
+    near = {r["place"]: r[name] for r in with_position(values, [name], "place").where(F.col("place").isin(below, above)).collect()}
+    return near[below] if near[below] == near[above] else (above - place) * near[below] + (place - below) * near[above]
 
 
 def score_column(ratios: list[float]) -> Column:
@@ -107,7 +121,7 @@ def score_column(ratios: list[float]) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, key: str, text: str) -> tuple[list[float], float]:
     """(ratio of each bucket, threshold). Counts cover every document; only BUCKETS rows come back."""
-    trusted = F.broadcast(trusted_ids(labels, key))
+    trusted = trusted_ids(labels, key)  # broadcast or not as Spark sees fit: their number grows with the labels
     marked = docs.select(key, words_of(F.col(text)).alias("words")).join(trusted, F.col(key) == F.col("trusted_id"), "left")
     # explode_outer: for a plain explode, Spark adds a filter that would split the text anew for each word
     counts = (
@@ -125,7 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str, text: str) -> tuple[list[f
     ratios = [math.log(g) - all_good - math.log(r) + all_raw for g, r in zip(good, raw, strict=True)]
     scored = docs.select(key, text).join(trusted, F.col(key) == F.col("trusted_id"), "left_semi").select(words_of(F.col(text)).alias("words"))
     scored = scored.select(F.size("words").alias("n"), grams(F.col("words")).alias("grams"))
-    low = scored.select(F.when(F.col("n") >= MIN_WORDS, score_column(ratios)).alias("s")).agg(F.percentile("s", F.lit(TRUSTED_LOSS)).alias("p")).first()["p"]
+    low = quantile(scored.select(F.when(F.col("n") >= MIN_WORDS, score_column(ratios)).alias("s")), TRUSTED_LOSS)
     return ratios, (low - MARGIN if low is not None else float("-inf"))
 
 
