@@ -103,7 +103,7 @@ def quantile(values: DataFrame, share: float) -> float | None:
     """The exact quantile of a column of numbers, between its two nearest rows in proportion; None without any. Rows are placed by ranges, two come back."""
     (name,) = values.columns
     shared_folder(values.sparkSession)
-    values = values.where(F.col(name).isNotNull()).checkpoint()  # counted, sampled and dealt
+    values = values.checkpoint().where(F.col(name).isNotNull())  # counted, sampled and dealt; the filter must not move into what makes them
     place = share * (values.count() - 1)
     if place < 0:
         return None
