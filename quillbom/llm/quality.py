@@ -25,6 +25,8 @@ TRUSTED_LOSS = 0.001
 #: How far under that quantile a score must be to be rejected.
 MARGIN = 0.02
 MIN_WORDS = 50
+#: Trusted ids go to the documents as bits, 64 ids a row, up to so many rows: 67 million documents whose ids lie close together.
+MOST_BIT_ROWS = 1 << 20
 MAX_REPEAT_PERCENT = 50
 SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -99,6 +101,24 @@ def trusted_ids(labels: DataFrame, key: str) -> DataFrame:
     return good.select("trusted_id")
 
 
+def with_trust(docs: DataFrame, trusted: DataFrame, key: str, text: str) -> DataFrame:
+    """(text, good): each text of docs and whether its key is among trusted_id; neither changes the number of rows.
+
+    Whole numbers that lie close together are broadcast as bits, so that no text is shuffled; where they are too many for
+    that, or far apart, or no whole numbers, keys and texts are, once and before they are split to words.
+    """
+    rows = docs.select(key, text)
+    if {dict(rows.dtypes)[key], dict(trusted.dtypes)["trusted_id"]} <= {"tinyint", "smallint", "int", "bigint"}:
+        shared_folder(docs.sparkSession)
+        place = lambda c: F.shiftright(F.col(c).cast("long"), 6)
+        bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.col(c).bitwiseAND(63).cast("int"))
+        bits = trusted.groupBy(place("trusted_id").alias("place")).agg(F.bit_or(bit("trusted_id")).alias("bits")).checkpoint()
+        if bits.count() <= MOST_BIT_ROWS:
+            good = F.coalesce(F.col("bits").bitwiseAND(bit(key)) != 0, F.lit(False))
+            return rows.join(F.broadcast(bits), place(key) == F.col("place"), "left").select(text, good.alias("good"))
+    return rows.join(trusted, F.col(key) == F.col("trusted_id"), "left").select(text, F.col("trusted_id").isNotNull().alias("good"))
+
+
 def quantile(values: DataFrame, share: float) -> float | None:
     """The exact quantile of a column of numbers, between its two nearest rows in proportion; None without any. Rows are placed by ranges, two come back."""
     (name,) = values.columns
@@ -121,11 +141,11 @@ def score_column(ratios: list[float]) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, key: str, text: str) -> tuple[list[float], float]:
     """(ratio of each bucket, threshold). Counts cover every document; only BUCKETS rows come back."""
-    trusted = trusted_ids(labels, key)  # broadcast or not as Spark sees fit: their number grows with the labels
-    marked = docs.select(key, words_of(F.col(text)).alias("words")).join(trusted, F.col(key) == F.col("trusted_id"), "left")
+    marked = with_trust(docs, trusted_ids(labels, key), key, text)
     # explode_outer: for a plain explode, Spark adds a filter that would split the text anew for each word
     counts = (
-        marked.select(F.explode_outer(grams(F.col("words"))).alias("bucket"), F.col("trusted_id").isNotNull().cast("long").alias("good"))
+        marked.select(words_of(F.col(text)).alias("words"), F.col("good").cast("long").alias("good"))
+        .select(F.explode_outer(grams(F.col("words"))).alias("bucket"), "good")
         .where(F.col("bucket").isNotNull())
         .groupBy("bucket")
         .agg(F.count("*").alias("n"), F.sum("good").alias("g"))
@@ -137,7 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str, text: str) -> tuple[list[f
         good[r["bucket"]] += r["g"]
     all_raw, all_good = math.log(sum(raw)), math.log(sum(good))
     ratios = [math.log(g) - all_good - math.log(r) + all_raw for g, r in zip(good, raw, strict=True)]
-    scored = docs.select(key, text).join(trusted, F.col(key) == F.col("trusted_id"), "left_semi").select(words_of(F.col(text)).alias("words"))
+    scored = marked.where("good").select(words_of(F.col(text)).alias("words"))
     scored = scored.select(F.size("words").alias("n"), grams(F.col("words")).alias("grams"))
     low = quantile(scored.select(F.when(F.col("n") >= MIN_WORDS, score_column(ratios)).alias("s")), TRUSTED_LOSS)
     return ratios, (low - MARGIN if low is not None else float("-inf"))

@@ -736,6 +736,29 @@ def test_quality_verdicts(spark):
     assert quality.judge(docs.limit(0), labels.limit(0)).count() == 0
 
 
+def test_trust_without_a_shuffle_of_texts(spark, monkeypatch):
+    """Where Spark would not broadcast the trusted ids by itself, counting shuffles no text; ids far apart or not numbers give the same."""
+    rows = [(n, f"w{(n or 1) % 7} w{(n or 1) % 5} w{n}") for n in [*range(-70, 300), *(k << 40 for k in range(-5, 5)), (1 << 63) - 1, -(1 << 63), None, 3]]
+    marks = [(n, n % 3 % 2, 0) for n, _ in rows[::2] if n is not None] + [(None, 1, 0)]
+    table, labels = spark.createDataFrame(rows, "k long, text string"), spark.createDataFrame(marks, "k long, quality int, toxic int")
+    trusted = {n for n, q, _ in marks if n is not None and min(x[1] for x in marks if x[0] == n) == 1}
+    executions = lambda: spark._jsparkSession.sharedState().statusStore().executionsList()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = executions().size()
+        found = quality.fit(table, labels, "k", "text")
+        plans = [executions().apply(n).physicalPlanDescription() for n in range(before, executions().size())]
+        assert any("Generate" in x for x in plans) and not any("SortMergeJoin" in x for x in plans)
+        for most, kind in [(1 << 20, "long"), (0, "long"), (1 << 20, "string")]:
+            monkeypatch.setattr(quality, "MOST_BIT_ROWS", most)
+            docs, ids = table.withColumn("k", F.col("k").cast(kind)), labels.withColumn("k", F.col("k").cast(kind))
+            got = quality.with_trust(docs, quality.trusted_ids(ids, "k"), "k", "text").collect()
+            assert Counter(map(tuple, got)) == Counter((t, n in trusted) for n, t in rows)
+            assert quality.fit(docs, ids, "k", "text")[0] == pytest.approx(found[0])
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_without_trusted_rows(docs, spark):
     rows = quality.judge(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()
     assert all(r["kept"] == (not r["base_failed"]) for r in rows)
