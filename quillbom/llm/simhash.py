@@ -10,7 +10,7 @@ other, hence a star of links carries the same components as all pairs.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -30,6 +30,8 @@ BITS, TABLES, MINIMA, LONG_WORDS = 16, 4, 3, 4
 PAIR_BLOCK = 64
 #: Pairs of a text that are compared in one place.
 PAIR_PART = 1000
+#: Shingles of a block of texts that is compared with others in one task, on average.
+BLOCK_SHINGLES = 1 << 16
 
 
 def _majority(hashes: list[np.ndarray]) -> np.ndarray:
@@ -117,8 +119,9 @@ def near_duplicate_groups(docs: DataFrame, width: int = 3, radius: int = 2, key:
 # with it. Pairs that meet are held against all bits, then against the shingles themselves.
 # All texts of a value are first held against its smallest, the hub, and the hubs of a variant against
 # the first of them, which joins groups of copies at once. A hub may be a chance meeting, so then pairs
-# that meet and are not yet in one group are compared, in blocks: first each text's closest, then all.
-# Their number grows with the square only of texts that are alike but not linked.
+# the texts with a partner that meets them, is close and not yet of their group are dealt to blocks by the
+# least hash they share, and blocks are compared with each other, inside a task, on the shingles. No pair
+# becomes a row: a block gives one link for each group that it joins to another.
 
 
 def meeting_chance(similarity: float) -> float:
@@ -162,6 +165,34 @@ def _values(hashes: list[np.ndarray], prints: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def _joined(roots: np.ndarray, parts: np.ndarray, longs: np.ndarray, flat: np.ndarray, ends: np.ndarray, similarity: float, far: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) between the roots of texts, one for each group that joins another: those of pairs of the two parts (of one, where there
+    is one) that meet in a table, differ in at most far bits and have sets (flat, from ends[n] to ends[n + 1]) of that similarity."""
+    names, label = np.unique(roots, return_inverse=True)
+    group = label.copy()
+    sizes, of = np.diff(ends), np.repeat(np.arange(len(roots)), np.diff(ends))
+    _, shingle, times = np.unique(flat, return_inverse=True, return_counts=True)
+    place = np.cumsum(times > 1) - 1  # a shingle of one text alone is in no other's
+    of, shingle = of[times[shingle] > 1], place[shingle[times[shingle] > 1]]
+    bits = np.zeros((len(roots), int((times > 1).sum()) // 64 + 1), np.uint64)
+    np.bitwise_or.at(bits, (of, shingle >> 6), np.uint64(1) << (shingle & 63).astype(np.uint64))
+    low, high = parts.min(), parts.max()
+    others = np.flatnonzero(parts == high)
+    for i in np.flatnonzero(parts == low):
+        j = others[group[others] != group[i]] if low < high else np.arange(i + 1, len(roots))[group[i + 1:] != group[i]]
+        differ = longs[i] ^ longs[j]
+        j, first = (x[np.bitwise_count(differ).sum(axis=1, dtype=np.int64) <= far] for x in (j, differ[:, 0]))
+        j = j[np.bitwise_count(first[:, None] >> (BITS * np.arange(TABLES, dtype=np.uint64)) & np.uint64((1 << BITS) - 1)).min(axis=1, initial=BITS) <= 2]
+        met = np.bitwise_count(bits[i] & bits[j]).sum(axis=1, dtype=np.int64)
+        j = j[met >= similarity * (sizes[i] + sizes[j] - met)]
+        if len(j):
+            group[np.isin(group, group[j])] = group[i]
+    end = np.zeros(len(names), np.int64)
+    end[label] = group
+    moved = end != np.arange(len(names))
+    return names[moved], names[end[moved]]
+
+
 def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, digest, root, root_digest) of each distinct text: its smallest key, its MD5, and both of the first of its group.
 
@@ -245,31 +276,19 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, key: s
         rows = roles.join(sets, "node").repartition(int(close.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "part").sortWithinPartitions("a", "part", F.desc("hub"))
         return rows.select("a", "part", "node", "set").mapInArrow(compared, "a long, b long")
 
-    def unlinked(whole: bool) -> Callable:
-        """The close pairs of two blocks that are in different groups: all, or each text's closest."""
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                found = [np.zeros((0, 2), np.int64)]
-                for row in batch.itertuples(index=False):
-                    long_a, long_b = (np.asarray(x, np.int64).view(np.uint64).reshape(-1, words) for x in (row.longs_a, row.longs_b))
-                    apart = sum(np.bitwise_count(long_a[:, None, w] ^ long_b[None, :, w]).astype(np.int64) for w in range(words))
-                    apart[row.roots_a[:, None] == row.roots_b[None, :]] = far + 1
-                    if whole:
-                        i, j = np.nonzero(apart <= far)
-                    else:
-                        i, j = np.arange(len(long_a)), apart.argmin(axis=1)
-                        i, j = np.concatenate([i, apart.argmin(axis=0)]), np.concatenate([j, np.arange(len(long_b))])
-                        near = apart[i, j] <= far
-                        i, j = i[near], j[near]
-                    a, b = row.nodes_a[i], row.nodes_b[j]
-                    found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
-                yield pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["a", "b"])
-
-        return run
-
-    def behind_hubs(roots: DataFrame, whole: bool) -> DataFrame:
-        """Close pairs that meet in any table and are not in one group yet."""
+    def unlinked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The texts of two blocks that are close to one of a different group."""
+        for batch in batches:
+            found = [np.zeros(0, np.int64)]
+            for row in batch.itertuples(index=False):
+                long_a, long_b = (np.asarray(x, np.int64).view(np.uint64).reshape(-1, words) for x in (row.longs_a, row.longs_b))
+                apart = sum(np.bitwise_count(long_a[:, None, w] ^ long_b[None, :, w]).astype(np.int64) for w in range(words))
+                near = (apart <= far) & (row.roots_a[:, None] != row.roots_b[None, :])
+                found += [row.nodes_a[near.any(axis=1)], row.nodes_b[near.any(axis=0)]]
+            yield pd.DataFrame({"node": np.unique(np.concatenate(found))})
+
+    def behind_hubs(roots: DataFrame) -> DataFrame:
+        """The texts of close pairs that meet in any table and are not in one group yet."""
         placed = homes.join(roots, "node", "left").select("number", "hub", "node", "texts", F.coalesce("root", "node").alias("root"))
         sizes = placed.groupBy("number", "hub").agg(F.first("texts").alias("texts"), F.min("root").alias("low"), F.max("root").alias("high"))
         # only variants whose hubs are not all of one group are taken apart to pairs
@@ -281,7 +300,7 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, key: s
         own = sizes.where("texts > 2 and low <> high").select("number", F.col("hub").alias("a"), F.col("hub").alias("b"), parts.alias("parts_a"), parts.alias("parts_b"))
         meet = meet.where("low <> high").drop("low", "high").unionByName(own).distinct().checkpoint()
         if meet.isEmpty():
-            return meet.select("a", "b")
+            return meet.select(F.col("a").alias("node"))
         used = meet.select("number", F.explode(F.array("a", "b")).alias("hub")).distinct()
         dealt = placed.join(used, ["number", "hub"], "left_semi").withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("texts") / PAIR_BLOCK)).cast("int"))
         dealt = dealt.join(texts.select("node", "long"), "node").groupBy("number", "hub", "part").agg(F.collect_list(F.struct("node", "root", "long")).alias("m"))
@@ -291,15 +310,32 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, key: s
             both = both.join(blocks.select("number", F.col("hub").alias(side), F.col("part").alias(f"part_{side}"), *[F.col(c).alias(f"{c}_{side}") for c in ("nodes", "roots", "longs")]), ["number", side, f"part_{side}"])
         mixed = F.least(F.array_min("roots_a"), F.array_min("roots_b")) != F.greatest(F.array_max("roots_a"), F.array_max("roots_b"))
         both = both.where(mixed).select(*[f"{c}_{side}" for side in "ab" for c in ("nodes", "roots", "longs")])
-        return both.mapInPandas(unlinked(whole), "a long, b long").distinct()
-
-    roots, tried = connected_components(verified(close)), close
-    for whole in (False, True):  # first each text's closest, so that large groups that belong together are one before all pairs count
-        more = behind_hubs(roots, whole).join(tried, ["a", "b"], "left_anti").checkpoint()
-        if more.isEmpty():
-            break
-        roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(verified(more)))
-        tried = tried.unionByName(more)
+        return both.mapInPandas(unlinked, "node long").distinct()
+
+    def joined(block: pa.Table) -> pa.Table:
+        """The links of two blocks, or of one."""
+        block = block.combine_chunks()
+        (longs,), (lists,) = block["long"].chunks, block["set"].chunks
+        columns = (block[c].to_numpy() for c in ("root", "part"))
+        flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))))
+        a, b = _joined(*columns, longs.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, words), flat, ends, similarity, far)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    def between_blocks(few: DataFrame, roots: DataFrame) -> DataFrame:
+        """Links between groups: of all pairs of these texts that share a least hash, meet in a table and are similar."""
+        few = few.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+        placed = own.select("node", "n", "m").join(few, "node").join(sets.select("node", F.size("set").alias("size")), "node")
+        families = placed.groupBy("n", "m").agg(F.ceil(F.sum(F.col("size") + 1) / BLOCK_SHINGLES).cast("int").alias("parts"), F.min("root").alias("low"), F.max("root").alias("high"))
+        dealt = placed.join(families.where("low <> high"), ["n", "m"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int"))
+        dealt = dealt.select("n", "m", "node", "root", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+        dealt = dealt.select("n", "m", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), "node", "root", "part")
+        rows = dealt.join(texts.select("node", "long"), "node").join(sets, "node")
+        return rows.groupBy("n", "m", "one", "two").applyInArrow(joined, "a long, b long").distinct()
+
+    roots = connected_components(verified(close))
+    few = behind_hubs(roots).checkpoint()
+    if not few.isEmpty():
+        roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(between_blocks(few, roots)))
     grouped = texts.select("key", "digest", "node").join(roots, "node", "left").select("key", "digest", F.coalesce("root", "node").alias("group"))
     first = grouped.groupBy("group").agg(F.min(F.struct("key", "digest")).alias("first"))
     return grouped.join(first, "group").select("key", "digest", F.col("first.key").alias("root"), F.col("first.digest").alias("root_digest"))
