@@ -342,6 +342,31 @@ def test_near_copies_in_a_family(spark, shared):
     assert sorted(r["doc_id"] for r in kept.collect()) == list(range(0, 500, 2))
 
 
+@pytest.mark.parametrize("blocks", [1, 2])
+def test_blocks_are_joined_as_by_pairs(blocks):
+    """Links of blocks have the components of all similar pairs that meet, and are fewer than the groups."""
+    rng = np.random.default_rng(9)
+    base = np.unique(rng.integers(1 << 62, size=200))
+    sets = [np.zeros(0, np.int64)] * 2 + [np.unique(np.concatenate((base[rng.random(len(base)) < keep], rng.integers(1 << 62, size=9)))) for keep in np.repeat([0.85, 0.9, 0.97], 20)]
+    longs = simhash._long_fingerprints([x.view(np.uint64) for x in sets], simhash.LONG_WORDS)
+    roots, parts, far = np.arange(len(sets)) // 2 * 2 + 7, rng.integers(blocks, size=len(sets)), 62
+    a, b = simhash._joined(roots, parts, longs, np.concatenate(sets), np.concatenate(([0], np.cumsum([len(x) for x in sets]))), 0.8, far)
+    bits = lambda x: int(x).bit_count()
+    meets = lambda x: any(bits(x >> 16 * t & 0xFFFF) <= 2 for t in range(4))
+    pairs = [(roots[i], roots[j]) for i in range(len(sets)) for j in range(i) if (blocks == 1 or parts[i] != parts[j]) and sum(map(bits, longs[i] ^ longs[j])) <= far
+             and meets(int(longs[i][0] ^ longs[j][0])) and (met := len(np.intersect1d(sets[i], sets[j]))) >= 0.8 * (len(sets[i]) + len(sets[j]) - met)]
+
+    def components(links):
+        of = {x: x for x in set(roots.tolist())}
+        for x, y in links:
+            x, y = of[int(x)], of[int(y)]
+            of = {k: min(x, y) if v in (x, y) else v for k, v in of.items()}
+        return of
+
+    assert components(zip(a, b, strict=True)) == components(pairs) and len(pairs) > 50
+    assert len(a) < len(set(roots.tolist()))
+
+
 # 4
 
 
