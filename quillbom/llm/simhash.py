@@ -120,8 +120,8 @@ def near_duplicate_groups(docs: DataFrame, width: int = 3, radius: int = 2, key:
 # All texts of a value are first held against its smallest, the hub, and the hubs of a variant against
 # the first of them, which joins groups of copies at once. A hub may be a chance meeting, so then pairs
 # the texts with a partner that meets them, is close and not yet of their group are dealt to blocks by the
-# least hash they share, and blocks are compared with each other, inside a task, on the shingles. No pair
-# becomes a row: a block gives one link for each group that it joins to another.
+# least hash they share, and blocks are compared with each other, inside a task, on the shingles. Pairs of hubs are
+# rows, those of texts are not: a block gives one link for each group that it joins to another.
 
 
 def meeting_chance(similarity: float) -> float:
