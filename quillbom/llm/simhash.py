@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, pairwise
 
 import numpy as np
 import pandas as pd
@@ -26,12 +26,10 @@ from quillbom.llm.shared import checkpoint_dir, connected_components, join_hot,
 BLOCK = 1 << 17
 #: Bits and number of the short fingerprints of near_copies(), least hashes a text, and words of the long fingerprint.
 BITS, TABLES, MINIMA, LONG_WORDS = 16, 4, 3, 4
-#: Texts of a value that are compared with others in one step, on average.
-PAIR_BLOCK = 64
-#: Pairs of a text that are compared in one place.
-PAIR_PART = 1000
-#: Shingles of a block of texts that is compared with others in one task, on average.
-BLOCK_SHINGLES = 1 << 16
+#: Texts of a block whose fingerprints are held against those of another in one task, on average.
+BLOCK_TEXTS = 1 << 14
+#: Shingles of a block of texts that is compared in one task, on average.
+BLOCK_SHINGLES = 1 << 18
 
 
 def _majority(hashes: list[np.ndarray]) -> np.ndarray:
@@ -112,16 +110,17 @@ def near_duplicate_groups(docs: DataFrame, width: int = 3, radius: int = 2, key:
 
 
 # Near copies by similarity. At a Jaccard similarity of 0.8 one bit in seven differs, too many for
-# one ball of 64 bits. So there are TABLES fingerprints of BITS bits, each searched by ball hashing with
-# radius 2. Bits so few would bring all documents of a large corpus together, so only texts that share
-# one of MINIMA least shingle hashes meet (the chance of one is the similarity itself): a text has
-# TABLES * MINIMA * (BITS + 1) variants, whatever the size of the corpus, and chance meetings don't grow
-# with it. Pairs that meet are held against all bits, then against the shingles themselves.
-# All texts of a value are first held against its smallest, the hub, and the hubs of a variant against
-# the first of them, which joins groups of copies at once. A hub may be a chance meeting, so then pairs
-# the texts with a partner that meets them, is close and not yet of their group are dealt to blocks by the
-# least hash they share, and blocks are compared with each other, inside a task, on the shingles. Pairs of hubs are
-# rows, those of texts are not: a block gives one link for each group that it joins to another.
+# one ball of 64 bits. So there are TABLES fingerprints of BITS bits, which meet at 2 differing bits or
+# fewer in one of them. Bits so few would bring all documents of a large corpus together, so only texts that
+# share one of MINIMA least shingle hashes, a family, are held against each other (the chance of one is the
+# similarity itself), and chance meetings don't grow with the corpus. Texts that meet are held against all bits,
+# then against the shingles themselves.
+# All this goes on inside tasks, to which families are dealt whole, or large ones in blocks: neither pairs of texts nor
+# variants of fingerprints are rows. First the texts are found that are close to any other; only these have their
+# shingles made. Then each block is compared in itself and with the family's first text, which joins a large
+# group of copies at once. Only families of several blocks that are not one group after that have their blocks
+# compared with each other, again only those texts that are close to one of another group. A block gives one
+# link for each group that it joins to another.
 
 
 def meeting_chance(similarity: float) -> float:
@@ -152,17 +151,26 @@ def _minima(hashes: np.ndarray) -> list[int]:
     return out
 
 
-def _values(hashes: list[np.ndarray], prints: np.ndarray) -> list[np.ndarray]:
-    """Per text the places where it meets others: a hash of minimum and table above, BITS bits of a fingerprint below."""
-    flat = np.unpackbits(np.ascontiguousarray(prints.astype("<u8")).view(np.uint8).reshape(len(prints), -1), axis=1, bitorder="little")
-    short = flat[:, : BITS * TABLES].reshape(len(prints), TABLES, BITS).astype(np.int64) @ (np.int64(1) << np.arange(BITS, dtype=np.int64))
-    number = np.arange(MINIMA * TABLES, dtype=np.uint64).reshape(MINIMA, TABLES)
-    out = []
-    for h, own in zip(hashes, short, strict=True):
-        x = (np.array(_minima(h), np.uint64)[:, None] + number) * np.uint64(0x9E3779B97F4A7C15)
-        above = ((x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(BITS + 1)).astype(np.int64)
-        out.append(((above << BITS) | own).reshape(-1))
-    return out
+def _met(longs: np.ndarray, i: int, j: np.ndarray, far: int) -> np.ndarray:
+    """Those of the texts j that meet the text i in a table and differ from it in at most far bits."""
+    differ = longs[j] ^ longs[i]
+    near = np.flatnonzero(np.bitwise_count(differ).sum(axis=1, dtype=np.int64) <= far)
+    short = differ[near, :1] >> (BITS * np.arange(TABLES, dtype=np.uint64)) & np.uint64((1 << BITS) - 1)
+    return j[near[np.bitwise_count(short).min(axis=1, initial=BITS) <= 2]]
+
+
+def _near(roots: np.ndarray, parts: np.ndarray, longs: np.ndarray, far: int) -> np.ndarray:
+    """Which texts meet one of another group and are close to it: of the two parts one of the other part, of one part any."""
+    found = np.zeros(len(roots), bool)
+    low, high = parts.min(), parts.max()
+    others = np.flatnonzero(parts == high)
+    for i in np.flatnonzero(parts == low):
+        j = others if low < high else others[i + 1:]
+        j = j[~found[j]] if found[i] else j  # a text that is found only has to find others
+        j = _met(longs, i, j[roots[j] != roots[i]], far)
+        if len(j):
+            found[i] = found[j] = True
+    return found
 
 
 def _joined(roots: np.ndarray, parts: np.ndarray, longs: np.ndarray, flat: np.ndarray, ends: np.ndarray, similarity: float, far: int) -> tuple[np.ndarray, np.ndarray]:
@@ -180,9 +188,7 @@ def _joined(roots: np.ndarray, parts: np.ndarray, longs: np.ndarray, flat: np.nd
     others = np.flatnonzero(parts == high)
     for i in np.flatnonzero(parts == low):
         j = others[group[others] != group[i]] if low < high else np.arange(i + 1, len(roots))[group[i + 1:] != group[i]]
-        differ = longs[i] ^ longs[j]
-        j, first = (x[np.bitwise_count(differ).sum(axis=1, dtype=np.int64) <= far] for x in (j, differ[:, 0]))
-        j = j[np.bitwise_count(first[:, None] >> (BITS * np.arange(TABLES, dtype=np.uint64)) & np.uint64((1 << BITS) - 1)).min(axis=1, initial=BITS) <= 2]
+        j = _met(longs, i, j, far)
         met = np.bitwise_count(bits[i] & bits[j]).sum(axis=1, dtype=np.int64)
         j = j[met >= similarity * (sizes[i] + sizes[j] - met)]
         if len(j):
@@ -193,6 +199,41 @@ def _joined(roots: np.ndarray, parts: np.ndarray, longs: np.ndarray, flat: np.nd
     return names[moved], names[end[moved]]
 
 
+def _keyed(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of each key in turn; they come sorted by it."""
+    held, last = [], None
+    for batch in batches:
+        columns = np.stack([batch[k].to_numpy(zero_copy_only=False) for k in keys])
+        starts = np.flatnonzero(np.concatenate(([True], (columns[:, 1:] != columns[:, :-1]).any(axis=0)))[:batch.num_rows])
+        for begin, end in pairwise([*starts.tolist(), batch.num_rows]):
+            key = columns[:, begin].tolist()
+            if held and key != last:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            held.append(batch.slice(begin, end - begin))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _matrix(block: pa.Table, words: int) -> np.ndarray:
+    """The long fingerprints of the rows."""
+    return block["long"].chunk(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, words)
+
+
+def _gathered(found: Iterator[list[np.ndarray]], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The rows of many small results together, as columns of long numbers."""
+    held, rows = [], 0
+    for columns in found:
+        held.append(columns)
+        rows += len(columns[0])
+        if rows >= BLOCK_TEXTS:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*held, strict=True)], names)
+            held, rows = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*held, strict=True)], names)
+
+
 def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, digest, root, root_digest) of each distinct text: its smallest key, its MD5, and both of the first of its group.
 
@@ -204,138 +245,79 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, key: s
     """
     checkpoint_dir(docs.sparkSession)
     ready = small_batches(docs).select(F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    bits, words = BITS, LONG_WORDS
+    words = LONG_WORDS
     differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    far = math.ceil(64 * words * min(0.5, differ + 4 * math.sqrt(differ * (1 - differ) / (64 * words))))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in slices(batches):
             sets = [np.unique(shingle_hashes(t, width)) for t in rows["t"]]  # sets, as the similarity is one of sets
             long = _long_fingerprints(sets, words)
             least = [np.array(_minima(h), np.uint64).view(np.int64) for h in sets]
-            yield pd.DataFrame({"key": rows["key"], "digest": rows["digest"], "long": list(long.view(np.int64)), "least": least, "short": _values(sets, long)})
+            yield pd.DataFrame({"key": rows["key"], "digest": rows["digest"], "size": [len(h) for h in sets], "long": list(long.view(np.int64)), "least": least})
 
-    marked = ready.withColumn("digest", F.md5("t")).mapInPandas(run, "key long, digest string, long array<long>, least array<long>, short array<long>")
-    found = F.max_by(F.struct("long", "least", "short"), "digest").alias("x")
+    marked = ready.withColumn("digest", F.md5("t")).mapInPandas(run, "key long, digest string, size long, long array<long>, least array<long>")
+    found = F.max_by(F.struct("size", "long", "least"), "digest").alias("x")
     texts = marked.groupBy("digest").agg(F.min("key").alias("key"), found).select("digest", "key", "x.*")
     texts = texts.withColumn("node", F.monotonically_increasing_id()).checkpoint()  # fixed by the checkpoint
     # a minimum that no other text has brings nobody together, and most are such
-    own = texts.select("node", F.posexplode("least").alias("n", "m"), "short").select("node", "n", "m", F.slice("short", F.col("n") * TABLES + 1, TABLES).alias("short"))
-    shared = own.groupBy("n", "m").agg(F.count("*").alias("texts")).where("texts > 1").select("n", "m")
-    values = own.join(shared, ["n", "m"]).select("node", F.explode("short").alias("value"))
-    hubs = values.groupBy("value").agg(F.min("node").alias("hub"), F.count("*").alias("texts"))
-    homes = values.join(hubs, "value").select(F.shiftright("value", bits).alias("number"), "hub", "node", "texts")
-    same = homes.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    masks = [0] + [1 << n for n in range(bits)]
-    variants = spread(hubs, "value").select("hub", "value", F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("flip"))
-    met = variants.groupBy(F.col("value").bitwiseXOR(F.col("flip")).alias("variant")).agg(F.collect_list("hub").alias("met"))
-    # at most bits + 1 hubs share a variant; a text may be the hub of several values, but of one in each table
-    met = met.where(F.size("met") > 1).select(F.shiftright("variant", bits).alias("number"), F.array_sort("met").alias("met")).distinct()
-    buckets = met.withColumn("bucket", F.monotonically_increasing_id()).checkpoint()
-    star = buckets.select(F.col("met")[0].alias("a"), F.explode(F.slice("met", F.lit(2), F.size("met"))).alias("b"))
-    pairs = same.unionByName(star).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-    far = math.ceil(64 * words * min(0.5, differ + 4 * math.sqrt(differ * (1 - differ) / (64 * words))))
-    of = lambda side: texts.select(F.col("node").alias(side), F.col("long").alias(f"long_{side}"))
-    apart = F.aggregate(F.zip_with("long_a", "long_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
-    close = pairs.join(of("a"), "a").join(of("b"), "b").where(apart <= far).select("a", "b").checkpoint()
+    own = texts.select("node", "size", "long", F.posexplode("least").alias("n", "m"))
+    shared = own.groupBy("n", "m").agg(F.count("*").alias("texts")).where("texts > 1")
+    placed = own.join(shared, ["n", "m"]).checkpoint()
+    key_columns = ["n", "m", "one", "two"]
+
+    def blocks(rows: DataFrame, columns: list[str]) -> DataFrame:
+        """The key columns and these, sorted by the keys; the rows of each key are in one task."""
+        return rows.select(*key_columns, *columns).repartition(tasks, *key_columns).sortWithinPartitions(*key_columns)
+
+    def paired(rows: DataFrame) -> DataFrame:
+        """Rows of one of parts blocks, in each pair (one, two) of blocks that theirs is in; one block alone is a pair with itself."""
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        return rows.withColumns({"one": F.least("part", "other"), "two": F.greatest("part", "other")})
+
+    def near(block: pa.Table) -> list[np.ndarray]:
+        """The texts that are close to one of another group, of two blocks or of one."""
+        nodes, roots, parts = (block[c].to_numpy() for c in ("node", "root", "part"))
+        return [nodes[_near(roots, parts, _matrix(block, words), far)]]
+
+    def close(rows: DataFrame) -> DataFrame:
+        """The texts that are close to one of another root, of these rows of families."""
+        parts = F.ceil(F.col("texts") / BLOCK_TEXTS).cast("int")
+        dealt = paired(rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), parts.cast("long")).cast("int")))
+        return blocks(dealt, ["part", "node", "root", "long"]).mapInArrow(lambda batches: _gathered(map(near, _keyed(batches, key_columns)), ["node"]), "node long").distinct()
 
-    # texts that stand at a value with others, or at one whose hub shares a variant: no others are ever compared
-    partners = buckets.select("number", F.explode("met").alias("hub")).distinct().withColumn("partner", F.lit(True))
-    meeting = homes.join(partners, ["number", "hub"], "left").where("texts > 1 or partner").select("node").distinct()
+    few = close(placed.withColumn("root", F.col("node"))).checkpoint()
 
     def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in slices(batches):
             yield pd.DataFrame({"node": rows["node"], "set": [np.unique(shingle_hashes(t, width)).view(np.int64) for t in rows["t"]]})
 
-    chosen = ready.withColumn("digest", F.md5("t")).join(meeting.join(texts, "node").select("node", "key", "digest"), ["key", "digest"]).dropDuplicates(["key", "digest"])
+    chosen = ready.withColumn("digest", F.md5("t")).join(few.join(texts, "node").select("node", "key", "digest"), ["key", "digest"]).dropDuplicates(["key", "digest"])
     sets = chosen.select("node", "t").mapInPandas(shingles, "node long, set array<long>").checkpoint()
 
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The similar pairs: rows come sorted by a and part, the row of a itself before the others."""
-        hub, first = None, np.zeros(0, np.int64)
-        for batch in batches:
-            column = batch["set"]
-            flat, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-            out: list[tuple[int, int]] = []
-            for i, (a, part, node) in enumerate(zip(batch["a"].to_pylist(), batch["part"].to_pylist(), batch["node"].to_pylist(), strict=True)):
-                own = flat[ends[i]:ends[i + 1]]
-                if hub != (a, part):
-                    hub, first = (a, part), own.copy()
-                    continue
-                both = np.concatenate((first, own))
-                both.sort(kind="stable")  # two sorted runs
-                met = int(np.count_nonzero(both[1:] == both[:-1]))
-                if met >= similarity * (len(both) - met):
-                    out.append((a, node))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
-
-    def verified(close: DataFrame) -> DataFrame:
-        """The pairs whose shingle sets are as similar as asked. Sets go to the pairs of a text part by part, that of the text itself once to each part."""
-        sizes = close.groupBy("a").agg(F.ceil(F.count("*") / PAIR_PART).cast("int").alias("parts"))
-        dealt = close.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts").cast("long")).alias("part"), "b")
-        roles = dealt.select("a", "part", F.col("b").alias("node"), F.lit(False).alias("hub")).unionByName(dealt.select("a", "part", F.col("a").alias("node"), F.lit(True).alias("hub")).distinct())
-        rows = roles.join(sets, "node").repartition(int(close.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "part").sortWithinPartitions("a", "part", F.desc("hub"))
-        return rows.select("a", "part", "node", "set").mapInArrow(compared, "a long, b long")
-
-    def unlinked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """The texts of two blocks that are close to one of a different group."""
-        for batch in batches:
-            found = [np.zeros(0, np.int64)]
-            for row in batch.itertuples(index=False):
-                long_a, long_b = (np.asarray(x, np.int64).view(np.uint64).reshape(-1, words) for x in (row.longs_a, row.longs_b))
-                apart = sum(np.bitwise_count(long_a[:, None, w] ^ long_b[None, :, w]).astype(np.int64) for w in range(words))
-                near = (apart <= far) & (row.roots_a[:, None] != row.roots_b[None, :])
-                found += [row.nodes_a[near.any(axis=1)], row.nodes_b[near.any(axis=0)]]
-            yield pd.DataFrame({"node": np.unique(np.concatenate(found))})
-
-    def behind_hubs(roots: DataFrame) -> DataFrame:
-        """The texts of close pairs that meet in any table and are not in one group yet."""
-        placed = homes.join(roots, "node", "left").select("number", "hub", "node", "texts", F.coalesce("root", "node").alias("root"))
-        sizes = placed.groupBy("number", "hub").agg(F.first("texts").alias("texts"), F.min("root").alias("low"), F.max("root").alias("high"))
-        # only variants whose hubs are not all of one group are taken apart to pairs
-        parts = F.ceil(F.col("texts") / PAIR_BLOCK).cast("int").alias("parts")
-        held = buckets.select("bucket", "number", F.explode("met").alias("hub")).join(sizes.select("number", "hub", parts, "low", "high"), ["number", "hub"])
-        held = held.groupBy("bucket", "number").agg(F.array_sort(F.collect_list(F.struct("hub", "parts", "low", "high"))).alias("m"), F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high")
-        meet = held.select("number", "m", F.posexplode("m").alias("at", "x")).select("number", "x", F.explode(F.slice("m", F.col("at") + 2, F.size("m"))).alias("y"))
-        meet = meet.select("number", F.col("x.hub").alias("a"), F.col("y.hub").alias("b"), F.col("x.parts").alias("parts_a"), F.col("y.parts").alias("parts_b"), F.least("x.low", "y.low").alias("low"), F.greatest("x.high", "y.high").alias("high"))
-        own = sizes.where("texts > 2 and low <> high").select("number", F.col("hub").alias("a"), F.col("hub").alias("b"), parts.alias("parts_a"), parts.alias("parts_b"))
-        meet = meet.where("low <> high").drop("low", "high").unionByName(own).distinct().checkpoint()
-        if meet.isEmpty():
-            return meet.select(F.col("a").alias("node"))
-        used = meet.select("number", F.explode(F.array("a", "b")).alias("hub")).distinct()
-        dealt = placed.join(used, ["number", "hub"], "left_semi").withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("texts") / PAIR_BLOCK)).cast("int"))
-        dealt = dealt.join(texts.select("node", "long"), "node").groupBy("number", "hub", "part").agg(F.collect_list(F.struct("node", "root", "long")).alias("m"))
-        blocks = dealt.select("number", "hub", "part", F.col("m.node").alias("nodes"), F.col("m.root").alias("roots"), F.flatten("m.long").alias("longs"))
-        both = meet.select("number", "a", "b", F.explode(F.sequence(F.lit(0), F.col("parts_a") - 1)).alias("part_a"), "parts_b").select("number", "a", "b", "part_a", F.explode(F.sequence(F.lit(0), F.col("parts_b") - 1)).alias("part_b")).where("a <> b or part_a <= part_b")
-        for side in "ab":
-            both = both.join(blocks.select("number", F.col("hub").alias(side), F.col("part").alias(f"part_{side}"), *[F.col(c).alias(f"{c}_{side}") for c in ("nodes", "roots", "longs")]), ["number", side, f"part_{side}"])
-        mixed = F.least(F.array_min("roots_a"), F.array_min("roots_b")) != F.greatest(F.array_max("roots_a"), F.array_max("roots_b"))
-        both = both.where(mixed).select(*[f"{c}_{side}" for side in "ab" for c in ("nodes", "roots", "longs")])
-        return both.mapInPandas(unlinked, "node long").distinct()
-
-    def joined(block: pa.Table) -> pa.Table:
+    def joined(block: pa.Table) -> list[np.ndarray]:
         """The links of two blocks, or of one."""
-        block = block.combine_chunks()
-        (longs,), (lists,) = block["long"].chunks, block["set"].chunks
-        columns = (block[c].to_numpy() for c in ("root", "part"))
+        roots, parts, lists = block["root"].to_numpy(), block["part"].to_numpy(), block["set"].chunk(0)
         flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))))
-        a, b = _joined(*columns, longs.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, words), flat, ends, similarity, far)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    def between_blocks(few: DataFrame, roots: DataFrame) -> DataFrame:
-        """Links between groups: of all pairs of these texts that share a least hash, meet in a table and are similar."""
-        few = few.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-        placed = own.select("node", "n", "m").join(few, "node").join(sets.select("node", F.size("set").alias("size")), "node")
-        families = placed.groupBy("n", "m").agg(F.ceil(F.sum(F.col("size") + 1) / BLOCK_SHINGLES).cast("int").alias("parts"), F.min("root").alias("low"), F.max("root").alias("high"))
-        dealt = placed.join(families.where("low <> high"), ["n", "m"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int"))
-        dealt = dealt.select("n", "m", "node", "root", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-        dealt = dealt.select("n", "m", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), "node", "root", "part")
-        rows = dealt.join(texts.select("node", "long"), "node").join(sets, "node")
-        return rows.groupBy("n", "m", "one", "two").applyInArrow(joined, "a long, b long").distinct()
-
-    roots = connected_components(verified(close))
-    few = behind_hubs(roots).checkpoint()
-    if not few.isEmpty():
-        roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(between_blocks(few, roots)))
+        return list(_joined(roots, parts, _matrix(block, words), flat, ends, similarity, far))
+
+    def links_of(rows: DataFrame) -> DataFrame:
+        """Links (a, b) between roots, by the shingles of the blocks' texts."""
+        return blocks(rows.join(sets, "node"), ["part", "node", "root", "long", "set"]).mapInArrow(lambda batches: _gathered(map(joined, _keyed(batches, key_columns)), ["a", "b"]), "a long, b long")
+
+    members = placed.join(few, "node")
+    families = members.groupBy("n", "m").agg(F.min("node").alias("first"), F.count("*").alias("members"), F.ceil(F.sum(F.col("size") + 1) / BLOCK_SHINGLES).cast("int").alias("parts"))
+    dealt = members.join(families.where("members > 1"), ["n", "m"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int")).checkpoint()
+    # each block with the family's first text, as one part
+    alone = dealt.withColumn("one", F.explode(F.when(F.col("node") == F.col("first"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("part"))))
+    roots = connected_components(links_of(alone.withColumns({"two": F.col("one"), "part": F.col("one"), "root": F.col("node")})))
+    if not dealt.where("parts > 1").isEmpty():
+        grouped = dealt.where("parts > 1").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        mixed = grouped.groupBy("n", "m").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("n", "m")
+        mixed = grouped.join(mixed, ["n", "m"]).checkpoint()
+        rest = paired(mixed.join(close(mixed), "node")).where("one < two")
+        roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links_of(rest)))
     grouped = texts.select("key", "digest", "node").join(roots, "node", "left").select("key", "digest", F.coalesce("root", "node").alias("group"))
     first = grouped.groupBy("group").agg(F.min(F.struct("key", "digest")).alias("first"))
     return grouped.join(first, "group").select("key", "digest", F.col("first.key").alias("root"), F.col("first.digest").alias("root_digest"))

@@ -342,6 +342,64 @@ def test_near_copies_in_a_family(spark, shared):
     assert sorted(r["doc_id"] for r in kept.collect()) == list(range(0, 500, 2))
 
 
+@pytest.mark.parametrize("shared", [200, 245])
+def test_near_copies_in_a_family_of_blocks(spark, monkeypatch, shared):
+    """A family of many blocks has the groups that one of a single block has."""
+    monkeypatch.setattr(simhash, "BLOCK_TEXTS", 50, raising=False)
+    monkeypatch.setattr(simhash, "BLOCK_SHINGLES", 10_000)
+    rows = family(250, shared, 300, 60)
+    kept = simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(8))
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(0, 500, 2))
+
+
+def most_rows(spark, run):
+    """The most rows that one step of a plan gives out while run() works."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    ids = lambda: {(x := store.executionsList().apply(i)).executionId(): x for i in range(store.executionsList().size())}
+    before, most = set(ids()), 0
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    for number, execution in ids().items():
+        if number not in before:
+            metrics, values = execution.metrics(), store.executionMetrics(number).iterator()
+            rows = {m.accumulatorId() for m in map(metrics.apply, range(metrics.size())) if m.name() == "number of output rows"}
+            while values.hasNext():
+                value = values.next()
+                if value._1() in rows and (count := value._2().replace(",", "")).isdigit():
+                    most = max(most, int(count))
+    return most
+
+
+def test_near_copies_of_a_family_are_no_rows(spark):
+    """Texts that are alike but not linked: no step gives out rows for variants or for pairs of places where texts meet."""
+    rows = family(400, 245, 300, 20)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    most = most_rows(spark, lambda: simhash.keep_one_of_each(docs).collect())
+    assert len(rows) <= most <= 2 * simhash.MINIMA * len(rows)
+
+
+@pytest.mark.parametrize("blocks", [1, 2])
+def test_texts_with_a_close_one_are_found_as_by_pairs(blocks):
+    rng = np.random.default_rng(11)
+    base = [np.unique(rng.integers(1 << 62, size=200)) for _ in range(50)]
+    sets = base + [np.unique(np.concatenate((x[rng.random(len(x)) < 0.95], rng.integers(1 << 62, size=5)))) for x in base[:25]]
+    longs = simhash._long_fingerprints([x.view(np.uint64) for x in sets], simhash.LONG_WORDS)
+    roots, parts, far = np.arange(len(sets)) // 2, rng.integers(blocks, size=len(sets)), 62
+    bits = lambda x: int(x).bit_count()
+    meets = lambda x: any(bits(x >> 16 * t & 0xFFFF) <= 2 for t in range(4))
+    want = [any(roots[i] != roots[j] and (blocks == 1 or parts[i] != parts[j]) and sum(map(bits, longs[i] ^ longs[j])) <= far and meets(int(longs[i][0] ^ longs[j][0]))
+                for j in range(len(sets))) for i in range(len(sets))]
+    assert simhash._near(roots, parts, longs, far).tolist() == want and 10 < sum(want) < len(sets)
+
+
+def test_rows_of_a_key_lie_in_many_batches():
+    keys = np.repeat([3, 5, 5, 8, 9], [1, 4, 3, 1, 7])
+    table = pa.table({"m": keys, "at": np.arange(len(keys)), "long": [[i, -i] for i in range(len(keys))]})
+    for size in (1, 3, 100):
+        got = [(set(x["m"].to_pylist()), x["at"].to_pylist(), simhash._matrix(x, 2)[:, 0].tolist()) for x in simhash._keyed(iter([table.to_batches()[0].slice(0, 0), *table.to_batches(size)]), ["m"])]
+        assert got == [({k}, at := np.flatnonzero(keys == k).tolist(), at) for k in (3, 5, 8, 9)]
+
+
 @pytest.mark.parametrize("blocks", [1, 2])
 def test_blocks_are_joined_as_by_pairs(blocks):
     """Links of blocks have the components of all similar pairs that meet, and are fewer than the groups."""
