@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillbom.llm import overlap
 from quillbom.llm.shared import checkpoint_dir, connected_components, join_hot, slices, small_batches
 
 #: Shingle hashes that are counted at a time.
@@ -121,10 +122,12 @@ def near_duplicate_groups(docs: DataFrame, width: int = 3, radius: int = 2, key:
 # group of copies at once. Only families of several blocks that are not one group after that have their blocks
 # compared with each other, again only those texts that are close to one of another group. A block gives one
 # link for each group that it joins to another.
+# Some pairs don't meet this way, so the rest is found exactly: only texts that share shingles enough with texts of other
+# groups (overlap.py) can be linked to one, and these are held against each other by shingles alone, again in blocks.
 
 
 def meeting_chance(similarity: float) -> float:
-    """The chance that a pair of texts of that similarity meets."""
+    """The chance that a pair of texts of that similarity meets by fingerprints; those that don't are found by their shingles."""
     differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
     ball = sum(math.comb(BITS, n) * differ**n * (1 - differ) ** (BITS - n) for n in range(3))
     return (1 - (1 - similarity) ** MINIMA) * (1 - (1 - ball) ** TABLES)
@@ -173,9 +176,10 @@ def _near(roots: np.ndarray, parts: np.ndarray, longs: np.ndarray, far: int) ->
     return found
 
 
-def _joined(roots: np.ndarray, parts: np.ndarray, longs: np.ndarray, flat: np.ndarray, ends: np.ndarray, similarity: float, far: int) -> tuple[np.ndarray, np.ndarray]:
+def _joined(roots: np.ndarray, parts: np.ndarray, longs: np.ndarray | None, flat: np.ndarray, ends: np.ndarray, similarity: float, far: int | None) -> tuple[np.ndarray, np.ndarray]:
     """Links (a, b) between the roots of texts, one for each group that joins another: those of pairs of the two parts (of one, where there
-    is one) that meet in a table, differ in at most far bits and have sets (flat, from ends[n] to ends[n + 1]) of that similarity."""
+    is one) that meet in a table, differ in at most far bits and have sets (flat, from ends[n] to ends[n + 1]) of that similarity; all pairs meet
+    where there are no fingerprints."""
     names, label = np.unique(roots, return_inverse=True)
     group = label.copy()
     sizes, of = np.diff(ends), np.repeat(np.arange(len(roots)), np.diff(ends))
@@ -188,7 +192,10 @@ def _joined(roots: np.ndarray, parts: np.ndarray, longs: np.ndarray, flat: np.nd
     others = np.flatnonzero(parts == high)
     for i in np.flatnonzero(parts == low):
         j = others[group[others] != group[i]] if low < high else np.arange(i + 1, len(roots))[group[i + 1:] != group[i]]
-        j = _met(longs, i, j, far)
+        if longs is None:
+            j = j[np.minimum(sizes[i], sizes[j]) >= similarity * np.maximum(sizes[i], sizes[j])]
+        else:
+            j = _met(longs, i, j, far)
         met = np.bitwise_count(bits[i] & bits[j]).sum(axis=1, dtype=np.int64)
         j = j[met >= similarity * (sizes[i] + sizes[j] - met)]
         if len(j):
@@ -238,8 +245,8 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, key: s
     """(key, digest, root, root_digest) of each distinct text: its smallest key, its MD5, and both of the first of its group.
 
     Groups are the connected components of pairs whose shingle sets have at least that Jaccard
-    similarity. Every pair that is linked has been verified; a pair is found with meeting_chance() of
-    its similarity, 0.95 at 0.8. Null keys count as the largest number, null texts as empty; texts
+    similarity. Every pair that is linked has been verified. Most pairs are found by fingerprints, with
+    meeting_chance() of their similarity, the others by the shingles that they share; none is left out. Null keys count as the largest number, null texts as empty; texts
     that share a key are as different as others. A very long text is hashed as a whole; an empty
     table gives no rows. Other columns of docs, of any name, are not read.
     """
@@ -255,10 +262,10 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, key: s
             sets = [np.unique(shingle_hashes(t, width)) for t in rows["t"]]  # sets, as the similarity is one of sets
             long = _long_fingerprints(sets, words)
             least = [np.array(_minima(h), np.uint64).view(np.int64) for h in sets]
-            yield pd.DataFrame({"key": rows["key"], "digest": rows["digest"], "size": [len(h) for h in sets], "long": list(long.view(np.int64)), "least": least})
+            yield pd.DataFrame({"key": rows["key"], "digest": rows["digest"], "size": [len(h) for h in sets], "long": list(long.view(np.int64)), "least": least, "head": [overlap.head(h, similarity) for h in sets]})
 
-    marked = ready.withColumn("digest", F.md5("t")).mapInPandas(run, "key long, digest string, size long, long array<long>, least array<long>")
-    found = F.max_by(F.struct("size", "long", "least"), "digest").alias("x")
+    marked = ready.withColumn("digest", F.md5("t")).mapInPandas(run, "key long, digest string, size long, long array<long>, least array<long>, head binary")
+    found = F.max_by(F.struct("size", "long", "least", "head"), "digest").alias("x")
     texts = marked.groupBy("digest").agg(F.min("key").alias("key"), found).select("digest", "key", "x.*")
     texts = texts.withColumn("node", F.monotonically_increasing_id()).checkpoint()  # fixed by the checkpoint
     # a minimum that no other text has brings nobody together, and most are such
@@ -288,23 +295,27 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, key: s
         return blocks(dealt, ["part", "node", "root", "long"]).mapInArrow(lambda batches: _gathered(map(near, _keyed(batches, key_columns)), ["node"]), "node long").distinct()
 
     few = close(placed.withColumn("root", F.col("node"))).checkpoint()
+    in_heads, in_all = (lambda n: overlap.common_in_heads(n, similarity)), (lambda n: overlap.least(n, similarity))
+    heads = texts.select("node", F.col("node").alias("root"), "size", F.col("head").alias("tokens"))
+    able = overlap.meeting(heads, in_heads, alone=True).select("node").checkpoint()
 
     def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in slices(batches):
             yield pd.DataFrame({"node": rows["node"], "set": [np.unique(shingle_hashes(t, width)).view(np.int64) for t in rows["t"]]})
 
-    chosen = ready.withColumn("digest", F.md5("t")).join(few.join(texts, "node").select("node", "key", "digest"), ["key", "digest"]).dropDuplicates(["key", "digest"])
+    chosen = ready.withColumn("digest", F.md5("t")).join(few.unionByName(able).distinct().join(texts, "node").select("node", "key", "digest"), ["key", "digest"]).dropDuplicates(["key", "digest"])
     sets = chosen.select("node", "t").mapInPandas(shingles, "node long, set array<long>").checkpoint()
 
-    def joined(block: pa.Table) -> list[np.ndarray]:
-        """The links of two blocks, or of one."""
+    def joined(block: pa.Table, by_all: bool = False) -> list[np.ndarray]:
+        """The links of two blocks, or of one; by shingles alone where all pairs of different groups are held against each other."""
         roots, parts, lists = block["root"].to_numpy(), block["part"].to_numpy(), block["set"].chunk(0)
         flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))))
-        return list(_joined(roots, parts, _matrix(block, words), flat, ends, similarity, far))
+        return list(_joined(roots, parts, None if by_all else _matrix(block, words), flat, ends, similarity, far))
 
-    def links_of(rows: DataFrame) -> DataFrame:
+    def links_of(rows: DataFrame, by_all: bool = False) -> DataFrame:
         """Links (a, b) between roots, by the shingles of the blocks' texts."""
-        return blocks(rows.join(sets, "node"), ["part", "node", "root", "long", "set"]).mapInArrow(lambda batches: _gathered(map(joined, _keyed(batches, key_columns)), ["a", "b"]), "a long, b long")
+        columns = ["part", "node", "root", "set"] if by_all else ["part", "node", "root", "long", "set"]
+        return blocks(rows.join(sets, "node"), columns).mapInArrow(lambda batches: _gathered((joined(b, by_all) for b in _keyed(batches, key_columns)), ["a", "b"]), "a long, b long")
 
     members = placed.join(few, "node")
     families = members.groupBy("n", "m").agg(F.min("node").alias("first"), F.count("*").alias("members"), F.ceil(F.sum(F.col("size") + 1) / BLOCK_SHINGLES).cast("int").alias("parts"))
@@ -318,6 +329,17 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, key: s
         mixed = grouped.join(mixed, ["n", "m"]).checkpoint()
         rest = paired(mixed.join(close(mixed), "node")).where("one < two")
         roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links_of(rest)))
+    # the rest: texts that have shingles enough in common with those of other groups, in heads first, as these are short
+    rooted = heads.drop("root").join(able, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).checkpoint()
+    mixed = rooted.drop("tokens").join(overlap.meeting(rooted, in_heads).select("node"), "node").join(sets.withColumnRenamed("set", "tokens"), "node").checkpoint()
+    met = overlap.meeting(mixed, in_all).select("node", F.explode("tokens").alias("token")).checkpoint()
+    if not met.isEmpty():
+        first = met.groupBy("token").agg(F.min("node").alias("first"))
+        together = connected_components(met.join(first, "token").select(F.col("node").alias("a"), F.col("first").alias("b"))).withColumnRenamed("root", "m")
+        together = mixed.drop("tokens").join(together, "node").checkpoint()
+        families = together.groupBy("m").agg(F.ceil(F.sum(F.col("size") + 1) / BLOCK_SHINGLES).cast("int").alias("parts"))
+        rest = together.withColumn("n", F.lit(0)).join(families, "m").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int"))
+        roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links_of(paired(rest), by_all=True)))
     grouped = texts.select("key", "digest", "node").join(roots, "node", "left").select("key", "digest", F.coalesce("root", "node").alias("group"))
     first = grouped.groupBy("group").agg(F.min(F.struct("key", "digest")).alias("first"))
     return grouped.join(first, "group").select("key", "digest", F.col("first.key").alias("root"), F.col("first.digest").alias("root_digest"))
